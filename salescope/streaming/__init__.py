@@ -1,0 +1 @@
+"""Incremental ingestion of uploaded sales files with Structured Streaming."""
