@@ -20,8 +20,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v):
-    if v is None:
+    if v is None or v is pd.NaT:
         return None
+    try:
+        if pd.isna(v):
+            return None
+    except (TypeError, ValueError):
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
