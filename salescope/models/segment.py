@@ -19,3 +19,93 @@ def product_stats(df: DataFrame) -> DataFrame:
                    F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_quantity"),
                    F.avg("quantity").alias("avg_quantity"),
                    F.avg("price").alias("avg_price")))
+
+
+# ---------------------------------------------------------------------------
+# k-means segmentation
+# ---------------------------------------------------------------------------
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.clustering import KMeans  # noqa: E402
+from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
+from pyspark.ml.feature import StandardScaler, VectorAssembler  # noqa: E402
+
+from ..functions import fixed  # noqa: E402
+
+
+def _pipeline(k: int, seed: int) -> Pipeline:
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=[f"{c}__f" for c in SEGMENT_FEATURES], outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+        KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=300, tol=1e-4),
+    ])
+
+
+def _filled(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({f"{c}__f": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in SEGMENT_FEATURES})
+
+
+def fit_segments(stats: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> PipelineModel:
+    """Standardise the six product features and run k-means ``n_init`` times
+    (different seeds); keep the run with the lowest within-cluster cost.
+    (Sample vs population standard deviation only rescales all features
+    alike, so clusters are the same.)"""
+    data = _filled(stats).cache()
+    best, best_cost = None, None
+    for i in range(n_init):
+        model = _pipeline(k, seed + i).fit(data)
+        cost = model.stages[-1].summary.trainingCost
+        if best_cost is None or cost < best_cost:
+            best, best_cost = model, cost
+    data.unpersist()
+    return best
+
+
+def cluster_profiles(assigned: DataFrame) -> DataFrame:
+    """Mean of each feature per cluster (one row per cluster: k rows)."""
+    return assigned.groupBy("cluster").agg(*[F.avg(F.col(f"{c}__f")).alias(c) for c in SEGMENT_FEATURES])
+
+
+def segment_names(profiles: DataFrame) -> DataFrame:
+    """Star (revenue and frequency above the profile medians), Premium
+    (revenue only), Volume (frequency only), Low Performers."""
+    med = profiles.agg(*[F.percentile(c, 0.5).alias(c) for c in
+                         ["total_revenue", "transaction_count", "avg_price"]]).first()
+    hi_rev = F.col("total_revenue") > F.lit(med["total_revenue"])
+    hi_freq = F.col("transaction_count") > F.lit(med["transaction_count"])
+    name = (F.when(hi_rev & hi_freq, F.lit(fixed.SEGMENT_STAR))
+             .when(hi_rev, F.lit(fixed.SEGMENT_PREMIUM))
+             .when(hi_freq, F.lit(fixed.SEGMENT_VOLUME))
+             .otherwise(F.lit(fixed.SEGMENT_LOW)))
+    return profiles.withColumn("segment", name)
+
+
+def assign_segments(model: PipelineModel, stats: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Scale, assign clusters and attach segment names (the name table has
+    one row per cluster, a bound of k rows)."""
+    assigned = model.transform(_filled(stats))
+    if names is None:
+        names = segment_names(cluster_profiles(assigned))
+    out = assigned.join(F.broadcast(names.select("cluster", "segment")), "cluster", "left")
+    return out.drop("_raw", "features", *[f"{c}__f" for c in SEGMENT_FEATURES])
+
+
+def segment_products(df: DataFrame, k: int = 4) -> tuple[PipelineModel, DataFrame]:
+    stats = product_stats(df)
+    model = fit_segments(stats, k)
+    return model, assign_segments(model, stats)
+
+
+def silhouette(model: PipelineModel, stats: DataFrame) -> float | None:
+    """Silhouette (squared Euclidean) when 2 ≤ clusters < products."""
+    assigned = model.transform(_filled(stats))
+    counts = assigned.agg(F.countDistinct("cluster").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    if not (2 <= counts["k"] <= counts["n"] - 1):
+        return None
+    return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
+
+
+def segment_summary(segments: DataFrame) -> DataFrame:
+    """Products and revenue per segment."""
+    return segments.groupBy("segment").agg(F.count(F.lit(1)).alias("products"),
+                                           F.sum("total_revenue").alias("total_revenue"))
