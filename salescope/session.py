@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, app: str = "salescope",
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.ui.enabled", "false")
+    # local runs: the driver JVM is the whole cluster
+    builder = builder.config("spark.driver.memory", os.environ.get("SALESCOPE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
