@@ -136,16 +136,20 @@ class IsolationForestModel:
         feats = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.cols]
         return df.withColumn("_score", score(*feats))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """``anomaly`` (1 when the decision value is negative) and
-        ``anomaly_score`` = −decision = offset − score."""
-        s = self.score_samples(df)
+    def decide(self, scored: DataFrame) -> DataFrame:
+        """From ``_score``: ``anomaly`` (1 when the decision value is negative)
+        and ``anomaly_score`` = −decision = offset − score."""
         decision = F.col("_score") - F.lit(self.offset)
-        return s.withColumns({"anomaly": (decision < 0).cast("int"), "anomaly_score": -decision}).drop("_score")
+        return scored.withColumns({"anomaly": (decision < 0).cast("int"),
+                                   "anomaly_score": -decision}).drop("_score")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.decide(self.score_samples(df))
 
 
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int = 100,
-                         max_samples: int = 256, contamination: float = 0.05, seed: int = 42) -> IsolationForestModel:
+                         max_samples: int = 256, contamination: float = 0.05, seed: int = 42,
+                         return_scored: bool = False):
     cols = cols or DEFAULT_FEATURES
     k = len(cols)
     x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
@@ -174,15 +178,17 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees:
                        t["left"].to_numpy("int64"), t["right"].to_numpy("int64"),
                        t["size"].to_numpy("float64"), t["depth"].to_numpy("float64")))
     model = IsolationForestModel(cols, forest, psi, 0.0, contamination)
-    scored = model.score_samples(df)
+    scored = model.score_samples(df).persist()
     (offset,) = exact_quantiles(scored, "_score", [contamination])
     model.offset = float(offset)
-    return model
+    return (model, scored) if return_scored else model
 
 
 def isolation_forest(df: DataFrame, cols: list[str] | None = None, contamination: float = 0.05,
                      seed: int = 42) -> DataFrame:
-    return fit_isolation_forest(df, cols, contamination=contamination, seed=seed).transform(df)
+    """Fit on ``df`` and flag its rows; every row is scored once."""
+    model, scored = fit_isolation_forest(df, cols, contamination=contamination, seed=seed, return_scored=True)
+    return model.decide(scored)
 
 
 def anomaly_summary(scored: DataFrame) -> DataFrame:

@@ -52,6 +52,8 @@ def _score(col: str, edges: list[float], descending: bool) -> F.Column:
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """Quintile scores: recency 5..1 (recent is better), frequency and
     monetary 1..5; any repeated quintile edge gives every row a 3."""
+    # one row per customer, read once per scored column: keep it cached
+    rfm = rfm.cache()
     out = rfm
     for col, desc in [("recency", True), ("frequency", False), ("monetary", False)]:
         edges = exact_quantiles(rfm, col, QUINTILES)

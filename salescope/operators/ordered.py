@@ -150,7 +150,6 @@ def forward_fill(df: DataFrame, order: list, cols: list[str]) -> DataFrame:
     schema = "b int, " + ", ".join(f"v_{i} string, h_{i} boolean" for i in range(len(cols)))
     # Values travel as strings only inside this bounded summary; they are
     # re-read as the column type below.
-    ser_schema = staged.select([F.col(c) for c in cols]).schema
     summ_rows = staged.mapInPandas(last_of_bucket, schema).collect()
     summ = sorted(summ_rows, key=lambda r: r["b"])
     carry: dict[int, dict] = {}
@@ -180,7 +179,6 @@ def forward_fill(df: DataFrame, order: list, cols: list[str]) -> DataFrame:
                     state[c] = nn.iloc[-1]
             yield pdf
 
-    del ser_schema
     return staged.mapInPandas(finish, staged.schema).drop(BUCKET)
 
 
@@ -253,15 +251,19 @@ def running_sum(df: DataFrame, order: list, value: str, out: str,
 # ---------------------------------------------------------------------------
 
 LOCAL_RANK_LIMIT = 50_000   # an interval this small is ranked in one task
-SPLITS = 64                 # sub-intervals per narrowing round
+ACCURACY = 10_000           # percentile_approx accuracy used to bracket a rank
+MAX_ROUNDS = 8
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float]) -> list[float | None]:
     """Linear-interpolated quantiles of a numeric column (nulls and NaN ignored).
 
-    Scales with the table: every round is one aggregate (partial aggregation,
-    no row shuffle); the final ranking touches at most ``LOCAL_RANK_LIMIT``
-    rows per target.  Hot values collapse into a single-value interval.
+    Scales with the table: every narrowing round is two single-row
+    aggregates (partial aggregation, no row shuffle) that bracket each target
+    rank between two approximate percentiles and count the rows below them;
+    the interval left around a rank shrinks about ``ACCURACY / 4`` fold per
+    round, and only an interval of at most ``LOCAL_RANK_LIMIT`` rows is
+    finally ranked.  Hot values collapse into a single-value interval.
     """
     c = F.col(col) if isinstance(col, str) else col
     v = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -289,64 +291,49 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float]) -> list[f
 
 def _select_ranks(v: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
     """Value at each 0-based rank of column ``v`` (ascending)."""
-    # interval state per rank: (lo, hi, rows strictly below lo, rows inside)
+    # per rank: (lower bound, upper bound, rows below the interval, rows inside)
     state = {r: (None, None, 0, n) for r in ranks}
     result: dict[int, float] = {}
-    for _ in range(12):
-        open_ = {r: s for r, s in state.items() if r not in result}
-        if not open_:
-            break
-        small = {r: s for r, s in open_.items() if s[3] <= LOCAL_RANK_LIMIT}
-        big = {r: s for r, s in open_.items() if s[3] > LOCAL_RANK_LIMIT}
+    for _ in range(MAX_ROUNDS):
+        open_ = [r for r in ranks if r not in result]
+        small = {r: state[r] for r in open_ if state[r][3] <= LOCAL_RANK_LIMIT}
         if small:
             result.update(_rank_small(v, small))
+        big = [r for r in open_ if r not in small]
         if not big:
             break
-        # one job: approximate split points inside every open interval
-        intervals = sorted({(s[0], s[1]) for s in big.values()}, key=str)
-        fracs = [i / SPLITS for i in range(1, SPLITS)]
-        aggs = [F.percentile_approx(F.when(_inside(lo, hi), F.col("v")), fracs, 10000).alias(f"p{i}")
-                for i, (lo, hi) in enumerate(intervals)]
-        aggs += [F.min(F.when(_inside(lo, hi), F.col("v"))).alias(f"mn{i}") for i, (lo, hi) in enumerate(intervals)]
-        aggs += [F.max(F.when(_inside(lo, hi), F.col("v"))).alias(f"mx{i}") for i, (lo, hi) in enumerate(intervals)]
-        row = v.agg(*aggs).first()
-        # one job: counts below each split point inside every interval
-        cuts = {}
-        cnt_aggs = []
-        for i, (lo, hi) in enumerate(intervals):
-            mn, mx = row[f"mn{i}"], row[f"mx{i}"]
-            pts = sorted({float(x) for x in (row[f"p{i}"] or [])} | {mn, mx})
-            cuts[i] = pts
-            for j, p in enumerate(pts):
-                cnt_aggs.append(F.count_if(_inside(lo, hi) & (F.col("v") < F.lit(p))).alias(f"c{i}_{j}"))
-                cnt_aggs.append(F.count_if(_inside(lo, hi) & (F.col("v") == F.lit(p))).alias(f"e{i}_{j}"))
-        crow = v.agg(*cnt_aggs).first()
-        for r, (lo, hi, below, inside) in big.items():
-            i = intervals.index((lo, hi))
-            pts = cuts[i]
+        margin = 2.0 / ACCURACY
+        aggs = []
+        for i, r in enumerate(big):
+            lo, hi, below, inside = state[r]
+            q = (r - below) / max(inside - 1, 1)
+            aggs.append(F.percentile_approx(F.when(_inside(lo, hi), F.col("v")),
+                                            [max(0.0, q - margin), min(1.0, q + margin)], ACCURACY).alias(f"p{i}"))
+        prow = v.agg(*aggs).first()
+        cnts = []
+        for i, r in enumerate(big):
+            lo, hi, _, _ = state[r]
+            pl, ph = prow[f"p{i}"]
+            cnts += [F.count_if(_inside(lo, hi) & (F.col("v") < F.lit(pl))).alias(f"lt{i}"),
+                     F.count_if(_inside(lo, hi) & (F.col("v") <= F.lit(ph))).alias(f"le{i}")]
+        crow = v.agg(*cnts).first()
+        for i, r in enumerate(big):
+            lo, hi, below, inside = state[r]
+            pl, ph = (float(x) for x in prow[f"p{i}"])
+            lt, le = crow[f"lt{i}"], crow[f"le{i}"]
             local = r - below
-            new = None
-            for j, p in enumerate(pts):
-                lt, eq = crow[f"c{i}_{j}"], crow[f"e{i}_{j}"]
-                if lt <= local < lt + eq:          # the rank sits on value p
-                    result[r] = p
-                    new = None
-                    break
-                if local < lt:                      # between previous cut and p
-                    plo = pts[j - 1] if j > 0 else None
-                    plt = crow[f"c{i}_{j-1}"] + crow[f"e{i}_{j-1}"] if j > 0 else 0
-                    new = (plo, p, below + plt, lt - plt, "open")
-                    break
-            if r in result:
-                continue
-            if new is None:
-                raise RuntimeError("quantile narrowing lost its target rank")
-            plo, p, nb, ni, _ = new
-            # interval (plo, p): strictly above plo, strictly below p
-            state[r] = (("gt", plo) if plo is not None else None, ("lt", p), nb, ni)
-    missing = [r for r in ranks if r not in result]
-    if missing:
-        raise RuntimeError(f"quantile ranks not resolved: {missing}")
+            if lt <= local < le:
+                if pl == ph:
+                    result[r] = pl
+                    continue
+                state[r] = (("ge", pl), ("le", ph), below + lt, le - lt)
+            elif local < lt:
+                state[r] = (lo, ("lt", pl), below, lt)
+            else:
+                state[r] = (("gt", ph), hi, below + le, inside - le)
+    rest = {r: state[r] for r in ranks if r not in result}
+    if rest:   # did not narrow below the limit in MAX_ROUNDS: rank what is left
+        result.update(_rank_small(v, rest))
     return result
 
 
