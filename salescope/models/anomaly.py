@@ -101,6 +101,15 @@ def _grow(pdf: pd.DataFrame, n_features: int, max_depth: int, seed: int) -> pd.D
     return out
 
 
+def _forest_arrays(nodes: pd.DataFrame) -> list:
+    forest = []
+    for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        forest.append((t["feature"].to_numpy("int64"), t["threshold"].to_numpy("float64"),
+                       t["left"].to_numpy("int64"), t["right"].to_numpy("int64"),
+                       t["size"].to_numpy("float64"), t["depth"].to_numpy("float64")))
+    return forest
+
+
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size long, depth int")
 
@@ -146,6 +155,33 @@ class IsolationForestModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.decide(self.score_samples(df))
 
+    def save(self, path: str) -> None:
+        """Node table as Parquet (≤ trees × 2 × max_samples rows) and the
+        offset / settings as JSON."""
+        import json
+        import os
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        recs = []
+        for t, (feat, thr, left, right, size, depth) in enumerate(self.forest):
+            for i in range(len(feat)):
+                recs.append((t, i, int(feat[i]), float(thr[i]), int(left[i]), int(right[i]),
+                             int(size[i]), int(depth[i])))
+        spark.createDataFrame(recs, NODE_SCHEMA).write.mode("overwrite").parquet(os.path.join(path, "nodes"))
+        meta = {"cols": self.cols, "psi": self.psi, "offset": self.offset, "contamination": self.contamination}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+             .write.mode("overwrite").text(os.path.join(path, "meta"))
+
+    @classmethod
+    def load(cls, path: str) -> "IsolationForestModel":
+        import json
+        import os
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()["value"])
+        nodes = spark.read.parquet(os.path.join(path, "nodes")).toPandas()
+        return cls(meta["cols"], _forest_arrays(nodes), meta["psi"], meta["offset"], meta["contamination"])
+
 
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int = 100,
                          max_samples: int = 256, contamination: float = 0.05, seed: int = 42,
@@ -172,11 +208,7 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees:
         return _grow(pdf, k, max_depth, seed)
 
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # ≤ n_trees × 2 psi rows
-    forest = []
-    for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        forest.append((t["feature"].to_numpy("int64"), t["threshold"].to_numpy("float64"),
-                       t["left"].to_numpy("int64"), t["right"].to_numpy("int64"),
-                       t["size"].to_numpy("float64"), t["depth"].to_numpy("float64")))
+    forest = _forest_arrays(nodes)
     model = IsolationForestModel(cols, forest, psi, 0.0, contamination)
     scored = model.score_samples(df).persist()
     (offset,) = exact_quantiles(scored, "_score", [contamination])

@@ -653,3 +653,42 @@ FROM sales
 def q_profit_totals(spark, d):
     out = profit.profit_totals(view(spark, d, "revenue", "cost"))
     return rnd(out, ["total_revenue", "total_profit"], ["avg_margin"])
+
+
+@query("row_lags", with_sales("""
+SELECT order_id, line_no, part_id, supplier_id,
+       round(lag(revenue, 1) OVER w, 4) AS revenue_lag_1,
+       round(lag(revenue, 7) OVER w, 4) AS revenue_lag_7,
+       round(CASE WHEN row_number() OVER w >= 7 THEN avg(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 4)
+         AS revenue_rolling_mean_7,
+       round(CASE WHEN row_number() OVER w >= 7 THEN stddev_samp(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 4)
+         AS revenue_rolling_std_7
+FROM sales
+WINDOW w AS (ORDER BY date, order_id, line_no, part_id, supplier_id, ship_date, revenue)
+"""))
+def q_row_lags(spark, d):
+    """Transaction-order lags and 7-row rolling mean / std over the whole
+    table, computed bucket by bucket (no single-task window)."""
+    from ..operators.ordered import row_lags
+    from ..sources.tables import ROW_ORDER
+    out = row_lags(view(spark, d, *ROW_ORDER), ROW_ORDER, "revenue", lags=(1, 7), window=7)
+    cols = ["revenue_lag_1", "revenue_lag_7", "revenue_rolling_mean_7", "revenue_rolling_std_7"]
+    return rnd(out.select("order_id", "line_no", "part_id", "supplier_id", *cols), [], cols)
+
+
+@query("map_values", with_sales("""
+, m AS (SELECT n.n_name AS region, r.r_name AS region_group FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT m.region_group, round(sum(s.revenue), 2) AS revenue, count(*) AS transactions
+FROM sales s LEFT JOIN m ON s.region = m.region GROUP BY m.region_group
+"""))
+def q_map_values(spark, d):
+    """Map each region to its region group through a value-map table (one
+    row per nation: the nation table's size is fixed by the schema)."""
+    from ..sources.tables import read_table
+    nation = read_table(spark, d, "nation")
+    region = read_table(spark, d, "region")
+    mapping = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]) \
+                    .select(F.col("n_name").alias("region"), F.col("r_name").alias("region_group"))
+    s = view(spark, d, "region", "revenue").join(F.broadcast(mapping), "region", "left")
+    out = s.groupBy("region_group").agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
+    return rnd(out, ["revenue"])

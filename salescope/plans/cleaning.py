@@ -290,3 +290,29 @@ def q_preprocess(spark, d):
     raw = raw_upload(spark, d, cols).withColumn("Tanggal", F.date_format("Tanggal", "dd/MM/yyyy"))
     order = ["date", "order_id", "product", "quantity", "revenue"]
     return conform.preprocess(raw, order=order)
+
+
+@query("drop_status_like", with_sales("""
+SELECT date, category, revenue FROM sales
+"""))
+def q_drop_status_like(spark, d):
+    """A product header holding order statuses is dropped (no proxies)."""
+    v = view(spark, d, "date", "category", "status", "revenue")
+    raw = v.select(F.col("date").alias("Tanggal"), F.col("status").alias("Nama Produk"),
+                   F.col("category").alias("Kategori"), F.col("revenue").alias("Grand Total"))
+    return conform.standardize_columns(raw, proxies=False)
+
+
+@query("resolve_column", with_sales("""
+SELECT region AS kota, round(sum(revenue), 2) AS revenue, count(revenue) AS transactions,
+       round(sum(quantity), 2) AS quantity,
+       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE region IS NOT NULL) * 100, 4) AS revenue_share_pct,
+       row_number() OVER (ORDER BY sum(revenue) DESC, region) AS rank
+FROM sales WHERE region IS NOT NULL GROUP BY region
+"""))
+def q_resolve_column(spark, d):
+    """Regional analysis on a table whose region column is named 'kota':
+    the dimension is found through its candidate list."""
+    from ..operators import dims
+    v = view(spark, d, "region", "revenue", "quantity").withColumnRenamed("region", "kota")
+    return rnd(dims.regional_analysis(v), ["revenue", "quantity"], ["revenue_share_pct"])

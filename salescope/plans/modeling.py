@@ -451,6 +451,7 @@ def q_train_all(spark, d):
     seg = segment.fit_segments(segment.product_stats(sales))
     seg.write().overwrite().save(f"{root}/segmenter")
     det = anomaly.fit_isolation_forest(sales)
+    det.save(f"{root}/detector")
     rows = [("forecaster", f"{root}/forecaster", fc.metrics.get("test_rmse")),
             ("segmenter", f"{root}/segmenter", float(len(seg.stages[-1].clusterCenters()))),
             ("detector", f"{root}/detector", det.offset)]

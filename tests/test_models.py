@@ -90,3 +90,13 @@ def test_isolation_forest_flags_contamination_share(sales):
     assert 0.03 <= share <= 0.07
     again = anomaly.isolation_forest(sales, contamination=0.05).toPandas()
     assert np.allclose(np.sort(out["anomaly_score"]), np.sort(again["anomaly_score"]))
+
+
+def test_isolation_forest_save_load(sales, tmp_path):
+    model = anomaly.fit_isolation_forest(sales, contamination=0.05)
+    path = str(tmp_path / "det")
+    model.save(path)
+    again = anomaly.IsolationForestModel.load(path)
+    a = model.transform(sales).select("anomaly_score").toPandas()["anomaly_score"].to_numpy()
+    b = again.transform(sales).select("anomaly_score").toPandas()["anomaly_score"].to_numpy()
+    assert np.allclose(np.sort(a), np.sort(b))
