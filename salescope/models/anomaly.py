@@ -101,6 +101,34 @@ def _grow(pdf: pd.DataFrame, n_features: int, max_depth: int, seed: int) -> pd.D
     return out
 
 
+def _stacked(forest: list):
+    """All trees as [tree, node] arrays; a leaf points to itself, and
+    ``leaf_len`` holds depth + c(size) of every leaf, so scoring descends a
+    fixed number of levels with no masking."""
+    width = max(len(t[0]) for t in forest)
+    n_trees = len(forest)
+    feat = np.zeros((n_trees, width), dtype="int64")
+    thr = np.zeros((n_trees, width))
+    left = np.tile(np.arange(width), (n_trees, 1))
+    right = left.copy()
+    leaf_len = np.zeros((n_trees, width))
+    depth_max = 0
+    for i, (f, t, lft, rgt, size, depth) in enumerate(forest):
+        m = len(f)
+        inner = f >= 0
+        feat[i, :m] = np.where(inner, f, 0)
+        thr[i, :m] = np.where(inner, t, np.inf)          # x <= inf: stay left (= self)
+        left[i, :m] = np.where(inner, lft, np.arange(m))
+        right[i, :m] = np.where(inner, rgt, np.arange(m))
+        leaf_len[i, :m] = depth + average_path_length(size)
+        depth_max = max(depth_max, int(depth.max()))
+    return feat, thr, left, right, leaf_len, depth_max
+
+
+def _stacked_width(forest: list) -> int:
+    return max(len(t[0]) for t in forest)
+
+
 def _forest_arrays(nodes: pd.DataFrame) -> list:
     forest = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
@@ -121,27 +149,31 @@ class IsolationForestModel:
 
     def score_samples(self, df: DataFrame) -> DataFrame:
         """``_score`` = −2^(−E[h(x)] / c(psi)) (higher = more normal)."""
-        forest, psi, k = self.forest, self.psi, len(self.cols)
+        forest, psi = self.forest, self.psi
         norm = float(average_path_length([psi])[0]) or 1.0
 
+        feat, thr, left, right, leaf_len, depth_max = (a.ravel() if hasattr(a, "ravel") else a
+                                                       for a in _stacked(forest))
+        n_trees, width, k = len(forest), _stacked_width(forest), len(self.cols)
+
         @F.pandas_udf(T.DoubleType())
         def score(*cols: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype="float64") for c in cols]) if k > 1 else \
-                cols[0].to_numpy(dtype="float64").reshape(-1, 1)
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feat, thr, left, right, size, depth in forest:
-                node = np.zeros(len(x), dtype="int64")
-                while True:
-                    f = feat[node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = x[rows[inner], f[inner]] <= thr[node[inner]]
-                    node[inner] = np.where(go_left, left[node[inner]], right[node[inner]])
-                total += depth[node] + average_path_length(size[node])
-            return pd.Series(-np.power(2.0, -(total / len(forest)) / norm))
-
+            x = np.column_stack([c.to_numpy(dtype="float64") for c in cols]).ravel()
+            n = len(cols[0])
+            base = (np.arange(n_trees) * width)[:, None]          # flat offset of every tree
+            rows = (np.arange(n) * k)[None, :]
+            node = np.broadcast_to(base, (n_trees, n)).copy()     # flat node ids, all at the root
+            for _ in range(depth_max):                            # leaves loop onto themselves
+                go_left = np.take(x, rows + np.take(feat, node)) <= np.take(thr, node)
+                node = base + np.where(go_left, np.take(left, node), np.take(right, node))
+            mean_len = np.take(leaf_len, node).mean(axis=0)
+            return pd.Series(-np.power(2.0, -mean_len / norm))
+
+        # the Python stage needs parallelism: a small input coalesced into a
+        # few partitions is spread over the cores (large inputs already are)
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par)
         feats = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.cols]
         return df.withColumn("_score", score(*feats))
 

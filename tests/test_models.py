@@ -100,3 +100,19 @@ def test_isolation_forest_save_load(sales, tmp_path):
     a = model.transform(sales).select("anomaly_score").toPandas()["anomaly_score"].to_numpy()
     b = again.transform(sales).select("anomaly_score").toPandas()["anomaly_score"].to_numpy()
     assert np.allclose(np.sort(a), np.sort(b))
+
+
+def test_forest_scores_match_plain_traversal(sales):
+    model = anomaly.fit_isolation_forest(sales, contamination=0.05)
+    pdf = model.score_samples(sales.limit(40)).toPandas()
+    norm = anomaly.average_path_length([model.psi])[0]
+    for _, r in pdf.iterrows():
+        x = [r["revenue"], r["quantity"]]
+        total = 0.0
+        for feat, thr, left, right, size, depth in model.forest:
+            node = 0
+            while feat[node] >= 0:
+                node = left[node] if x[feat[node]] <= thr[node] else right[node]
+            total += depth[node] + anomaly.average_path_length([size[node]])[0]
+        expected = -2.0 ** (-(total / len(model.forest)) / norm)
+        assert r["_score"] == pytest.approx(expected, rel=1e-12)
