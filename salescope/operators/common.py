@@ -47,10 +47,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock value — the
+    same in every session time zone (no daylight-saving gaps)."""
+    day = F.unix_date(F.to_date(ts)).cast("long")
+    secs = F.hour(ts) * 3600 + F.minute(ts) * 60
+    frac = F.date_part(F.lit("SECOND"), ts).cast("decimal(10,6)") * 1_000_000
+    return day * F.lit(86_400_000_000) + secs.cast("long") * F.lit(1_000_000) + frac.cast("long")
+
+
 def days_between(start: Column, end: Column) -> Column:
     """Whole days from ``start`` to ``end`` (pandas ``Timedelta.days``)."""
-    secs = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.floor(secs / F.lit(86_400_000_000)).cast("long")
+    return F.floor((wall_micros(end) - wall_micros(start)) / F.lit(86_400_000_000)).cast("long")
 
 
 def period_start(date: Column, freq: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fixed import NON_SALESPERSON_NAMES, TARGET_UPLIFT
-from .common import has, pct, period_start, require, to_numeric
+from .common import has, pct, period_start, require, to_numeric, wall_micros
 from .ordered import running_sum
 
 
@@ -121,7 +121,7 @@ def slow_moving(df: DataFrame, n: int = 15) -> DataFrame:
 def mid_date(df: DataFrame):
     """Scalar subquery: min + (max − min) / 2 in epoch microseconds (the mid
     point may fall mid-day)."""
-    lo, hi = F.unix_micros(F.min("date").cast("timestamp")), F.unix_micros(F.max("date").cast("timestamp"))
+    lo, hi = wall_micros(F.min("date")), wall_micros(F.max("date"))
     return df.agg((lo + F.floor((hi - lo) / 2))).scalar()
 
 
@@ -132,7 +132,7 @@ def period_half_compare(df: DataFrame, dim: str, salesperson: bool = False, top:
     between the halves."""
     require(df, "date", "revenue", dim)
     mid = mid_date(df)
-    us = F.unix_micros(F.col("date").cast("timestamp"))
+    us = wall_micros(F.col("date"))
     x = df.where(F.col(dim).isNotNull() & F.col("date").isNotNull())
     cur = us > mid
     out = x.groupBy(dim).agg(
