@@ -95,9 +95,9 @@ def pareto(df: DataFrame, share: float = 80.0) -> DataFrame:
     require(df, "product", "revenue")
     prod = (df.where(F.col("product").isNotNull()).groupBy("product")
               .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")))
-    total = prod.agg(F.sum("revenue")).scalar()          # scalar subquery, computed once
-    ranked = running_sum(prod, [F.col("revenue").desc(), F.col("product").asc()], "revenue", "cumsum", "rank")
-    out = ranked.withColumn("cumpct", pct(F.col("cumsum"), total))
+    ranked = running_sum(prod, [F.col("revenue").desc(), F.col("product").asc()], "revenue", "cumsum", "rank",
+                         total="_total")   # the grand total comes from the bucket summaries
+    out = ranked.withColumn("cumpct", pct(F.col("cumsum"), F.col("_total"))).drop("_total")
     return out.withColumn("in_top", F.col("cumpct") <= F.lit(share))
 
 
@@ -113,9 +113,10 @@ def slow_moving(df: DataFrame, n: int = 15) -> DataFrame:
     require(df, "product", "revenue")
     prod = (df.where(F.col("product").isNotNull()).groupBy("product")
               .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")))
-    total = prod.agg(F.sum("revenue")).scalar()
+    # total over the product aggregate (a window, not a second scan of the transactions)
+    prod = prod.withColumn("_total", F.sum("revenue").over(Window.partitionBy()))
     low = prod.orderBy(F.col("revenue").asc(), F.col("product").desc()).limit(n)
-    return low.withColumn("share", pct(F.col("revenue"), total))
+    return low.withColumn("share", pct(F.col("revenue"), F.col("_total"))).drop("_total")
 
 
 def mid_date(df: DataFrame):

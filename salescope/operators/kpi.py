@@ -52,6 +52,11 @@ def monthly_totals(df: DataFrame) -> DataFrame:
         aggs.append(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"))
     if has(df, "is_successful_transaction"):
         aggs.append(F.count_if(F.col("is_successful_transaction")).alias("ok_rows"))
+    elif has(df, "status", "revenue"):
+        # success words per row; the "nothing matches anywhere → all
+        # successful" rule is applied on the totals (no second scan)
+        from .conform import success_match
+        aggs.append(F.count_if(success_match(F.col("status"))).alias("hit_rows"))
     cost = next((c for c in DIMENSION_CANDIDATES["cost"] if c in df.columns), None)
     if cost:
         aggs.append(F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"))
@@ -59,7 +64,9 @@ def monthly_totals(df: DataFrame) -> DataFrame:
 
 
 def kpi_board(df: DataFrame, margin_pct: float = DEFAULT_MARGIN_PCT) -> DataFrame:
-    """Dashboard board: revenue, quantity, successful transactions, AOV over
+    """Dashboard board: revenue, quantity, successful transactions (from
+    ``is_successful_transaction``, or derived from ``status`` in the same
+    pass), AOV over
     successful ones, gross profit (cost column or flat margin), margin, MoM
     (needs two months) and YoY (needs thirteen).
 
@@ -71,12 +78,15 @@ def kpi_board(df: DataFrame, margin_pct: float = DEFAULT_MARGIN_PCT) -> DataFram
     m = m.withColumn("_rn", F.when(F.col("month").isNotNull(), F.row_number().over(w)))
     has_cost = "cost" in m.columns
     has_ok = "ok_rows" in m.columns
+    has_hits = "hit_rows" in m.columns
     has_qty = "quantity" in m.columns
     board = m.agg(
         F.sum("revenue").alias("total_revenue"),
         (F.sum("quantity") if has_qty else F.lit(0.0)).alias("total_quantity"),
         F.sum("rows").alias("total_transactions"),
-        (F.sum("ok_rows") if has_ok else F.sum("rows")).alias("successful_transactions"),
+        (F.sum("ok_rows") if has_ok else
+         F.when(F.sum("hit_rows") > 0, F.sum("hit_rows")).otherwise(F.sum("rows")) if has_hits else
+         F.sum("rows")).alias("successful_transactions"),
         (F.sum("cost") if has_cost else F.lit(None).cast("double")).alias("_cost"),
         F.count("_rn").alias("_months"),
         F.sum(F.when(F.col("_rn") == 1, F.col("revenue"))).alias("_m1"),

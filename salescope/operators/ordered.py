@@ -199,9 +199,10 @@ def _parse(text, dtype):
 # ---------------------------------------------------------------------------
 
 def running_sum(df: DataFrame, order: list, value: str, out: str,
-                rank: str | None = None) -> DataFrame:
-    """Add the running sum of ``value`` (and optionally the 1-based row rank)
-    in ``order`` — ``SUM() OVER (ORDER BY … ROWS UNBOUNDED PRECEDING)``."""
+                rank: str | None = None, total: str | None = None) -> DataFrame:
+    """Add the running sum of ``value`` (and optionally the 1-based row rank
+    and the grand total) in ``order`` —
+    ``SUM() OVER (ORDER BY … ROWS UNBOUNDED PRECEDING)``."""
     staged = stage_ordered(df, order)
 
     def total_of_bucket(it):
@@ -227,6 +228,7 @@ def running_sum(df: DataFrame, order: list, value: str, out: str,
     if rank:
         fields.append(T.StructField(rank, T.LongType()))
     schema = T.StructType(fields)
+    grand_total = acc_s
 
     def finish(it):
         state = None
@@ -243,7 +245,10 @@ def running_sum(df: DataFrame, order: list, value: str, out: str,
             state = (n0 + len(pdf), float(cs.iloc[-1]))
             yield pdf
 
-    return staged.mapInPandas(finish, schema).drop(BUCKET)
+    result = staged.mapInPandas(finish, schema).drop(BUCKET)
+    if total:
+        result = result.withColumn(total, F.lit(float(grand_total)))
+    return result
 
 
 # ---------------------------------------------------------------------------

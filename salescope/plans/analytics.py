@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import customers, dims, growth, kpi, profit
-from ..operators.conform import status_flag
 from .registry import query, rnd, view, with_sales
 
 # ---------------------------------------------------------------------------
@@ -65,8 +64,8 @@ SELECT round(rev, 2) AS total_revenue, round(qty, 2) AS total_quantity, n AS tot
 FROM b
 """))
 def q_kpi_board(spark, d):
-    s = status_flag(view(spark, d, "date", "revenue", "quantity", "cost", "status"))
-    out = kpi.kpi_board(s)
+    # the success flag is derived inside the board's single aggregate pass
+    out = kpi.kpi_board(view(spark, d, "date", "revenue", "quantity", "cost", "status"))
     return rnd(out, ["total_revenue", "total_quantity", "gross_profit"],
                ["avg_order_value", "margin_pct", "mom_pct", "yoy_pct"])
 
