@@ -149,13 +149,16 @@ def _fit_one(model_type: str, train: DataFrame, **params):
 
 def _fit_model(model_type: str, train: DataFrame, tuning: bool = False):
     if model_type == "ensemble":
-        rf = _fit_one("random_forest", train, minInstancesPerNode=1)
-        gb = _fit_one("gradient_boosting", train, maxDepth=3, subsamplingRate=1.0)
-        return _Averaged([rf, gb])
+        members = [("random_forest", dict(minInstancesPerNode=1)),
+                   ("gradient_boosting", dict(maxDepth=3, subsamplingRate=1.0))]
+        return _Averaged(_fit_concurrently([(mt, train, p) for mt, p in members]))
     if model_type == "stacking":
         return _fit_stacking(train)
     if tuning and model_type == "random_forest":
-        return _fit_one("random_forest", train, **tune_random_forest(train))
+        best = tune_random_forest(train)
+        model = _fit_one("random_forest", train, **best)
+        model._salescope_best = best
+        return model
     return _fit_one(model_type, train)
 
 
@@ -167,19 +170,27 @@ def _fit_stacking(train: DataFrame):
     t = train.withColumn("_fold", fold)
     bases = [("random_forest", dict(numTrees=100, minInstancesPerNode=1)),
              ("gradient_boosting", dict(maxIter=100, stepSize=0.1, maxDepth=3, subsamplingRate=1.0))]
+    # the 3 × 2 fold fits and the 2 full fits are independent: concurrent jobs
+    jobs = [(mt, t.where(F.col("_fold") != k), p) for k in range(3) for mt, p in bases]
+    jobs += [(mt, train, p) for mt, p in bases]
+    fitted = _fit_concurrently(jobs)
     oof = None
     for k in range(3):
-        fit_rows, hold = t.where(F.col("_fold") != k), t.where(F.col("_fold") == k)
-        part = hold.select("_rn", "revenue", "features")
-        for i, (mt, p) in enumerate(bases):
-            m = _fit_one(mt, fit_rows, **p)
-            part = m.transform(part).withColumnRenamed("prediction", f"_b{i}")
+        part = t.where(F.col("_fold") == k).select("_rn", "revenue", "features")
+        for i in range(len(bases)):
+            part = fitted[k * len(bases) + i].transform(part).withColumnRenamed("prediction", f"_b{i}")
         part = part.drop("features")
         oof = part if oof is None else oof.unionByName(part)
     meta = VectorAssembler(inputCols=[f"_b{i}" for i in range(len(bases))], outputCol="features").transform(oof)
     final = _fit_one("ridge", meta)
-    full = [_fit_one(mt, train, **p) for mt, p in bases]
-    return _Stacked(full, final)
+    return _Stacked(fitted[-len(bases):], final)
+
+
+def _fit_concurrently(jobs: list, parallelism: int = 8) -> list:
+    """Fit independent models as concurrent Spark jobs (what CrossValidator's
+    ``parallelism`` does); results keep the order of ``jobs``."""
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as pool:
+        return list(pool.map(lambda j: _fit_one(j[0], j[1], **j[2]), jobs))
 
 
 def tune_random_forest(train: DataFrame, grid: dict | None = None, parallelism: int = 8) -> dict:

@@ -131,12 +131,8 @@ for _mt in ["linear", "ridge", "lasso", "random_forest", "gradient_boosting", "x
 def q_fc_tuning(spark, d):
     """Random-forest grid search on expanding time folds; the chosen
     parameters and the test metrics of the refitted model."""
-    daily = _daily(spark, d)
-    split = forecast.split_train_test(daily, 0.2).cache()
-    stats = forecast.fit_scaler(split.where(F.col("split") == "train"), DAILY_FEATURES)
-    train = forecast.apply_scaler(split.where(F.col("split") == "train"), stats, DAILY_FEATURES)
-    best = forecast.tune_random_forest(train)
-    fc, scored = _fit(spark, d, "random_forest", tuning=True)
+    fc, _ = _fit(spark, d, "random_forest", tuning=True)
+    best = fc.model._salescope_best
     return spark.createDataFrame([(best["numTrees"], best["maxDepth"], best["minInstancesPerNode"],
                                    fc.metrics.get("test_rmse"), fc.metrics.get("test_r2"))],
                                  "num_trees int, max_depth int, min_instances_per_node int, test_rmse double, test_r2 double")
@@ -293,15 +289,19 @@ def q_model_compare(spark, d):
     models = ["linear", "ridge", "gradient_boosting", "random_forest", "extra_trees"]
     if n_rows >= 200:
         models += ["ensemble", "stacking"]
-    rows = []
-    for mt in models:
+    def fit(mt):
         try:
             fc, _ = forecast.fit_forecaster(sales, mt)
             m = fc.metrics
-            rows.append((mt, m.get("train_mae"), m.get("train_rmse"), m.get("train_r2"), m.get("train_mape"),
-                         m.get("test_mae"), m.get("test_rmse"), m.get("test_r2"), m.get("test_mape"), None))
+            return (mt, m.get("train_mae"), m.get("train_rmse"), m.get("train_r2"), m.get("train_mape"),
+                    m.get("test_mae"), m.get("test_rmse"), m.get("test_r2"), m.get("test_mape"), None)
         except ValueError as e:
-            rows.append((mt, None, None, None, None, None, None, None, None, str(e)))
+            return (mt, None, None, None, None, None, None, None, None, str(e))
+
+    # independent fits run as concurrent Spark jobs
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(fit, models))
     schema = ("model string, train_mae double, train_rmse double, train_r2 double, train_mape double, "
               "test_mae double, test_rmse double, test_r2 double, test_mape double, error string")
     out = spark.createDataFrame(rows, schema)
