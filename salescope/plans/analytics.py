@@ -691,3 +691,46 @@ def q_map_values(spark, d):
     s = view(spark, d, "region", "revenue").join(F.broadcast(mapping), "region", "left")
     out = s.groupBy("region_group").agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
     return rnd(out, ["revenue"])
+
+
+@query("growth_dim_extremes", with_sales("""
+, g AS (SELECT date_trunc('month', date) AS period, product, sum(revenue) AS revenue FROM sales
+        WHERE date IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2)
+, t AS (SELECT product FROM g GROUP BY product ORDER BY sum(revenue) DESC, product LIMIT 10)
+, p AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS rk FROM (SELECT DISTINCT period FROM g))
+, c AS (SELECT g.product, sum(CASE WHEN rk = 1 THEN revenue END) AS curr, sum(CASE WHEN rk = 2 THEN revenue END) AS prev
+        FROM g JOIN p ON g.period = p.period WHERE rk <= 2 GROUP BY g.product)
+, o AS (SELECT t.product, coalesce(c.curr, 0) AS curr, coalesce(c.prev, 0) AS prev FROM t LEFT JOIN c ON t.product = c.product)
+, gr AS (SELECT product, curr, CASE WHEN prev > 0 THEN (curr - prev) / prev * 100 WHEN curr > 0 THEN 100.0 ELSE 0.0 END AS growth_pct FROM o)
+, best AS (SELECT 'fastest' AS side, * FROM gr ORDER BY growth_pct DESC, product LIMIT 5)
+, worst AS (SELECT 'declining' AS side, * FROM gr ORDER BY growth_pct ASC, product LIMIT 5)
+SELECT side, product, round(curr, 2) AS curr, round(growth_pct, 4) AS growth_pct FROM (SELECT * FROM best UNION ALL SELECT * FROM worst)
+"""))
+def q_growth_dim_extremes(spark, d):
+    """The 5 fastest-growing and 5 most-declining of the top-10 products
+    (last month vs the month before)."""
+    g = growth.growth_dim(view(spark, d, "date", "product", "revenue"), "product", "M", 10)
+    best = g.orderBy(F.col("growth_pct").desc(), F.col("product")).limit(5).withColumn("side", F.lit("fastest"))
+    worst = g.orderBy(F.col("growth_pct").asc(), F.col("product")).limit(5).withColumn("side", F.lit("declining"))
+    out = best.unionByName(worst).select("side", "product", "curr", "growth_pct")
+    return rnd(out, ["curr"], ["growth_pct"])
+
+
+@query("top_customers_frequency", with_sales(_RFM_BASE_SQL + """
+SELECT customer, recency, frequency, round(monetary, 2) AS monetary, round(monetary / frequency, 4) AS avg_order
+FROM base ORDER BY frequency DESC, customer LIMIT 15
+"""))
+def q_top_customers_freq(spark, d):
+    """The 15 most frequent (repeat) customers."""
+    base = customers.rfm_base(view(spark, d, "date", "customer", "revenue"))
+    return rnd(customers.top_customers(base, "frequency", 15), ["monetary"], ["avg_order"])
+
+
+@query("status_counts", with_sales("""
+SELECT status, count(*) AS transactions, 0.0 AS total_revenue,
+       round(count(*) * 100.0 / (SELECT count(*) FROM sales WHERE status IS NOT NULL), 4) AS pct_transactions
+FROM sales WHERE status IS NOT NULL GROUP BY status
+"""))
+def q_status_counts(spark, d):
+    """The count-only status breakdown of a table without revenue."""
+    return rnd(dims.status_breakdown(view(spark, d, "status")), [], ["pct_transactions"])
