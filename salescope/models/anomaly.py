@@ -242,7 +242,9 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees:
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # ≤ n_trees × 2 psi rows
     forest = _forest_arrays(nodes)
     model = IsolationForestModel(cols, forest, psi, 0.0, contamination)
-    scored = model.score_samples(df).persist()
+    # exact_quantiles keeps only the score column for the length of its own
+    # rounds; nothing table-sized stays cached after the fit
+    scored = model.score_samples(df)
     (offset,) = exact_quantiles(scored, "_score", [contamination])
     model.offset = float(offset)
     return (model, scored) if return_scored else model
