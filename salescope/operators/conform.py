@@ -274,7 +274,8 @@ def status_flag(df: DataFrame) -> DataFrame:
     if not has(df, "status", "revenue"):
         return df.withColumn("is_successful_transaction", F.lit(True))
     hit = success_match(F.col("status"))
-    any_hit = df.agg(F.max(hit.cast("int"))).scalar()      # scalar subquery
+    # scalar subquery; the regex runs on the distinct statuses only
+    any_hit = df.select("status").distinct().agg(F.max(hit.cast("int"))).scalar()
     return df.withColumn("is_successful_transaction",
                          F.when(F.coalesce(any_hit, F.lit(0)) == 1, hit).otherwise(F.lit(True)))
 
