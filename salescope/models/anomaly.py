@@ -242,9 +242,15 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees:
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # ≤ n_trees × 2 psi rows
     forest = _forest_arrays(nodes)
     model = IsolationForestModel(cols, forest, psi, 0.0, contamination)
-    # exact_quantiles keeps only the score column for the length of its own
-    # rounds; nothing table-sized stays cached after the fit
+    # flagging the fitted rows too: the scored table is written once to the
+    # checkpoint folder and read twice (threshold, flags) — no second scoring
+    # pass, nothing held in memory.  A plain fit keeps only the score column
+    # for the length of the quantile rounds.
     scored = model.score_samples(df)
+    if return_scored:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        scored = scored.checkpoint(eager=True)
     (offset,) = exact_quantiles(scored, "_score", [contamination])
     model.offset = float(offset)
     return (model, scored) if return_scored else model
