@@ -206,22 +206,30 @@ def fill_missing(df: DataFrame, strategy: dict[str, str] | None = None,
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     fills: dict[str, object] = {}
     ffill_cols: list[str] = []
-    for c, s in present.items():
-        if not null_counts[c]:
-            continue
-        if s == "mean" and c in numeric:
-            fills[c] = df.agg(F.avg(c)).first()[0]
-        elif s == "median" and c in numeric:
-            fills[c] = exact_quantiles(df, c, [0.5])[0]
-        elif s == "mode":
-            m = column_mode(df, c)
-            fills[c] = "Unknown" if m is None else m
-        elif s == "drop":
-            df = df.where(F.col(c).isNotNull())
-        elif s == "zero":
-            fills[c] = 0
-        elif s == "ffill":
-            ffill_cols.append(c)
+    stat_cols = [c for c, s in present.items() if null_counts[c] and s in ("mean", "median", "mode")]
+    # the statistics read only these columns: computed once from the source
+    # plan, kept (memory, then disk) for the few statistic jobs, then released
+    base = df.select(*stat_cols).persist() if stat_cols else None
+    try:
+        for c, s in present.items():
+            if not null_counts[c]:
+                continue
+            if s == "mean" and c in numeric:
+                fills[c] = base.agg(F.avg(c)).first()[0]
+            elif s == "median" and c in numeric:
+                fills[c] = exact_quantiles(base, c, [0.5])[0]
+            elif s == "mode":
+                m = column_mode(base, c)
+                fills[c] = "Unknown" if m is None else m
+            elif s == "drop":
+                df = df.where(F.col(c).isNotNull())
+            elif s == "zero":
+                fills[c] = 0
+            elif s == "ffill":
+                ffill_cols.append(c)
+    finally:
+        if base is not None:
+            base.unpersist()
     if fills:
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(types[c]) if v is not None else F.col(c))
                              for c, v in fills.items()})
