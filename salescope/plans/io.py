@@ -78,7 +78,30 @@ def q_write_processed(spark, d):
     return rnd(out.withColumn("year_month", F.col("year_month").cast("string")), ["revenue"])
 
 
-@query("write_csv_bundle")
+_BUNDLE_SQL = with_sales("""
+, pm AS (SELECT date_trunc('month', date) AS month, product, sum(revenue) AS revenue FROM sales
+         WHERE date IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2)
+, l AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY month DESC) AS rn FROM pm)
+, l3 AS (SELECT *, lead(revenue) OVER (PARTITION BY product ORDER BY rn) AS older FROM l WHERE rn <= 3)
+, dec AS (SELECT product FROM l3 GROUP BY product
+          HAVING count(*) >= 3 AND count_if(older IS NOT NULL AND revenue > older) = 0)
+, counts AS (
+  SELECT 'kpis' AS name, 1 AS rows
+  UNION ALL SELECT 'monthly_growth', count(DISTINCT date_trunc('month', date)) FROM sales WHERE date IS NOT NULL
+  UNION ALL SELECT 'category_analysis', count(DISTINCT category) FROM sales
+  UNION ALL SELECT 'declining_products', count(*) FROM dec
+  UNION ALL SELECT 'top_products', least(30, count(DISTINCT product)) FROM sales
+  UNION ALL SELECT 'salesperson_performance', count(DISTINCT salesperson) FROM sales
+  UNION ALL SELECT 'regional_analysis', count(DISTINCT region) FROM sales
+  UNION ALL SELECT 'store_analysis', count(DISTINCT store) FROM sales
+  UNION ALL SELECT 'channel_analysis', count(DISTINCT channel) FROM sales
+  UNION ALL SELECT 'customer_rfm', count(DISTINCT customer) FROM sales
+  UNION ALL SELECT 'profitability', count(DISTINCT product) FROM sales)
+SELECT CAST(rows AS BIGINT) AS rows, name FROM counts WHERE rows > 0
+""")
+
+
+@query("write_csv_bundle", _BUNDLE_SQL)
 def q_write_bundle(spark, d):
     """Every analysis of the report bundle written as CSV and read back:
     one row per written result with its row count."""
