@@ -456,3 +456,26 @@ def q_train_all(spark, d):
             ("segmenter", f"{root}/segmenter", float(len(seg.stages[-1].clusterCenters()))),
             ("detector", f"{root}/detector", det.offset)]
     return spark.createDataFrame(rows, "artefact string, path string, value double")
+
+
+@query("model_save")
+def q_model_save(spark, d):
+    """Fit and persist a forecaster; one row per saved model part."""
+    fc, _ = _fit(spark, d, "linear")
+    path = scratch_path(spark, f"forecaster-{uuid.uuid4().hex[:12]}")
+    fc.save(path)
+    meta = spark.read.text(f"{path}/meta").first()["value"]
+    import json
+    parts = json.loads(meta)["parts"]
+    return spark.createDataFrame([(f"part{i}", kind, path) for kind, i in parts] + [("meta", "json", path)],
+                                 "part string, kind string, path string")
+
+
+@query("model_load")
+def q_model_load(spark, d):
+    """Load a persisted forecaster and predict the day table with it."""
+    fc, _ = _fit(spark, d, "linear")
+    path = scratch_path(spark, f"forecaster-{uuid.uuid4().hex[:12]}")
+    fc.save(path)
+    loaded = forecast.Forecaster.load(path)
+    return loaded.transform(_daily(spark, d)).select("date", "revenue", "prediction")
