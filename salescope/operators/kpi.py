@@ -16,8 +16,12 @@ from .common import days_between, has, pct, period_start
 from .ordered import exact_quantiles
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """One row: totals, means, median revenue, distinct counts, date span."""
+def kpis(df: DataFrame, revenue_source: DataFrame | None = None) -> DataFrame:
+    """One row: totals, means, median revenue, distinct counts, date span.
+
+    ``revenue_source`` may give the same revenue values from a narrower plan
+    (e.g. the fact table alone when every lookup join keeps the row count);
+    the exact median then reads only that plan."""
     aggs = []
     if has(df, "revenue"):
         aggs += [F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("total_revenue"),
@@ -39,7 +43,7 @@ def kpis(df: DataFrame) -> DataFrame:
         total = F.col("total_revenue") if has(df, "revenue") else F.lit(0.0)
         out = out.withColumn("avg_daily_revenue", total / F.greatest(F.col("date_range_days"), F.lit(1)))
     if has(df, "revenue"):
-        (median,) = exact_quantiles(df, "revenue", [0.5])
+        (median,) = exact_quantiles(revenue_source if revenue_source is not None else df, "revenue", [0.5])
         out = out.withColumn("median_revenue", F.lit(median).cast("double"))
     return out
 
