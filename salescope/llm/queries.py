@@ -53,3 +53,34 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and pre-tokens of every document."""
     from .token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones outside the
+    held-out fifth."""
+    from . import toxicity
+    from .sampling import remainder
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.training_rows(docs, labels, remainder("doc_id", 5) != 0))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "window_score", "hits")
+
+
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in the mix of sources to target weights."""
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    from . import langid
+    from .sampling import remainder
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder("doc_id", 4) != 2)
+    return langid.identify(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_grams")
