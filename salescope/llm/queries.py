@@ -84,3 +84,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, remainder("doc_id", 4) != 2)
     return langid.identify(docs, model, keep=["doc_id"]).select(
         "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_grams")
+
+
+@query("op5_minhash")
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, on runs of four words."""
+    from .superminhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line of the table."""
+    from .line_dedup import line_report
+    return line_report(table(spark, sf_dir, "documents"))

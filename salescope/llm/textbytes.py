@@ -158,3 +158,25 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned hashes as Spark longs."""
     return x.view(np.int64)
+
+
+class SequenceHash:
+    """Hashes of runs of consecutive items, given the items' own hashes."""
+
+    def __init__(self, items: np.ndarray):
+        self.up, self.down = _powers(len(items) + 2)
+        self.sums = np.zeros(len(items) + 1, dtype=U64)
+        np.cumsum(items * self.up[:len(items)], out=self.sums[1:])
+
+    @staticmethod
+    def _end(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return mix(h + n.astype(U64) * U64(0xA0761D6478BD642F))
+
+    def run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the items a .. b - 1, wherever they stand."""
+        return self._end((self.sums[b] - self.sums[a]) * self.down[a], b - a)
+
+    def without(self, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Hash of the items a .. b - 1 but the one at ``i``."""
+        return self._end((self.sums[i] - self.sums[a]) * self.down[a]
+                         + (self.sums[b] - self.sums[i + 1]) * self.down[a + 1], b - a - 1)
