@@ -98,3 +98,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line of the table."""
     from .line_dedup import line_report
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings."""
+    from .embedding_dedup import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product for every twentieth embedding."""
+    from .hilbert_search import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -398,3 +398,19 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: lis
         return fn
 
     return map_text(df, text_col, FIELDS, make, keep)
+
+
+def keep_clean(df: DataFrame, model: ToxicityModel, text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
+    """``df`` without the documents that score ``reject_from`` or more."""
+    def make():
+        scan = Scanner(model.entries)
+
+        def fn(texts: pa.Array) -> list[pa.Array]:
+            x = np.zeros((len(texts), 3))
+            for lo, hi, data, off, _ in tb.chunks(texts):
+                x[lo:hi] = evidence(hi - lo, *scan.hits(data, off), model.weight)
+            return [pa.array(model.score(x))]
+        return fn
+
+    scored = map_text(df, text_col, T.StructType([T.StructField("__llm_score", T.DoubleType())]), make)
+    return scored.filter(F.col("__llm_score") < reject_from).drop("__llm_score")
