@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle as sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,7 +31,7 @@ def _joined(labels) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-@query("op1_license_scan")
+@query("op1_license_scan", sql.license_scan())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document."""
     from .license_scan import license_scan
@@ -86,21 +88,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_grams")
 
 
-@query("op5_minhash")
+@query("op5_minhash", sql.MINHASH)
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents, on runs of four words."""
     from .superminhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-@query("op9_line_dedup")
+@query("op9_line_dedup", sql.LINE_DEDUP)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line of the table."""
     from .line_dedup import line_report
-    return line_report(table(spark, sf_dir, "documents"))
+    one = lambda x: F.concat_ws(":", x["line"], x["of_id"], x["of_line"], x["edits"])
+    return line_report(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.array_join(F.transform("dropped", one), ",").alias("dropped"))
 
 
-@query("op6_embedding_dedup")
+@query("op6_embedding_dedup", sql.EMBEDDING_DEDUP)
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all embeddings."""
     from .embedding_dedup import near_vectors
