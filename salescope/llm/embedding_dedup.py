@@ -107,13 +107,13 @@ def _local(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _group(key: np.uint64, side: np.ndarray, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarray,
+def _group(key: np.uint64, across: bool, side: np.ndarray, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarray,
            cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(member, links, least member linked) of one group; ids are sorted."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = unit @ unit.T >= cosine
     np.fill_diagonal(linked, False)
-    if side.any():  # two blocks of one bucket: only pairs across
+    if across:  # two blocks of one bucket: only pairs across
         linked &= side[:, None] != side[None, :]
     i, _ = np.nonzero(linked)
     if len(i) == 0:
@@ -142,9 +142,9 @@ def _linked(rows: DataFrame, k: int, cosine: float) -> DataFrame:
                            T.StructField("low", rows.schema["id"].dataType)])
 
     def flush(parts):
-        key, _, _, side, ids, weight, x, keys = (np.concatenate(p) for p in zip(*parts))
+        key, bi, bj, side, ids, weight, x, keys = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(ids, kind="stable")
-        own, links, low = _group(key[0], side[order], ids[order], weight[order], x[order], keys[order], cosine)
+        own, links, low = _group(key[0], bi[0] != bj[0], side[order], ids[order], weight[order], x[order], keys[order], cosine)
         ids = ids[order]
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links), pa.array(ids[low])], names=schema.names)
 

@@ -87,7 +87,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 inner |= gap[k:k + m]
         ok = np.flatnonzero(~inner & ~(gap[:m] & gap[n - 1:n - 1 + m]) if n == 2 else ~inner)
         codes.append(code[ok] | np.uint64(n << 32))
-        where.append(new_row[ok + 1])
+        where.append(new_row[ok + gap[ok]])  # of its first letter
     if not codes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(codes), np.concatenate(where)

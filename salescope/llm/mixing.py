@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from . import textbytes as tb
 from .tables import materialize
-from .textmap import col, map_text, without
+from .textmap import col, map_text
 
 BLOCK = 128
 MOST = 3
@@ -52,11 +52,11 @@ SHARD_SLOTS = 1 << 20
 BROADCAST_SOURCES = 100_000
 SEED = 20
 
-SIZE = T.StructType([T.StructField("size", T.LongType()), T.StructField("__llm_hash", T.LongType())])
+SIZE = T.StructType([T.StructField("__llm_size", T.LongType()), T.StructField("__llm_hash", T.LongType())])
 
 
 def word_sizes(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Appends ``size`` (words ``[^\\x20\\x09-\\x0D]+``) and a hash of the text."""
+    """Appends the number of words ``[^\\x20\\x09-\\x0D]+`` and a hash of the text."""
     def make():
         def fn(texts: pa.Array) -> list[pa.Array]:
             n = len(texts)
@@ -220,7 +220,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         weights=WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """Per row of ``df``: id, ``size``, ``source_size``, ``target`` and
     ``taken`` (words of the row in the mix, repeats counted)."""
-    sized = materialize(word_sizes(df, text_col, [id_col, source_col]), "mix-sizes")
+    sized = materialize(word_sizes(df, text_col, [id_col, source_col])
+                        .withColumnRenamed("__llm_size", "size"), "mix-sizes")
     rows, sources = _placed(sized, source_col, id_col, weights, most)
     pieces = _pieces(rows.select("sid", "bucket", "pos", col(id_col).alias("id"), "size", "source_size", "target", "off"), block)
     # a block without a slot has no words (least() would pass over the null)
@@ -240,9 +241,9 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words taken in that epoch; parts that do not follow each other are on lines
     of their own.  ``length_col`` (if given) becomes the new text's length."""
     keys = ["__llm_id", "__llm_source", "__llm_hash"]
-    sized = materialize(
-        word_sizes(df.select(col(id_col).alias("__llm_id"), col(source_col).alias("__llm_source"), col(text_col).alias("__llm_t")),
-                   "__llm_t", ["__llm_id", "__llm_source"]).dropDuplicates(keys).filter("size > 0"), "mix-sizes")
+    slim = df.select(col(id_col).alias("__llm_id"), col(source_col).alias("__llm_source"), col(text_col).alias("__llm_t"))
+    sized = materialize(word_sizes(slim, "__llm_t", ["__llm_id", "__llm_source"]).withColumnRenamed("__llm_size", "size")
+                        .filter("size > 0").dropDuplicates(keys), "mix-sizes")
     rows, sources = _placed(sized, "__llm_source", "__llm_id", weights, most)
     pieces = _pieces(rows.select(*keys, "sid", "off", "size"), block)
     n = F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")
@@ -251,17 +252,14 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .groupBy(*keys, "size", "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__llm_parts"))  # a document's own blocks
              .withColumnRenamed("size", "__llm_size"))
-    hashed = word_sizes(df, text_col, without(df, ["size", "__llm_hash"]) if "size" in [c.lower() for c in df.columns]
-                        else df.columns)
-    own = df.columns
-    on = [col(id_col).eqNullSafe(parts["__llm_id"]), col(source_col).eqNullSafe(parts["__llm_source"]),
-          hashed["__llm_hash"] == parts["__llm_hash"]]
-    joined = hashed.drop("size").join(parts, on[0] & on[1] & on[2]).select(*[col(c) for c in own if c in hashed.columns],
-                                                                           "__llm_parts", "__llm_size")
+    hashed = word_sizes(df, text_col, df.columns).drop("__llm_size").withColumnRenamed("__llm_hash", "__llm_own_hash")
+    same = (col(id_col).eqNullSafe(F.col("__llm_id")) & col(source_col).eqNullSafe(F.col("__llm_source"))
+            & (F.col("__llm_own_hash") == F.col("__llm_hash")))
+    joined = hashed.join(parts, same).select(*[col(c) for c in df.columns], "__llm_parts", "__llm_size")
     out = _excerpts(joined, text_col)
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
-    return out.select(*[col(c) for c in own if c in out.columns])
+    return out.select(*[col(c) for c in df.columns])
 
 
 def _excerpts(joined: DataFrame, text_col: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .pieces import HashIndex, PieceTable, escape, number_spans, pretokens, with_prefix
+from .pieces import LITERAL, HashIndex, PieceTable, escape, number_spans, pretokens, with_prefix
 from .textmap import map_text
 
 MAX_NODES = 400_000
@@ -88,9 +88,10 @@ class CountTrie:
             self.clear()
         path, node, child = [0], 0, self.child
         for i, c in enumerate(text):
-            nxt = child[node].get(c)
+            key = c if c != LITERAL else c + original[i]
+            nxt = child[node].get(key)
             if nxt is None:
-                nxt = child[node][c] = self._grow(c, original[i], path)
+                nxt = child[node][key] = self._grow(c, original[i], path)
             path.append(nxt)
             node = nxt
         return self.tokens[node]

@@ -2,7 +2,8 @@
 
 The lexicon is learned: from a sample of labelled texts come the words, and
 the stems of ``STEM`` letters, that stand in toxic texts far more often than in
-others (smoothed log-odds, with a bound on their standard score).  A trie of
+others: smoothed log-odds, and a Chernoff bound on such a count arising by
+chance that, over all terms, leaves less than one false entry.  A trie of
 these entries is intersected with the Levenshtein automaton of one edit
 (entries of ``FUZZY_LENGTH`` bytes or more; shorter ones match as they are)
 and made deterministic once.  Running that table over the words of a text finds
@@ -40,6 +41,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .sampling import draw, threshold
+from .tables import materialize
 from .textmap import col, map_text
 
 #: Labelled rows to learn from, on average (all, if there are fewer).
@@ -49,8 +51,8 @@ LEXICON = 64
 STEM = (4, 5, 6)
 FUZZY_LENGTH = 5
 WINDOW = 12
-#: Least log-odds, least standard score, and least share of the toxic texts of an entry.
-MIN_LOG_ODDS, MIN_Z, MIN_SHARE = 2.5, 2.5, 0.015
+#: Least log-odds and least share of the toxic texts of an entry.
+MIN_LOG_ODDS, MIN_SHARE = 2.5, 0.015
 #: Longer words are neither learned nor cut to stems (junk).
 MAX_WORD = 40
 
@@ -112,53 +114,37 @@ class LexiconAutomaton:
             got = [(e, at[n]) for n, e in states if at[n] >= 0 and e <= limit[at[n]]]
             return min(got) if got else None
 
-        start = close({0: 0})
-        ids = {frozenset(): 0, start: 1}
-        rows, accept, absorb, todo = [[0] * self.width], [(-1, 0)], [False], [start]
-        stem_state: dict[tuple[int, int], int] = {}
-        pending = []
-        while todo:
-            here = todo.pop(0)
+        # a state also knows the best stem that has ended so far; once that is
+        # exact, or nothing else can match any more, whatever follows is a hit
+        def state(states: frozenset, stem: tuple[int, int] | None) -> tuple:
+            ended = min((x for x in (stem, best(states, stem_at)) if x), default=None)
+            return (frozenset() if ended and ended[0] == 0 else states, ended)
+
+        dead, start = (frozenset(), None), state(close({0: 0}), None)
+        ids, order = {dead: 0, start: 1}, [dead, start]
+        rows = []
+        for here in order:  # grows while new states are met
+            states, stem = here
             row = []
-            stem = best(here, stem_at)
-            word = best(here, word_at)
-            accept.append((-1, 0) if not (stem or word) else min(x for x in (stem, word) if x)[::-1])
-            absorb.append(False)
             for k in range(self.width):
                 b = letters[k - 1] if k else None
                 nxt: dict[int, int] = {}
-                for node, e in here:
+                for node, e in states:
                     hit = child[node].get(b)
                     if hit is not None and nxt.get(hit, 2) > e:
                         nxt[hit] = e
                     if e == 0:
-                        if nxt.get(node, 2) > 1:
-                            nxt[node] = 1
-                        for other in child[node].values():
+                        for other in (node, *child[node].values()):
                             if nxt.get(other, 2) > 1:
                                 nxt[other] = 1
-                closed = close(nxt)
-                if stem and not (closed and best(closed, word_at) and best(closed, word_at) <= stem):
-                    # a stem has ended: whatever follows, the word is a hit
-                    row.append(("stem", stem))
-                    continue
-                if closed not in ids:
-                    ids[closed] = len(ids)
-                    todo.append(closed)
-                row.append(ids[closed])
+                after = state(close(nxt), stem)
+                if after not in ids:
+                    ids[after] = len(ids)
+                    order.append(after)
+                row.append(ids[after])
             rows.append(row)
-        n = len(rows)
-        for row in rows:
-            for k, x in enumerate(row):
-                if isinstance(x, tuple):
-                    if x[1] not in stem_state:
-                        stem_state[x[1]] = n + len(pending)
-                        pending.append(x[1])
-                    row[k] = stem_state[x[1]]
-        for e, k in pending:
-            rows.append([len(rows)] * self.width)
-            accept.append((k, e))
-            absorb.append(True)
+        accept = [min((x for x in (stem, best(states, word_at)) if x), default=(0, -1))[::-1] for states, stem in order]
+        absorb = [not states for states, _ in order]
         self.table = np.array(rows, dtype=np.int32).reshape(-1)
         self.entry = np.array([a[0] for a in accept], dtype=np.int32)
         self.edits = np.array([a[1] for a in accept], dtype=np.int8)
@@ -179,6 +165,19 @@ class LexiconAutomaton:
         return hit, self.entry[state[hit]], self.edits[state[hit]].astype(np.int64)
 
 
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Lower case, with typographic marks (U+2000 to U+203F) and the signs of
+    Latin-1 (U+0080 to U+00BF) as blanks."""
+    data = tb.lower(data)
+    sign = np.flatnonzero(data == 0xC2)
+    mark = np.flatnonzero(data == 0xE2)
+    mark = mark[data[np.minimum(mark + 1, len(data) - 1)] == 0x80]
+    for at, size in ((sign, 2), (mark, 3)):
+        for k in range(size):
+            data[np.minimum(at + k, len(data) - 1)] = 0x20
+    return data
+
+
 _QUOTE = tb.byte_class((0x22, 0x22))
 _NEWLINE = tb.byte_class((0x0A, 0x0A))
 
@@ -210,11 +209,11 @@ class Scanner:
     def hits(self, data: np.ndarray, off: np.ndarray):
         """(row, word number in its row, entry, distance, quoted)."""
         z = np.zeros(0, np.int64)
-        data = tb.lower(data)
-        s, e, row = tb.spans(data, off, _LETTERS)
+        plain = _plain(data)
+        s, e, row = tb.spans(plain, off, _LETTERS)
         if self.auto is None or len(s) == 0:
             return z, z, z, z, np.zeros(0, bool)
-        w, entry, dist = self.auto.run(data, s, e)
+        w, entry, dist = self.auto.run(plain, s, e)
         number = w - np.searchsorted(row, row[w])
         return row[w], number, entry.astype(np.int64), dist, _quoted(data, off, row[w], s[w]) if len(w) else np.zeros(0, bool)
 
@@ -298,7 +297,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             ys = b.column(1).to_pylist()
             for lo, _, data, off, _ in tb.chunks(b.column(0)):
-                data = tb.lower(data)
+                data = _plain(data)
                 s, e, row = tb.spans(data, off, _LETTERS)
                 whole = data.tobytes()
                 own: dict[int, set] = {}
@@ -318,9 +317,13 @@ def _term_counts(train: DataFrame) -> DataFrame:
 
 def _lexicon(train: DataFrame, n1: int, n0: int) -> list[str]:
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
-    z = odds / F.sqrt(1.0 / (F.col("c1") + 0.5) + 1.0 / (F.col("c0") + 0.5))
-    best = (_term_counts(train).filter((odds >= MIN_LOG_ODDS) & (z >= MIN_Z) & (F.length("term") >= 3)
-                                         & (F.col("c1") >= max(3, MIN_SHARE * n1)))
+    counts = _term_counts(train).filter((F.col("c1") >= max(3, MIN_SHARE * n1)) & (F.length("term") >= 3))
+    counts = materialize(counts, "toxicity-terms")
+    # a term that has nothing to do with the label is toxic n1 / (n1 + n0) of the time
+    n, p = F.col("c1") + F.col("c0"), n1 / (n1 + n0)
+    q = F.col("c1") / n
+    surprise = n * (q * F.log(q / p) + F.when(F.col("c0") > 0, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
+    best = (counts.filter((odds >= MIN_LOG_ODDS) & (surprise >= math.log(max(1, counts.count())) + 1.0))
             .orderBy(F.desc("c1"), F.desc(F.length("term")), "term").limit(16 * LEXICON).collect())
     # of about equal counts the longest comes first; a word beats the stem it equals
     rows = sorted(((round(math.log(r["c1"]) / 0.05), len(r["term"].rstrip("*")), not r["term"].endswith("*"), r["term"]) for r in best),
