@@ -19,8 +19,8 @@ removed or replaced word.
 4. The words of each line and its earliest partner are compared (the edit
    distance is verified); then every occurrence gets its decision.
 
-Shuffled are hashes and places; texts only of documents that hold a line which
-passed step 2.  Joins are plain joins of written tables, which Spark may split
+Shuffled are hashes and places; of the texts only lines that passed step 2,
+found by a filter of their hashes with a fixed largest size.  Joins are plain joins of written tables, which Spark may split
 at hot keys.
 
 Edge cases: null or empty texts have no lines and stay as they are; lines of
@@ -46,6 +46,9 @@ from .textmap import col
 
 MIN_WORDS = 3
 EDIT_WORDS = 8
+#: Places of the candidates' filter, as a power of two, at most (16 MB).  With
+#: more candidates it lets more lines through; the join behind it is exact.
+FILTER_BITS = 27
 _NEWLINE = tb.byte_class((0x0A, 0x0A))
 _PREFIX, _SUFFIX = tb.U64(0x243F6A8885A308D3), tb.U64(0x13198A2E03707344)
 
@@ -121,40 +124,57 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     return out
 
 
-def _candidate_words(df: DataFrame, id_col: str, text_col: str, candidates: DataFrame) -> DataFrame:
-    """(h, first, words) of the candidates, from their first documents."""
-    per = (candidates.groupBy(F.col("first.id").alias("__id"))
-           .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h")).alias("wanted")))  # lines of one document
-    texts = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("t"))
-    joined = texts.join(per, F.col("id").eqNullSafe(F.col("__id"))).select("t", "wanted")
+class _Filter:
+    """Bloom filter of line hashes: lines that are not in it are no candidates."""
+
+    def __init__(self, hashes: DataFrame):
+        n = hashes.count()
+        self.bits = int(np.clip(int(max(16 * n, 1) - 1).bit_length(), 16, FILTER_BITS))
+        # two places from the two ends of the hash
+        ends = F.array(F.shiftrightunsigned("h", 64 - self.bits), F.col("h").bitwiseAND((1 << self.bits) - 1))
+        bit = F.explode(ends).alias("at")
+        # one row for each 64 places that have a bit: at most 2^FILTER_BITS / 64
+        rows = (hashes.select(bit).groupBy(F.shiftright("at", 6).alias("w"))
+                .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("m")).collect())
+        words = np.zeros(1 << (self.bits - 6), dtype=np.int64)
+        words[[r["w"] for r in rows]] = [r["m"] for r in rows]
+        self.words = words.view(np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), dtype=bool)
+        for at in ((h >> np.uint64(64 - self.bits)).astype(np.int64), (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)):
+            ok &= (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return ok
+
+
+def _candidate_words(df: DataFrame, text_col: str, candidates: DataFrame) -> DataFrame:
+    """(h, first, words) of the candidates; texts are read once more, and only
+    lines that pass a filter of the candidates' hashes leave the tasks."""
+    shipped = df.sparkSession.sparkContext.broadcast(_Filter(candidates.select("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shipped.value
         for b in batches:
-            want = b.column(1)
-            w_off = np.asarray(want.offsets, dtype=np.int64)
-            line, h = np.asarray(want.values.field(0), dtype=np.int64), np.asarray(want.values.field(1))
-            for lo, hi, data, off, _ in tb.chunks(b.column(0)):
+            for _, _, data, off, _ in tb.chunks(b.column(0)):
                 x = _Lines(data, off)
-                own = tb.signed(x.hash.run(x.a, x.b))
-                at = {(r, n): k for k, (r, n) in enumerate(zip(x.row.tolist(), x.number.tolist()))}
-                found = [(k, int(h[j])) for r in range(hi - lo) for j in range(w_off[lo + r], w_off[lo + r + 1])
-                         if (k := at.get((r, int(line[j])))) is not None and own[k] == h[j]]
-                yield pa.RecordBatch.from_arrays([pa.array([g for _, g in found], pa.int64()), pa.array(
-                    [b" ".join(x.words(k)).decode() for k, _ in found], pa.string())], names=["h", "words"])
-
-    words = joined.mapInArrow(run, "h long, words string").groupBy("h").agg(F.min("words").alias("words"))
+                h, k = np.unique(x.hash.run(x.a, x.b), return_index=True)
+                ok = wanted.has(h)
+                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(h[ok])), pa.array(
+                    [b" ".join(x.words(i)).decode() for i in k[ok].tolist()], pa.string())], names=["h", "words"])
+
+    found = df.select(col(text_col).cast("string").alias("t")).mapInArrow(run, "h long, words string")
+    words = found.groupBy("h").agg(F.min("words").alias("words"))
     return materialize(words.join(candidates, "h"), "lines-words")
 
 
 def _variants(words: DataFrame) -> DataFrame:
-    """(v, pos, h, first): every line's deletion variants, and the line itself
-    at position -1."""
-    schema = T.StructType([T.StructField("v", T.LongType()), T.StructField("pos", T.IntegerType()), words.schema["h"],
-                           words.schema["first"]])
+    """(v, pos, h): every line's deletion variants, and the line itself at
+    position -1."""
+    schema = T.StructType([T.StructField("v", T.LongType()), T.StructField("pos", T.IntegerType()), words.schema["h"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, data, off, _ in tb.chunks(b.column(2)):
+            for lo, _, data, off, _ in tb.chunks(b.column(1)):
                 x = _Lines(data, off)
                 n = x.b - x.a
                 i = tb.ragged(x.a, n)
@@ -163,17 +183,21 @@ def _variants(words: DataFrame) -> DataFrame:
                 pos = np.r_[i - np.repeat(x.a, n), np.full(len(n), -1)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(tb.signed(np.r_[v, x.hash.run(x.a, x.b)])), pa.array(pos.astype(np.int32)),
-                    b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=schema.names)
+                    b.column(0).take(pa.array(row))], names=schema.names)
 
-    return words.select("h", "first", "words").mapInArrow(run, schema)
+    return words.select("h", "words").mapInArrow(run, schema)
 
 
 def _partners(words: DataFrame) -> DataFrame:
     """(h, partner): for every line the earliest line one edit away, if that
     one is earlier."""
-    rows = _variants(words)
-    here = F.struct("first", "h")
-    per = rows.groupBy("v", "pos").agg(F.min(here).alias("least"), F.count("*").alias("n"))
+    every = _variants(words)
+    # only variants that come up again; a line repeats its own when two neighbouring words are equal
+    again = materialize(every.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v"), "lines-variants")
+    rows = materialize(every.join(again, "v").join(words.select("h", "first"), "h").select("v", "pos", "h", "first"),
+                       "lines-shared")
+    drop(again)
+    per = rows.groupBy("v", "pos").agg(F.min(F.struct("first", "h")).alias("least"), F.count("*").alias("n"))
     # replaced word: equal variants at one place; only groups of several lines
     same = materialize(per.filter("pos >= 0 and n > 1").select("v", "pos", "least"), "lines-same")
     # inserted word: a whole line equals a variant
@@ -184,12 +208,11 @@ def _partners(words: DataFrame) -> DataFrame:
     replaced = rows.join(same, ["v", "pos"]).select("h", "first", F.col("least").alias("partner"))
     inserted = rows.join(both, "v").select(
         "h", "first", F.when(F.col("pos") < 0, F.col("shorter")).otherwise(F.col("whole")).alias("partner"))
-    out = (replaced.filter(F.col("partner.first") < F.col("first"))
-           .union(inserted.filter(F.col("partner.first") < F.col("first")))
+    out = (replaced.union(inserted).filter(F.col("partner.first") < F.col("first"))
            .groupBy("h").agg(F.min("partner").alias("partner")))
     out = materialize(out, "lines-partners")
-    drop(same)
-    drop(both)
+    for t in (rows, same, both):
+        drop(t)
     return out
 
 
@@ -228,7 +251,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = materialize(
         lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("k1").alias("k1"),
                                F.min("k2").alias("k2"), F.min("k3").alias("k3")), "lines-distinct")
-    words = _candidate_words(df, id_col, text_col, _candidates(distinct))
+    words = _candidate_words(df, text_col, _candidates(distinct))
     verified = _verified(_partners(words), words)
     # classes in which some line goes: repeated, or with an earlier partner
     classes = materialize(distinct.join(verified, "h", "left").filter("n > 1 or partner_first is not null")
