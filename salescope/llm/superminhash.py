@@ -15,13 +15,15 @@ or of all its words if there are fewer.
 3. Banding: representatives that agree on all ``ROWS`` places of one of
    ``BANDS`` bands share a bucket.  At similarity 0.8 a pair shares one with a
    probability of 1 - 7e-5.
-4. Verification on full sets.  A bucket's members are first compared with one
-   pivot, then with another; links so found are merged by union-find
-   (``components``).  Then all remaining pairs of a bucket that are in different
-   components are compared.  Members of one component need no comparison, so a
-   bucket that holds a huge group of near copies costs a few pairs for each
-   member instead of all pairs.  A pair that shares several buckets is
-   compared once, and pairs whose sizes alone rule out the similarity are not.
+4. Verification on full sets.  A bucket's members are first compared with two
+   of them (pivots, drawn by hash, so other ones in every bucket); links so
+   found are merged by union-find (``components``).  Members of one component
+   need no comparison, so a bucket that holds a huge group of near copies costs
+   two pairs for each member instead of all pairs.  Where a bucket still spans
+   several components, every member outside its main component is compared with
+   all members, in groups of two blocks of at most ``BLOCK`` members: the sizes
+   of all intersections come from one product of 0/1 matrices, and only links
+   between components leave the task, never a list of pairs.
 5. Components of the verified links; the smallest id of each stays.
 
 Texts are read again only for documents that share a bucket.
@@ -40,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textbytes as tb
 from .components import components
@@ -47,6 +50,8 @@ from .tables import drop, materialize, small_batches
 from .textmap import col
 
 BANDS, ROWS = 24, 5
+#: Members of one side of a group that is compared at once.
+BLOCK = 1_000
 #: Linked when 100 * common >= SIMILAR * union.
 SIMILAR = 80
 
@@ -180,29 +185,106 @@ def _pairs(rows: DataFrame, similar: int) -> DataFrame:
             .filter(_fits(similar)).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
 
 
-def links(classes: DataFrame, texts_of, shingle: int, similar: int) -> DataFrame | None:
+def _spread(mixed: DataFrame, block: int) -> DataFrame:
+    """Members (k, id, c, main, n_main, n_other) of buckets that span several
+    components, once for each group of two blocks: ``bi``, ``bj``.  Blocks of
+    the main component meet only those of the others."""
+    others, mains = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("n_other", "n_main"))
+    own = F.when(F.col("c") == F.col("main"), others + F.pmod(F.xxhash64("id"), mains)).otherwise(
+        F.pmod(F.xxhash64("id"), others)).cast("int")
+    last = F.when(F.col("own") >= F.col("others"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    return (mixed.withColumns({"others": others, "mains": mains}).withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+            .select("k", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "c"))
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    values, count = np.unique(flat, return_counts=True)
+    values = values[count > 1]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    row = np.repeat(np.arange(len(sets)), size)
+    at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
+    shared = np.flatnonzero(values[at] == flat) if len(values) else np.zeros(0, np.int64)
+    order = shared[np.argsort(at[shared], kind="stable")]
+    for lo in range(0, len(values), 4_096):
+        some = order[np.searchsorted(at[order], lo):np.searchsorted(at[order], lo + 4_096)]
+        m = np.zeros((len(sets), min(4_096, len(values) - lo)), dtype=np.float32)
+        m[row[some], at[some] - lo] = 1.0
+        out += m @ m.T
+    return out
+
+
+def _between(groups: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Links (a, b) between components, found in groups (k, bi, bj, id, c, t)
+    that are sorted by (k, bi, bj)."""
+    id_type = groups.schema["c"].dataType
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+
+    def flush(held):
+        ids = [i for c, _, _ in held for i in c]
+        number = np.array([n for _, n, _ in held for n in n])
+        sets = [x for _, _, x in held for x in x]
+        common = _common(sets)
+        size = np.array([len(x) for x in sets])
+        linked = 100 * common >= similar * (size[:, None] + size[None, :] - common)
+        linked &= (number[:, None] != number[None, :]) & (common > 0)
+        pairs = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(*np.nonzero(np.triu(linked)))}
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], b_type) for k in (0, 1)], names=["a", "b"])
+
+    b_type = to_arrow_type(id_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            key = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            c = b.column(4).to_pylist()
+            number = np.array([hash(x) for x in c])
+            for lo, hi, data, off, _ in tb.chunks(b.column(5)):
+                row, h = shingle_sets(data, off, shingle)
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                start = lo
+                for r in range(lo, hi + 1):
+                    if r == hi or key[r] != key[start]:
+                        if last is not None and key[start] != last and held:
+                            yield flush(held)
+                            held = []
+                        last = key[start]
+                        held.append((c[start:r], number[start:r],
+                                     [h[cut[q - lo]:cut[q - lo + 1]] for q in range(start, r)]))
+                        start = r
+        if held:
+            yield flush(held)
+
+    with small_batches(groups.sparkSession):
+        return materialize(groups.select("k", "bi", "bj", "id", "c", "t").mapInArrow(run, schema), "minhash-between")
+
+
+def links(classes: DataFrame, texts_of, shingle: int, similar: int, block: int = BLOCK) -> DataFrame:
     """Component (node, component) of the representatives that are linked."""
-    one = classes.select(F.explode("bands").alias("k"), F.struct("id", "n").alias("m"))
-    shared = materialize(one.groupBy("k").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.max("m").alias("high"))
+    one = classes.select(F.explode("bands").alias("k"), "id", "n")
+    drawn = one.select("k", F.struct(F.xxhash64("k", "id").alias("draw"), "id", "n").alias("m"))
+    shared = materialize(drawn.groupBy("k").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.max("m").alias("high"))
                          .filter("size > 1"), "minhash-buckets")
-    members = materialize(one.join(shared, "k").select("k", "size", "m.id", "m.n", "low", "high"), "minhash-members")
+    members = materialize(one.join(shared, "k").select("k", "size", "id", "n", "low", "high"), "minhash-members")
     texts = texts_of(members.groupBy("id").agg(F.lit(1).alias("one")).select("id"))
     with_pivot = lambda p: members.select(F.col("id").alias("x"), F.col("n").alias("nx"),
                                           F.col(f"{p}.id").alias("y"), F.col(f"{p}.n").alias("ny"))
-    # two pivots: the first and the last member of every bucket
-    tried = materialize(_pairs(with_pivot("low").union(with_pivot("high").filter("x <> y")), similar), "minhash-tried")
-    found = _verified(tried, texts, shingle, similar)
+    found = _verified(_pairs(with_pivot("low").union(with_pivot("high")), similar), texts, shingle, similar)
     group = materialize(components(found), "minhash-groups")
     # buckets of three and more whose members are still in different components
     named = (members.filter("size > 2").join(group, members["id"] == group["node"], "left")
-             .select("k", "id", "n", F.coalesce("component", "id").alias("c")))
-    mixed = materialize(named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1")
-                        .select("k"), "minhash-mixed")
-    left = materialize(named.join(mixed, "k"), "minhash-left")
-    x = left.select("k", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = left.select("k", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    rest = _pairs(x.join(y, "k").filter("x < y and cx <> cy"), similar).join(tried, ["a", "b"], "left_anti")
-    more = _verified(rest, texts, shingle, similar)
+             .select("k", "id", F.coalesce("component", "id").alias("c")))
+    named = materialize(named, "minhash-named-members")
+    spans = (named.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k")
+             .agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+             .filter("parts > 1").select("k", F.col("top.c").alias("main"), F.col("top.n").alias("n_main"),
+                                         (F.col("all") - F.col("top.n")).alias("n_other")))
+    left = _spread(named.join(materialize(spans, "minhash-mixed"), "k"), block)
+    rows = left.join(texts, "id").repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj")
+    more = _between(rows, shingle, similar)
     if more.isEmpty():
         return group
     # stars of the first links and the new links together
