@@ -181,8 +181,6 @@ STATUS_LIKE_VALUES = [
     "gagal", "failed", "lunas", "unpaid", "paid",
 ]
 STATUS_LIKE_SHARE = 0.4          # more than this share of status words → status column
-STATUS_PROBE_DISTINCT = 30       # distinct values probed for the post-rename check
-STATUS_PROBE_DISTINCT_PROXY = 20  # distinct values probed before using a proxy column
 
 # FIXED VALUES — success keywords matched with "contains" on normalised status text.
 SUCCESS_KEYWORDS = [

@@ -18,11 +18,8 @@ CURRENCY_PREFIX = "Rp "
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    """Fixed-point text with ``digits`` decimals.  Exact half-way values are
-    rounded up (away from zero) before printing, so every engine prints the
-    same text."""
-    r = F.round(x + F.lit(3.71 * 10.0 ** -(digits + 4)), digits)
-    return F.format_string(f"%.{digits}f", r)
+    """Fixed-point text with ``digits`` decimals of the value as it is."""
+    return F.format_string(f"%.{digits}f", x)
 
 
 def finite_or_zero(x: Column, fallback: float = 0.0) -> Column:
@@ -41,7 +38,7 @@ def format_number(x: Column) -> Column:
         piece = F.concat(_fixed(d / F.lit(limit), 1), F.lit(suffix))
         cond = F.abs(d) >= F.lit(limit)
         expr = F.when(cond, piece) if expr is None else expr.when(cond, piece)
-    plain = F.format_number(F.round(d + F.lit(3.71e-4), 0), 0)
+    plain = F.format_number(d, 0)
     return F.when(d.isNull() | F.isnan(d), F.lit("0")).otherwise(expr.otherwise(plain))
 
 

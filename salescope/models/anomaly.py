@@ -5,7 +5,7 @@ projection.  Isolation forest (Spark ML has none): the forest is grown from
 small per-tree samples and scored over all rows —
 
 1. every tree draws about 1.5 × ``max_samples`` rows by hashing a per-row
-   random key with the tree id (one Bernoulli pre-filter over the table,
+   key (a hash of its values) with the tree id (one Bernoulli pre-filter over the table,
    then an explode over the few surviving rows), keeping the
    ``max_samples`` smallest keys per tree: groups are bounded by the sample
    size, never by the data;
@@ -169,11 +169,6 @@ class IsolationForestModel:
             mean_len = np.take(leaf_len, node).mean(axis=0)
             return pd.Series(-np.power(2.0, -mean_len / norm))
 
-        # the Python stage needs parallelism: a small input coalesced into a
-        # few partitions is spread over the cores (large inputs already are)
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
         feats = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.cols]
         return df.withColumn("_score", score(*feats))
 
@@ -220,20 +215,24 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees:
                          return_scored: bool = False):
     cols = cols or DEFAULT_FEATURES
     k = len(cols)
-    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
+    # a row's draw depends on its values alone, so the sample is the same in any
+    # partitioning and when a task is run again; equal rows are drawn together
+    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)],
+                  draw.alias("_u"))
     n = x.count()
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     p_tree = min(1.0, 1.5 * psi / max(n, 1)) if psi < n else 1.0
     p_any = min(1.0, n_trees * p_tree)
-    u = F.rand(seed)
-    pre = x.withColumn("_u", u).where(F.col("_u") < F.lit(p_any)) if p_any < 1.0 else x.withColumn("_u", u)
+    pre = x.where(F.col("_u") < F.lit(p_any)) if p_any < 1.0 else x
     cond = p_tree / p_any
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                      lambda t: (F.abs(F.xxhash64(t, F.col("_u"))) % F.lit(1_000_000)) < F.lit(int(cond * 1_000_000))
                      ) if cond < 1.0 else F.sequence(F.lit(0), F.lit(n_trees - 1))
     exploded = pre.withColumn("tree", F.explode(trees))
-    w = Window.partitionBy("tree").orderBy(F.xxhash64(F.col("tree"), F.col("_u")), F.col("_u"))
+    w = Window.partitionBy("tree").orderBy(F.xxhash64(F.col("tree"), F.col("_u")), F.col("_u"),
+                                             *[f"x{i}" for i in range(k)])
     sample = exploded.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,13 +4,14 @@ flag, filters.
 
 Plan-time decisions (which column maps where, which date format parses,
 which numeric column becomes revenue) are taken from ``df.columns`` or from
-small bounded probe jobs (at most a few dozen values or one aggregate row);
+probe jobs that return one aggregate row;
 the data itself stays in lazy projections and filters.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,19 @@ def normalize_header(name: str) -> str:
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
-    """lower-case, strip, blanks → underscores (a rename, no data touched)."""
-    return df.toDF(*[normalize_header(c) for c in df.columns])
+    """lower-case, strip, blanks → underscores (a rename, no data touched);
+    headers that become equal are numbered (``name``, ``name_2``, …)."""
+    names: list[str] = []
+    for c in df.columns:
+        names.append(_free_name(normalize_header(c), names))
+    return df.toDF(*names)
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    n, out = 2, name
+    while out in taken:
+        out, n = f"{name}_{n}", n + 1
+    return out
 
 
 def header_mapping(columns: list[str]) -> dict[str, str]:
@@ -82,9 +94,14 @@ def standardize_columns(df: DataFrame, proxies: bool = True) -> DataFrame:
     column that holds statuses, then fill product/category/region proxies."""
     df = normalize_headers(df)
     mapping = header_mapping(df.columns)
-    df = df.withColumnsRenamed(mapping)
+    # a header that already is the canonical name of another one keeps its
+    # values under ``<name>_raw``
+    taken = set(mapping.values())
+    aside = {c: _free_name(f"{c}_raw", df.columns) for c in df.columns if c in taken and c not in mapping}
+    rename = {**mapping, **aside}
+    df = df.toDF(*[rename.get(c, c) for c in df.columns])
     for col in ("product", "category"):
-        if col in df.columns and is_status_like(df, col, fixed.STATUS_PROBE_DISTINCT):
+        if col in df.columns and is_status_like(df, col):
             df = df.drop(col)
     if proxies:
         df = proxy_columns(df)
@@ -95,28 +112,22 @@ def standardize_columns(df: DataFrame, proxies: bool = True) -> DataFrame:
 # status-like probes
 # ---------------------------------------------------------------------------
 
-def probe_values(df: DataFrame, col: str, limit: int) -> list[str]:
-    """Up to ``limit`` distinct lower-cased, trimmed values (sorted, so the
-    probe is deterministic).  A bounded job: distinct is a partial
-    aggregate and only ``limit`` values reach the driver."""
+def status_share(df: DataFrame, col: str) -> float:
+    """Share of status words among all distinct lower-cased, trimmed values
+    (one aggregate; 0 without values)."""
     v = F.lower(F.trim(F.col(col).cast("string")))
-    rows = df.select(v.alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(limit).collect()
-    return [r["v"] for r in rows]
-
-
-def status_share(values: list[str]) -> float:
-    if not values:
-        return 0.0
-    return len(set(values) & set(fixed.STATUS_LIKE_VALUES)) / len(set(values))
+    row = df.select(v.alias("v")).where(F.col("v").isNotNull()).distinct().agg(
+        F.count("v").alias("n"), F.count_if(F.col("v").isin(fixed.STATUS_LIKE_VALUES)).alias("hits")).first()
+    return row["hits"] / row["n"] if row["n"] else 0.0
 
 
-def is_status_like(df: DataFrame, col: str, limit: int) -> bool:
-    return status_share(probe_values(df, col, limit)) > fixed.STATUS_LIKE_SHARE
+def is_status_like(df: DataFrame, col: str) -> bool:
+    return status_share(df, col) > fixed.STATUS_LIKE_SHARE
 
 
 def product_valid(df: DataFrame) -> bool:
     """The product column exists and its values are not mostly statuses."""
-    return "product" in df.columns and not is_status_like(df, "product", fixed.STATUS_PROBE_DISTINCT)
+    return "product" in df.columns and not is_status_like(df, "product")
 
 
 def proxy_columns(df: DataFrame) -> DataFrame:
@@ -127,12 +138,12 @@ def proxy_columns(df: DataFrame) -> DataFrame:
     if "product" not in df.columns:
         for src in ("category", "channel"):
             if src in df.columns and types[src] == "string" and \
-                    not is_status_like(df, src, fixed.STATUS_PROBE_DISTINCT_PROXY):
+                    not is_status_like(df, src):
                 df = df.withColumn("product", F.col(src).cast("string"))
                 break
     if "category" not in df.columns:
         for src in ("channel", "courier"):
-            if src in df.columns and not is_status_like(df, src, fixed.STATUS_PROBE_DISTINCT_PROXY):
+            if src in df.columns and not is_status_like(df, src):
                 df = df.withColumn("category", F.col(src).cast("string"))
                 break
         else:
@@ -190,6 +201,19 @@ def column_mode(df: DataFrame, col: str):
     return row[0][col] if row else None
 
 
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _filled(col: str, value, dtype: str) -> Column:
+    """``col`` with ``value`` for nulls; a whole-number column becomes double
+    when the value has a fraction."""
+    if value is None:
+        return F.col(col)
+    if dtype in _WHOLE and isinstance(value, (float, Decimal)) and value != int(value):
+        return F.coalesce(F.col(col).cast("double"), F.lit(float(value)))
+    return F.coalesce(F.col(col), F.lit(value).cast(dtype))
+
+
 def fill_missing(df: DataFrame, strategy: dict[str, str] | None = None,
                  order: list | None = None) -> DataFrame:
     """Fill nulls per column with mean / median / mode / zero / ffill, or drop
@@ -231,8 +255,7 @@ def fill_missing(df: DataFrame, strategy: dict[str, str] | None = None,
         if base is not None:
             base.unpersist()
     if fills:
-        df = df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(types[c]) if v is not None else F.col(c))
-                             for c, v in fills.items()})
+        df = df.withColumns({c: _filled(c, v, types[c]) for c, v in fills.items()})
     if ffill_cols:
         if not order:
             raise ValueError("ffill needs an explicit row order")

@@ -23,9 +23,9 @@ def _grouped(df: DataFrame, dim: str) -> DataFrame:
 
 def _share(df: DataFrame, value: str, out: str) -> DataFrame:
     """value / total × 100 for a per-dimension aggregate.  The total is a
-    window over the aggregate (one row per dimension value), which avoids a
-    second scan of the transactions that a scalar subquery would cost."""
-    return df.withColumn(out, pct(F.col(value), F.sum(value).over(Window.partitionBy())))
+    scalar subquery over the same aggregate, whose exchange Spark reuses; no
+    task holds the whole dimension."""
+    return df.withColumn(out, pct(F.col(value), df.agg(F.sum(value)).scalar()))
 
 
 def top_products(df: DataFrame, n: int = 10, by: str = "revenue") -> DataFrame:

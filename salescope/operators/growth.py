@@ -113,10 +113,8 @@ def slow_moving(df: DataFrame, n: int = 15) -> DataFrame:
     require(df, "product", "revenue")
     prod = (df.where(F.col("product").isNotNull()).groupBy("product")
               .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")))
-    # total over the product aggregate (a window, not a second scan of the transactions)
-    prod = prod.withColumn("_total", F.sum("revenue").over(Window.partitionBy()))
     low = prod.orderBy(F.col("revenue").asc(), F.col("product").desc()).limit(n)
-    return low.withColumn("share", pct(F.col("revenue"), F.col("_total"))).drop("_total")
+    return low.withColumn("share", pct(F.col("revenue"), prod.agg(F.sum("revenue")).scalar()))
 
 
 def mid_date(df: DataFrame):
@@ -153,19 +151,18 @@ def period_half_compare(df: DataFrame, dim: str, salesperson: bool = False, top:
 def growth_vs_prev(half: DataFrame, dim: str) -> DataFrame:
     """Growth %, share %, target achievement %, rank over a half comparison;
     the totals and the mean growth of groups with a previous value."""
-    w_all = Window.partitionBy()
-    out = half.withColumns({
-        "growth_pct": F.coalesce(pct(F.col("revenue") - F.col("revenue_prev"), F.col("revenue_prev")), F.lit(0.0)),
-        "share_pct": pct(F.col("revenue"), F.sum("revenue").over(w_all)),
-        "rank": F.row_number().over(Window.orderBy(F.col("revenue").desc(), F.col(dim))),
-    })
+    # one aggregate row for the totals; ranks come from the ordered scan, so no
+    # task holds the whole dimension
+    grown = half.withColumn("growth_pct", F.coalesce(
+        pct(F.col("revenue") - F.col("revenue_prev"), F.col("revenue_prev")), F.lit(0.0)))
+    totals = grown.agg(F.sum("revenue").alias("total_revenue"), F.sum("revenue_prev").alias("total_revenue_prev"),
+                       F.avg(F.when(F.col("revenue_prev") > 0, F.col("growth_pct"))).alias("avg_growth_pct"))
+    ranked = running_sum(grown, [F.col("revenue").desc(), F.col(dim).asc()], "revenue", "_running", "rank").drop("_running")
+    out = ranked.join(F.broadcast(totals))   # a single row
+    out = out.withColumn("share_pct", pct(F.col("revenue"), F.col("total_revenue")))
     if "target" in half.columns:
         out = out.withColumn("achievement_pct", pct(F.col("revenue"), F.col("target")))
-    return out.withColumns({
-        "total_revenue": F.sum("revenue").over(w_all),
-        "total_revenue_prev": F.sum("revenue_prev").over(w_all),
-        "avg_growth_pct": F.avg(F.when(F.col("revenue_prev") > 0, F.col("growth_pct"))).over(w_all),
-    })
+    return out
 
 
 def growth_dim(df: DataFrame, dim: str, freq: str = "M", top_n: int = 10) -> DataFrame:

@@ -128,70 +128,24 @@ def row_lags(df: DataFrame, order: list, value: str, lags=(1, 7), window: int =
 # ---------------------------------------------------------------------------
 
 def forward_fill(df: DataFrame, order: list, cols: list[str]) -> DataFrame:
-    """Replace nulls in ``cols`` by the last non-null value above (in ``order``)."""
-    staged = stage_ordered(df, order)
-    types = {f.name: f.dataType for f in staged.schema.fields}
-
-    def last_of_bucket(it):
-        b, last = None, {c: None for c in cols}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            b = int(pdf[BUCKET].iloc[0])
-            for c in cols:
-                s = pdf[c].dropna()
-                if len(s):
-                    last[c] = s.iloc[-1]
-        if b is not None:
-            yield pd.DataFrame({"b": [b], **{f"v_{i}": [None if last[c] is None else str(last[c])]
-                                             for i, c in enumerate(cols)},
-                                **{f"h_{i}": [last[c] is not None] for i, c in enumerate(cols)}})
-
-    schema = "b int, " + ", ".join(f"v_{i} string, h_{i} boolean" for i in range(len(cols)))
-    # Values travel as strings only inside this bounded summary; they are
-    # re-read as the column type below.
-    summ_rows = staged.mapInPandas(last_of_bucket, schema).collect()
-    summ = sorted(summ_rows, key=lambda r: r["b"])
-    carry: dict[int, dict] = {}
-    prev = {c: None for c in cols}
-    for r in summ:
-        carry[int(r["b"])] = dict(prev)
-        for i, c in enumerate(cols):
-            if r[f"h_{i}"]:
-                prev[c] = _parse(r[f"v_{i}"], types[c])
+    """Replace nulls in ``cols`` by the last non-null value above (in ``order``).
 
-    def finish(it):
-        state = None
-        for pdf in it:
-            if pdf.empty:
-                continue
-            if state is None:
-                state = dict(carry.get(int(pdf[BUCKET].iloc[0]), {c: None for c in cols}))
-            for c in cols:
-                s = pdf[c]
-                if state[c] is not None and len(s) and pd.isna(s.iloc[0]):
-                    s = s.copy()
-                    s.iloc[0] = state[c]
-                s = s.ffill()
-                pdf[c] = s
-                nn = s.dropna()
-                if len(nn):
-                    state[c] = nn.iloc[-1]
-            yield pdf
-
-    return staged.mapInPandas(finish, staged.schema).drop(BUCKET)
-
-
-def _parse(text, dtype):
-    if text is None:
-        return None
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return float(text)
-    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return int(text)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return pd.Timestamp(text)
-    return text
+    Built-in functions only, so every column type keeps its values exactly:
+    inside a bucket a running ``last`` fills, and what a bucket inherits is the
+    last value of the buckets before it (one row per bucket, joined by bucket)."""
+    staged = stage_ordered(df, order)
+    cols_order = _sort_cols(order)
+    inside = Window.partitionBy(BUCKET).orderBy(*cols_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = staged.withColumns({f"_f{i}": F.last(F.col(c), ignorenulls=True).over(inside) for i, c in enumerate(cols)})
+    ends = filled.withColumn("_n", F.row_number().over(
+        Window.partitionBy(BUCKET).orderBy(*cols_order))).groupBy(BUCKET).agg(
+        *[F.max_by(f"_f{i}", "_n").alias(f"_e{i}") for i in range(len(cols))])
+    # one row per bucket, as many as there are range partitions
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(BUCKET, *[F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(cols))])
+    out = filled.join(carry, BUCKET)
+    return out.select(*[F.coalesce(F.col(f"_f{cols.index(c)}"), F.col(f"_c{cols.index(c)}")).alias(c) if c in cols else F.col(c)
+                        for c in df.columns])
 
 
 # ---------------------------------------------------------------------------
@@ -257,7 +211,6 @@ def running_sum(df: DataFrame, order: list, value: str, out: str,
 
 LOCAL_RANK_LIMIT = 50_000   # an interval this small is ranked in one task
 ACCURACY = 10_000           # percentile_approx accuracy used to bracket a rank
-MAX_ROUNDS = 8
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float]) -> list[float | None]:
@@ -299,7 +252,7 @@ def _select_ranks(v: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
     # per rank: (lower bound, upper bound, rows below the interval, rows inside)
     state = {r: (None, None, 0, n) for r in ranks}
     result: dict[int, float] = {}
-    for _ in range(MAX_ROUNDS):
+    while len(result) < len(ranks):
         open_ = [r for r in ranks if r not in result]
         small = {r: state[r] for r in open_ if state[r][3] <= LOCAL_RANK_LIMIT}
         if small:
@@ -331,14 +284,18 @@ def _select_ranks(v: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
                 if pl == ph:
                     result[r] = pl
                     continue
+                if le - lt == inside:
+                    # the percentiles did not narrow it: halve the interval by value
+                    mid = pl + (ph - pl) / 2
+                    low = v.agg(F.count_if(_inside(lo, hi) & (F.col("v") <= F.lit(mid)))).first()[0]
+                    state[r] = ((lo, ("le", mid), below, low) if local < low
+                                else (("gt", mid), hi, below + low, inside - low))
+                    continue
                 state[r] = (("ge", pl), ("le", ph), below + lt, le - lt)
             elif local < lt:
                 state[r] = (lo, ("lt", pl), below, lt)
             else:
                 state[r] = (("gt", ph), hi, below + le, inside - le)
-    rest = {r: state[r] for r in ranks if r not in result}
-    if rest:   # did not narrow below the limit in MAX_ROUNDS: rank what is left
-        result.update(_rank_small(v, rest))
     return result
 
 

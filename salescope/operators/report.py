@@ -26,13 +26,12 @@ ACTION_VS_HISTORY = 10.0
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    r = F.round(x + F.lit(3.71 * 10.0 ** -(digits + 4)), digits)
-    return F.format_string(f"%.{digits}f", r)
+    return F.format_string(f"%.{digits}f", x)
 
 
 def _thousands(x: Column) -> Column:
     """1,234,567 (no decimals)."""
-    return F.format_number(F.round(x + F.lit(3.71e-4), 0), 0)
+    return F.format_number(x, 0)
 
 
 def insights(df: DataFrame) -> DataFrame:

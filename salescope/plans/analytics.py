@@ -14,17 +14,17 @@ from .registry import query, rnd, view, with_sales
 
 
 @query("kpis", with_sales("""
-SELECT round(sum(revenue), 2) AS total_revenue,
-       round(avg(revenue), 4) AS avg_revenue,
-       round(quantile_cont(revenue, 0.5), 4) AS median_revenue,
-       round(sum(quantity), 2) AS total_quantity,
-       round(avg(quantity), 4) AS avg_quantity,
+SELECT round(sum(revenue), 4) AS total_revenue,
+       round(avg(revenue), 6) AS avg_revenue,
+       round(quantile_cont(revenue, 0.5), 6) AS median_revenue,
+       round(sum(quantity), 4) AS total_quantity,
+       round(avg(quantity), 6) AS avg_quantity,
        count(*) AS total_transactions,
-       round(sum(revenue) / count(*), 4) AS avg_order_value,
+       round(sum(revenue) / count(*), 6) AS avg_order_value,
        count(DISTINCT product) AS unique_products,
        count(DISTINCT customer) AS unique_customers,
        datesub('day', min(date), max(date)) AS date_range_days,
-       round(sum(revenue) / greatest(datesub('day', min(date), max(date)), 1), 4) AS avg_daily_revenue
+       round(sum(revenue) / greatest(datesub('day', min(date), max(date)), 1), 6) AS avg_daily_revenue
 FROM sales
 """))
 def q_kpis(spark, d):
@@ -58,13 +58,13 @@ _FLAGGED_SQL = f"""
                count(rn) AS months, sum(CASE WHEN rn = 1 THEN revenue END) AS m1,
                sum(CASE WHEN rn = 2 THEN revenue END) AS m2, sum(CASE WHEN rn = 13 THEN revenue END) AS m13
         FROM r)
-SELECT round(rev, 2) AS total_revenue, round(qty, 2) AS total_quantity, n AS total_transactions,
+SELECT round(rev, 4) AS total_revenue, round(qty, 4) AS total_quantity, n AS total_transactions,
        ok AS successful_transactions,
-       round(coalesce(CASE WHEN ok = 0 THEN NULL ELSE rev / ok END, 0), 4) AS avg_order_value,
-       round(rev - cost, 2) AS gross_profit,
-       round(coalesce(CASE WHEN rev = 0 THEN NULL ELSE (rev - cost) / rev * 100 END, 0), 4) AS margin_pct,
-       round(CASE WHEN months >= 2 THEN coalesce(CASE WHEN m2 = 0 THEN NULL ELSE (m1 - m2) / m2 * 100 END, 0) END, 4) AS mom_pct,
-       round(CASE WHEN months >= 13 THEN coalesce(CASE WHEN m13 = 0 THEN NULL ELSE (m1 - m13) / m13 * 100 END, 0) END, 4) AS yoy_pct
+       round(coalesce(CASE WHEN ok = 0 THEN NULL ELSE rev / ok END, 0), 6) AS avg_order_value,
+       round(rev - cost, 4) AS gross_profit,
+       round(coalesce(CASE WHEN rev = 0 THEN NULL ELSE (rev - cost) / rev * 100 END, 0), 6) AS margin_pct,
+       round(CASE WHEN months >= 2 THEN coalesce(CASE WHEN m2 = 0 THEN NULL ELSE (m1 - m2) / m2 * 100 END, 0) END, 6) AS mom_pct,
+       round(CASE WHEN months >= 13 THEN coalesce(CASE WHEN m13 = 0 THEN NULL ELSE (m1 - m13) / m13 * 100 END, 0) END, 6) AS yoy_pct
 FROM b
 """))
 def q_kpi_board(spark, d):
@@ -75,9 +75,9 @@ def q_kpi_board(spark, d):
 
 
 @query("weekend_uplift", with_sales("""
-SELECT round(avg(CASE WHEN isodow(date) >= 6 THEN revenue END), 4) AS weekend_avg,
-       round(avg(CASE WHEN isodow(date) < 6 THEN revenue END), 4) AS weekday_avg,
-       round((avg(CASE WHEN isodow(date) >= 6 THEN revenue END) / avg(CASE WHEN isodow(date) < 6 THEN revenue END) - 1) * 100, 4) AS uplift_pct
+SELECT round(avg(CASE WHEN isodow(date) >= 6 THEN revenue END), 6) AS weekend_avg,
+       round(avg(CASE WHEN isodow(date) < 6 THEN revenue END), 6) AS weekday_avg,
+       round((avg(CASE WHEN isodow(date) >= 6 THEN revenue END) / avg(CASE WHEN isodow(date) < 6 THEN revenue END) - 1) * 100, 6) AS uplift_pct
 FROM sales
 """))
 def q_weekend_uplift(spark, d):
@@ -89,7 +89,7 @@ def q_weekend_uplift(spark, d):
 # ---------------------------------------------------------------------------
 
 @query("top_products", with_sales("""
-SELECT product, round(revenue, 2) AS revenue, rank FROM (
+SELECT product, round(revenue, 4) AS revenue, rank FROM (
   SELECT product, sum(revenue) AS revenue,
          row_number() OVER (ORDER BY sum(revenue) DESC, product) AS rank
   FROM sales WHERE product IS NOT NULL GROUP BY product) t
@@ -100,7 +100,7 @@ def q_top_products(spark, d):
 
 
 @query("top_products_quantity", with_sales("""
-SELECT product, round(quantity, 2) AS quantity, rank FROM (
+SELECT product, round(quantity, 4) AS quantity, rank FROM (
   SELECT product, sum(quantity) AS quantity,
          row_number() OVER (ORDER BY sum(quantity) DESC, product) AS rank
   FROM sales WHERE product IS NOT NULL GROUP BY product) t
@@ -122,7 +122,7 @@ def q_top_products_tx(spark, d):
 
 
 @query("product_sales", with_sales("""
-SELECT product, round(sum(revenue), 2) AS revenue, round(sum(quantity), 2) AS qty, count(revenue) AS txn
+SELECT product, round(sum(revenue), 4) AS revenue, round(sum(quantity), 4) AS qty, count(revenue) AS txn
 FROM sales WHERE product IS NOT NULL GROUP BY product
 """))
 def q_product_sales(spark, d):
@@ -130,7 +130,7 @@ def q_product_sales(spark, d):
 
 
 @query("bottom_products", with_sales("""
-SELECT product, round(sum(revenue), 2) AS revenue, round(sum(quantity), 2) AS qty, count(revenue) AS txn
+SELECT product, round(sum(revenue), 4) AS revenue, round(sum(quantity), 4) AS qty, count(revenue) AS txn
 FROM sales WHERE product IS NOT NULL GROUP BY product
 ORDER BY sum(revenue) ASC, product DESC LIMIT 10
 """))
@@ -139,10 +139,10 @@ def q_bottom_products(spark, d):
 
 
 @query("category_analysis", with_sales("""
-SELECT category, round(sum(revenue), 2) AS total_revenue, round(avg(revenue), 4) AS avg_revenue,
-       count(revenue) AS transactions, round(sum(quantity), 2) AS total_quantity,
-       round(avg(quantity), 4) AS avg_quantity,
-       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE category IS NOT NULL) * 100, 4) AS revenue_pct
+SELECT category, round(sum(revenue), 4) AS total_revenue, round(avg(revenue), 6) AS avg_revenue,
+       count(revenue) AS transactions, round(sum(quantity), 4) AS total_quantity,
+       round(avg(quantity), 6) AS avg_quantity,
+       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE category IS NOT NULL) * 100, 6) AS revenue_pct
 FROM sales WHERE category IS NOT NULL GROUP BY category
 """))
 def q_category(spark, d):
@@ -155,8 +155,8 @@ _WEEKDAYS_SQL = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday',
 
 @query("weekly_pattern", with_sales(f"""
 SELECT isodow(date) - 1 AS day_index, {_WEEKDAYS_SQL}[isodow(date)] AS day_of_week,
-       round(sum(revenue), 2) AS revenue_sum, round(avg(revenue), 4) AS revenue_mean,
-       round(sum(quantity), 2) AS quantity_sum, round(avg(quantity), 4) AS quantity_mean
+       round(sum(revenue), 4) AS revenue_sum, round(avg(revenue), 6) AS revenue_mean,
+       round(sum(quantity), 4) AS quantity_sum, round(avg(quantity), 6) AS quantity_mean
 FROM sales WHERE date IS NOT NULL GROUP BY isodow(date)
 """))
 def q_weekly(spark, d):
@@ -167,7 +167,7 @@ def q_weekly(spark, d):
 @query("weekday_means", with_sales(f"""
 , m AS (SELECT isodow(date) - 1 AS day_index, avg(revenue) AS avg_revenue FROM sales
         WHERE date IS NOT NULL GROUP BY 1)
-SELECT g.day_index, {_WEEKDAYS_SQL}[g.day_index + 1] AS day_of_week, round(m.avg_revenue, 4) AS avg_revenue
+SELECT g.day_index, {_WEEKDAYS_SQL}[g.day_index + 1] AS day_of_week, round(m.avg_revenue, 6) AS avg_revenue
 FROM (SELECT CAST(range AS INTEGER) AS day_index FROM range(7)) g LEFT JOIN m ON g.day_index = m.day_index
 """))
 def q_weekday_means(spark, d):
@@ -175,7 +175,7 @@ def q_weekday_means(spark, d):
 
 
 @query("month_of_year_pattern", with_sales("""
-SELECT month(date) AS month, round(avg(revenue), 4) AS avg_revenue
+SELECT month(date) AS month, round(avg(revenue), 6) AS avg_revenue
 FROM sales WHERE date IS NOT NULL GROUP BY 1
 """))
 def q_month_of_year(spark, d):
@@ -183,9 +183,9 @@ def q_month_of_year(spark, d):
 
 
 @query("status_breakdown", with_sales("""
-SELECT status, count(revenue) AS transactions, round(sum(revenue), 2) AS total_revenue,
-       round(sum(revenue) / count(revenue), 4) AS avg_revenue,
-       round(count(revenue) * 100.0 / (SELECT count(revenue) FROM sales WHERE status IS NOT NULL), 4) AS pct_transactions
+SELECT status, count(revenue) AS transactions, round(sum(revenue), 4) AS total_revenue,
+       round(sum(revenue) / count(revenue), 6) AS avg_revenue,
+       round(count(revenue) * 100.0 / (SELECT count(revenue) FROM sales WHERE status IS NOT NULL), 6) AS pct_transactions
 FROM sales WHERE status IS NOT NULL GROUP BY status
 """))
 def q_status(spark, d):
@@ -194,7 +194,7 @@ def q_status(spark, d):
 
 
 @query("top_dimension", with_sales("""
-SELECT store, round(sum(revenue), 2) AS revenue FROM sales WHERE store IS NOT NULL
+SELECT store, round(sum(revenue), 4) AS revenue FROM sales WHERE store IS NOT NULL
 GROUP BY store ORDER BY sum(revenue) DESC, store LIMIT 15
 """))
 def q_top_dimension(spark, d):
@@ -202,9 +202,9 @@ def q_top_dimension(spark, d):
 
 
 def _perf_sql(dim: str, avg: bool = True) -> str:
-    extra = ", round(sum(revenue) / count(revenue), 4) AS avg_revenue" if avg else ""
+    extra = ", round(sum(revenue) / count(revenue), 6) AS avg_revenue" if avg else ""
     return with_sales(f"""
-SELECT {dim}, round(sum(revenue), 2) AS revenue, count(revenue) AS transactions{extra}
+SELECT {dim}, round(sum(revenue), 4) AS revenue, count(revenue) AS transactions{extra}
 FROM sales WHERE {dim} IS NOT NULL GROUP BY {dim}
 """)
 
@@ -225,7 +225,7 @@ def q_channel(spark, d):
 
 
 @query("proxy_performance", with_sales("""
-SELECT channel AS proxy_value, round(sum(revenue), 2) AS revenue, 'channel' AS proxy_column
+SELECT channel AS proxy_value, round(sum(revenue), 4) AS revenue, 'channel' AS proxy_column
 FROM sales WHERE channel IS NOT NULL GROUP BY channel
 """))
 def q_proxy(spark, d):
@@ -234,9 +234,9 @@ def q_proxy(spark, d):
 
 
 @query("regional_analysis", with_sales("""
-SELECT region, round(sum(revenue), 2) AS revenue, count(revenue) AS transactions,
-       round(sum(quantity), 2) AS quantity,
-       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE region IS NOT NULL) * 100, 4) AS revenue_share_pct,
+SELECT region, round(sum(revenue), 4) AS revenue, count(revenue) AS transactions,
+       round(sum(quantity), 4) AS quantity,
+       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE region IS NOT NULL) * 100, 6) AS revenue_share_pct,
        row_number() OVER (ORDER BY sum(revenue) DESC, region) AS rank
 FROM sales WHERE region IS NOT NULL GROUP BY region
 """))
@@ -264,7 +264,7 @@ def q_distinct(spark, d):
 @query("product_freq", with_sales("""
 SELECT order_id, line_no, part_id, supplier_id, product,
        count(*) OVER (PARTITION BY product) AS product_freq,
-       round(avg(revenue) OVER (PARTITION BY product), 4) AS product_avg_revenue
+       round(avg(revenue) OVER (PARTITION BY product), 6) AS product_avg_revenue
 FROM sales
 """))
 def q_product_freq(spark, d):
@@ -273,9 +273,9 @@ def q_product_freq(spark, d):
 
 
 @query("segment_stats", with_sales("""
-SELECT product, round(sum(revenue), 2) AS total_revenue, round(avg(revenue), 4) AS avg_revenue,
-       count(revenue) AS transaction_count, round(sum(quantity), 2) AS total_quantity,
-       round(avg(quantity), 4) AS avg_quantity, round(avg(price), 4) AS avg_price
+SELECT product, round(sum(revenue), 4) AS total_revenue, round(avg(revenue), 6) AS avg_revenue,
+       count(revenue) AS transaction_count, round(sum(quantity), 4) AS total_quantity,
+       round(avg(quantity), 6) AS avg_quantity, round(avg(price), 6) AS avg_price
 FROM sales WHERE product IS NOT NULL GROUP BY product
 """))
 def q_segment_stats(spark, d):
@@ -295,10 +295,10 @@ def q_segment_stats(spark, d):
                lag(revenue, 12) OVER (ORDER BY date) AS p12,
                (SELECT datediff('day', min(date), max(date)) FROM m) > 365 AS long_span
         FROM m)
-SELECT date, round(revenue, 2) AS revenue, round(quantity, 2) AS quantity,
-       round(CASE WHEN p1 = 0 THEN NULL ELSE (revenue - p1) / p1 * 100 END, 4) AS revenue_mom,
-       round(CASE WHEN q1 = 0 THEN NULL ELSE (quantity - q1) / q1 * 100 END, 4) AS quantity_mom,
-       round(CASE WHEN long_span THEN (CASE WHEN p12 = 0 THEN NULL ELSE (revenue - p12) / p12 * 100 END) END, 4) AS revenue_yoy
+SELECT date, round(revenue, 4) AS revenue, round(quantity, 4) AS quantity,
+       round(CASE WHEN p1 = 0 THEN NULL ELSE (revenue - p1) / p1 * 100 END, 6) AS revenue_mom,
+       round(CASE WHEN q1 = 0 THEN NULL ELSE (quantity - q1) / q1 * 100 END, 6) AS quantity_mom,
+       round(CASE WHEN long_span THEN (CASE WHEN p12 = 0 THEN NULL ELSE (revenue - p12) / p12 * 100 END) END, 6) AS revenue_yoy
 FROM w
 """))
 def q_growth_metrics(spark, d):
@@ -308,7 +308,7 @@ def q_growth_metrics(spark, d):
 
 def _period_sql(unit: str) -> str:
     return with_sales(f"""
-SELECT date_trunc('{unit}', date) AS period, round(sum(revenue), 2) AS revenue
+SELECT date_trunc('{unit}', date) AS period, round(sum(revenue), 4) AS revenue
 FROM sales WHERE date IS NOT NULL GROUP BY 1
 """)
 
@@ -331,10 +331,10 @@ def q_monthly_rev(spark, d):
 @query("period_growth", with_sales("""
 , p AS (SELECT date_trunc('week', date) AS period, sum(revenue) AS revenue FROM sales
         WHERE date IS NOT NULL GROUP BY 1)
-SELECT period, round(revenue, 2) AS revenue,
+SELECT period, round(revenue, 4) AS revenue,
        round(CASE WHEN lag(revenue) OVER w = 0 THEN NULL
-                  ELSE (revenue - lag(revenue) OVER w) / lag(revenue) OVER w * 100 END, 4) AS growth_pct,
-       round(avg(revenue) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS ma3
+                  ELSE (revenue - lag(revenue) OVER w) / lag(revenue) OVER w * 100 END, 6) AS growth_pct,
+       round(avg(revenue) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ma3
 FROM p WINDOW w AS (ORDER BY period)
 """))
 def q_period_growth(spark, d):
@@ -344,8 +344,8 @@ def q_period_growth(spark, d):
 @query("trend_ma", with_sales("""
 , p AS (SELECT date_trunc('day', date) AS period, sum(revenue) AS revenue FROM sales
         WHERE date IS NOT NULL GROUP BY 1)
-SELECT period, round(revenue, 2) AS revenue,
-       round(avg(revenue) OVER (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS ma7
+SELECT period, round(revenue, 4) AS revenue,
+       round(avg(revenue) OVER (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma7
 FROM p
 """))
 def q_trend_ma(spark, d):
@@ -359,8 +359,8 @@ def q_trend_ma(spark, d):
 , l3 AS (SELECT *, lead(revenue) OVER (PARTITION BY product ORDER BY rn) AS older FROM l WHERE rn <= 3)
 , g AS (SELECT product, count(*) AS n, count_if(older IS NOT NULL AND revenue > older) AS ups,
                arg_max(revenue, rn) AS first_rev, arg_min(revenue, rn) AS latest_revenue FROM l3 GROUP BY product)
-SELECT product, round(CASE WHEN first_rev = 0 THEN NULL ELSE (first_rev - latest_revenue) / first_rev * 100 END, 4) AS decline_pct,
-       round(latest_revenue, 2) AS latest_revenue
+SELECT product, round(CASE WHEN first_rev = 0 THEN NULL ELSE (first_rev - latest_revenue) / first_rev * 100 END, 6) AS decline_pct,
+       round(latest_revenue, 4) AS latest_revenue
 FROM g WHERE n >= 3 AND ups = 0
 """))
 def q_declining(spark, d):
@@ -377,8 +377,8 @@ _PARETO_SQL = """
 
 
 @query("pareto", with_sales(_PARETO_SQL + """
-SELECT product, round(revenue, 2) AS revenue, round(cumsum, 2) AS cumsum, rank,
-       round(cumsum / total * 100, 4) AS cumpct, cumsum / total * 100 <= 80 AS in_top
+SELECT product, round(revenue, 4) AS revenue, round(cumsum, 4) AS cumsum, rank,
+       round(cumsum / total * 100, 6) AS cumpct, cumsum / total * 100 <= 80 AS in_top
 FROM c
 """))
 def q_pareto(spark, d):
@@ -387,7 +387,7 @@ def q_pareto(spark, d):
 
 @query("pareto_summary", with_sales(_PARETO_SQL + """
 SELECT count_if(cumsum / total * 100 <= 80) AS top_product_count, count(*) AS total_products,
-       round(count_if(cumsum / total * 100 <= 80) * 100.0 / count(*), 4) AS pct_products
+       round(count_if(cumsum / total * 100 <= 80) * 100.0 / count(*), 6) AS pct_products
 FROM c
 """))
 def q_pareto_summary(spark, d):
@@ -396,7 +396,7 @@ def q_pareto_summary(spark, d):
 
 @query("slow_moving", with_sales("""
 , p AS (SELECT product, sum(revenue) AS revenue FROM sales WHERE product IS NOT NULL GROUP BY product)
-SELECT product, round(revenue, 2) AS revenue, round(revenue / (SELECT sum(revenue) FROM p) * 100, 4) AS share
+SELECT product, round(revenue, 4) AS revenue, round(revenue / (SELECT sum(revenue) FROM p) * 100, 6) AS share
 FROM p ORDER BY revenue ASC, product DESC LIMIT 15
 """))
 def q_slow_moving(spark, d):
@@ -409,10 +409,10 @@ def _half_sql(dim: str, salesperson: bool = False, top: int | None = None) -> st
     return with_sales(f"""
 , b AS (SELECT min(date) + (max(date) - min(date)) / 2 AS mid FROM sales)
 , x AS (SELECT *, date > (SELECT mid FROM b) AS cur FROM sales WHERE {dim} IS NOT NULL AND date IS NOT NULL)
-SELECT {dim}, round(coalesce(sum(CASE WHEN cur THEN revenue END), 0), 2) AS revenue,
+SELECT {dim}, round(coalesce(sum(CASE WHEN cur THEN revenue END), 0), 4) AS revenue,
        count(CASE WHEN cur THEN revenue END) AS transactions,
-       round(coalesce(sum(CASE WHEN NOT cur THEN revenue END), 0), 2) AS revenue_prev,
-       round(coalesce(sum(CASE WHEN cur THEN revenue END), 0) * 1.10, 2) AS target
+       round(coalesce(sum(CASE WHEN NOT cur THEN revenue END), 0), 4) AS revenue_prev,
+       round(coalesce(sum(CASE WHEN cur THEN revenue END), 0) * 1.10, 4) AS target
 FROM x GROUP BY {dim} HAVING count_if(cur) > 0 {filt} {lim}
 """)
 
@@ -446,14 +446,14 @@ def q_half_sales(spark, d):
 , g AS (SELECT *, revenue * 1.10 AS target,
                coalesce(CASE WHEN revenue_prev = 0 THEN NULL ELSE (revenue - revenue_prev) / revenue_prev * 100 END, 0) AS growth_pct
         FROM h)
-SELECT region, round(revenue, 2) AS revenue, transactions, round(revenue_prev, 2) AS revenue_prev,
-       round(target, 2) AS target, round(growth_pct, 4) AS growth_pct,
-       round(revenue / sum(revenue) OVER () * 100, 4) AS share_pct,
+SELECT region, round(revenue, 4) AS revenue, transactions, round(revenue_prev, 4) AS revenue_prev,
+       round(target, 4) AS target, round(growth_pct, 6) AS growth_pct,
+       round(revenue / sum(revenue) OVER () * 100, 6) AS share_pct,
        row_number() OVER (ORDER BY revenue DESC, region) AS rank,
-       round(revenue / target * 100, 4) AS achievement_pct,
-       round(sum(revenue) OVER (), 2) AS total_revenue,
-       round(sum(revenue_prev) OVER (), 2) AS total_revenue_prev,
-       round(avg(CASE WHEN revenue_prev > 0 THEN growth_pct END) OVER (), 4) AS avg_growth_pct
+       round(revenue / target * 100, 6) AS achievement_pct,
+       round(sum(revenue) OVER (), 4) AS total_revenue,
+       round(sum(revenue_prev) OVER (), 4) AS total_revenue_prev,
+       round(avg(CASE WHEN revenue_prev > 0 THEN growth_pct END) OVER (), 6) AS avg_growth_pct
 FROM g
 """))
 def q_growth_vs_prev(spark, d):
@@ -473,8 +473,8 @@ def _growth_dim_sql(dim: str, unit: str, top: int) -> str:
         FROM g JOIN p ON g.period = p.period WHERE rk <= 2 GROUP BY g.{dim})
 , o AS (SELECT t.{dim}, coalesce(c.curr, 0) AS curr, coalesce(c.prev, 0) AS prev FROM t LEFT JOIN c ON t.{dim} = c.{dim}
         WHERE (SELECT count(*) FROM p) >= 2)
-SELECT {dim}, round(curr, 2) AS curr, round(prev, 2) AS prev,
-       round(CASE WHEN prev > 0 THEN (curr - prev) / prev * 100 WHEN curr > 0 THEN 100.0 ELSE 0.0 END, 4) AS growth_pct
+SELECT {dim}, round(curr, 4) AS curr, round(prev, 4) AS prev,
+       round(CASE WHEN prev > 0 THEN (curr - prev) / prev * 100 WHEN curr > 0 THEN 100.0 ELSE 0.0 END, 6) AS growth_pct
 FROM o
 """)
 
@@ -496,7 +496,7 @@ def q_growth_dim_w(spark, d):
         WHERE date IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2)
 , t AS (SELECT product FROM g GROUP BY product ORDER BY sum(revenue) DESC, product LIMIT 10)
 , ps AS (SELECT DISTINCT period FROM g)
-SELECT t.product, ps.period, round(coalesce(g.revenue, 0), 2) AS revenue
+SELECT t.product, ps.period, round(coalesce(g.revenue, 0), 4) AS revenue
 FROM t CROSS JOIN ps LEFT JOIN g ON g.product = t.product AND g.period = ps.period
 """))
 def q_heatmap(spark, d):
@@ -507,7 +507,7 @@ def q_heatmap(spark, d):
 , g AS (SELECT date_trunc('month', date) AS month, region, sum(revenue) AS revenue FROM sales
         WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2)
 , t AS (SELECT region FROM g GROUP BY region ORDER BY sum(revenue) DESC, region LIMIT 6)
-SELECT month, region, round(revenue, 2) AS revenue FROM g WHERE region IN (SELECT region FROM t)
+SELECT month, region, round(revenue, 4) AS revenue FROM g WHERE region IN (SELECT region FROM t)
 """))
 def q_region_monthly(spark, d):
     return rnd(growth.region_monthly(view(spark, d, "date", "region", "revenue")), ["revenue"])
@@ -525,7 +525,7 @@ _RFM_BASE_SQL = """
 
 
 @query("rfm_base", with_sales(_RFM_BASE_SQL + """
-SELECT customer, recency, frequency, round(monetary, 2) AS monetary, round(monetary / frequency, 4) AS avg_order
+SELECT customer, recency, frequency, round(monetary, 4) AS monetary, round(monetary / frequency, 6) AS avg_order
 FROM base
 """))
 def q_rfm_base(spark, d):
@@ -557,7 +557,7 @@ _RFM_SQL = _RFM_BASE_SQL + """
 
 
 @query("rfm_scores", with_sales(_RFM_SQL + """
-SELECT customer, recency, frequency, round(monetary, 2) AS monetary, round(monetary / frequency, 4) AS avg_order,
+SELECT customer, recency, frequency, round(monetary, 4) AS monetary, round(monetary / frequency, 6) AS avg_order,
        recency_score, frequency_score, monetary_score, rfm_score, segment
 FROM seg
 """))
@@ -567,14 +567,14 @@ def q_rfm(spark, d):
 
 
 @query("rfm_segments", with_sales(_RFM_SQL + """
-SELECT segment, count(*) AS customers, round(sum(monetary), 2) AS monetary FROM seg GROUP BY segment
+SELECT segment, count(*) AS customers, round(sum(monetary), 4) AS monetary FROM seg GROUP BY segment
 """))
 def q_rfm_segments(spark, d):
     return rnd(customers.rfm_segments(customers.rfm(view(spark, d, "date", "customer", "revenue"))), ["monetary"])
 
 
 @query("top_customers", with_sales(_RFM_BASE_SQL + """
-SELECT customer, recency, frequency, round(monetary, 2) AS monetary, round(monetary / frequency, 4) AS avg_order
+SELECT customer, recency, frequency, round(monetary, 4) AS monetary, round(monetary / frequency, 6) AS avg_order
 FROM base ORDER BY monetary DESC, customer LIMIT 15
 """))
 def q_top_customers(spark, d):
@@ -586,7 +586,7 @@ def q_top_customers(spark, d):
 , mm AS (SELECT min(recency) AS lo, max(recency) AS hi, (max(recency) - min(recency)) / 20.0 AS w FROM base)
 , c AS (SELECT CAST(least(CASE WHEN w > 0 THEN floor((recency - lo) / w) ELSE 0 END, 19) AS INTEGER) AS bin,
                count(*) AS customers FROM base, mm GROUP BY 1)
-SELECT g.bin, coalesce(c.customers, 0) AS customers, round(lo + g.bin * w, 4) AS lower, round(lo + (g.bin + 1) * w, 4) AS upper
+SELECT g.bin, coalesce(c.customers, 0) AS customers, round(lo + g.bin * w, 6) AS lower, round(lo + (g.bin + 1) * w, 6) AS upper
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) g LEFT JOIN c ON g.bin = c.bin, mm
 """))
 def q_recency_hist(spark, d):
@@ -607,8 +607,8 @@ _PROFIT_SQL = """
 
 
 @query("profitability_product", with_sales(_PROFIT_SQL + """
-SELECT product, round(revenue, 2) AS revenue, round(cost, 2) AS cost, txn, round(profit, 2) AS profit,
-       round(margin_pct, 4) AS margin_pct FROM pr
+SELECT product, round(revenue, 4) AS revenue, round(cost, 4) AS cost, txn, round(profit, 4) AS profit,
+       round(margin_pct, 6) AS margin_pct FROM pr
 """))
 def q_profitability(spark, d):
     out = profit.profitability_product(view(spark, d, "product", "revenue", "cost"))
@@ -616,8 +616,8 @@ def q_profitability(spark, d):
 
 
 @query("profit_deck_stats", with_sales(_PROFIT_SQL + """
-SELECT round(sum(profit), 2) AS total_profit, round(sum(revenue), 2) AS total_revenue,
-       round(avg(margin_pct), 4) AS avg_margin, count(*) AS products
+SELECT round(sum(profit), 4) AS total_profit, round(sum(revenue), 4) AS total_revenue,
+       round(avg(margin_pct), 6) AS avg_margin, count(*) AS products
 FROM pr WHERE margin_pct IS NOT NULL
 """))
 def q_profit_deck(spark, d):
@@ -629,8 +629,8 @@ def q_profit_deck(spark, d):
 , ok AS (SELECT * FROM pr WHERE margin_pct IS NOT NULL)
 , b AS (SELECT *, 'best' AS side FROM ok ORDER BY margin_pct DESC, product LIMIT 8)
 , w AS (SELECT *, 'worst' AS side FROM ok ORDER BY margin_pct ASC, product LIMIT 8)
-SELECT product, round(revenue, 2) AS revenue, round(cost, 2) AS cost, txn, round(profit, 2) AS profit,
-       round(margin_pct, 4) AS margin_pct, side FROM (SELECT * FROM b UNION ALL SELECT * FROM w)
+SELECT product, round(revenue, 4) AS revenue, round(cost, 4) AS cost, txn, round(profit, 4) AS profit,
+       round(margin_pct, 6) AS margin_pct, side FROM (SELECT * FROM b UNION ALL SELECT * FROM w)
 """))
 def q_margin_extremes(spark, d):
     out = profit.margin_extremes(view(spark, d, "product", "revenue", "cost"), 8)
@@ -638,8 +638,8 @@ def q_margin_extremes(spark, d):
 
 
 @query("profit_flat_margin", with_sales("""
-SELECT product, round(sum(revenue), 2) AS revenue, count(revenue) AS txn,
-       round(sum(revenue) * 0.3, 2) AS profit, 30.0 AS margin_pct
+SELECT product, round(sum(revenue), 4) AS revenue, count(revenue) AS txn,
+       round(sum(revenue) * 0.3, 4) AS profit, 30.0 AS margin_pct
 FROM sales WHERE product IS NOT NULL GROUP BY product
 """))
 def q_profit_flat(spark, d):
@@ -649,8 +649,8 @@ def q_profit_flat(spark, d):
 
 
 @query("profit_totals", with_sales("""
-SELECT round(sum(revenue), 2) AS total_revenue, round(sum(revenue - cost), 2) AS total_profit,
-       round(avg(CASE WHEN revenue = 0 THEN NULL ELSE (revenue - cost) / revenue * 100 END), 4) AS avg_margin
+SELECT round(sum(revenue), 4) AS total_revenue, round(sum(revenue - cost), 4) AS total_profit,
+       round(avg(CASE WHEN revenue = 0 THEN NULL ELSE (revenue - cost) / revenue * 100 END), 6) AS avg_margin
 FROM sales
 """))
 def q_profit_totals(spark, d):
@@ -660,11 +660,11 @@ def q_profit_totals(spark, d):
 
 @query("row_lags", with_sales("""
 SELECT order_id, line_no, part_id, supplier_id,
-       round(lag(revenue, 1) OVER w, 4) AS revenue_lag_1,
-       round(lag(revenue, 7) OVER w, 4) AS revenue_lag_7,
-       round(CASE WHEN row_number() OVER w >= 7 THEN avg(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 4)
+       round(lag(revenue, 1) OVER w, 6) AS revenue_lag_1,
+       round(lag(revenue, 7) OVER w, 6) AS revenue_lag_7,
+       round(CASE WHEN row_number() OVER w >= 7 THEN avg(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 6)
          AS revenue_rolling_mean_7,
-       round(CASE WHEN row_number() OVER w >= 7 THEN stddev_samp(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 4)
+       round(CASE WHEN row_number() OVER w >= 7 THEN stddev_samp(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 6)
          AS revenue_rolling_std_7
 FROM sales
 WINDOW w AS (ORDER BY date, order_id, line_no, part_id, supplier_id, ship_date, revenue)
@@ -681,7 +681,7 @@ def q_row_lags(spark, d):
 
 @query("map_values", with_sales("""
 , m AS (SELECT n.n_name AS region, r.r_name AS region_group FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
-SELECT m.region_group, round(sum(s.revenue), 2) AS revenue, count(*) AS transactions
+SELECT m.region_group, round(sum(s.revenue), 4) AS revenue, count(*) AS transactions
 FROM sales s LEFT JOIN m ON s.region = m.region GROUP BY m.region_group
 """))
 def q_map_values(spark, d):
@@ -708,7 +708,7 @@ def q_map_values(spark, d):
 , gr AS (SELECT product, curr, CASE WHEN prev > 0 THEN (curr - prev) / prev * 100 WHEN curr > 0 THEN 100.0 ELSE 0.0 END AS growth_pct FROM o)
 , best AS (SELECT 'fastest' AS side, * FROM gr ORDER BY growth_pct DESC, product LIMIT 5)
 , worst AS (SELECT 'declining' AS side, * FROM gr ORDER BY growth_pct ASC, product LIMIT 5)
-SELECT side, product, round(curr, 2) AS curr, round(growth_pct, 4) AS growth_pct FROM (SELECT * FROM best UNION ALL SELECT * FROM worst)
+SELECT side, product, round(curr, 4) AS curr, round(growth_pct, 6) AS growth_pct FROM (SELECT * FROM best UNION ALL SELECT * FROM worst)
 """))
 def q_growth_dim_extremes(spark, d):
     """The 5 fastest-growing and 5 most-declining of the top-10 products
@@ -721,7 +721,7 @@ def q_growth_dim_extremes(spark, d):
 
 
 @query("top_customers_frequency", with_sales(_RFM_BASE_SQL + """
-SELECT customer, recency, frequency, round(monetary, 2) AS monetary, round(monetary / frequency, 4) AS avg_order
+SELECT customer, recency, frequency, round(monetary, 4) AS monetary, round(monetary / frequency, 6) AS avg_order
 FROM base ORDER BY frequency DESC, customer LIMIT 15
 """))
 def q_top_customers_freq(spark, d):
@@ -732,7 +732,7 @@ def q_top_customers_freq(spark, d):
 
 @query("status_counts", with_sales("""
 SELECT status, count(*) AS transactions, 0.0 AS total_revenue,
-       round(count(*) * 100.0 / (SELECT count(*) FROM sales WHERE status IS NOT NULL), 4) AS pct_transactions
+       round(count(*) * 100.0 / (SELECT count(*) FROM sales WHERE status IS NOT NULL), 6) AS pct_transactions
 FROM sales WHERE status IS NOT NULL GROUP BY status
 """))
 def q_status_counts(spark, d):

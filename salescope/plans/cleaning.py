@@ -65,7 +65,7 @@ def q_proxy_columns(spark, d):
 
 _PROBE_SQL = """
 , probe AS (SELECT v FROM (SELECT DISTINCT lower(trim(CAST({col} AS VARCHAR))) AS v FROM sales
-                           WHERE {col} IS NOT NULL) ORDER BY v LIMIT 30)
+                           WHERE {col} IS NOT NULL))
 """
 _STATUS_WORDS_SQL = "(" + ", ".join(f"'{w}'" for w in fixed.STATUS_LIKE_VALUES) + ")"
 
@@ -135,7 +135,7 @@ def _holes(spark, d):
                  CASE WHEN line_no = 2 THEN NULL ELSE region END AS region FROM sales)
 SELECT {KEYS_SQL},
        coalesce(quantity, (SELECT quantile_cont(quantity, 0.5) FROM raw)) AS quantity,
-       round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM raw)), 4) AS price,
+       round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM raw)), 6) AS price,
        coalesce(product, (SELECT product FROM raw WHERE product IS NOT NULL GROUP BY product
                           ORDER BY count(*) DESC, product LIMIT 1)) AS product,
        coalesce(region, (SELECT region FROM raw WHERE region IS NOT NULL GROUP BY region
@@ -151,7 +151,7 @@ def q_fill_missing(spark, d):
 SELECT {KEYS_SQL},
        round(last_value(CASE WHEN line_no IN (2, 3) THEN NULL ELSE price END IGNORE NULLS)
              OVER (ORDER BY date, order_id, line_no, part_id, supplier_id, ship_date, revenue
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS price
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS price
 FROM sales
 """))
 def q_ffill(spark, d):
@@ -162,7 +162,7 @@ def q_ffill(spark, d):
 
 
 @query("drop_duplicates", with_sales(f"""
-SELECT DISTINCT {KEYS_SQL}, date, round(revenue, 2) AS revenue FROM sales
+SELECT DISTINCT {KEYS_SQL}, date, round(revenue, 4) AS revenue FROM sales
 """))
 def q_drop_duplicates(spark, d):
     v = view(spark, d, *KEYS, "date", "revenue")
@@ -174,7 +174,7 @@ def q_drop_duplicates(spark, d):
 
 @query("drop_duplicates_subset", with_sales(f"""
 SELECT {KEYS_SQL}, date, revenue FROM (
-  SELECT {KEYS_SQL}, date, round(revenue, 2) AS revenue,
+  SELECT {KEYS_SQL}, date, round(revenue, 4) AS revenue,
          row_number() OVER (PARTITION BY order_id ORDER BY line_no, part_id, supplier_id, date, revenue) AS rn
   FROM sales) t WHERE rn = 1
 """))
@@ -211,7 +211,7 @@ def q_status_flag_fallback(spark, d):
 
 
 @query("derive_revenue", with_sales(f"""
-SELECT {KEYS_SQL}, round(quantity * price, 2) AS revenue FROM sales
+SELECT {KEYS_SQL}, round(quantity * price, 4) AS revenue FROM sales
 """))
 def q_derive_revenue(spark, d):
     v = view(spark, d, *KEYS, "quantity", "price")   # no revenue column
@@ -230,7 +230,7 @@ def q_to_numeric(spark, d):
 
 
 @query("filter_sales", with_sales(f"""
-SELECT {KEYS_SQL}, date, category, region, channel, round(revenue, 2) AS revenue FROM sales
+SELECT {KEYS_SQL}, date, category, region, channel, round(revenue, 4) AS revenue FROM sales
 WHERE CAST(date AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'
   AND category IN ('ECONOMY', 'PROMO', 'STANDARD')
   AND region IN ('NATION_1', 'NATION_3', 'NATION_5', 'NATION_7', 'NATION_11', 'NATION_13')
@@ -247,7 +247,7 @@ def q_filter_sales(spark, d):
 
 
 @query("last_n_days", with_sales(f"""
-SELECT {KEYS_SQL}, date, round(revenue, 2) AS revenue FROM sales
+SELECT {KEYS_SQL}, date, round(revenue, 4) AS revenue FROM sales
 WHERE date > (SELECT max(date) FROM sales) - INTERVAL 90 DAY
 """))
 def q_last_n_days(spark, d):
@@ -260,10 +260,10 @@ def _summary_sql() -> str:
                                  ("quantity", "double", True), ("price", "double", True),
                                  ("revenue", "double", True)]:
         if numeric:
-            stats = (f"count({name}) AS count, round(avg({name}), 4) AS mean, round(stddev_samp({name}), 4) AS std, "
-                     f"round(min({name}), 4) AS min, round(quantile_cont({name}, 0.25), 4) AS q25, "
-                     f"round(quantile_cont({name}, 0.5), 4) AS q50, round(quantile_cont({name}, 0.75), 4) AS q75, "
-                     f"round(max({name}), 4) AS max")
+            stats = (f"count({name}) AS count, round(avg({name}), 6) AS mean, round(stddev_samp({name}), 6) AS std, "
+                     f"round(min({name}), 6) AS min, round(quantile_cont({name}, 0.25), 6) AS q25, "
+                     f"round(quantile_cont({name}, 0.5), 6) AS q50, round(quantile_cont({name}, 0.75), 6) AS q75, "
+                     f"round(max({name}), 6) AS max")
         else:
             stats = ("CAST(NULL AS BIGINT) AS count, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, "
                      "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS q25, CAST(NULL AS DOUBLE) AS q50, "
@@ -304,9 +304,9 @@ def q_drop_status_like(spark, d):
 
 
 @query("resolve_column", with_sales("""
-SELECT region AS kota, round(sum(revenue), 2) AS revenue, count(revenue) AS transactions,
-       round(sum(quantity), 2) AS quantity,
-       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE region IS NOT NULL) * 100, 4) AS revenue_share_pct,
+SELECT region AS kota, round(sum(revenue), 4) AS revenue, count(revenue) AS transactions,
+       round(sum(quantity), 4) AS quantity,
+       round(sum(revenue) / (SELECT sum(revenue) FROM sales WHERE region IS NOT NULL) * 100, 6) AS revenue_share_pct,
        row_number() OVER (ORDER BY sum(revenue) DESC, region) AS rank
 FROM sales WHERE region IS NOT NULL GROUP BY region
 """))

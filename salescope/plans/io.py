@@ -20,7 +20,7 @@ def _fresh(spark, name: str) -> str:
 
 
 @query("read_csv", with_sales("""
-SELECT date, order_id, line_no, product, round(revenue, 2) AS revenue FROM sales
+SELECT date, order_id, line_no, product, round(revenue, 4) AS revenue FROM sales
 """))
 def q_read_csv(spark, d):
     path = _fresh(spark, "upload-csv")
@@ -31,7 +31,7 @@ def q_read_csv(spark, d):
 
 
 @query("read_json", with_sales("""
-SELECT date, order_id, line_no, product, round(revenue, 2) AS revenue FROM sales
+SELECT date, order_id, line_no, product, round(revenue, 4) AS revenue FROM sales
 """))
 def q_read_json(spark, d):
     path = _fresh(spark, "upload-json")
@@ -43,7 +43,7 @@ def q_read_json(spark, d):
 
 
 @query("union_files", with_sales("""
-SELECT date, order_id, line_no, round(revenue, 2) AS revenue,
+SELECT date, order_id, line_no, round(revenue, 4) AS revenue,
        CASE WHEN status = 'Completed' THEN NULL ELSE channel END AS channel
 FROM sales
 """))
@@ -67,7 +67,7 @@ def q_union_files(spark, d):
 
 
 @query("write_processed", with_sales("""
-SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS rows, round(sum(revenue), 2) AS revenue
+SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS rows, round(sum(revenue), 4) AS revenue
 FROM sales GROUP BY 1
 """))
 def q_write_processed(spark, d):
@@ -132,7 +132,7 @@ def q_write_bundle(spark, d):
 
 
 @query("preview", with_sales("""
-SELECT date, order_id, line_no, part_id, supplier_id, ship_date, round(revenue, 2) AS revenue, product
+SELECT date, order_id, line_no, part_id, supplier_id, ship_date, round(revenue, 4) AS revenue, product
 FROM sales ORDER BY date, order_id, line_no, part_id, supplier_id, ship_date, revenue LIMIT 10
 """))
 def q_preview(spark, d):

@@ -50,8 +50,8 @@ def _daily(spark, d):
 
 
 @query("daily_features", with_sales(_DAILY_SQL + """
-SELECT date, round(revenue, 2) AS revenue, year, month, quarter, day_of_week, day_of_month, week_of_year, is_weekend,
-       """ + ", ".join(f"round({c}, 4) AS {c}" for c in _FLOAT_FEATURES) + """
+SELECT date, round(revenue, 4) AS revenue, year, month, quarter, day_of_week, day_of_month, week_of_year, is_weekend,
+       """ + ", ".join(f"round({c}, 6) AS {c}" for c in _FLOAT_FEATURES) + """
 FROM daily
 """))
 def q_daily_features(spark, d):
@@ -59,7 +59,7 @@ def q_daily_features(spark, d):
 
 
 @query("fc_split", with_sales(_DAILY_SQL + """
-SELECT date, round(revenue, 2) AS revenue,
+SELECT date, round(revenue, 4) AS revenue,
        CASE WHEN row_number() OVER (ORDER BY date) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split
 FROM daily
 """))
@@ -73,7 +73,7 @@ def _scale_sql() -> str:
     cols = []
     for c in DAILY_FEATURES:
         iqr = f"(q_{c}[3] - q_{c}[1])"
-        cols.append(f"round((coalesce({c}, 0) - q_{c}[2]) / CASE WHEN {iqr} = 0 THEN 1 ELSE {iqr} END, 4) AS {c}")
+        cols.append(f"round((coalesce({c}, 0) - q_{c}[2]) / CASE WHEN {iqr} = 0 THEN 1 ELSE {iqr} END, 6) AS {c}")
     return with_sales(_DAILY_SQL + f"""
 , s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= floor(count(*) OVER () * 0.8)
                        THEN 'train' ELSE 'test' END AS split FROM daily)
@@ -95,11 +95,11 @@ def q_fc_scale(spark, d):
 @query("fc_metrics", with_sales(_DAILY_SQL + """
 , s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= floor(count(*) OVER () * 0.8)
                        THEN 'train' ELSE 'test' END AS split FROM daily)
-SELECT split, round(avg(abs(revenue - lag_1)), 4) AS mae, round(sqrt(avg((revenue - lag_1) * (revenue - lag_1))), 4) AS rmse,
-       round(avg(abs(revenue - lag_1) / greatest(abs(revenue), 2.220446049250313e-16)) * 100, 4) AS mape,
+SELECT split, round(avg(abs(revenue - lag_1)), 6) AS mae, round(sqrt(avg((revenue - lag_1) * (revenue - lag_1))), 6) AS rmse,
+       round(avg(abs(revenue - lag_1) / greatest(abs(revenue), 2.220446049250313e-16)) * 100, 6) AS mape,
        round(CASE WHEN var_pop(revenue) * count(revenue) <> 0
                   THEN 1 - sum((revenue - lag_1) * (revenue - lag_1)) / (var_pop(revenue) * count(revenue))
-                  WHEN sum((revenue - lag_1) * (revenue - lag_1)) = 0 THEN 1 ELSE 0 END, 4) AS r2
+                  WHEN sum((revenue - lag_1) * (revenue - lag_1)) = 0 THEN 1 ELSE 0 END, 6) AS r2
 FROM s GROUP BY split
 """))
 def q_fc_metrics(spark, d):
@@ -213,8 +213,8 @@ _INS_RATIO = ["trend_pct", "vs_hist_pct", "worst_week_drop_pct", "weekend_diff_p
 
 
 @query("fc_insights", with_sales(_FC_INPUT_SQL + """
-SELECT """ + ", ".join(f"round({c}, 2) AS {c}" for c in _INS_MONEY) + ", "
-       + ", ".join(f"round({c}, 4) AS {c}" for c in _INS_RATIO) + """,
+SELECT """ + ", ".join(f"round({c}, 4) AS {c}" for c in _INS_MONEY) + ", "
+       + ", ".join(f"round({c}, 6) AS {c}" for c in _INS_RATIO) + """,
        max_day, min_day, n_periods, worst_week,
        CASE WHEN trend_pct < -15 OR worst_week_drop_pct < -30 THEN 'HIGH'
             WHEN trend_pct < -5 OR worst_week_drop_pct < -15 THEN 'MEDIUM' ELSE 'LOW' END AS risk
@@ -226,7 +226,7 @@ def q_fc_insights(spark, d):
 
 
 def _fx(expr: str) -> str:
-    return f"printf('%.1f', round({expr}, 1))"
+    return f"printf('%.1f', {expr})"
 
 
 @query("fc_actions", with_sales(_FC_INPUT_SQL + f"""
@@ -266,14 +266,14 @@ def q_fc_actions(spark, d):
 , c AS (SELECT category, sum(revenue) / (SELECT sum(revenue) FROM sales WHERE category IS NOT NULL) * 100 AS pct
         FROM sales WHERE category IS NOT NULL GROUP BY category ORDER BY sum(revenue) DESC, category LIMIT 1)
 , wk AS (SELECT avg(CASE WHEN isodow(date) >= 6 THEN revenue END) AS we, avg(CASE WHEN isodow(date) < 6 THEN revenue END) AS wd FROM sales)
-SELECT 1 AS line_no, 'Total revenue: Rp ' || format('{:,.0f}', round(rev + 3.71e-4, 0)) AS text FROM tot
+SELECT 1 AS line_no, 'Total revenue: Rp ' || format('{:,.0f}', rev) AS text FROM tot
 UNION ALL SELECT 2, 'Total transactions: ' || format('{:,}', n) FROM tot
-UNION ALL SELECT 3, 'Average order value: Rp ' || format('{:,.0f}', round(rev / n + 3.71e-4, 0)) FROM tot
-UNION ALL SELECT 4, 'Revenue last month ' || CASE WHEN mom > 0 THEN 'up ' ELSE 'down ' END || printf('%.1f', round(abs(mom) + 3.71e-5, 1)) || '% (MoM)' FROM lastm WHERE mom IS NOT NULL
-UNION ALL SELECT 5, 'Top product: ' || product || ' (Rp ' || format('{:,.0f}', round(revenue + 3.71e-4, 0)) || ')' FROM p
-UNION ALL SELECT 6, 'Warning: ' || product || ' fell ' || printf('%.1f', round(d + 3.71e-5, 1)) || '% over the last 3 months' FROM dec
-UNION ALL SELECT 7, 'Largest category: ' || category || ' (' || printf('%.1f', round(pct + 3.71e-5, 1)) || '% of total revenue)' FROM c
-UNION ALL SELECT 8, 'Weekend revenue is ' || printf('%.1f', round((we / wd - 1) * 100 + 3.71e-5, 1)) || '% higher than weekdays' FROM wk
+UNION ALL SELECT 3, 'Average order value: Rp ' || format('{:,.0f}', rev / n) FROM tot
+UNION ALL SELECT 4, 'Revenue last month ' || CASE WHEN mom > 0 THEN 'up ' ELSE 'down ' END || printf('%.1f', abs(mom)) || '% (MoM)' FROM lastm WHERE mom IS NOT NULL
+UNION ALL SELECT 5, 'Top product: ' || product || ' (Rp ' || format('{:,.0f}', revenue) || ')' FROM p
+UNION ALL SELECT 6, 'Warning: ' || product || ' fell ' || printf('%.1f', d) || '% over the last 3 months' FROM dec
+UNION ALL SELECT 7, 'Largest category: ' || category || ' (' || printf('%.1f', pct) || '% of total revenue)' FROM c
+UNION ALL SELECT 8, 'Weekend revenue is ' || printf('%.1f', (we / wd - 1) * 100) || '% higher than weekdays' FROM wk
   WHERE we IS NOT NULL AND wd IS NOT NULL AND wd > 0 AND we > wd
 """))
 def q_insights(spark, d):
@@ -386,7 +386,7 @@ _Z_SQL = f"""
 
 
 @query("anom_zscore", with_sales(_Z_SQL + f"""
-SELECT {KEYS_SQL}, anomaly, round(anomaly_score, 4) AS anomaly_score FROM scored
+SELECT {KEYS_SQL}, anomaly, round(anomaly_score, 6) AS anomaly_score FROM scored
 """))
 def q_anom_zscore(spark, d):
     out = anomaly.zscore(view(spark, d, *KEYS, "revenue", "quantity"))
@@ -395,7 +395,7 @@ def q_anom_zscore(spark, d):
 
 @query("anom_zscore_new", with_sales(_Z_SQL.replace(
     "FROM sales)", "FROM sales WHERE date > (SELECT max(date) FROM sales) - INTERVAL 365 DAY)", 1) + f"""
-SELECT {KEYS_SQL}, anomaly, round(anomaly_score, 4) AS anomaly_score FROM scored
+SELECT {KEYS_SQL}, anomaly, round(anomaly_score, 6) AS anomaly_score FROM scored
 """))
 def q_anom_zscore_new(spark, d):
     """Score the latest year as new data: statistics come from the new rows."""
@@ -407,7 +407,7 @@ def q_anom_zscore_new(spark, d):
 
 
 @query("anom_summary", with_sales(_Z_SQL + """
-SELECT count(*) AS rows, sum(anomaly) AS anomalies, round(sum(anomaly) * 100.0 / count(*), 4) AS anomaly_rate_pct
+SELECT count(*) AS rows, sum(anomaly) AS anomalies, round(sum(anomaly) * 100.0 / count(*), 6) AS anomaly_rate_pct
 FROM scored
 """))
 def q_anom_summary(spark, d):
@@ -416,7 +416,7 @@ def q_anom_summary(spark, d):
 
 
 @query("anomalies_only", with_sales(_Z_SQL + f"""
-SELECT {KEYS_SQL}, anomaly, round(anomaly_score, 4) AS anomaly_score FROM scored WHERE anomaly = 1
+SELECT {KEYS_SQL}, anomaly, round(anomaly_score, 6) AS anomaly_score FROM scored WHERE anomaly = 1
 """))
 def q_anomalies_only(spark, d):
     out = anomaly.anomalies_only(anomaly.zscore(view(spark, d, *KEYS, "revenue", "quantity")))

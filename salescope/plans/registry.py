@@ -19,45 +19,10 @@ from ..sources.tables import sales_view, sales_view_sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MONEY = 2   # digits for money amounts
-RATIO = 4   # digits for means, ratios and percentages
-
-
-def tie_offset(digits: int) -> float:
-    """Offset added before rounding so that exact half-way values (common:
-    revenue amounts lie on a 4-decimal grid) round the same way whatever
-    the summation order of the engine.  It is off the decimal grid and far
-    below the last kept digit."""
-    return 3.71 * 10.0 ** -(digits + 3)
-
-
-def _stable_rounding(sql: str) -> str:
-    """Rewrite every ``round(expr, k)`` of an oracle string into
-    ``round(expr + tie_offset(k), k)`` — the same rounding as ``rnd``."""
-    out, i = [], 0
-    while True:
-        j = sql.find("round(", i)
-        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
-            if j < 0:
-                out.append(sql[i:])
-                return "".join(out)
-            out.append(sql[i:j + 6])
-            i = j + 6
-            continue
-        depth, k, comma = 1, j + 6, None
-        while depth:
-            ch = sql[k]
-            if ch == "(":
-                depth += 1
-            elif ch == ")":
-                depth -= 1
-            elif ch == "," and depth == 1:
-                comma = k
-            k += 1
-        inner_expr = _stable_rounding(sql[j + 6:comma])
-        digits = int(sql[comma + 1:k - 1])
-        out.append(sql[i:j] + f"round(({inner_expr}) + {tie_offset(digits)!r}, {digits})")
-        i = k
+# Revenue amounts lie on a grid of 4 decimals, so their sums are rounded there;
+# means, ratios and percentages get two digits more.
+MONEY = 4
+RATIO = 6
 
 
 def query(name: str, sql: str | None = None):
@@ -66,7 +31,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = _stable_rounding(sql)
+            ORACLES[name] = sql
         return fn
     return deco
 
@@ -86,6 +51,6 @@ def with_sales(body: str, cols: list[str] | None = None) -> str:
 
 
 def rnd(df: DataFrame, money: list[str] = (), ratio: list[str] = ()) -> DataFrame:
-    cols = {c: F.round(F.col(c) + F.lit(tie_offset(MONEY)), MONEY) for c in money if c in df.columns}
-    cols.update({c: F.round(F.col(c) + F.lit(tie_offset(RATIO)), RATIO) for c in ratio if c in df.columns})
+    cols = {c: F.round(F.col(c), MONEY) for c in money if c in df.columns}
+    cols.update({c: F.round(F.col(c), RATIO) for c in ratio if c in df.columns})
     return df.withColumns(cols) if cols else df

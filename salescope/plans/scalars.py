@@ -25,17 +25,17 @@ def q_time_features(spark, d):
 
 
 @query("revenue_per_unit", with_sales(f"""
-SELECT {KEYS_SQL}, round(CASE WHEN quantity = 0 THEN NULL ELSE revenue / quantity END, 4) AS revenue_per_unit
+SELECT {KEYS_SQL}, CASE WHEN quantity = 0 THEN NULL ELSE revenue / quantity END AS revenue_per_unit
 FROM sales
 """))
 def q_revenue_per_unit(spark, d):
     out = features.revenue_per_unit(view(spark, d, *KEYS, "revenue", "quantity"))
-    return rnd(out.select(*KEYS, "revenue_per_unit"), [], ["revenue_per_unit"])
+    return out.select(*KEYS, "revenue_per_unit")
 
 
 @query("price_tier", with_sales(f"""
 , q AS (SELECT quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75 FROM sales)
-SELECT {KEYS_SQL}, round(price, 4) AS price,
+SELECT {KEYS_SQL}, round(price, 6) AS price,
        CASE WHEN NOT (0 < q25 AND q25 < q75) THEN NULL
             WHEN price <= 0 THEN NULL WHEN price <= q25 THEN 'Low' WHEN price <= q75 THEN 'Medium'
             WHEN price IS NOT NULL THEN 'High' END AS price_tier
@@ -48,12 +48,12 @@ def q_price_tier(spark, d):
 
 def _fmt_sql(x: str) -> str:
     def fixed(v, digits):
-        return f"printf('%.{digits}f', round({v}, {digits}))"
+        return f"printf('%.{digits}f', {v})"
     short = (f"CASE WHEN abs({x}) >= 1e12 THEN {fixed(f'{x} / 1e12', 1)} || 'T' "
              f"WHEN abs({x}) >= 1e9 THEN {fixed(f'{x} / 1e9', 1)} || 'B' "
              f"WHEN abs({x}) >= 1e6 THEN {fixed(f'{x} / 1e6', 1)} || 'M' "
              f"WHEN abs({x}) >= 1e3 THEN {fixed(f'{x} / 1e3', 1)} || 'K' "
-             f"ELSE printf('%.0f', round({x}, 0)) END")
+             f"ELSE printf('%.0f', {x}) END")
     deck = ("'Rp ' || " + f"CASE WHEN {x} >= 1e12 THEN {fixed(f'{x} / 1e12', 1)} || 'T' "
             f"WHEN {x} >= 1e9 THEN {fixed(f'{x} / 1e9', 2)} || 'M' "
             f"WHEN {x} >= 1e6 THEN {fixed(f'{x} / 1e6', 1)} || 'Jt' "
@@ -67,7 +67,7 @@ def _fmt_sql(x: str) -> str:
         UNION ALL SELECT 'ALL', sum(revenue) FROM sales
         UNION ALL SELECT 'AVG', avg(revenue) FROM sales
         UNION ALL SELECT 'MEAN_QTY', avg(quantity) FROM sales)
-SELECT product, round(revenue, 2) AS revenue, {_fmt_sql('revenue')} FROM p
+SELECT product, round(revenue, 4) AS revenue, {_fmt_sql('revenue')} FROM p
 """))
 def q_format_currency(spark, d):
     v = view(spark, d, "product", "revenue", "quantity")
@@ -91,7 +91,7 @@ def q_label_encode(spark, d):
 
 
 @query("finite_or_zero", with_sales(f"""
-SELECT {KEYS_SQL}, round(coalesce(CASE WHEN quantity = 0 THEN NULL ELSE (revenue - cost * quantity) / revenue END, 0), 4)
+SELECT {KEYS_SQL}, round(coalesce(CASE WHEN quantity = 0 THEN NULL ELSE (revenue - cost * quantity) / revenue END, 0), 6)
        AS unit_margin FROM sales
 """))
 def q_finite_or_zero(spark, d):

@@ -75,9 +75,9 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (unit tests, a laptop) do we fall
-    back to a fresh local folder.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder; without
+    it this raises.  Only a local master, whose single machine is the whole
+    cluster, gets a fresh local folder when nothing is configured.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -85,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="salescope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

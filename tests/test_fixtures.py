@@ -267,3 +267,72 @@ def test_exact_quantiles_match_numpy_with_hot_values(spark, monkeypatch):
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
     got = ordered.exact_quantiles(df, "x", qs)
     assert np.allclose(got, np.quantile(vals, qs))
+
+
+# -- whole numbers, types, headers, files ------------------------------------
+
+def test_fill_missing_keeps_fractions_of_whole_columns(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 8), (5, None)], "k int, quantity long")
+    got = {r["k"]: r["quantity"] for r in conform.fill_missing(df, {"quantity": "median"}).collect()}
+    assert got[5] == 2.5 and got[4] == 8.0
+    got = {r["k"]: r["quantity"] for r in conform.fill_missing(df, {"quantity": "mean"}).collect()}
+    assert got[5] == 3.5
+    odd = spark.createDataFrame([(1, 1), (2, 3), (3, 8), (4, None)], "k int, quantity long")
+    out = conform.fill_missing(odd, {"quantity": "median"})
+    assert dict(out.dtypes)["quantity"] == "bigint"
+    assert {r["quantity"] for r in out.where("k = 4").collect()} == {3}
+
+
+def test_forward_fill_keeps_every_type(spark):
+    import datetime as dt
+    from decimal import Decimal
+    rows = [(i, i * 3 if i % 4 else None, i % 3 == 0 if i % 5 else None, dt.date(2024, 1, 1 + i % 28) if i % 3 else None,
+             Decimal(i) / 4 if i % 6 else None, f"s{i}" if i % 7 == 1 else None, 2 ** 60 + i if i % 9 == 2 else None)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, a int, b boolean, c date, d decimal(10,2), e string, f long").repartition(5)
+    cols = ["a", "b", "c", "d", "e", "f"]
+    got = sorted(ordered.forward_fill(df, ["k"], cols).collect())
+    last = [None] * 6
+    for r, src in zip(got, rows):
+        last = [x if x is not None else y for x, y in zip(src[1:], last)]
+        assert list(r)[1:] == last
+
+
+def test_headers_that_collide(spark):
+    df = spark.createDataFrame([("a", "b", "c", "d")], ["Nama Pelanggan", "Customer", "Store X", "store x"])
+    out = conform.standardize_columns(df)
+    assert len(set(out.columns)) == len(out.columns)
+    row = out.first()
+    assert row["customer"] in ("a", "b") and {"a", "b"} <= set(row.asDict().values())
+
+
+def test_status_probe_sees_all_values(spark):
+    words = ["completed", "cancelled", "pending", "refund", "paid", "unpaid", "shipped", "success"]
+    late = spark.createDataFrame([(f"aaa{i}",) for i in range(40)] + [(w,) for w in words], "product string")
+    assert conform.product_valid(late)          # 8 of 48
+    many = spark.createDataFrame([(f"aaa{i}",) for i in range(10)] + [(w,) for w in words], "product string")
+    assert not conform.product_valid(many)      # 8 of 18
+
+
+def test_csv_quotes_encodings_and_bad_uploads(spark, tmp_path):
+    from salescope.sources import files
+    (tmp_path / "q.csv").write_text('name,n\n"a ""b"", c",1\n"two\nlines",2\n', encoding="utf-8")
+    rows = files.load_data(spark, str(tmp_path / "q.csv"), multiline=True).collect()
+    assert [r["name"] for r in rows] == ['a "b", c', "two\nlines"]
+    folder = tmp_path / "up.csv"
+    folder.mkdir()
+    body = "name,n\n" + "x,1\n" * 12_000
+    (folder / "a.csv").write_bytes((body + "café,2\n").encode("latin-1"))
+    (folder / "b.csv").write_bytes((body + "thé �,3\n").encode("utf-8"))
+    got = {r["name"] for r in files.load_data(spark, str(folder)).where("n > 1").collect()}
+    assert got == {"café", "thé �"}
+    df, skipped = files.read_uploads(spark, [str(tmp_path / "q.csv"), str(tmp_path / "none.csv"), "x.doc"])
+    assert df is not None and set(skipped) == {str(tmp_path / "none.csv"), "x.doc"}
+
+
+def test_isolation_forest_is_the_same_in_any_partitioning(spark):
+    from salescope.models.anomaly import fit_isolation_forest
+    rows = [(i, float(i * 37 % 101), float(i % 7)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "k int, revenue double, quantity double")
+    offsets = {fit_isolation_forest(df.repartition(n), n_trees=20).offset for n in (1, 7, 64)}
+    assert len(offsets) == 1
