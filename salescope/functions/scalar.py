@@ -5,7 +5,6 @@ All are built-in Spark expressions (whole-stage codegen, no Python UDF).
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +63,15 @@ def format_deck(x: Column) -> Column:
 def label_encode(df: DataFrame, col: str, out: str | None = None, fitted: DataFrame | None = None) -> DataFrame:
     """Sorted distinct labels → 0-based index; unseen or null labels → 0.
 
-    ``StringIndexer`` collects the distinct labels of the fitting frame
-    (bounded by the label vocabulary, not by the rows)."""
+    Indices are ranks of an ordered scan over the distinct labels and come back
+    by a join: no label list on the driver, whatever its size."""
+    from ..operators.ordered import running_sum
+
     out = out or f"{col}_encoded"
     src = fitted if fitted is not None else df
-    model = StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(src.where(F.col(col).isNotNull()))
-    n = len(model.labels)
-    res = model.transform(df.withColumn(col, F.col(col).cast("string")))
-    # handleInvalid='keep' puts unseen labels at index n: map them to 0
-    return res.withColumn(out, F.when(F.col(out) >= F.lit(float(n)), F.lit(0.0)).otherwise(F.col(out)))
+    labels = src.select(F.col(col).cast("string").alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    ranked = running_sum(labels.withColumn("_one", F.lit(1.0)), ["_label"], "_one", "_sum", "_rank")
+    index = ranked.select("_label", (F.col("_rank") - 1).cast("double").alias("_index"))
+    text = df.withColumn(col, F.col(col).cast("string"))
+    return (text.join(index, text[col] == index["_label"], "left")
+            .withColumn(out, F.coalesce("_index", F.lit(0.0))).drop("_label", "_index"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.features import DAILY_FEATURES, calendar_columns, daily_features
+from ..session import ensure_checkpoint_dir
 
 MODEL_TYPES = ["linear", "ridge", "lasso", "random_forest", "extra_trees", "gradient_boosting",
                "xgboost", "lightgbm", "ensemble", "stacking"]
@@ -253,7 +254,7 @@ class Forecaster:
         if imp is None:
             return spark.createDataFrame([("Model does not support feature importance", 0.0)],
                                          "feature string, importance double")
-        rows = [(c, float(imp[i])) for i, c in enumerate(self.feature_columns)]
+        rows = sorted(((c, float(imp[i])) for i, c in enumerate(self.feature_columns)), key=lambda r: (-r[1], r[0]))
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def save(self, path: str) -> None:
@@ -328,7 +329,9 @@ def fit_forecaster(sales: DataFrame, model_type: str = "random_forest", test_siz
     """Build the daily feature table, split by time, scale on train, fit,
     and report train/test metrics.  Returns (forecaster, scored rows)."""
     daily = daily_features(sales, series)
-    split = split_train_test(daily, test_size, series).cache()
+    # one row per day and series, read by every pass of the fits
+    ensure_checkpoint_dir(daily.sparkSession)
+    split = split_train_test(daily, test_size, series).checkpoint(eager=True)
     stats = fit_scaler(split.where(F.col("split") == "train"), DAILY_FEATURES)
     data = apply_scaler(split, stats, DAILY_FEATURES)
     train = data.where(F.col("split") == "train")
