@@ -2,8 +2,6 @@
 
 Every figure comes from an aggregate over the data; the sentences are
 assembled with ``format_string`` / ``format_number`` column expressions.
-Ties at the printed precision are broken upwards (``_fixed``) so that every
-engine prints the same text.
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ensure_checkpoint_dir
 from . import dims, growth
 from .common import pct
 
@@ -38,8 +37,16 @@ def insights(df: DataFrame) -> DataFrame:
     """Up to eight lines: totals, last month's change, best product, worst
     decliner, largest category, weekend uplift (only when higher).
 
-    Returns (line_no, text); each line is a small aggregate, unioned."""
-    tot = df.agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("rev"), F.count(F.lit(1)).alias("n"))
+    Returns (line_no, text).  The transactions are read once: sums by month,
+    weekend flag, product and category are checkpointed, and every line is a
+    small aggregate of these."""
+    ensure_checkpoint_dir(df.sparkSession)
+    dims_here = [c for c in ("product", "category") if c in df.columns]
+    df = (df.groupBy(F.date_trunc("month", "date").cast("timestamp_ntz").alias("date"),
+                     (F.weekday("date") >= 5).alias("weekend"), *dims_here)
+            .agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("n"), F.count("revenue").alias("n_revenue"))
+            .checkpoint(eager=True))
+    tot = df.agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("rev"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     lines = [
         tot.select(F.lit(1).alias("line_no"), F.concat(F.lit("Total revenue: Rp "), _thousands(F.col("rev"))).alias("text")),
         tot.select(F.lit(2).alias("line_no"), F.concat(F.lit("Total transactions: "),
@@ -66,9 +73,8 @@ def insights(df: DataFrame) -> DataFrame:
         lines.append(cat.select(F.lit(7).alias("line_no"), F.concat(
             F.lit("Largest category: "), F.col("category"), F.lit(" ("), _fixed(F.col("revenue_pct"), 1),
             F.lit("% of total revenue)")).alias("text")))
-    wd = F.weekday("date")
-    wk = df.agg(F.avg(F.when(wd >= 5, F.col("revenue"))).alias("we"),
-                F.avg(F.when(wd < 5, F.col("revenue"))).alias("wd"))
+    mean = lambda cond: F.try_divide(F.sum(F.when(cond, F.col("revenue"))), F.sum(F.when(cond, F.col("n_revenue"))))
+    wk = df.agg(mean(F.col("weekend")).alias("we"), mean(~F.col("weekend")).alias("wd"))
     wk = wk.where(F.col("we").isNotNull() & F.col("wd").isNotNull() & (F.col("wd") > 0) & (F.col("we") > F.col("wd")))
     lines.append(wk.select(F.lit(8).alias("line_no"), F.concat(
         F.lit("Weekend revenue is "), _fixed((F.col("we") / F.col("wd") - 1) * 100, 1),
@@ -149,12 +155,12 @@ def forecast_actions(ins: DataFrame) -> DataFrame:
         (5, (vh >= -ACTION_VS_HISTORY) & (vh > ACTION_VS_HISTORY), "POSITIVE",
          F.concat(F.lit("Forecast "), _fixed(vh, 1), F.lit("% above the same number of past days"))),
     ]
-    parts = [ins.where(cond).select(F.lit(no).alias("rule_no"), F.lit(level).alias("level"), text.alias("action"))
-             for no, cond, level, text in rules]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    any_rule = out.agg(F.count(F.lit(1))).scalar()
-    stable = ins.where(any_rule == 0).select(F.lit(6).alias("rule_no"), F.lit("STABLE").alias("level"),
-                                             F.lit("No warning signal: keep the current plan and track actuals weekly").alias("action"))
-    return out.unionByName(stable)
+    def row(no, level, text):
+        return F.struct(F.lit(no).alias("rule_no"), F.lit(level).alias("level"), text.alias("action"))
+
+    # one pass over the insights row: the rules that hold, or the stable line
+    hits = F.filter(F.array(*[F.when(cond, row(no, level, text)) for no, cond, level, text in rules]),
+                    lambda x: x.isNotNull())
+    stable = F.array(row(6, "STABLE", F.lit("No warning signal: keep the current plan and track actuals weekly")))
+    return (ins.select(hits.alias("hits"))
+            .select(F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(stable)).alias("r")).select("r.*"))

@@ -108,6 +108,8 @@ def q_write_bundle(spark, d):
     from ..operators import customers, profit
     v = view(spark, d, "date", "product", "category", "customer", "region", "store", "channel",
              "salesperson", "quantity", "price", "revenue", "cost")
+    # the joins run once; every analysis reads the columns it needs of the written view
+    v = files.reread(v, _fresh(spark, "view"))
     bundle = {
         "kpis": kpi.kpis(v),
         "monthly_growth": growth.growth_metrics(v),

@@ -136,6 +136,13 @@ def write_processed(df: DataFrame, path: str, partition_col: str = "year_month")
     df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
 
 
+def reread(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: what many jobs share is
+    computed once."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def preview(df: DataFrame, order: list, n: int = 10) -> DataFrame:
     """The first ``n`` rows in ``order`` (a top-k, not a full sort)."""
     return df.orderBy(*order).limit(n)
