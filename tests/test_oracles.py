@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, duck
+from salescope import plans
 
-SQL = entry.oracle_sql()
+SQL = plans.oracle_sql()
 QUERIES = entry.queries()
 
 
