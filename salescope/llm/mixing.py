@@ -153,6 +153,8 @@ class Permutation:
         return self._walk(x, True)
 
 
+#: Joins with slots carry a merge hint: Spark sees that they come from a few
+#: source rows and would broadcast what these grow into.
 SLOTS = "sid int, epoch int, slot long, block long, words long, shard long"
 
 
@@ -227,7 +229,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # a block without a slot has no words (least() would pass over the null)
     taken = F.when(F.col("words").isNull(), 0).otherwise(
         F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")))
-    return (pieces.join(slots(sources, block).select("sid", "block", "words"), ["sid", "block"], "left")
+    return (pieces.join(slots(sources, block).select("sid", "block", "words").hint("merge"), ["sid", "block"], "left")
             .groupBy("sid", "bucket", "pos")
             .agg(F.first("id").alias(id_col), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
                  F.first("target").alias("target"), F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"))
@@ -247,7 +249,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, sources = _placed(sized, "__llm_source", "__llm_id", weights, most)
     pieces = _pieces(rows.select(*keys, "sid", "off", "size"), block)
     n = F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")
-    parts = (pieces.join(slots(sources, block).select("sid", "block", "epoch", "words"), ["sid", "block"])
+    parts = (pieces.join(slots(sources, block).select("sid", "block", "epoch", "words").hint("merge"), ["sid", "block"])
              .withColumn("n", n).filter("n > 0")
              .groupBy(*keys, "size", "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__llm_parts"))  # a document's own blocks
