@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the session's checkpoint folder and read it back."""
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` below the session's checkpoint folder and read it back; in
+    at most ``files`` files when the caller knows that it is small."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/salescope-llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out
