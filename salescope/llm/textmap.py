@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textbytes as tb
+
 _TEXT = "__llm_text"
+#: Text that one output batch is made from (or the longest single text).
+SLICE_BYTES = 4 << 20
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:
@@ -43,8 +47,10 @@ def map_text(df: DataFrame, text_col: str, fields: T.StructType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            # slices of whole rows bound what a task holds of long texts
+            for lo, hi, *_ in tb.chunks(batch.column(at), SLICE_BYTES):
+                b = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*b.columns[:n_kept], *fn(b.column(at))], names=names)
 
     return source.mapInArrow(run, schema)
