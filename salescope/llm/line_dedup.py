@@ -1,7 +1,8 @@
 """Line dedup: deletion-neighbourhood join of lines, keep the earliest.
 
 A line is the words (runs without white space, A-Z in lower case) between two
-line breaks.  Lines of fewer than ``MIN_WORDS`` words are left alone.  A line
+line breaks.  Lines of fewer than ``min_words`` words are left alone: with
+``EVERY_LINE`` none is, ``MIN_WORDS`` is the limit of the query's SQL.  A line
 goes when an earlier line (by document id, then line number) has the same
 words, or, from ``EDIT_WORDS`` words on, the same words but for one inserted,
 removed or replaced word.
@@ -45,6 +46,8 @@ from .tables import drop, materialize
 from .textmap import col
 
 MIN_WORDS = 3
+#: ``min_words`` with which every line that has a word takes part.
+EVERY_LINE = 1
 EDIT_WORDS = 8
 #: Places of the candidates' filter, as a power of two, at most (16 MB).  With
 #: more candidates it lets more lines through; the join behind it is exact.
@@ -77,7 +80,7 @@ def _id_type(df: DataFrame, id_col: str) -> T.DataType:
     return df.schema[id_col].dataType
 
 
-def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def line_table(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line, n_words, h, keys) of every line that takes part."""
     schema = T.StructType([T.StructField("id", _id_type(df, id_col)), T.StructField("line", T.IntegerType()),
                            T.StructField("n_words", T.IntegerType()), T.StructField("h", T.LongType()),
@@ -89,7 +92,7 @@ def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for lo, _, data, off, _ in tb.chunks(b.column(1)):
                 x = _Lines(data, off)
                 n = x.b - x.a
-                keep = n >= MIN_WORDS
+                keep = n >= min_words
                 a, e, n = x.a[keep], x.b[keep], n[keep]
                 if len(a) == 0:
                     continue
@@ -243,11 +246,12 @@ def _verified(partners: DataFrame, words: DataFrame) -> DataFrame:
     return materialize(pairs.mapInArrow(run, schema), "lines-verified")
 
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): every line that takes part (id, line, ...), and of the
     lines that go ``id``, ``line``, the place ``of_id``, ``of_line`` of the
     earliest line within the bound, and ``edits`` (0 or 1)."""
-    lines = materialize(line_table(df, id_col, text_col), "lines")
+    lines = materialize(line_table(df, id_col, text_col, min_words), "lines")
     distinct = materialize(
         lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("k1").alias("k1"),
                                F.min("k2").alias("k2"), F.min("k3").alias("k3")), "lines-distinct")
@@ -270,10 +274,10 @@ def _per_document(dropped: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("line", "of_id", "of_line", "edits"))).alias("__llm_gone"))  # its own lines
 
 
-def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of ``df``: id, ``n_lines`` that take part,
     ``n_dropped`` and ``dropped`` (line, of_id, of_line, edits)."""
-    lines, gone = duplicate_lines(df, id_col, text_col)
+    lines, gone = duplicate_lines(df, id_col, text_col, min_words)
     count = lines.groupBy(F.col("id").alias("__llm_n_id")).agg(F.countDistinct("line").alias("n_lines"))
     per = _per_document(gone)
     ids = df.select(col(id_col).alias(id_col))
@@ -285,10 +289,11 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                                                     % _id_type(df, id_col).simpleString())).alias("dropped")))
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
+               min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the duplicate lines cut out of its texts; documents of which
     no line with a word is left go.  ``length_col`` (if given) is set anew."""
-    _, gone = duplicate_lines(df, id_col, text_col)
+    _, gone = duplicate_lines(df, id_col, text_col, min_words)
     per = materialize(_per_document(gone).select("__llm_id", F.col("__llm_gone.line").alias("__llm_lines")), "lines-gone")
     joined = df.join(per, col(id_col).eqNullSafe(F.col("__llm_id")), "left")
     left = F.filter(F.split(col(text_col), "\n", -1),

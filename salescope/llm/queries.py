@@ -95,13 +95,23 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def _listed(report: DataFrame) -> DataFrame:
+    one = lambda x: F.concat_ws(":", x["line"], x["of_id"], x["of_line"], x["edits"])
+    return report.select("doc_id", "n_lines", "n_dropped", F.array_join(F.transform("dropped", one), ",").alias("dropped"))
+
+
 @query("op9_line_dedup", sql.LINE_DEDUP)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line of the table."""
     from .line_dedup import line_report
-    one = lambda x: F.concat_ws(":", x["line"], x["of_id"], x["of_line"], x["edits"])
-    return line_report(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_dropped", F.array_join(F.transform("dropped", one), ",").alias("dropped"))
+    return _listed(line_report(table(spark, sf_dir, "documents")))
+
+
+@query("op9_line_dedup_every_line")
+def op9_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with every line that has a word taking part."""
+    from .line_dedup import EVERY_LINE, line_report
+    return _listed(line_report(table(spark, sf_dir, "documents"), min_words=EVERY_LINE))
 
 
 @query("op6_embedding_dedup", sql.EMBEDDING_DEDUP)

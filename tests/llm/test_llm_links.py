@@ -299,6 +299,18 @@ def test_line_dedup_brute_force(spark):
     assert line_dedup.line_report(df.limit(0)).count() == 0
 
 
+def test_short_lines_leave_as_exact_repeats(spark):
+    rows = [(1, "Read more\nmenu\none two three\nx\n"), (2, "read  MORE\nown line"), (3, "menu"), (4, "read mores\nx y"),
+            (None, "Menu\n\nlast")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    report = line_dedup.line_report(df, min_words=line_dedup.EVERY_LINE).collect()
+    got = {(r["doc_id"], d["line"]): (d["of_id"], d["of_line"], d["edits"]) for r in report for d in r["dropped"]}
+    assert got == {(2, 0): (1, 0, 0), (3, 0): (1, 1, 0), (None, 0): (1, 1, 0)}
+    assert {r["doc_id"]: r["n_lines"] for r in report} == {1: 4, 2: 2, 3: 1, 4: 2, None: 2}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df, min_words=line_dedup.EVERY_LINE).collect()}
+    assert left == {1: rows[0][1], 2: "own line", 4: rows[3][1], None: "\nlast"}
+
+
 # -- 10 search ---------------------------------------------------------------
 
 def test_hilbert_is_a_walk_through_every_cell():
