@@ -3,7 +3,8 @@
 The lexicon is learned: from a sample of labelled texts come the words, and
 the stems of ``STEM`` letters, that stand in toxic texts far more often than in
 others: smoothed log-odds, and a Chernoff bound on such a count arising by
-chance that, over all terms, leaves less than one false entry.  A trie of
+chance that, over all terms, leaves less than one false entry.  Every term that
+passes both is an entry.  A trie of
 these entries is intersected with the Levenshtein automaton of one edit
 (entries of ``FUZZY_LENGTH`` bytes or more; shorter ones match as they are)
 and made deterministic once.  Running that table over the words of a text finds
@@ -17,9 +18,10 @@ quoted insult weighs less than one that is not.  Weights add up within windows
 of ``WINDOW`` words; the best window, the rest of the weights and the number of
 distinct entries go into a logistic regression fitted on the sample.
 
-What is collected: at most ``LEXICON`` entries, their cells, and three numbers
-for each row of the sample (``TRAIN_ROWS`` on average).  Scoring is one Arrow
-map over the whole table, without a shuffle.
+What is collected: the terms that pass, whose number the sample bounds, their
+cells, and three numbers for each row of the sample (``TRAIN_ROWS`` on
+average).  The automaton is made once, on the driver, and shipped to tasks.
+Scoring is one Arrow map over the whole table, without a shuffle.
 
 Edge cases: null and empty texts have no hits and get the score of a text
 without hits; a document with both labels counts as toxic; without both
@@ -46,13 +48,11 @@ from .textmap import col, map_text
 
 #: Labelled rows to learn from, on average (all, if there are fewer).
 TRAIN_ROWS = 12_000
-#: Entries of the lexicon at most.
-LEXICON = 64
 STEM = (4, 5, 6)
 FUZZY_LENGTH = 5
 WINDOW = 12
-#: Least log-odds and least share of the toxic texts of an entry.
-MIN_LOG_ODDS, MIN_SHARE = 2.5, 0.015
+#: Least log-odds and least number of toxic texts of an entry.
+MIN_LOG_ODDS, MIN_TEXTS = 2.5, 3
 #: Longer words are neither learned nor cut to stems (junk).
 MAX_WORD = 40
 
@@ -260,8 +260,10 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
 class ToxicityModel:
     """Lexicon, weights by (entry, distance, quoted) and the regression."""
 
-    def __init__(self, entries: list[str], weight: np.ndarray, beta: np.ndarray | None, constant: float = 0.0):
+    def __init__(self, entries: list[str], weight: np.ndarray, beta: np.ndarray | None, constant: float = 0.0,
+                 scan: Scanner | None = None):
         self.entries, self.weight, self.beta, self.constant = entries, weight, beta, constant
+        self.scan = scan or Scanner(entries)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.beta is None:
@@ -317,24 +319,27 @@ def _term_counts(train: DataFrame) -> DataFrame:
 
 def _lexicon(train: DataFrame, n1: int, n0: int) -> list[str]:
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
-    counts = _term_counts(train).filter((F.col("c1") >= max(3, MIN_SHARE * n1)) & (F.length("term") >= 3))
+    counts = _term_counts(train).filter((F.col("c1") >= MIN_TEXTS) & (F.length("term") >= 3))
     counts = materialize(counts, "toxicity-terms")
     # a term that has nothing to do with the label is toxic n1 / (n1 + n0) of the time
     n, p = F.col("c1") + F.col("c0"), n1 / (n1 + n0)
     q = F.col("c1") / n
     surprise = n * (q * F.log(q / p) + F.when(F.col("c0") > 0, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
-    best = (counts.filter((odds >= MIN_LOG_ODDS) & (surprise >= math.log(max(1, counts.count())) + 1.0))
-            .orderBy(F.desc("c1"), F.desc(F.length("term")), "term").limit(16 * LEXICON).collect())
+    best = counts.filter((odds >= MIN_LOG_ODDS) & (surprise >= math.log(max(1, counts.count())) + 1.0)).collect()
     # of about equal counts the longest comes first; a word beats the stem it equals
     rows = sorted(((round(math.log(r["c1"]) / 0.05), len(r["term"].rstrip("*")), not r["term"].endswith("*"), r["term"]) for r in best),
                   key=lambda r: (-r[0], -r[1], not r[2], r[3]))
     taken: list[str] = []
+    bares, stems, begins = set(), set(), set()  # of the taken terms
     for _, _, _, term in rows:
-        bare = term.rstrip("*")
-        if len(taken) < LEXICON and not any(
-                bare == t.rstrip("*") or (t.endswith("*") and bare.startswith(t[:-1]))
-                or (term.endswith("*") and t.startswith(bare)) for t in taken):
-            taken.append(term)
+        bare, stem = term.rstrip("*"), term.endswith("*")
+        if bare in bares or (stem and bare in begins) or any(bare[:k] in stems for k in range(1, len(bare) + 1)):
+            continue
+        taken.append(term)
+        bares.add(bare)
+        if stem:
+            stems.add(bare)
+        begins.update(bare[:k] for k in range(1, len(bare) + 1))
     return sorted(taken)
 
 
@@ -346,9 +351,9 @@ def fit(train: DataFrame) -> ToxicityModel:
     if not n1 or not n0:
         return ToxicityModel([], np.zeros((1, 2, 2)), None, 1.0 if n1 else 0.0)
     entries = _lexicon(train, n1, n0)
+    scan = Scanner(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scanner(entries)
         for b in batches:
             cells: list[list[int]] = [[] for _ in range(b.num_rows)]
             for lo, _, data, off, _ in tb.chunks(b.column(0)):
@@ -379,13 +384,13 @@ def fit(train: DataFrame) -> ToxicityModel:
                 weight[k, d, 1] = 0.5 * weight[k, d, 0]
     x = np.concatenate([evidence(1, np.zeros(len(h), np.int64), h[:, 0], h[:, 1], h[:, 2], h[:, 3] > 0, weight)
                         for h in each])
-    return ToxicityModel(entries, weight, _fit_logistic(x, y))
+    return ToxicityModel(entries, weight, _fit_logistic(x, y), scan=scan)
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Appends ``score`` (0 to 1), ``window_score`` and ``hits``."""
     def make():
-        scan = Scanner(model.entries)
+        scan = model.scan
 
         def fn(texts: pa.Array) -> list[pa.Array]:
             n = len(texts)
@@ -406,7 +411,7 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: lis
 def keep_clean(df: DataFrame, model: ToxicityModel, text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
     """``df`` without the documents that score ``reject_from`` or more."""
     def make():
-        scan = Scanner(model.entries)
+        scan = model.scan
 
         def fn(texts: pa.Array) -> list[pa.Array]:
             x = np.zeros((len(texts), 3))

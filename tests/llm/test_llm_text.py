@@ -225,6 +225,21 @@ def test_toxicity_edges(spark, edge):
     assert toxicity.score(edge.limit(0), model).count() == 0
 
 
+def test_lexicon_has_no_fixed_size(spark):
+    """90 terms, each in under 1.5 % of the toxic texts."""
+    bad = ["".join("bcdfghjklm"[int(x)] + "aeiou"[(int(x) * 3 + i) % 5] for x in f"{i * 7919 % 1000:03d}") + "zq" for i in range(90)]
+    assert len(set(bad)) == 90
+    rows = [(f"you {w} text {i} {k}", 1) for i, w in enumerate(bad) for k in range(10)]
+    rows += [(f"you kind text {i}", 0) for i in range(1_800)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, y int").repartition(4))
+    data, off, _ = textbytes.column_bytes(pa.array(bad))
+    row, _, _, dist, _ = model.scan.hits(data, off)
+    assert sorted(row[dist == 0].tolist()) == list(range(90))
+    test = spark.createDataFrame([(f"some {w} here",) for w in bad] + [("some kind here",)], "text string")
+    got = [r["score"] for r in toxicity.score(test, model).collect()]
+    assert min(got[:-1]) > 0.5 > got[-1]
+
+
 # -- 8 language --------------------------------------------------------------
 
 def test_bit_sliced_masks_equal_sets():
