@@ -6,8 +6,9 @@ others: smoothed log-odds, and a Chernoff bound on such a count arising by
 chance that, over all terms, leaves less than one false entry.  Every term that
 passes both is an entry.  A trie of
 these entries is intersected with the Levenshtein automaton of one edit
-(entries of ``FUZZY_LENGTH`` bytes or more; shorter ones match as they are)
-and made deterministic once.  Running that table over the words of a text finds
+(entries of ``FUZZY_LENGTH`` letters or more; shorter ones match as they are)
+and made deterministic once; letters are code points, so an edit is one letter
+in any script.  Running that table over the words of a text finds
 every entry, misspelled ones included; almost every other word leaves it after
 two or three letters.
 
@@ -53,7 +54,7 @@ FUZZY_LENGTH = 5
 WINDOW = 12
 #: Least log-odds and least number of toxic texts of an entry.
 MIN_LOG_ODDS, MIN_TEXTS = 2.5, 3
-#: Longer words are neither learned nor cut to stems (junk).
+#: Words of more letters are neither learned nor cut to stems (junk).
 MAX_WORD = 40
 
 FIELDS = T.StructType([
@@ -67,12 +68,31 @@ _HIT = pa.list_(pa.struct([("term", pa.string()), ("distance", pa.int32()), ("wo
 _LETTERS = tb.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
+def _code_points(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and word spans in places of code points."""
+    first = data & 0xC0 != 0x80
+    if first.all():
+        return data.astype(np.int32), start, end
+    at = np.flatnonzero(first)
+    code = data[at].astype(np.int32)
+    for size, least, most in ((2, 0xC0, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF7)):
+        own = np.flatnonzero((code >= least) & (code <= most) & (at + size <= len(data)))
+        c = code[own] - least
+        for k in range(1, size):
+            c = c << 6 | (data[at[own] + k] & 0x3F).astype(np.int32)
+        # beyond the tests of the longer sizes; undone below
+        code[own] = c + (1 << 24)
+    code = np.where(code >= 1 << 24, code - (1 << 24), code)
+    before = np.r_[0, np.cumsum(first)]
+    return code, before[start], before[end]
+
+
 class LexiconAutomaton:
     """Lexicon trie intersected with the Levenshtein automaton of one edit.
 
     ``entries``: words, or stems written with a final ``*`` that match every
     word they begin.  States are sets of (trie node, edits so far); ``table``
-    holds the next state for each state and byte class, state 0 is the dead
+    holds the next state for each state and letter class, state 0 is the dead
     end and state 1 the start.
     """
 
@@ -83,20 +103,20 @@ class LexiconAutomaton:
         stem_at: list[int] = [-1]
         for k, entry in enumerate(entries):
             node = 0
-            for b in entry.rstrip("*").encode():
-                if b not in child[node]:
-                    child[node][b] = len(child)
+            for c in map(ord, entry.rstrip("*")):
+                if c not in child[node]:
+                    child[node][c] = len(child)
                     child.append({})
                     word_at.append(-1)
                     stem_at.append(-1)
-                node = child[node][b]
+                node = child[node][c]
             (stem_at if entry.endswith("*") else word_at)[node] = k
-        letters = sorted({b for c in child for b in c})
-        self.cls = np.zeros(256, dtype=np.int64)  # class 0: no letter of the lexicon
-        for i, b in enumerate(letters):
-            self.cls[b] = i + 1
+        letters = sorted({c for nexts in child for c in nexts})
+        # class 0: no letter of the lexicon; the last place stands for all code points beyond
+        self.cls = np.zeros(max([0x7F, *letters]) + 2, dtype=np.int32)
+        self.cls[letters] = np.arange(1, len(letters) + 1)
         self.width = len(letters) + 1
-        limit = [1 if len(e.rstrip("*").encode()) >= FUZZY_LENGTH else 0 for e in entries]
+        limit = [1 if len(e.rstrip("*")) >= FUZZY_LENGTH else 0 for e in entries]
 
         def close(states: dict) -> frozenset:
             # a letter of the lexicon may be left out; fewer edits win
@@ -127,10 +147,10 @@ class LexiconAutomaton:
             states, stem = here
             row = []
             for k in range(self.width):
-                b = letters[k - 1] if k else None
+                letter = letters[k - 1] if k else None
                 nxt: dict[int, int] = {}
                 for node, e in states:
-                    hit = child[node].get(b)
+                    hit = child[node].get(letter)
                     if hit is not None and nxt.get(hit, 2) > e:
                         nxt[hit] = e
                     if e == 0:
@@ -152,7 +172,8 @@ class LexiconAutomaton:
 
     def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, entry, distance) of every word that is a hit."""
-        cls = self.cls[data]
+        code, start, end = _code_points(data, start, end)
+        cls = self.cls[np.minimum(code, len(self.cls) - 1)]
         state = np.ones(len(start), dtype=np.int32)
         live, at = np.arange(len(start)), start.copy()
         while len(live):
@@ -304,10 +325,10 @@ def _term_counts(train: DataFrame) -> DataFrame:
                 whole = data.tobytes()
                 own: dict[int, set] = {}
                 for r, x, z in zip(row.tolist(), s.tolist(), e.tolist()):
-                    if z - x <= MAX_WORD:
+                    if z - x <= 4 * MAX_WORD:  # bytes
                         own.setdefault(r, set()).add(whole[x:z])
                 for r, words in own.items():
-                    found[ys[lo + r]].update(_terms({w.decode(errors="replace") for w in words}))
+                    found[ys[lo + r]].update(_terms({t for w in words if len(t := w.decode(errors="replace")) <= MAX_WORD}))
         terms = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([
             pa.array(terms, pa.string()), pa.array([found[1][t] for t in terms], pa.int64()),
@@ -319,13 +340,14 @@ def _term_counts(train: DataFrame) -> DataFrame:
 
 def _lexicon(train: DataFrame, n1: int, n0: int) -> list[str]:
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
-    counts = _term_counts(train).filter((F.col("c1") >= MIN_TEXTS) & (F.length("term") >= 3))
+    # every term that is tested counts for the bound, whatever its labels
+    counts = _term_counts(train).filter((F.col("c1") + F.col("c0") >= MIN_TEXTS) & (F.length("term") >= 3))
     counts = materialize(counts, "toxicity-terms")
     # a term that has nothing to do with the label is toxic n1 / (n1 + n0) of the time
     n, p = F.col("c1") + F.col("c0"), n1 / (n1 + n0)
     q = F.col("c1") / n
     surprise = n * (q * F.log(q / p) + F.when(F.col("c0") > 0, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
-    best = counts.filter((odds >= MIN_LOG_ODDS) & (surprise >= math.log(max(1, counts.count())) + 1.0)).collect()
+    best = counts.filter((F.col("c1") >= MIN_TEXTS) & (odds >= MIN_LOG_ODDS) & (surprise >= math.log(max(1, counts.count())) + 1.0)).collect()
     # of about equal counts the longest comes first; a word beats the stem it equals
     rows = sorted(((round(math.log(r["c1"]) / 0.05), len(r["term"].rstrip("*")), not r["term"].endswith("*"), r["term"]) for r in best),
                   key=lambda r: (-r[0], -r[1], not r[2], r[3]))

@@ -191,6 +191,29 @@ def test_automaton_finds_what_edit_distance_finds():
             assert got[k][1] == min(options), w
 
 
+def test_one_edit_is_one_letter():
+    entries = ["idiot", "глупец", "дур", "größe*", "😀😀😀😀😀"]
+    auto = toxicity.LexiconAutomaton(entries)
+    words = ["idïot", "idiôt", "idi", "ïdïot", "глупец", "глупц", "глупецы", "гпупец", "глпц", "дур", "дур" + "а", "дар", "ду",
+             "größenwahn", "grösenwahn", "grosenwahn", "😀😀😀😀", "😀😀x😀😀", "😀😀😀", "idi漢t", "plain"]
+    for some in (words, ["idiot", "idot", "xx"]):
+        data, off, _ = textbytes.column_bytes(pa.array(some))
+        hit, entry, dist = auto.run(data, off[:-1], off[1:])
+        got = {some[k]: (entries[e], d) for k, e, d in zip(hit.tolist(), entry.tolist(), dist.tolist())}
+        want = {}
+        for w in some:
+            for e in entries:
+                bare = e.rstrip("*")
+                d = min(edits(bare, w[:n]) for n in range(len(w) + 1)) if e.endswith("*") else edits(bare, w)
+                if d <= (len(bare) >= 5):
+                    want[w] = (e, d)
+        assert got == want
+    scan = toxicity.Scanner(["idiot"])
+    data, off, _ = textbytes.column_bytes(pa.array(["né – “you idïot” «x»", "ça idiot"]))
+    row, number, _, dist, quoted = scan.hits(data, off)
+    assert (row.tolist(), number.tolist(), dist.tolist(), quoted.tolist()) == ([0, 1], [2, 1], [1, 0], [True, False])
+
+
 def test_quoted_hits():
     scan = toxicity.Scanner(["idiot"])
     data, off, _ = textbytes.column_bytes(pa.array(['He said "you idiot" and left idiot', "“an idiot” idiot\n\" \nidiot"]))
