@@ -16,7 +16,12 @@ exact and uses the filters of a prefix join:
 
 Blocks are the lines of a text.  A line of more than ``BLOCK_WORDS`` words is
 cut into windows of that length which overlap by half, so every run of up to
-half a window stands whole in one of them.
+half a window stands whole in one of them.  With ``across_lines`` the blocks
+are instead all windows of ``BLOCK_WORDS`` words of the text's whole word
+stream, one from every word on, so a notice may be wrapped at any place.  Every
+stretch of neighbouring windows that match gives one match, its best window.
+They are counted without being made: each place of a template's word adds one
+to the windows that hold it and no earlier place of the same word.
 
 Besides, every place where a base phrase's words stand consecutively is found
 by comparing word hashes (64 bits).  Templates and phrases are the only data
@@ -184,6 +189,47 @@ class _Join:
                 out.append((int(start[b]), t, float(n) / float(self.size[t])))
         return out
 
+    def windows(self, h, row):
+        """(first word, template, containment) of the best window of every
+        stretch of matching windows, across line breaks."""
+        r = self.ranks(h)
+        known = np.flatnonzero(r >= 0)
+        if len(known) == 0:
+            return []
+        r = r[known]
+        # places, with gaps so that no window holds words of two rows
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        gap = row[first].astype(np.int64) * BLOCK_WORDS
+        own = np.searchsorted(first, known, side="right") - 1
+        at, begin = known + gap[own], (first + gap)[own]
+        out = []
+        for t in range(len(self.need)):
+            near = np.flatnonzero(self.sets[t][r])
+            rare = at[near[self.prefix[t][r[near]]]]
+            if len(rare) == 0:
+                continue
+            # prefix filter: words that a window may hold with a prefix word
+            k = np.searchsorted(rare, at[near])
+            near = near[np.minimum(np.abs(at[near] - rare[np.minimum(k, len(rare) - 1)]),
+                                   np.abs(at[near] - rare[np.maximum(k - 1, 0)])) < BLOCK_WORDS]
+            p, w = at[near], r[near]
+            order = np.lexsort((p, w))
+            again = w[order[1:]] == w[order[:-1]]
+            before = np.full(len(p), -1, dtype=np.int64)
+            before[order[1:][again]] = p[order[:-1][again]]
+            # windows with the word and no earlier place of it start here
+            lo = np.maximum(np.maximum(p - BLOCK_WORDS, before) + 1, begin[near])
+            edge = np.r_[lo, p + 1]
+            by = np.argsort(edge, kind="stable")
+            start, run = np.unique(edge[by], return_index=True)
+            common = np.add.reduceat(np.repeat([1, -1], len(p))[by], run).cumsum()
+            hit = common >= self.need[t]
+            for a, b in zip(np.flatnonzero(hit & ~np.r_[False, hit[:-1]]), np.flatnonzero(hit & ~np.r_[hit[1:], False]) + 1):
+                best = a + int(common[a:b].argmax())
+                d = np.searchsorted(first + gap, start[best], side="right") - 1
+                out.append((int(start[best] - gap[d]), t, float(common[best]) / float(self.size[t])))
+        return out
+
     @staticmethod
     def _extent(block, win0, wins, first, length, half):
         line = np.searchsorted(win0, block, side="right") - 1
@@ -194,7 +240,7 @@ class _Join:
 
 
 def license_scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                 templates=None, phrases=None, threshold: float = THRESHOLD) -> DataFrame:
+                 templates=None, phrases=None, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
     """Scan every whole text of ``df``.  Appends ``n_words``, ``base`` (label
     and first word of every place of a phrase), ``matches`` (label, template,
     first word of the block and containment of every matching block) and
@@ -227,7 +273,7 @@ def license_scan(df: DataFrame, text_col: str = "text", keep: list[str] | None =
                     score[lo + d] = 1.0
                 breaks = np.cumsum(_NEWLINE[data])[s]
                 line = breaks + row  # lines grow with line breaks and with rows
-                for i, t, c in join.blocks(h, line):
+                for i, t, c in join.windows(h, row) if across_lines else join.blocks(h, line):
                     d = row[i]
                     match[lo + d] = match[lo + d] + [
                         {"label": join.labels[t], "template": t, "word": i - int(start_of[d]), "containment": c}]

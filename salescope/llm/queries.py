@@ -31,11 +31,7 @@ def _joined(labels) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-@query("op1_license_scan", sql.license_scan())
-def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License labels of every document."""
-    from .license_scan import license_scan
-    found = license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+def _license(found: DataFrame) -> DataFrame:
     base, match = F.col("base.label"), F.col("matches.label")
     return found.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
@@ -43,6 +39,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(base).alias("base_labels"), _joined(F.concat(base, match)).alias("labels"), "score")
 
 
+@query("op1_license_scan", sql.license_scan())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    from .license_scan import license_scan
+    return _license(license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+@query("op1_license_scan_across_lines")
+def op1_license_scan_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with notices wrapped over lines."""
+    from .license_scan import license_scan
+    return _license(license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"], across_lines=True))
+
+
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""

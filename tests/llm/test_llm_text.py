@@ -88,6 +88,35 @@ def test_license_scan_brute_force(spark):
         assert r["score"] == pytest.approx(score)
 
 
+def test_license_notices_across_lines(spark):
+    rng = random.Random(4)
+    word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    pool = sorted({w for t, _ in license_scan.TEMPLATES for w in t.split()}) + ["alpha", "beta", "née", "x9"]
+    texts = ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided",
+             "This work is licensed under the GNU General\nPublic License version 3", "plain text", None, "",
+             "zz " * 90 + " yy yy\nyy yy ".join("licensed under the mozilla public license version 2 0".split()) + " zz" * 90]
+    texts += [" ".join(rng.choice(pool if rng.random() < 0.3 else ["q", "r"]) + rng.choice(["", "\n"]) for _ in range(n))
+              for n in (5, 30, 64, 65, 300) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df, across_lines=True).collect()}
+    for i, text in enumerate(texts):
+        words, want = word.findall((text or "").lower()), {}
+        for s in range(len(words)):
+            for k, (template, _) in enumerate(license_scan.TEMPLATES):
+                own = set(template.split())
+                common = len(own & set(words[s:s + 64]))
+                if common >= np.ceil(0.8 * len(own) - 1e-9):
+                    want[k] = max(want.get(k, 0), common / len(own))
+        best = {}
+        for m in got[i]["matches"]:
+            own = set(license_scan.TEMPLATES[m["template"]][0].split())
+            assert len(own & set(words[m["word"]:m["word"] + 64])) / len(own) == pytest.approx(m["containment"])
+            best[m["template"]] = max(best.get(m["template"], 0), m["containment"])
+        assert best == pytest.approx(want), text
+    labels = [{m["label"] for m in got[i]["matches"]} for i in (0, 1, 2, 5)]
+    assert labels[0] == {"bsd"} and labels[1] == {"gpl-3"} and labels[2] == set() and "mpl-2" in labels[3]
+
+
 # -- 2 SentencePiece, 3 token counts ----------------------------------------
 
 def small_table():
