@@ -22,14 +22,15 @@ at a time).  Nothing but partition sizes, block counts and the sampled queries
 comes to the driver.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components
-and rows without an id take no part; so do vectors of another length than the
-most frequent one; rows that repeat the query's id are not its candidates;
+and rows without an id take no part; vectors of each length are searched on
+their own; a row that comes several times counts once; rows that repeat the query's id are not its candidates;
 with fewer than ``k`` candidates all are returned; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -258,16 +259,24 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     ``is_query``: (query_id, rank, vec_id, score)."""
     base = df.select(col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"),
                      col(vector_col).alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v")))
+    # a row that comes several times counts once, so that copies take no places
+    base = materialize(base.groupBy("id", "v").agg(F.max("is_query").alias("is_query")).select("id", "is_query", "v"), "search-rows")
+    # one row for each length of vectors that has a query
     sizes = base.groupBy(F.size("v").alias("d")).agg(
-        F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")) \
-        .orderBy(F.desc("n"), "d").limit(1).collect()
-    dim, longest = (sizes[0]["d"], sizes[0]["m"]) if sizes else (0, 0.0)
-    rows = base.filter(F.size("v") == dim).select("id", "is_query", "v")
+        F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m"), F.max("is_query").alias("asked")) \
+        .filter("asked").orderBy("d").collect()
+    found = [_search(base.filter(F.size("v") == d), m, k, block, curves, recall, sample)
+             for d, m, _ in sizes or [(0, 0.0, False)]]
+    return reduce(DataFrame.union, found)
+
+
+def _search(rows: DataFrame, longest: float, k: int, block: int, curves: int, recall: float, sample: int) -> DataFrame:
+    """The search among rows (id, is_query, v) of one length."""
     index = _Index(rows, longest, block, curves)
     w = window_for(index, rows, k, recall, sample)
     if (2 * w + 1) * curves >= index.blocks:
         curves, w = 1, index.blocks  # the windows would cover the table: one curve, the whole of it
-    with small_batches(df.sparkSession, 16):
+    with small_batches(rows.sparkSession, 16):
         packed = materialize(index.pack(False, curves), "search-blocks")
         queries = materialize(index.pack(True, curves), "search-queries")
         near = F.sequence(F.greatest(F.lit(0), F.col("block") - w), F.least(F.lit(index.blocks - 1), F.col("block") + w))

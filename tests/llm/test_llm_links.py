@@ -353,3 +353,20 @@ def test_search_brute_force_and_recall(spark):
     assert hilbert_search.search(df.limit(0), F.lit(True)).count() == 0
     few = hilbert_search.search(df.filter("vec_id < 5"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
+
+
+def test_search_with_copies_and_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    x[7] = x[0] * 50  # nearest to row 0, and 40 times in the table
+    y = rng.normal(size=(30, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 40 + [(100 + i, v.tolist()) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(hilbert_search.search(df, F.col("vec_id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    for m, at in ((x, 0), (y, 100)):
+        for q in range(0, len(m), 20):
+            order = [at + int(i) for i in np.argsort(-(m @ m[q]), kind="stable") if i != q][:20]
+            assert got[at + q] == order
+    assert set(got) == {0, 20, 40, 100, 120}
