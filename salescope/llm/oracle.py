@@ -104,3 +104,65 @@ counts AS (SELECT doc_id, count(*) AS n FROM used GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(x.n, 0) AS n_dropped, coalesce(x.dropped, '') AS dropped
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN listed x USING (doc_id)
 """
+
+def _crc_table() -> str:
+    """The 256 remainders of the checksum's polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(str(c))
+    return "[" + ", ".join(out) + "]"
+
+
+SPELLING = f"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_lower('text')}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT),
+                 lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT)) AS h FROM u, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM w WHERE len(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS d FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)),
+pair AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+         UNION SELECT x.word, y.word FROM cut x JOIN v y ON x.d = y.word
+         UNION SELECT y.word, x.word FROM cut x JOIN v y ON x.d = y.word),
+near AS (SELECT a AS word, count(*) AS n_near, min({{'m': -n, 'w': b}}) AS best FROM pair JOIN v ON v.word = b GROUP BY a),
+formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * v.n THEN best.w END AS form,
+                  CASE WHEN -best.m >= 2 * v.n THEN -best.m END AS form_n FROM v LEFT JOIN near USING (word)),
+walk AS (SELECT word, form AS goal FROM formed WHERE form IS NOT NULL
+         UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.goal WHERE formed.form IS NOT NULL),
+ends AS (SELECT walk.word, goal FROM walk JOIN formed ON formed.word = walk.goal WHERE formed.form IS NULL)
+SELECT formed.word, form, coalesce(ends.goal, formed.word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends ON ends.word = formed.word
+"""
+
+
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignment and moving of entries, spelled out for every round."""
+    ok = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [f"b0 AS (SELECT p, r - 1 AS k, x FROM part WHERE r <= {entries})"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best FROM (
+  SELECT r, part.p, part.x, k, list_sum(list_transform(range(1, len(part.x) + 1), lambda i: (part.x[i] - b.x[i]) * (part.x[i] - b.x[i])))::BIGINT AS d
+  FROM part JOIN b{i} b ON part.p = b.p) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT p, k, list(f ORDER BY i) AS x FROM (
+  SELECT p, best.k AS k, i, floor(sum(v) / count(*))::BIGINT AS f FROM (
+    SELECT p, best, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY p, best.k, i) GROUP BY p, k),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.k = b.k)""")
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {ok}),
+width AS (SELECT greatest(1, ceil(max(len(x)) / {parts})::BIGINT) AS d FROM e),
+part AS MATERIALIZED (SELECT r, p, list_resize(x, d * {parts}, 0)[p * d + 1:(p + 1) * d] AS x FROM e, width, range({parts}) t(p)),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(v, ',' ORDER BY p, k, i)) AS s FROM (
+           SELECT p, k, unnest(x)::VARCHAR AS v, generate_subscripts(x, 1) AS i FROM b{rounds})),
+total AS (SELECT label, sum(error)::BIGINT AS s FROM e JOIN coded USING (r) GROUP BY label)
+SELECT vec_id, code, error, total.s AS label_error, book.s AS codebooks_sha256
+FROM e JOIN coded USING (r) JOIN total ON total.label IS NOT DISTINCT FROM e.label, book
+"""
+
+
+VECTOR_CODES = vector_codes()

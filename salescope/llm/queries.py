@@ -136,3 +136,25 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of largest inner product for every twentieth embedding."""
     from .hilbert_search import search
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 tokens."""
+    from .packing import pack
+    pieces = pack(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_spelling", sql.SPELLING)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the words they are variants of."""
+    from .spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_vector_codes", sql.VECTOR_CODES)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings."""
+    from .vector_codes import compress
+    return compress(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
