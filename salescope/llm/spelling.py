@@ -1,33 +1,35 @@
 """Spelling variants among words, found through variable-length grams.
 
-Words are counted over all texts.  A word is read with an end mark behind it;
-at each of its places stands one gram: the shortest one, of two symbols or
-more, that occurs at most ``RARE`` times in all words, but no longer than
-``MAX_GRAM`` and than the word's length less one.  So the dictionary is the
-trie of grams pruned below its first rare node, frequent grams grow longer and
-no list of words under a gram need be long.
-
-A gram depends on its own symbols alone.  One edit therefore changes only the
-grams that cover its place, and the largest number of grams that cover one
-place of a word is the word's bound of affected grams: of its L grams at least
-L - bound (one or more, by the limit of a gram's length) stand in every word
-one edit away, at the same place or one further.  Lists of words stand under
-(gram, length, place).  A word merges its bound + t shortest lists, those of
-words as long as it and of words longer by one, and a word met in at least t
-of them is a candidate (t is ``COMMON``, or L - bound if that is less); the
-edit distance decides.  No list is cut and no pair within one is spelled out
-but those that a word's own shortest lists hold.
-
-Symbols are code points below 256, one byte each, so a gram of up to eight is
-a 64-bit integer, not a hash.  The dictionary is never collected or broadcast
-by hand: places are joined with the frequent grams as tables.  A form's form
-is followed by pointer doubling; a form has at least twice the occurrences, so
-chains end and a few rounds do.
+Words are counted over all texts.  A word is read with an end mark behind it
+and decomposed from its start into grams of two symbols or more: a gram grows
+by a symbol, up to ``MAX_GRAM``, while it is frequent, i.e. stands at more than
+one in ``FREQUENT`` places of all words.  So the dictionary is the trie of
+grams pruned below its first infrequent node; its inner nodes are at most
+``FREQUENT`` grams of each length, and that is what the tasks get.
+
+A gram depends on its own symbols and on where it starts.  One edit therefore
+affects one gram of a word, the one that holds its place (a word's bound of
+affected grams is one, by grams that do not overlap), and both words agree in
+the grams before it, so the affected gram starts at the same place in both;
+behind it they agree symbol by symbol.  A near word thus stands in the lists
+of all grams of the word but one.  These lists are merged at once: the index
+holds, under the hash of (length, start and length of a gram, all symbols but
+the gram's), the words that have them all.  Of two near words' affected grams
+one is the longer, so it is enough that every word looks up its own grams and
+is listed under its grams' lengths and greater ones (up to ``MAX_GRAM`` + 1 for
+words longer by a symbol).  What meets under a key is verified by the edit
+distance on whole words.
+
+No list is cut.  Words that meet differ in two to four neighbouring symbols;
+their pairs stay where they met, and only verified ones leave the task.  A form
+has at least twice the occurrences of its word, so the chains of forms end and
+pointer doubling follows them in a few rounds.
 
 Edge cases: null texts have no words, a null id counts as empty text; words of
-any length are handled (work and memory in proportion to the word); equal
-occurrence numbers are decided by code-point order; repeated rows count as
-often as they stand; an empty table gives no rows.
+any length are handled (rows in proportion to the word; only words of up to
+``CARRIED`` symbols travel with their rows, others are verified by a join);
+equal occurrence numbers are decided by code-point order; repeated rows count
+as often as they stand; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,21 +41,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from . import textbytes as tb
 from .tables import drop, materialize
 from .textmap import col
 
 RUN = "[a-zÀ-ÿ]+"
 MIN_LENGTH, MIN_COUNT = 5, 3
-#: A gram with more occurrences grows by a symbol.
-RARE = 64
-MAX_GRAM = 8
-#: Lists (beyond those that an edit may spoil) in which a candidate must stand.
-COMMON = 2
+#: A gram at more than one in so many places is frequent and grows by a symbol.
+FREQUENT = 128
+MAX_GRAM = 3
+#: Words of up to so many symbols stand in the rows of the index.
+CARRIED = 64
 #: A form has at least this many times the word's occurrences.
 RATIO = 2
-_END = ord("$")
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,149 +80,113 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # -- grams -------------------------------------------------------------------
 
 class Flat:
-    """Words of a batch as one array of symbols, each word with its end mark."""
+    """Words of a batch as one array of symbols (code points below 256), each
+    word with its end mark."""
 
     def __init__(self, words: pa.Array):
         raw = [w.encode("latin-1") for w in words.to_pylist()]
-        self.size = np.array([len(r) for r in raw], np.int64)
-        self.symbols = np.frombuffer(b"".join(r + b"$" for r in raw), np.uint8)
-        self.first = np.cumsum(self.size + 1) - (self.size + 1)
-        #: the word of each place (end marks have none) and the symbols from there to the end mark
-        self.word = np.repeat(np.arange(len(raw)), self.size)
-        self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        self.at = self.first[self.word] + self.place
-        self.left = self.size[self.word] + 1 - self.place
-
-    def grams(self, length: np.ndarray) -> np.ndarray:
-        """The gram of each place, ``length`` symbols as one integer."""
-        out = np.zeros(len(self.at), np.uint64)
-        for i in range(int(length.max(initial=0))):
-            on = length > i
-            out[on] = (out[on] << np.uint64(8)) | self.symbols[self.at[on] + i]
-        return out.view(np.int64)
-
-
-_COUNT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-_PLACE = T.StructType([T.StructField("gram", T.LongType()), T.StructField("id", T.LongType()), T.StructField("place", T.IntegerType())])
-
-
-def _prefixes(flat: Flat) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, its place's number) of every place for each length that could
-    still grow."""
-    for q in range(2, MAX_GRAM):
-        on = np.flatnonzero(flat.left > q)
-        if len(on) == 0:
-            return
-        yield flat.grams(np.where(flat.left > q, q, 0))[on], on
-
-
-def frequent_grams(words: DataFrame) -> DataFrame:
-    """(gram) that occurs more than ``RARE`` times: the inner nodes of the
-    pruned trie."""
-    def run(batches):
+        self.size = np.array([len(r) + 1 for r in raw], np.int64)
+        self.symbols = np.frombuffer(b"$".join(raw) + b"$" if raw else b"", np.uint8)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+
+    def grams(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The grams at the places ``at`` as integers."""
+        out = np.zeros(len(at), np.int64)
+        for i in range(length):
+            out = (out << 8) | self.symbols[at + i]
+        return out
+
+    def decompose(self, frequent: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, place, length) of the words' grams, from their starts; the
+        last one may be shorter than two symbols.  All words take one step
+        after another, so the steps are as many as the longest has grams."""
+        word, at = np.arange(len(self.size)), self.start.copy()
+        out = []
+        while len(word):
+            left = self.end[word] - at
+            length = np.minimum(left, 2)
+            for q in range(2, MAX_GRAM):
+                more = np.flatnonzero((length == q) & (left > q))
+                more = more[np.isin(self.grams(at[more], q), frequent.get(q, ()))]
+                length[more] += 1
+            out.append((word, at, length))
+            go = at + length < self.end[word]
+            word, at = word[go], (at + length)[go]
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros((3, 0), np.int64))
+
+    def keys(self, word: np.ndarray, at: np.ndarray, length: np.ndarray, size: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Hashes of (size, place, gap) and all symbols but the ``length`` at
+        ``at``; ``size`` and ``gap`` are those of the words that are sought."""
+        before = tb.span_hash(self.symbols, self.start[word], at)
+        behind = tb.span_hash(self.symbols, at + length, self.end[word])
+        place = (at - self.start[word]).astype(np.uint64)
+        form = tb.mix((size.astype(np.uint64) << np.uint64(32)) ^ (place << np.uint64(3)) ^ gap.astype(np.uint64))
+        return tb.signed(tb.mix(before ^ tb.mix(behind ^ form)))
+
+
+def frequent_grams(words: DataFrame) -> dict[int, np.ndarray]:
+    """The frequent grams by length: the inner nodes of the pruned trie, at
+    most ``FREQUENT`` of a length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for gram, _ in _prefixes(Flat(b.column(0))):
-                g, n = np.unique(gram, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=_COUNT.names)
-
-    return (words.select("word").mapInArrow(run, _COUNT).groupBy("gram").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") > RARE).select("gram"))
-
-
-def growth(words: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(id, grown): by how many symbols the grams at a word's places exceed
-    two, for places where they do.  A gram's beginnings are at least as
-    frequent as itself, so the count of frequent ones is the growth."""
-    def run(batches):
-        for b in batches:
-            flat, ids = Flat(b.column(1)), np.asarray(b.column(0))
-            for gram, on in _prefixes(flat):
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[flat.word[on]]),
-                                                  pa.array(flat.place[on].astype(np.int32))], names=_PLACE.names)
-
-    places = words.select("id", "word").mapInArrow(run, _PLACE).join(frequent, "gram", "left_semi")
-    by_place = places.groupBy("id", "place").agg(F.count("*").cast("int").alias("by"))
-    return by_place.groupBy("id").agg(F.collect_list(F.struct("place", "by")).alias("grown"))
-
-
-#: A gram of a word: the longest gram of its class, the word's length, the
-#: place; whether the class is the word's own (else it is that of words shorter
-#: by one), and the word's bound of affected grams.
-_GRAM = T.StructType([T.StructField("gram", T.LongType()), T.StructField("longest", T.IntegerType()),
-                      T.StructField("size", T.IntegerType()), T.StructField("place", T.IntegerType()),
-                      T.StructField("id", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("bound", T.IntegerType())])
-
-
-def decompose(flat: Flat, grown: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(length of the gram at each place, bound of affected grams of each
-    word), with grams of at most ``longest`` symbols by word."""
-    length = np.minimum(np.minimum(2 + grown, longest[flat.word]), flat.left)
-    cover = np.zeros(len(flat.symbols) + 1, np.int64)
-    np.add.at(cover, flat.at, 1)
-    np.add.at(cover, flat.at + length, -1)
-    cover = np.cumsum(cover)[flat.at]
-    start = np.cumsum(flat.size) - flat.size
-    return length, np.maximum.reduceat(cover, start) if len(start) else np.zeros(0, np.int64)
-
-
-def word_grams(words: DataFrame, grown: DataFrame) -> DataFrame:
-    """All grams of all words, in the word's own class and in that of words
-    shorter by one where that is another."""
-    def run(batches):
-        for b in batches:
-            flat, ids = Flat(b.column(1)), np.asarray(b.column(0))
-            by = np.zeros(len(flat.at), np.int64)
-            lists = b.column(2)
-            off = np.asarray(lists.offsets, dtype=np.int64)
-            place, more = (np.asarray(c, dtype=np.int64) for c in lists.values.flatten())
-            start = np.cumsum(flat.size) - flat.size
-            span = slice(off[0], off[-1])
-            by[np.repeat(start, np.diff(off)) + place[span]] = more[span]
-            own = np.minimum(MAX_GRAM, flat.size - 1)
-            less = np.minimum(MAX_GRAM, flat.size - 2)
-            for longest, mine in ((own, True), (less, False)):
-                length, bound = decompose(flat, by, longest)
-                on = np.ones(len(flat.at), bool) if mine else (less != own)[flat.word]
-                gram, w = flat.grams(length)[on], flat.word[on]
-                as_int = lambda x: pa.array(x.astype(np.int32))
+            flat = Flat(b.column(0))
+            for q in range(2, MAX_GRAM):
+                last = np.repeat(flat.end, flat.size)
+                at = np.flatnonzero(np.arange(len(last)) + q <= last)
+                gram, n = np.unique(flat.grams(at, q), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), as_int(longest[w]), as_int(flat.size[w]), as_int(flat.place[on]), pa.array(ids[w]),
-                     pa.array(np.full(len(w), mine)), as_int(bound[w])], names=_GRAM.names)
+                    [pa.array(np.full(len(gram), q, np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], names=["q", "gram", "n"])
+
+    counts = words.select("word").mapInArrow(run, "q int, gram long, n long").groupBy("q", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "gram-counts", files=1)  # at most 91^2 rows of two symbols
+    places = counts.groupBy("q").agg(F.sum("n").alias("places"))
+    found = counts.join(places, "q").filter(F.col("n") * FREQUENT > F.col("places")).select("q", "gram").collect()
+    drop(counts)
+    return {q: np.array([r["gram"] for r in found if r["q"] == q], np.int64) for q in {r["q"] for r in found}}
 
-    none = F.array().cast(grown.schema["grown"].dataType)
-    return words.join(grown, "id", "left").select("id", "word", F.coalesce("grown", none).alias("grown")).mapInArrow(run, _GRAM)
 
+_ROW = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
 
-# -- candidates --------------------------------------------------------------
 
-KEY = ["gram", "longest", "size", "place"]
+def _rows(words: DataFrame, frequent: dict[int, np.ndarray], wanted: bool) -> DataFrame:
+    """(key, id, text) for each gram of each word: the keys under which a word
+    is listed, or those that it looks up (``wanted``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = Flat(b.column(1))
+            word, at, length = flat.decompose(frequent)
+            size, left = flat.size[word], flat.end[word] - at
+            texts = pa.array([w if len(w) <= CARRIED else None for w in b.column(1).to_pylist()], pa.string())
+            for by in ((-1, 0, 1) if wanted else range(MAX_GRAM)):
+                if wanted:   # words of as many symbols, or of one less or more, all of it in the gram
+                    on, own, gap = np.flatnonzero(length + by > 0), length, length + by
+                else:        # as long as the gram, or longer
+                    own = gap = length + by
+                    on = np.flatnonzero((gap <= MAX_GRAM + 1) & (gap <= left))
+                sought = size + by if wanted else size
+                key = flat.keys(word[on], at[on], own[on], sought[on], gap[on])
+                w = pa.array(word[on])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(w), texts.take(w)], names=_ROW.names)
+
+    return words.select("id", "word").mapInArrow(run, _ROW)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, b) ids of words one edit apart, each pair once; ``words`` has id
-    and word and is a table (it is read several times)."""
-    frequent = materialize(frequent_grams(words), "gram-dictionary")
-    grams = materialize(word_grams(words, growth(words, frequent)), "word-grams")
-    lengths = grams.groupBy(*KEY).agg(F.count("*").alias("listed"))
-    shortest = Window.partitionBy("id").orderBy("listed", "place")  # as many rows as the word has letters
-    common = F.least(F.lit(COMMON), F.col("size") - F.col("bound"))
-    merged = (grams.filter("own").join(lengths, KEY).withColumn("rank", F.row_number().over(shortest))
-              .withColumn("common", common).filter(F.col("rank") <= F.col("bound") + F.col("common")))
-    lists = merged.select(F.col("id").alias("a"), "common", "gram", "longest", F.explode(F.array(
-        F.struct("size", "place"),
-        F.struct((F.col("size") + 1).alias("size"), "place"),
-        F.struct((F.col("size") + 1).alias("size"), (F.col("place") + 1).alias("place")))).alias("k")).select(
-            "a", "common", "gram", "longest", "k.size", "k.place")
-    met = lists.join(grams.select(*KEY, F.col("id").alias("b")), KEY).filter("a <> b").groupBy("a", "b").agg(
-        F.count("*").alias("in_lists"), F.max("common").alias("common")).filter(F.col("in_lists") >= F.col("common"))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(a, b) ids of words one edit apart, each pair once, a < b; ``words``
+    has id and word and is a table (it is read several times)."""
+    frequent = frequent_grams(words)
+    listed = _rows(words, frequent, wanted=False).toDF("key", "b", "y")
+    seeking = _rows(words, frequent, wanted=True).toDF("key", "a", "x")
+    met = materialize(
+        seeking.join(listed, "key").filter("a <> b")
+        .filter(F.col("x").isNull() | F.col("y").isNull() | (F.levenshtein("x", "y", 1) == 1))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("x").isNull() | F.col("y").isNull()).alias("open"))
+        .distinct(), "near-words")
     text = words.select("id", "word")
-    out = materialize(
-        pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
-        .filter(F.levenshtein("x", "y", 1) == 1).select("a", "b"), "near-words")
-    drop(frequent)
-    drop(grams)
-    return out
+    checked = (met.filter("open").join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+               .filter(F.levenshtein("x", "y", 1) == 1).select("a", "b"))
+    return met.filter("not open").select("a", "b").union(checked)
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -249,7 +214,7 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def variants(counts: DataFrame) -> DataFrame:
     """The same for a table of distinct words (word, n)."""
     words = materialize(counts.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
-    pairs = near_pairs(words)
+    pairs = materialize(near_pairs(words), "near-pairs")
     other = words.select(F.col("id").alias("b"), F.col("word").alias("w"), F.col("n").alias("m"))
     near = (pairs.union(pairs.select("b", "a")).join(other, "b").groupBy("a").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "w", "b")).alias("best"))
