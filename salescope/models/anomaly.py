@@ -4,13 +4,15 @@ z-score: one aggregate row (means, sample standard deviations) and a
 projection.  Isolation forest (Spark ML has none): the forest is grown from
 small per-tree samples and scored over all rows —
 
-1. every tree draws about 1.5 × ``max_samples`` rows by hashing a per-row
-   key (a hash of its values) with the tree id (one Bernoulli pre-filter over the table,
-   then an explode over the few surviving rows), keeping the
-   ``max_samples`` smallest keys per tree: groups are bounded by the sample
-   size, never by the data;
-2. trees are grown in ``applyInPandas`` grouped by tree id (one small pandas
-   frame per tree) and come back as node tables (≤ 2 × max_samples rows each);
+1. rows are counted by their model values (one aggregate with map-side
+   combine that reads nothing but the model columns), and every copy of a value
+   has a draw of its own in every tree.  How many of a value's draws are below
+   a limit is binomial in its copies; the hash of the value decides it, so the
+   same rows give the same forest in any partitioning.  Most values have none
+   and are filtered out by a comparison with that probability.  The limit
+   leaves about 2 x ``max_samples`` draws a tree, whatever the size of the
+   table or of its hottest value; a tree takes its ``max_samples`` least;
+2. trees are grown in ``applyInPandas`` grouped by tree id (those few draws) and come back as node tables (≤ 2 × max_samples rows each);
 3. the forest (a few thousand numbers) is shipped to a vectorised pandas UDF
    that scores every row;
 4. the decision offset is the exact ``contamination`` quantile of the scores.
@@ -25,7 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators.ordered import exact_quantiles
 
@@ -210,33 +211,68 @@ class IsolationForestModel:
         return cls(meta["cols"], _forest_arrays(nodes), meta["psi"], meta["offset"], meta["contamination"])
 
 
+def _copies_below(u: float, slots: int, limit: float, rng: np.random.Generator) -> int:
+    """How many of ``slots`` draws are below ``limit``: the binomial quantile
+    at ``u``, by summing probabilities where none below is possible at all."""
+    if limit >= 1.0:
+        return slots
+    if slots * limit > 30:
+        return int(rng.binomial(slots, limit))
+    p = below = math.exp(slots * math.log1p(-limit))
+    k = 0
+    while below <= u and k < slots and p > 1e-18:
+        p *= (slots - k) / (k + 1) * limit / (1.0 - limit)
+        below += p
+        k += 1
+    return k
+
+
+def _sample(df: DataFrame, cols: list[str], n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """(tree, draw, x0, x1, ...): about 2 x psi rows a tree, of which the psi
+    of least draw are a uniform sample without replacement."""
+    values = [f"x{i}" for i in range(len(cols))]
+    rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(v) for c, v in zip(cols, values)])
+    limit = min(1.0, 2.0 * psi / max(n, 1))
+    h = F.xxhash64(F.lit(seed), *values)
+    classes = (rows.groupBy(*values).agg(F.count(F.lit(1)).alias("copies"))
+               .withColumn("h", h).withColumn("u", F.pmod("h", F.lit(1 << 52)) / F.lit(float(1 << 52))))
+    if limit < 1.0:
+        none = F.exp(F.col("copies") * F.lit(n_trees * math.log1p(-limit)))
+        classes = classes.where(F.col("u") >= none)
+    schema = "tree int, draw double, " + ", ".join(f"{v} double" for v in values)
+
+    def draw(frames):
+        for pdf in frames:
+            at, tree, place = [], [], []
+            for i, (m, h, u) in enumerate(zip(pdf["copies"], pdf["h"], pdf["u"])):
+                rng = np.random.Generator(np.random.Philox(key=int(h) & ((1 << 64) - 1)))
+                slots = int(m) * n_trees
+                k = _copies_below(float(u), slots, limit, rng)
+                at.append(np.full(k, i))
+                tree.append(rng.choice(slots, size=k, replace=False, shuffle=False) % n_trees)
+                place.append(rng.random(k) * limit)
+            if at:
+                out = pdf[values].iloc[np.concatenate(at)].reset_index(drop=True)
+                out.insert(0, "draw", np.concatenate(place))
+                out.insert(0, "tree", np.concatenate(tree).astype("int32"))
+                yield out
+
+    return classes.mapInPandas(draw, schema)
+
+
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int = 100,
                          max_samples: int = 256, contamination: float = 0.05, seed: int = 42,
                          return_scored: bool = False):
     cols = cols or DEFAULT_FEATURES
     k = len(cols)
-    # a row's draw depends on its values alone, so the sample is the same in any
-    # partitioning and when a task is run again; equal rows are drawn together
-    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)],
-                  draw.alias("_u"))
-    n = x.count()
+    n = df.count()
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    p_tree = min(1.0, 1.5 * psi / max(n, 1)) if psi < n else 1.0
-    p_any = min(1.0, n_trees * p_tree)
-    pre = x.where(F.col("_u") < F.lit(p_any)) if p_any < 1.0 else x
-    cond = p_tree / p_any
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: (F.abs(F.xxhash64(t, F.col("_u"))) % F.lit(1_000_000)) < F.lit(int(cond * 1_000_000))
-                     ) if cond < 1.0 else F.sequence(F.lit(0), F.lit(n_trees - 1))
-    exploded = pre.withColumn("tree", F.explode(trees))
-    w = Window.partitionBy("tree").orderBy(F.xxhash64(F.col("tree"), F.col("_u")), F.col("_u"),
-                                             *[f"x{i}" for i in range(k)])
-    sample = exploded.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
+    sample = _sample(df, cols, n, n_trees, psi, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _grow(pdf, k, max_depth, seed)
+        least = pdf.sort_values(["draw", *[f"x{i}" for i in range(k)]]).head(psi)
+        return _grow(least, k, max_depth, seed)
 
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # ≤ n_trees × 2 psi rows
     forest = _forest_arrays(nodes)

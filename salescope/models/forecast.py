@@ -5,7 +5,7 @@ series — bounded by the calendar, not by the transactions; the transaction →
 day aggregation is the distributed, data-sized step).  Features are scaled
 with the median / inter-quartile range of the training rows (exact
 percentiles over the bounded table), assembled into a vector and fitted with
-a Spark ML regressor.
+a Spark ML regressor, or from one Gram-matrix aggregate (``linear``).
 
 The recursive multi-day forecast is a loop of Spark jobs over all series at
 once: every series carries its last 30 daily values as an array column, the
@@ -21,8 +21,7 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
-                                   LinearRegressionModel, RandomForestRegressionModel,
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, RandomForestRegressionModel,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,20 +29,17 @@ from pyspark.sql.window import Window
 
 from ..operators.features import DAILY_FEATURES, calendar_columns, daily_features
 from ..session import ensure_checkpoint_dir
+from . import linear, tuning as grid_search
 
 MODEL_TYPES = ["linear", "ridge", "lasso", "random_forest", "extra_trees", "gradient_boosting",
                "xgboost", "lightgbm", "ensemble", "stacking"]
 HISTORY = 30          # daily values carried per series by the recursive forecast
 EPS = 2.220446049250313e-16   # machine epsilon: MAPE denominator floor
 
-# Grid searched by ``tuning=True`` for the random forest.  The split-size
-# parameter of the single-machine grid has no Spark counterpart.
 # Tree training: node ids are cached between levels and up to 1 GB of node
 # statistics is aggregated per pass (fully grown trees need few passes).
 TREE_OPTS = dict(maxBins=32, cacheNodeIds=True, maxMemoryInMB=1024)
 
-RF_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]}
-
 
 # ---------------------------------------------------------------------------
 # split, scaling
@@ -86,15 +82,7 @@ def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float]], cols: lis
 # estimators
 # ---------------------------------------------------------------------------
 
-def _estimator(model_type: str, label_std: float, n: int, **params):
-    if model_type == "linear":
-        return LinearRegression(regParam=0.0, elasticNetParam=0.0, standardization=False, solver="normal")
-    if model_type == "ridge":
-        # equals the closed-form ridge of alpha = 1 on unstandardised features
-        return LinearRegression(regParam=1.0 * label_std / max(n, 1), elasticNetParam=0.0,
-                                standardization=False, solver="l-bfgs", maxIter=1000, tol=1e-12)
-    if model_type == "lasso":
-        return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=10000, tol=1e-10)
+def _estimator(model_type: str, **params):
     if model_type == "random_forest":
         p = dict(numTrees=200, minInstancesPerNode=2, maxDepth=30)
         p.update(params)
@@ -143,12 +131,12 @@ class _Stacked:
 
 
 def _fit_one(model_type: str, train: DataFrame, **params):
-    stats = train.agg(F.stddev_samp("revenue").alias("sd"), F.count(F.lit(1)).alias("n")).first()
-    est = _estimator(model_type, float(stats["sd"] or 0.0), int(stats["n"]), **params)
-    return est.setLabelCol("revenue").setFeaturesCol("features").fit(train)
+    if model_type in linear.KINDS:
+        return linear.fit_linear(train, model_type, **params)
+    return _estimator(model_type, **params).setLabelCol("revenue").setFeaturesCol("features").fit(train)
 
 
-def _fit_model(model_type: str, train: DataFrame, tuning: bool = False):
+def _fit_model(model_type: str, train: DataFrame, tuning: bool = False, grid: dict | None = None, step=None):
     if model_type == "ensemble":
         members = [("random_forest", dict(minInstancesPerNode=1)),
                    ("gradient_boosting", dict(maxDepth=3, subsamplingRate=1.0))]
@@ -156,7 +144,7 @@ def _fit_model(model_type: str, train: DataFrame, tuning: bool = False):
     if model_type == "stacking":
         return _fit_stacking(train)
     if tuning and model_type == "random_forest":
-        best = tune_random_forest(train)
+        best, _ = tune_random_forest(train, grid, step)
         model = _fit_one("random_forest", train, **best)
         model._salescope_best = best
         return model
@@ -194,35 +182,10 @@ def _fit_concurrently(jobs: list, parallelism: int = 8) -> list:
         return list(pool.map(lambda j: _fit_one(j[0], j[1], **j[2]), jobs))
 
 
-def tune_random_forest(train: DataFrame, grid: dict | None = None, parallelism: int = 8) -> dict:
-    """Grid search over expanding time folds (3 splits, each testing the next
-    quarter of the training rows), mean squared error; fits run as
-    concurrent Spark jobs."""
-    grid = grid or RF_GRID
-    n = train.count()
-    size = n // 4
-    folds = [(n - (3 - i) * size, size) for i in range(3)]
-    combos = [dict(zip(grid, vals)) for vals in _product(list(grid.values()))]
-
-    def score(params):
-        errs = []
-        for end, size_ in folds:
-            tr = train.where(F.col("_rn") <= end)
-            te = train.where((F.col("_rn") > end) & (F.col("_rn") <= end + size_))
-            m = _fit_one("random_forest", tr, **params)
-            errs.append(m.transform(te).agg(F.avg((F.col("revenue") - F.col("prediction")) ** 2)).first()[0])
-        return sum(errs) / len(errs)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(score, combos))
-    best = min(range(len(combos)), key=lambda i: (scores[i], i))
-    return combos[best]
-
-
-def _product(lists):
-    if not lists:
-        return [()]
-    return [(x,) + rest for x in lists[0] for rest in _product(lists[1:])]
+def tune_random_forest(train: DataFrame, grid: dict | None = None, step=None) -> tuple[dict, list[dict]]:
+    """Grid search over expanding time folds by nested fits (``tuning``)."""
+    return grid_search.tune(train, lambda rows, **p: _fit_one("random_forest", rows, **p), grid,
+                            *([step] if step else []))
 
 
 # ---------------------------------------------------------------------------
@@ -265,7 +228,8 @@ class Forecaster:
         parts = _parts(self.model)
         meta["parts"] = [[kind, i] for i, (kind, _) in enumerate(parts)]
         for i, (kind, m) in enumerate(parts):
-            m.write().overwrite().save(os.path.join(path, f"part{i}"))
+            at = os.path.join(path, f"part{i}")
+            m.save(at) if kind == "linear" else m.write().overwrite().save(at)
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
              .write.mode("overwrite").text(os.path.join(path, "meta"))
 
@@ -285,11 +249,11 @@ class Forecaster:
         return cls(mt, stats, model, meta.get("metrics"), meta.get("series"))
 
 
-_LOADERS = {"linear": LinearRegressionModel, "rf": RandomForestRegressionModel, "gbt": GBTRegressionModel}
+_LOADERS = {"linear": linear.LinearFit, "rf": RandomForestRegressionModel, "gbt": GBTRegressionModel}
 
 
 def _kind(m) -> str:
-    if isinstance(m, LinearRegressionModel):
+    if isinstance(m, linear.LinearFit):
         return "linear"
     if isinstance(m, RandomForestRegressionModel):
         return "rf"
@@ -325,7 +289,8 @@ def regression_metrics(pred: DataFrame, label: str = "revenue", prediction: str
 
 
 def fit_forecaster(sales: DataFrame, model_type: str = "random_forest", test_size: float = 0.2,
-                   tuning: bool = False, series: list[str] | None = None) -> tuple[Forecaster, DataFrame]:
+                   tuning: bool = False, series: list[str] | None = None, grid: dict | None = None,
+                   step=None) -> tuple[Forecaster, DataFrame]:
     """Build the daily feature table, split by time, scale on train, fit,
     and report train/test metrics.  Returns (forecaster, scored rows)."""
     daily = daily_features(sales, series)
@@ -335,7 +300,7 @@ def fit_forecaster(sales: DataFrame, model_type: str = "random_forest", test_siz
     stats = fit_scaler(split.where(F.col("split") == "train"), DAILY_FEATURES)
     data = apply_scaler(split, stats, DAILY_FEATURES)
     train = data.where(F.col("split") == "train")
-    model = _fit_model(model_type, train, tuning)
+    model = _fit_model(model_type, train, tuning, grid, step)
     scored = model.transform(data).drop("features")
     m = regression_metrics(scored, by="split").collect()
     metrics = {f"{r['split']}_{k}": float(r[k]) for r in m for k in ("mae", "rmse", "r2", "mape")}

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from .common import has, require, to_numeric
-from .ordered import exact_quantiles, forward_fill
+from .ordered import forward_fill, joint_quantiles
 
 
 # ---------------------------------------------------------------------------
@@ -235,14 +235,16 @@ def fill_missing(df: DataFrame, strategy: dict[str, str] | None = None,
     # plan, kept (memory, then disk) for the few statistic jobs, then released
     base = df.select(*stat_cols).persist() if stat_cols else None
     try:
+        medians = [c for c in stat_cols if present[c] == "median" and c in numeric]
+        if medians:
+            fills |= {c: q[0] for c, q in joint_quantiles(base, {c: (c, [0.5]) for c in medians}).items()}
+        means = [c for c in stat_cols if present[c] == "mean" and c in numeric]
+        if means:
+            fills |= base.agg(*[F.avg(c).alias(c) for c in means]).first().asDict()
         for c, s in present.items():
             if not null_counts[c]:
                 continue
-            if s == "mean" and c in numeric:
-                fills[c] = base.agg(F.avg(c)).first()[0]
-            elif s == "median" and c in numeric:
-                fills[c] = exact_quantiles(base, c, [0.5])[0]
-            elif s == "mode":
+            if s == "mode":
                 m = column_mode(base, c)
                 fills[c] = "Unknown" if m is None else m
             elif s == "drop":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import RFM_LOWEST_SEGMENT, RFM_SEGMENTS
 from .common import days_between, require, resolve_column
 from ..session import ensure_checkpoint_dir
-from .ordered import exact_quantiles
+from .ordered import joint_quantiles
 
 QUINTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -53,14 +53,15 @@ def _score(col: str, edges: list[float], descending: bool) -> F.Column:
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """Quintile scores: recency 5..1 (recent is better), frequency and
     monetary 1..5; any repeated quintile edge gives every row a 3."""
-    # one row per customer, read once per scored column: written once to the
-    # checkpoint folder (no cache left behind, lineage cut)
+    # one row per customer, read by every round of the quantiles: written once
+    # to the checkpoint folder (no cache left behind, lineage cut)
     ensure_checkpoint_dir(rfm.sparkSession)
     rfm = rfm.checkpoint(eager=True)
     out = rfm
-    for col, desc in [("recency", True), ("frequency", False), ("monetary", False)]:
-        edges = exact_quantiles(rfm, col, QUINTILES)
-        out = out.withColumn(f"{col}_score", _score(col, edges, desc).cast("int"))
+    scored = {"recency": True, "frequency": False, "monetary": False}
+    edges = joint_quantiles(rfm, {c: (c, QUINTILES) for c in scored})
+    for col, desc in scored.items():
+        out = out.withColumn(f"{col}_score", _score(col, edges[col], desc).cast("int"))
     return out.withColumn("rfm_score", F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score"))
 
 

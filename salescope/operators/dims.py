@@ -153,8 +153,27 @@ def regional_analysis(df: DataFrame) -> DataFrame:
     qty = F.coalesce(F.sum("quantity"), F.lit(0.0)) if has(df, "quantity") else F.count("revenue")
     out = _grouped(df, col).agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
                                 F.count("revenue").alias("transactions"), qty.alias("quantity"))
-    out = _share(out, "revenue", "revenue_share_pct")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("revenue").desc(), F.col(col))))
+    return rank_by(_share(out, "revenue", "revenue_share_pct"), "revenue", col)
+
+
+def rank_by(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``rank`` 1, 2, ... by falling value of a small dimension."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(value).desc(), F.col(name))))
+
+
+def map_values(df: DataFrame, col: str, mapping: DataFrame | dict, out: str, default=None) -> DataFrame:
+    """``out`` = the value that ``mapping`` gives for ``col``, ``default`` (null)
+    where it has none.  A dict becomes an expression; a table of two columns
+    (value, mapped; values unique) is joined, by the strategy that Spark picks
+    for its size."""
+    if isinstance(mapping, dict):
+        pairs = [x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]
+        mapped = F.try_element_at(F.create_map(*pairs), F.col(col)) if pairs else F.lit(None)
+        return df.withColumn(out, F.coalesce(mapped, F.lit(default)) if default is not None else mapped)
+    key, value = mapping.columns
+    side = mapping.where(F.col(key).isNotNull()).select(F.col(key).alias(col), F.col(value).alias(out))
+    joined = df.drop(out).join(side, col, "left")
+    return joined.fillna({out: default}) if default is not None else joined
 
 
 def region_overview(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.fixed import DEFAULT_MARGIN_PCT, DIMENSION_CANDIDATES
 from .common import days_between, has, pct, period_start
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, joint_quantiles
 
 
 def kpis(df: DataFrame, revenue_source: DataFrame | None = None) -> DataFrame:
@@ -36,14 +36,21 @@ def kpis(df: DataFrame, revenue_source: DataFrame | None = None) -> DataFrame:
         aggs.append(F.countDistinct("customer").alias("unique_customers"))
     if has(df, "date"):
         aggs.append(days_between(F.min("date"), F.max("date")).alias("date_range_days"))
-    out = df.agg(*aggs)
-    if has(df, "revenue", "quantity"):
-        out = out.withColumn("avg_order_value", F.try_divide("total_revenue", "total_transactions"))
-    if has(df, "date"):
-        total = F.col("total_revenue") if has(df, "revenue") else F.lit(0.0)
-        out = out.withColumn("avg_daily_revenue", total / F.greatest(F.col("date_range_days"), F.lit(1)))
+    median = None
     if has(df, "revenue"):
         (median,) = exact_quantiles(revenue_source if revenue_source is not None else df, "revenue", [0.5])
+    return kpis_of(df.agg(*aggs), median)
+
+
+def kpis_of(totals: DataFrame, median: float | None) -> DataFrame:
+    """The ratios of a row of totals, and the median given."""
+    out = totals
+    if has(out, "total_revenue", "total_quantity"):
+        out = out.withColumn("avg_order_value", F.try_divide("total_revenue", "total_transactions"))
+    if has(out, "date_range_days"):
+        total = F.col("total_revenue") if has(out, "total_revenue") else F.lit(0.0)
+        out = out.withColumn("avg_daily_revenue", total / F.greatest(F.col("date_range_days"), F.lit(1)))
+    if has(out, "total_revenue"):
         out = out.withColumn("median_revenue", F.lit(median).cast("double"))
     return out
 
@@ -117,7 +124,7 @@ def data_summary(df: DataFrame, numeric_quartiles: bool = True) -> DataFrame:
     """Long-form profile: one row per column with type, nulls, and for numeric
     columns count/mean/std/min/quartiles/max; plus table rows, columns and
     the date span.  One aggregate pass for all counts and moments; exact
-    quartiles per numeric column.
+    quartiles of all numeric columns in joint passes.
     """
     fields = [f for f in df.schema.fields]
     numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
@@ -133,6 +140,8 @@ def data_summary(df: DataFrame, numeric_quartiles: bool = True) -> DataFrame:
         aggs += [F.min("date").alias("__dmin"), F.max("date").alias("__dmax")]
     row = df.agg(*aggs).first()
     spark = df.sparkSession
+    filled = [f.name for i, f in enumerate(fields) if f.name in numeric and row[f"c{i}"]] if numeric_quartiles else []
+    quartiles = joint_quantiles(df, {c: (c, [0.25, 0.5, 0.75]) for c in filled}) if filled else {}
     out = []
     for i, f in enumerate(fields):
         rec = {"column": f.name, "dtype": f.dataType.simpleString(), "missing": int(row[f"n{i}"]),
@@ -141,9 +150,8 @@ def data_summary(df: DataFrame, numeric_quartiles: bool = True) -> DataFrame:
         if f.name in numeric:
             rec.update(count=int(row[f"c{i}"]), mean=row[f"a{i}"], std=row[f"s{i}"],
                        min=row[f"mn{i}"], max=row[f"mx{i}"])
-            if numeric_quartiles and row[f"c{i}"]:
-                q = exact_quantiles(df, f.name, [0.25, 0.5, 0.75])
-                rec.update(q25=q[0], q50=q[1], q75=q[2])
+            if f.name in quartiles:
+                rec.update(zip(("q25", "q50", "q75"), quartiles[f.name]))
         out.append(rec)
     schema = T.StructType([
         T.StructField("column", T.StringType()), T.StructField("dtype", T.StringType()),

@@ -27,6 +27,7 @@ interval.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -214,119 +215,138 @@ ACCURACY = 10_000           # percentile_approx accuracy used to bracket a rank
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float]) -> list[float | None]:
-    """Linear-interpolated quantiles of a numeric column (nulls and NaN ignored).
-
-    Scales with the table: every narrowing round is two single-row
-    aggregates (partial aggregation, no row shuffle) that bracket each target
-    rank between two approximate percentiles and count the rows below them;
-    the interval left around a rank shrinks about ``ACCURACY / 4`` fold per
-    round, and only an interval of at most ``LOCAL_RANK_LIMIT`` rows is
-    finally ranked.  Hot values collapse into a single-value interval.
+    """Linear-interpolated quantiles of a numeric column (nulls and NaN ignored)."""
+    return joint_quantiles(df, {"v": (col, qs)})["v"]
+
+
+def joint_quantiles(df: DataFrame, wanted: dict[str, tuple[str | Column, list[float]]]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of several columns at once, nulls and NaN
+    ignored: {name: (column, quantiles)} -> {name: values}.
+
+    Scales with the table: a narrowing round is two single-row aggregates for
+    all columns and all ranks (partial aggregation, no row shuffle).  The first
+    brackets every rank that is still open between two approximate percentiles
+    of its interval, the second counts the rows below them; the interval left
+    around a rank shrinks about ``ACCURACY / 4`` fold per round.  Intervals of at
+    most ``LOCAL_RANK_LIMIT`` rows are ranked, all in one job.  Hot values
+    collapse into a single-value interval.  So the number of passes does not
+    depend on the number of columns or quantiles.
     """
-    c = F.col(col) if isinstance(col, str) else col
-    v = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    v = v.persist()
+    names = list(wanted)
+    cols = {}
+    for i, name in enumerate(names):
+        c = wanted[name][0]
+        c = (F.col(c) if isinstance(c, str) else c).cast("double")
+        cols[name] = F.when(~F.isnan(c), c).alias(f"v{i}")
+    v = df.select(*cols.values()).persist()
     try:
-        n = v.count()
-        if n == 0:
-            return [None for _ in qs]
-        targets: dict[int, None] = {}
-        for q in qs:
-            pos = q * (n - 1)
-            targets[int(math.floor(pos))] = None
-            targets[int(math.ceil(pos))] = None
-        found = _select_ranks(v, sorted(targets), n)
-        out = []
-        for q in qs:
-            pos = q * (n - 1)
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = found[lo], found[hi]
-            out.append(float(a + (pos - lo) * (b - a)) if hi != lo else float(a))
-        return out
+        counts = v.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+        ranks: dict[tuple[str, int], int] = {}
+        for i, name in enumerate(names):
+            n = counts[f"n{i}"]
+            for q in wanted[name][1] if n else []:
+                ranks[f"v{i}", int(math.floor(q * (n - 1)))] = n
+                ranks[f"v{i}", int(math.ceil(q * (n - 1)))] = n
+        found = _select_ranks(v, ranks)
     finally:
         v.unpersist()
+    out = {}
+    for i, name in enumerate(names):
+        n = counts[f"n{i}"]
+        values = []
+        for q in wanted[name][1]:
+            pos = q * (n - 1)
+            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
+            if n:
+                a, b = found[f"v{i}", lo], found[f"v{i}", hi]
+            values.append((float(a + (pos - lo) * (b - a)) if hi != lo else float(a)) if n else None)
+        out[name] = values
+    return out
 
 
-def _select_ranks(v: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
-    """Value at each 0-based rank of column ``v`` (ascending)."""
+def _select_ranks(v: DataFrame, ranks: dict[tuple[str, int], int]) -> dict[tuple[str, int], float]:
+    """Value at each (column, 0-based ascending rank); ``ranks`` has the number
+    of values of the column."""
     # per rank: (lower bound, upper bound, rows below the interval, rows inside)
-    state = {r: (None, None, 0, n) for r in ranks}
-    result: dict[int, float] = {}
-    while len(result) < len(ranks):
-        open_ = [r for r in ranks if r not in result]
-        small = {r: state[r] for r in open_ if state[r][3] <= LOCAL_RANK_LIMIT}
-        if small:
-            result.update(_rank_small(v, small))
-        big = [r for r in open_ if r not in small]
-        if not big:
+    state = {k: (None, None, 0, n) for k, n in ranks.items()}
+    result: dict[tuple[str, int], float] = {}
+    margin = 2.0 / ACCURACY
+    while True:
+        open_ = [k for k in state if k not in result and state[k][3] > LOCAL_RANK_LIMIT]
+        if not open_:
             break
-        margin = 2.0 / ACCURACY
+        # ranks in one interval share a sketch
+        intervals: dict[tuple, list] = {}
+        for k in open_:
+            intervals.setdefault((k[0], state[k][0], state[k][1]), []).append(k)
         aggs = []
-        for i, r in enumerate(big):
-            lo, hi, below, inside = state[r]
-            q = (r - below) / max(inside - 1, 1)
-            aggs.append(F.percentile_approx(F.when(_inside(lo, hi), F.col("v")),
-                                            [max(0.0, q - margin), min(1.0, q + margin)], ACCURACY).alias(f"p{i}"))
+        for i, ((c, lo, hi), ks) in enumerate(intervals.items()):
+            shares = []
+            for k in ks:
+                q = (k[1] - state[k][2]) / max(state[k][3] - 1, 1)
+                shares += [max(0.0, q - margin), min(1.0, q + margin)]
+            aggs.append(F.percentile_approx(F.when(_inside(c, lo, hi), F.col(c)), shares, ACCURACY).alias(f"p{i}"))
         prow = v.agg(*aggs).first()
-        cnts = []
-        for i, r in enumerate(big):
-            lo, hi, _, _ = state[r]
-            pl, ph = prow[f"p{i}"]
-            cnts += [F.count_if(_inside(lo, hi) & (F.col("v") < F.lit(pl))).alias(f"lt{i}"),
-                     F.count_if(_inside(lo, hi) & (F.col("v") <= F.lit(ph))).alias(f"le{i}")]
-        crow = v.agg(*cnts).first()
-        for i, r in enumerate(big):
-            lo, hi, below, inside = state[r]
-            pl, ph = (float(x) for x in prow[f"p{i}"])
-            lt, le = crow[f"lt{i}"], crow[f"le{i}"]
-            local = r - below
+        around = {k: [float(x) for x in prow[f"p{i}"][2 * j:2 * j + 2]]
+                  for i, ks in enumerate(intervals.values()) for j, k in enumerate(ks)}
+        counts = []
+        for i, k in enumerate(open_):
+            lo, hi, _, _ = state[k]
+            pl, ph = around[k]
+            inside = _inside(k[0], lo, hi)
+            # the middle serves where the percentiles do not narrow the interval
+            counts += [F.count_if(inside & (F.col(k[0]) < F.lit(pl))).alias(f"lt{i}"),
+                       F.count_if(inside & (F.col(k[0]) <= F.lit(ph))).alias(f"le{i}"),
+                       F.count_if(inside & (F.col(k[0]) <= F.lit(pl + (ph - pl) / 2))).alias(f"mid{i}")]
+        crow = v.agg(*counts).first()
+        for i, k in enumerate(open_):
+            lo, hi, below, inside = state[k]
+            pl, ph = around[k]
+            lt, le, low = crow[f"lt{i}"], crow[f"le{i}"], crow[f"mid{i}"]
+            local = k[1] - below
             if lt <= local < le:
                 if pl == ph:
-                    result[r] = pl
-                    continue
-                if le - lt == inside:
-                    # the percentiles did not narrow it: halve the interval by value
+                    result[k] = pl
+                elif le - lt == inside:
                     mid = pl + (ph - pl) / 2
-                    low = v.agg(F.count_if(_inside(lo, hi) & (F.col("v") <= F.lit(mid)))).first()[0]
-                    state[r] = ((lo, ("le", mid), below, low) if local < low
+                    state[k] = ((lo, ("le", mid), below, low) if local < low
                                 else (("gt", mid), hi, below + low, inside - low))
-                    continue
-                state[r] = (("ge", pl), ("le", ph), below + lt, le - lt)
+                else:
+                    state[k] = (("ge", pl), ("le", ph), below + lt, le - lt)
             elif local < lt:
-                state[r] = (lo, ("lt", pl), below, lt)
+                state[k] = (lo, ("lt", pl), below, lt)
             else:
-                state[r] = (("gt", ph), hi, below + le, inside - le)
-    return result
+                state[k] = (("gt", ph), hi, below + le, inside - le)
+    return result | _rank_small(v, {k: state[k] for k in state if k not in result})
 
 
-def _inside(lo, hi) -> Column:
+def _inside(c: str, lo, hi) -> Column:
     cond = F.lit(True)
     if lo is not None:
         op, x = lo
-        cond = cond & (F.col("v") > F.lit(x) if op == "gt" else F.col("v") >= F.lit(x))
+        cond = cond & (F.col(c) > F.lit(x) if op == "gt" else F.col(c) >= F.lit(x))
     if hi is not None:
         op, x = hi
-        cond = cond & (F.col("v") < F.lit(x) if op == "lt" else F.col("v") <= F.lit(x))
+        cond = cond & (F.col(c) < F.lit(x) if op == "lt" else F.col(c) <= F.lit(x))
     return cond
 
 
-def _rank_small(v: DataFrame, small: dict) -> dict[int, float]:
-    """Rank the rows of small intervals (≤ LOCAL_RANK_LIMIT rows each)."""
-    out = {}
-    by_interval: dict = {}
-    for r, (lo, hi, below, _inside_n) in small.items():
-        by_interval.setdefault((lo, hi, below), []).append(r)
-    for (lo, hi, below), rs in by_interval.items():
-        locals_ = sorted({r - below for r in rs})
-        w = Window.orderBy("v")
-        picked = (v.where(_inside(lo, hi))
-                   .withColumn("rn", F.row_number().over(w) - 1)
-                   .where(F.col("rn").isin(locals_))
-                   .select("rn", "v").collect())
-        got = {int(x["rn"]): float(x["v"]) for x in picked}
-        for r in rs:
-            out[r] = got[r - below]
-    return out
+def _rank_small(v: DataFrame, small: dict) -> dict[tuple[str, int], float]:
+    """Rank the rows of small intervals (at most ``LOCAL_RANK_LIMIT`` rows
+    each), a window partition for every interval."""
+    if not small:
+        return {}
+    intervals: dict[tuple, list] = {}
+    for k, (lo, hi, below, _) in small.items():
+        intervals.setdefault((k[0], lo, hi, below), []).append(k)
+    rows, places = [], []
+    for i, ((c, lo, hi, below), ks) in enumerate(intervals.items()):
+        rows.append(F.when(_inside(c, lo, hi) & F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))))
+        places.append((F.col("i") == i) & F.col("rn").isin([k[1] - below for k in ks]))
+    each = v.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    ranked = each.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("v")) - 1)
+    got = {(r["i"], r["rn"]): float(r["v"]) for r in ranked.where(reduce(lambda a, b: a | b, places)).collect()}
+    return {k: got[i, k[1] - below] for i, ((_, _, _, below), ks) in enumerate(intervals.items()) for k in ks}
 
 
 def quantile_row(df: DataFrame, col: str, qs: list[float], names: list[str]) -> DataFrame:

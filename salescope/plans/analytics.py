@@ -692,7 +692,7 @@ def q_map_values(spark, d):
     region = read_table(spark, d, "region")
     mapping = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]) \
                     .select(F.col("n_name").alias("region"), F.col("r_name").alias("region_group"))
-    s = view(spark, d, "region", "revenue").join(F.broadcast(mapping), "region", "left")
+    s = dims.map_values(view(spark, d, "region", "revenue"), "region", mapping, "region_group")
     out = s.groupBy("region_group").agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
     return rnd(out, ["revenue"])
 

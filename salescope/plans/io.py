@@ -8,11 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import dims, growth, kpi
+from ..operators import bundle
+from ..operators.common import union_all
 from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import ROW_ORDER
-from .registry import query, rnd, view, with_sales
+from . import analytics  # noqa: F401  (the analyses' SQL)
+from .registry import ORACLES, query, rnd, view, with_sales
 
 
 def _fresh(spark, name: str) -> str:
@@ -78,59 +80,55 @@ def q_write_processed(spark, d):
     return rnd(out.withColumn("year_month", F.col("year_month").cast("string")), ["revenue"])
 
 
-_BUNDLE_SQL = with_sales("""
-, pm AS (SELECT date_trunc('month', date) AS month, product, sum(revenue) AS revenue FROM sales
-         WHERE date IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2)
-, l AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY month DESC) AS rn FROM pm)
-, l3 AS (SELECT *, lead(revenue) OVER (PARTITION BY product ORDER BY rn) AS older FROM l WHERE rn <= 3)
-, dec AS (SELECT product FROM l3 GROUP BY product
-          HAVING count(*) >= 3 AND count_if(older IS NOT NULL AND revenue > older) = 0)
-, counts AS (
-  SELECT 'kpis' AS name, 1 AS rows
-  UNION ALL SELECT 'monthly_growth', count(DISTINCT date_trunc('month', date)) FROM sales WHERE date IS NOT NULL
-  UNION ALL SELECT 'category_analysis', count(DISTINCT category) FROM sales
-  UNION ALL SELECT 'declining_products', count(*) FROM dec
-  UNION ALL SELECT 'top_products', least(30, count(DISTINCT product)) FROM sales
-  UNION ALL SELECT 'salesperson_performance', count(DISTINCT salesperson) FROM sales
-  UNION ALL SELECT 'regional_analysis', count(DISTINCT region) FROM sales
-  UNION ALL SELECT 'store_analysis', count(DISTINCT store) FROM sales
-  UNION ALL SELECT 'channel_analysis', count(DISTINCT channel) FROM sales
-  UNION ALL SELECT 'customer_rfm', count(DISTINCT customer) FROM sales
-  UNION ALL SELECT 'profitability', count(DISTINCT product) FROM sales)
-SELECT CAST(rows AS BIGINT) AS rows, name FROM counts WHERE rows > 0
-""")
-
-
-@query("write_csv_bundle", _BUNDLE_SQL)
+#: Key column and figures of every result of the bundle.
+_BUNDLE = {
+    "kpis": (None, ["total_revenue", "avg_revenue", "median_revenue", "total_quantity", "avg_quantity", "total_transactions",
+                    "avg_order_value", "unique_products", "unique_customers", "date_range_days", "avg_daily_revenue"]),
+    "monthly_growth": ("date", ["revenue", "quantity", "revenue_mom", "quantity_mom", "revenue_yoy"]),
+    "category_analysis": ("category", ["total_revenue", "avg_revenue", "transactions", "total_quantity", "avg_quantity", "revenue_pct"]),
+    "declining_products": ("product", ["decline_pct", "latest_revenue"]),
+    "top_products": ("product", ["revenue"]),
+    "salesperson_performance": ("salesperson", ["revenue", "transactions", "avg_revenue"]),
+    "regional_analysis": ("region", ["revenue", "transactions", "quantity", "revenue_share_pct", "rank"]),
+    "store_analysis": ("store", ["revenue", "transactions"]),
+    "channel_analysis": ("channel", ["revenue", "transactions"]),
+    "customer_rfm": ("customer", ["recency", "frequency", "monetary", "avg_order"]),
+    "profitability": ("product", ["revenue", "cost", "txn", "profit", "margin_pct"]),
+}
+_BUNDLE_MONEY = ["total_revenue", "total_quantity", "revenue", "quantity", "latest_revenue", "monetary", "cost", "profit"]
+
+
+def _bundle_sql() -> str:
+    """The contents of every file, in long form, from the analyses' own SQL."""
+    own = {"monthly_growth": "growth_metrics", "customer_rfm": "rfm_base", "profitability": "profitability_product"}
+    parts, rows = [], []
+    for name, (key, figures) in _BUNDLE.items():
+        sql = ORACLES[own.get(name, name if name != "top_products" else "top_dimension")]
+        if name == "top_products":
+            head, tail = sql.rsplit("SELECT store", 1)
+            sql = head + "SELECT store".replace("store", "product") + tail.replace("store", "product").replace("LIMIT 15", "LIMIT 30")
+        parts.append(f"r_{name} AS MATERIALIZED ({sql})")
+        shown = {None: "''", "date": "strftime(date, '%Y-%m-%d')"}.get(key, key)
+        rows += [f"SELECT '{name}' AS name, {shown} AS key, '{f}' AS figure, CAST({f} AS DOUBLE) AS value FROM r_{name}" for f in figures]
+    return "WITH " + ",\n".join(parts) + "\n" + "\nUNION ALL ".join(rows)
+
+
+@query("write_csv_bundle", _bundle_sql())
 def q_write_bundle(spark, d):
-    """Every analysis of the report bundle written as CSV and read back:
-    one row per written result with its row count."""
-    from ..operators import customers, profit
+    """Every analysis of the report bundle, from one aggregate, written as CSV
+    and read back: one row per figure of every file."""
     v = view(spark, d, "date", "product", "category", "customer", "region", "store", "channel",
              "salesperson", "quantity", "price", "revenue", "cost")
-    # the joins run once; every analysis reads the columns it needs of the written view
-    v = files.reread(v, _fresh(spark, "view"))
-    bundle = {
-        "kpis": kpi.kpis(v),
-        "monthly_growth": growth.growth_metrics(v),
-        "category_analysis": dims.category_analysis(v),
-        "declining_products": growth.declining_products(v),
-        "top_products": dims.top_dimension(v, "product", 30),
-        "salesperson_performance": dims.salesperson_performance(v),
-        "regional_analysis": dims.regional_analysis(v),
-        "store_analysis": dims.store_analysis(v),
-        "channel_analysis": dims.channel_analysis(v),
-        "customer_rfm": customers.rfm_base(v),
-        "profitability": profit.profitability_product(v),
-    }
-    root = _fresh(spark, "bundle")
-    written = files.write_bundle(bundle, root, "csv")
-    frames = [spark.read.option("header", True).csv(p).agg(F.count(F.lit(1)).alias("rows"))
-                   .withColumn("name", F.lit(n)) for n, p in written.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    results = bundle.report_bundle(v, _fresh(spark, "cube"), revenue_source=view(spark, d, "revenue"))
+    written = files.write_bundle(results, _fresh(spark, "bundle"), "csv")
+    frames = []
+    for name, path in written.items():
+        key, figures = _BUNDLE[name]
+        back = rnd(spark.read.option("header", True).csv(path).withColumns({f: F.col(f).cast("double") for f in figures}),
+                   [f for f in figures if f in _BUNDLE_MONEY], [f for f in figures if f not in _BUNDLE_MONEY])
+        shown = F.lit("") if key is None else F.substring(key, 1, 10) if key == "date" else F.col(key)
+        frames.append(back.select(F.lit(name).alias("name"), shown.alias("key"), *figures).unpivot(["name", "key"], figures, "figure", "value"))
+    return union_all(frames)
 
 
 @query("preview", with_sales("""

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..models import anomaly, forecast, segment
+from ..models import anomaly, forecast, linear, segment, training
 from ..operators import report
 from ..operators.features import DAILY_FEATURES, daily_features
 from ..session import scratch_path
@@ -114,16 +114,62 @@ def _fit(spark, d, model_type, tuning=False):
     return fc, scored
 
 
+def _linear_sql(alpha: float, missing: tuple = ()) -> str:
+    """Predictions of least squares (alpha 0) or ridge: the scaled features,
+    the centred Gram matrix of the training rows, Gauss-Jordan elimination as a
+    recursive query, and the linear form on every day; ``missing`` features
+    count as 0 when predicting."""
+    p = len(DAILY_FEATURES)
+    iqr = {c: f"CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END" for c in DAILY_FEATURES}
+    scaled = ", ".join(f"(coalesce({c}, 0) - q_{c}[2]) / {iqr[c]}" for c in DAILY_FEATURES)
+    given = ", ".join(f"({0 if c in missing else f'coalesce({c}, 0)'} - q_{c}[2]) / {iqr[c]}" for c in DAILY_FEATURES)
+    qs = ", ".join(f"quantile_cont(coalesce({c}, 0), [0.25, 0.5, 0.75]) AS q_{c}" for c in DAILY_FEATURES)
+    sql = with_sales(_DAILY_SQL + f"""
+, s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= floor(count(*) OVER () * 0.8)
+                       THEN 'train' ELSE 'test' END AS split FROM daily)
+, q AS (SELECT {qs} FROM s WHERE split = 'train')
+, z AS MATERIALIZED (SELECT date, split, revenue, [{scaled}] AS x, [{given}] AS u FROM s, q)
+, i AS (SELECT unnest(range(1, {p + 1})) AS i)
+, j AS (SELECT unnest(range(1, {p + 2})) AS j)
+, mean AS MATERIALIZED (SELECT list(v ORDER BY i) AS mx, any_value(my) AS my
+    FROM (SELECT i, avg(x[i]) AS v, avg(revenue) AS my FROM z, i WHERE split = 'train' GROUP BY i))
+, c AS MATERIALIZED (SELECT list_append(list_transform(range(1, {p + 1}), lambda k: x[k] - mx[k]), revenue - my) AS c
+    FROM z, mean WHERE split = 'train')
+, g AS (SELECT i, j, sum(c[i] * c[j]) + CASE WHEN i = j THEN {alpha} ELSE 0 END AS v FROM c, i, j GROUP BY i, j)
+, ge AS (SELECT 1 AS k, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)
+    UNION ALL
+    SELECT k + 1, list_transform(range(1, {p + 1}), lambda a:
+        CASE WHEN a = k THEN list_transform(m[k], lambda v: v / m[k][k])
+             ELSE list_transform(range(1, {p + 2}), lambda b: m[a][b] - m[a][k] * m[k][b] / m[k][k]) END)
+    FROM ge WHERE k <= {p})
+, beta AS (SELECT list_transform(m, lambda r: r[{p + 1}]) AS b FROM ge WHERE k = {p + 1})
+, fitted AS (SELECT date, split, revenue, my + list_sum(list_transform(range(1, {p + 1}), lambda k: b[k] * (u[k] - mx[k]))) AS prediction
+    FROM z, mean, beta)
+""" + "SELECT * FROM fitted")
+    return sql.replace("WITH sales", "WITH RECURSIVE sales", 1)
+
+
+def _whole(sql: str, cols: str) -> str:
+    """Predictions to the unit (sums in another order differ in late digits)."""
+    return sql.replace("SELECT * FROM fitted", f"SELECT {cols}, round(revenue, 4) AS revenue, round(prediction, 0) AS prediction FROM fitted")
+
+
+def _to_units(df):
+    return rnd(df, ["revenue"]).withColumn("prediction", F.round("prediction", 0))
+
+
 def _model_query(model_type):
     def run(spark, d):
         _, scored = _fit(spark, d, model_type)
-        return scored.select("date", "split", "revenue", "prediction")
+        out = scored.select("date", "split", "revenue", "prediction")
+        return _to_units(out) if model_type in linear.KINDS else out
     run.__doc__ = f"Fit the {model_type} forecaster; predictions for train and test days."
     return run
 
 
-for _mt in ["linear", "ridge", "lasso", "random_forest", "gradient_boosting", "xgboost", "lightgbm",
-            "ensemble", "stacking"]:
+for _mt, _alpha in [("linear", 0), ("ridge", 1)]:
+    query(f"fc_{_mt}", _whole(_linear_sql(_alpha), "date, split"))(_model_query(_mt))
+for _mt in ["lasso", "random_forest", "gradient_boosting", "xgboost", "lightgbm", "ensemble", "stacking"]:
     query(f"fc_{_mt}")(_model_query(_mt))
 
 
@@ -138,12 +184,14 @@ def q_fc_tuning(spark, d):
                                  "num_trees int, max_depth int, min_instances_per_node int, test_rmse double, test_r2 double")
 
 
-@query("fc_predict")
+_MISSING = ("trend_7", "rolling_std7")
+
+
+@query("fc_predict", _whole(_linear_sql(0, _MISSING), "date"))
 def q_fc_predict(spark, d):
     """Predict from feature rows where some features are missing (→ 0)."""
     fc, _ = _fit(spark, d, "linear")
-    rows = _daily(spark, d).drop("trend_7", "rolling_std7")
-    return fc.transform(rows).select("date", "revenue", "prediction")
+    return _to_units(fc.transform(_daily(spark, d).drop(*_MISSING)).select("date", "revenue", "prediction"))
 
 
 @query("fc_future")
@@ -284,29 +332,7 @@ def q_insights(spark, d):
 def q_model_compare(spark, d):
     """Fit every available model; sorted by test RMSE, failures last with
     their error (extra trees has no Spark counterpart)."""
-    sales = view(spark, d, "date", "revenue")
-    n_rows = sales.count()
-    models = ["linear", "ridge", "gradient_boosting", "random_forest", "extra_trees"]
-    if n_rows >= 200:
-        models += ["ensemble", "stacking"]
-    def fit(mt):
-        try:
-            fc, _ = forecast.fit_forecaster(sales, mt)
-            m = fc.metrics
-            return (mt, m.get("train_mae"), m.get("train_rmse"), m.get("train_r2"), m.get("train_mape"),
-                    m.get("test_mae"), m.get("test_rmse"), m.get("test_r2"), m.get("test_mape"), None)
-        except ValueError as e:
-            return (mt, None, None, None, None, None, None, None, None, str(e))
-
-    # independent fits run as concurrent Spark jobs
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        rows = list(pool.map(fit, models))
-    schema = ("model string, train_mae double, train_rmse double, train_r2 double, train_mape double, "
-              "test_mae double, test_rmse double, test_r2 double, test_mape double, error string")
-    out = spark.createDataFrame(rows, schema)
-    return out.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("test_rmse").asc_nulls_last(), F.col("model"))))
+    return training.compare_models(view(spark, d, "date", "revenue"))
 
 
 @query("model_save_load")
@@ -445,17 +471,8 @@ def q_train_all(spark, d):
     """Tuned random-forest forecaster, product segmenter and outlier detector
     trained and saved together; one row per saved artefact."""
     sales = view(spark, d, "date", "product", "revenue", "quantity", "price")
-    root = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
-    fc, _ = forecast.fit_forecaster(sales, "random_forest", tuning=True)
-    fc.save(f"{root}/forecaster")
-    seg = segment.fit_segments(segment.product_stats(sales))
-    seg.write().overwrite().save(f"{root}/segmenter")
-    det = anomaly.fit_isolation_forest(sales)
-    det.save(f"{root}/detector")
-    rows = [("forecaster", f"{root}/forecaster", fc.metrics.get("test_rmse")),
-            ("segmenter", f"{root}/segmenter", float(len(seg.stages[-1].clusterCenters()))),
-            ("detector", f"{root}/detector", det.offset)]
-    return spark.createDataFrame(rows, "artefact string, path string, value double")
+    rows = training.train_all(sales, scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}"))
+    return spark.createDataFrame([(r["artefact"], r["path"], r["value"]) for r in rows], "artefact string, path string, value double")
 
 
 @query("model_save")
