@@ -14,14 +14,17 @@ exact and uses the filters of a prefix join:
   both have ``need`` words left;
 * what remains is verified by counting the common words.
 
-Blocks are the lines of a text.  A line of more than ``BLOCK_WORDS`` words is
-cut into windows of that length which overlap by half, so every run of up to
-half a window stands whole in one of them.  With ``across_lines`` the blocks
-are instead all windows of ``BLOCK_WORDS`` words of the text's whole word
-stream, one from every word on, so a notice may be wrapped at any place.  Every
-stretch of neighbouring windows that match gives one match, its best window.
-They are counted without being made: each place of a template's word adds one
-to the windows that hold it and no earlier place of the same word.
+Blocks are all windows of ``BLOCK_WORDS`` words of the text's whole word
+stream, one from every word on, so a notice may be wrapped over lines at any
+place.  Every stretch of neighbouring windows that match gives one match, its
+best window.  Windows are not made one by one: around the prefix words lie the
+zones that the windows in question cover; a zone passes the length filter if
+it has ``need`` words, and the positional filter if from its first common word
+in the global order on it and the template both have ``need`` words left; in
+the zones that remain each place of a template's word adds one to the windows
+that hold it and no earlier place of the same word.  With
+``across_lines=False`` the blocks are the lines of a text instead, longer ones
+cut into windows of ``BLOCK_WORDS`` words that overlap by half.
 
 Besides, every place where a base phrase's words stand consecutively is found
 by comparing word hashes (64 bits).  Templates and phrases are the only data
@@ -202,6 +205,7 @@ class _Join:
         gap = row[first].astype(np.int64) * BLOCK_WORDS
         own = np.searchsorted(first, known, side="right") - 1
         at, begin = known + gap[own], (first + gap)[own]
+        end = (np.r_[first[1:], len(row)] + gap)[own]
         out = []
         for t in range(len(self.need)):
             near = np.flatnonzero(self.sets[t][r])
@@ -212,6 +216,9 @@ class _Join:
             k = np.searchsorted(rare, at[near])
             near = near[np.minimum(np.abs(at[near] - rare[np.minimum(k, len(rare) - 1)]),
                                    np.abs(at[near] - rare[np.maximum(k - 1, 0)])) < BLOCK_WORDS]
+            near = near[self._zones(t, at[near], r[near], begin[near], end[near])]
+            if len(near) == 0:
+                continue
             p, w = at[near], r[near]
             order = np.lexsort((p, w))
             again = w[order[1:]] == w[order[:-1]]
@@ -230,6 +237,24 @@ class _Join:
                 out.append((int(start[best] - gap[d]), t, float(common[best]) / float(self.size[t])))
         return out
 
+    def _zones(self, t, place, rank, begin, end):
+        """Which of a template's words (in the order of their places) lie in
+        zones where a window may reach ``need`` common words."""
+        zone = np.r_[0, np.cumsum(np.diff(place) >= BLOCK_WORDS)]
+        head = np.flatnonzero(np.r_[True, np.diff(zone) > 0])
+        tail = np.r_[head[1:], len(zone)] - 1
+        # length filter: the words that windows over the zone can hold
+        words = np.minimum(place[tail] + BLOCK_WORDS, end[tail]) - np.maximum(place[head] - BLOCK_WORDS + 1, begin[head])
+        # positional filter: what the zone and the template have left from
+        # their first common word on
+        order = np.cumsum(self.sets[t]) - 1
+        pair = np.unique(zone.astype(np.int64) * self.vocab_n + rank)
+        left = np.bincount(pair // self.vocab_n, minlength=len(head))
+        start = np.flatnonzero(np.r_[True, np.diff(pair // self.vocab_n) > 0])
+        template_left = self.size[t] - order[pair[start] % self.vocab_n]
+        ok = (words >= self.need[t]) & (left >= self.need[t]) & (template_left >= self.need[t])
+        return ok[zone]
+
     @staticmethod
     def _extent(block, win0, wins, first, length, half):
         line = np.searchsorted(win0, block, side="right") - 1
@@ -240,7 +265,7 @@ class _Join:
 
 
 def license_scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                 templates=None, phrases=None, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
+                 templates=None, phrases=None, threshold: float = THRESHOLD, across_lines: bool = True) -> DataFrame:
     """Scan every whole text of ``df``.  Appends ``n_words``, ``base`` (label
     and first word of every place of a phrase), ``matches`` (label, template,
     first word of the block and containment of every matching block) and

@@ -71,7 +71,7 @@ def brute_license(text):
     return len(words), sorted(base), labels, score
 
 
-def test_license_scan_brute_force(spark):
+def test_license_lines_brute_force(spark):
     rng = random.Random(3)
     pool = sorted({w for t, _ in license_scan.TEMPLATES for w in t.split()}) + ["alpha", "beta", "née", "x9"]
     rows = [(i, t) for i, t in enumerate(
@@ -79,7 +79,7 @@ def test_license_scan_brute_force(spark):
         + [" ".join(rng.choice(pool) + rng.choice(["", ",", "\n", "."]) for _ in range(rng.choice([5, 30, 200])))
            for _ in range(60)]
         + ["zz " * 50 + "licensed under the apache licence version 2 0 " + "yy " * 70])]
-    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id int, text string"), across_lines=False).collect()
     for r in got:
         n, base, labels, score = brute_license(r["text"])
         assert r["n_words"] == n
@@ -98,7 +98,7 @@ def test_license_notices_across_lines(spark):
     texts += [" ".join(rng.choice(pool if rng.random() < 0.3 else ["q", "r"]) + rng.choice(["", "\n"]) for _ in range(n))
               for n in (5, 30, 64, 65, 300) for _ in range(12)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
-    got = {r["doc_id"]: r for r in license_scan.license_scan(df, across_lines=True).collect()}
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df).collect()}
     for i, text in enumerate(texts):
         words, want = word.findall((text or "").lower()), {}
         for s in range(len(words)):
