@@ -1,9 +1,8 @@
 """Line dedup: deletion-neighbourhood join of lines, keep the earliest.
 
 A line is the words (runs without white space, A-Z in lower case) between two
-line breaks.  Lines of fewer than ``min_words`` words are left alone: with
-``EVERY_LINE`` none is, ``MIN_WORDS`` is the limit of the query's SQL.  A line
-goes when an earlier line (by document id, then line number) has the same
+line breaks.  Every line with a word takes part (``min_words`` can leave shorter
+lines alone).  A line goes when an earlier line (by document id, then line number) has the same
 words, or, from ``EDIT_WORDS`` words on, the same words but for one inserted,
 removed or replaced word.
 
@@ -45,7 +44,6 @@ from . import textbytes as tb
 from .tables import drop, materialize
 from .textmap import col
 
-MIN_WORDS = 3
 #: ``min_words`` with which every line that has a word takes part.
 EVERY_LINE = 1
 EDIT_WORDS = 8
@@ -80,7 +78,7 @@ def _id_type(df: DataFrame, id_col: str) -> T.DataType:
     return df.schema[id_col].dataType
 
 
-def line_table(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+def line_table(df: DataFrame, id_col: str, text_col: str, min_words: int = EVERY_LINE) -> DataFrame:
     """(id, line, n_words, h, keys) of every line that takes part."""
     schema = T.StructType([T.StructField("id", _id_type(df, id_col)), T.StructField("line", T.IntegerType()),
                            T.StructField("n_words", T.IntegerType()), T.StructField("h", T.LongType()),
@@ -247,7 +245,7 @@ def _verified(partners: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+                    min_words: int = EVERY_LINE) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): every line that takes part (id, line, ...), and of the
     lines that go ``id``, ``line``, the place ``of_id``, ``of_line`` of the
     earliest line within the bound, and ``edits`` (0 or 1)."""
@@ -274,7 +272,7 @@ def _per_document(dropped: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("line", "of_id", "of_line", "edits"))).alias("__llm_gone"))  # its own lines
 
 
-def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = EVERY_LINE) -> DataFrame:
     """One row for each row of ``df``: id, ``n_lines`` that take part,
     ``n_dropped`` and ``dropped`` (line, of_id, of_line, edits)."""
     lines, gone = duplicate_lines(df, id_col, text_col, min_words)
@@ -290,7 +288,7 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
-               min_words: int = MIN_WORDS) -> DataFrame:
+               min_words: int = EVERY_LINE) -> DataFrame:
     """``df`` with the duplicate lines cut out of its texts; documents of which
     no line with a word is left go.  ``length_col`` (if given) is set anew."""
     _, gone = duplicate_lines(df, id_col, text_col, min_words)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
-from .line_dedup import EDIT_WORDS, MIN_WORDS
+from .line_dedup import EDIT_WORDS, EVERY_LINE
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,11 +17,12 @@ def _list(words: list[str]) -> str:
 
 
 def license_scan() -> str:
-    """Phrases at every place, and every block against every template."""
+    """Phrases at every place, and every window against every template (the
+    best window can be moved on to start with a word of some template)."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = " UNION ALL ".join(f"SELECT {_list(p.split())} AS ws, '{label}' AS label" for p, label in PHRASES)
     templates = " UNION ALL ".join(f"SELECT {_list(sorted(set(t.split())))} AS ws, '{label}' AS label" for t, label in TEMPLATES)
-    half = BLOCK_WORDS // 2
+    vocabulary = _list(sorted({w for t, _ in TEMPLATES for w in t.split()}))
     return f"""
 WITH phrase AS ({phrases}), template AS ({templates}),
 d AS (SELECT doc_id, row_number() OVER () AS rid, {_lower('text')} AS t FROM documents),
@@ -29,10 +30,8 @@ w AS (SELECT doc_id, rid, regexp_extract_all(t, '{word}') AS ws FROM d),
 place AS (SELECT rid, label, unnest(list_filter(range(0, len(w.ws)), lambda i: w.ws[i + 1:i + len(p.ws)] = p.ws)) AS pos
           FROM w, phrase p),
 base AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM place GROUP BY rid),
-line AS (SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS ws FROM d),
-block AS (SELECT rid, ws[s + 1:s + {BLOCK_WORDS}] AS ws FROM (
-            SELECT rid, ws, unnest(range(0, greatest(1, cast(ceil((len(ws) - {BLOCK_WORDS}) / {half}.0) AS int) + 1) * {half}, {half})) AS s
-            FROM line WHERE len(ws) > 0)),
+block AS (SELECT rid, list_filter(ws[s + 1:s + {BLOCK_WORDS}], lambda x: list_contains({vocabulary}, x)) AS ws FROM (
+            SELECT rid, ws, unnest(list_filter(range(0, len(ws)), lambda i: list_contains({vocabulary}, ws[i + 1]))) AS s FROM w)),
 share AS (SELECT rid, label, len(list_intersect(list_distinct(b.ws), t.ws)) AS n, len(t.ws) AS size FROM block b, template t),
 hit AS (SELECT rid, label, n / size AS c FROM share WHERE n >= ceil({THRESHOLD} * size - 1e-9)),
 best AS (SELECT rid, max(c) AS c FROM hit GROUP BY rid),
@@ -87,7 +86,7 @@ WITH raw AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) A
              FROM (SELECT doc_id, string_split({_lower('text')}, chr(10)) AS ls FROM documents)),
 line AS (SELECT doc_id, line, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM raw),
 used AS (SELECT doc_id, line, ws, array_to_string(ws, ' ') AS s, min({{'d': doc_id, 'l': line}}) OVER (PARTITION BY ws) AS fst
-        FROM line WHERE len(ws) >= {MIN_WORDS}),
+        FROM line WHERE len(ws) >= {EVERY_LINE}),
 class AS (SELECT DISTINCT s, ws, fst FROM used WHERE len(ws) >= {EDIT_WORDS}),
 variant AS (SELECT s, fst, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
             FROM (SELECT s, ws, fst, unnest(range(1, len(ws) + 1)) AS i FROM class)),

@@ -46,11 +46,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license(license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-@query("op1_license_scan_across_lines")
+@query("op1_license_scan_across_lines", sql.license_scan())
 def op1_license_scan_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with notices wrapped over lines."""
-    from .license_scan import license_scan
-    return _license(license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"], across_lines=True))
+    """The same: the operator's windows cross line breaks by default."""
+    return op1_license_scan(spark, sf_dir)
 
 
 @query("op2_sentencepiece")
@@ -117,11 +116,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(line_report(table(spark, sf_dir, "documents")))
 
 
-@query("op9_line_dedup_every_line")
+@query("op9_line_dedup_every_line", sql.LINE_DEDUP)
 def op9_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with every line that has a word taking part."""
-    from .line_dedup import EVERY_LINE, line_report
-    return _listed(line_report(table(spark, sf_dir, "documents"), min_words=EVERY_LINE))
+    """The same: every line that has a word takes part by default."""
+    return op9_line_dedup(spark, sf_dir)
 
 
 @query("op6_embedding_dedup", sql.EMBEDDING_DEDUP)

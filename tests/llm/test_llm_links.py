@@ -252,7 +252,7 @@ def test_within_one_edit():
 
 def brute_lines(rows):
     lines = sorted((i is None, i if i is not None else 0, k, tuple(words(t))) for i, text in rows
-                   for k, t in enumerate((text or "").split("\n")) if len(words(t)) >= 3)
+                   for k, t in enumerate((text or "").split("\n")) if words(t))
     gone = {}
     for n, (no_id, i, k, w) in enumerate(lines):
         for no2, i2, k2, w2 in lines[:n]:
@@ -266,14 +266,14 @@ def brute_lines(rows):
 
 def test_line_dedup_brute_force(spark):
     rng = random.Random(12)
-    base = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([2, 3, 7, 8, 9, 15, 30]))] for _ in range(25)]
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 15, 30]))] for _ in range(25)]
     rows = []
     for i in range(60):
         text = []
         for _ in range(rng.randrange(1, 6)):
             w = list(rng.choice(base))
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
-                k = rng.randrange(len(w))
+                k = rng.randrange(len(w) + 1)
                 w[k:k + rng.randrange(2)] = rng.choice([["NEW"], [], [f"n{rng.randrange(3)}"]])
             text.append(rng.choice([" ", "  ", "\t"]).join(w).title())
         rows.append((i * 3 % 61, "\n".join(text)))
@@ -303,11 +303,11 @@ def test_short_lines_leave_as_exact_repeats(spark):
     rows = [(1, "Read more\nmenu\none two three\nx\n"), (2, "read  MORE\nown line"), (3, "menu"), (4, "read mores\nx y"),
             (None, "Menu\n\nlast")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    report = line_dedup.line_report(df, min_words=line_dedup.EVERY_LINE).collect()
+    report = line_dedup.line_report(df).collect()
     got = {(r["doc_id"], d["line"]): (d["of_id"], d["of_line"], d["edits"]) for r in report for d in r["dropped"]}
     assert got == {(2, 0): (1, 0, 0), (3, 0): (1, 1, 0), (None, 0): (1, 1, 0)}
     assert {r["doc_id"]: r["n_lines"] for r in report} == {1: 4, 2: 2, 3: 1, 4: 2, None: 2}
-    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df, min_words=line_dedup.EVERY_LINE).collect()}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df).collect()}
     assert left == {1: rows[0][1], 2: "own line", 4: rows[3][1], None: "\nlast"}
 
 
