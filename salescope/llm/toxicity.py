@@ -3,12 +3,12 @@
 The lexicon is learned: from a sample of labelled texts come the words, and
 the stems of ``STEM`` letters, that stand in toxic texts far more often than in
 others: smoothed log-odds, and a Chernoff bound on such a count arising by
-chance that, over all terms, leaves less than one false entry.  Every term that
-passes both is an entry.  A trie of
+chance that, over all terms, leaves less than one false entry.  Every term with
+a letter that passes both is an entry, however short or long.  A trie of
 these entries is intersected with the Levenshtein automaton of one edit
 (entries of ``FUZZY_LENGTH`` letters or more; shorter ones match as they are)
-and made deterministic once; letters are code points, so an edit is one letter
-in any script.  Running that table over the words of a text finds
+and made deterministic as far as texts lead into it; letters are code points,
+so an edit is one letter in any script.  Running it over the words of a text finds
 every entry, misspelled ones included; almost every other word leaves it after
 two or three letters.
 
@@ -21,7 +21,7 @@ distinct entries go into a logistic regression fitted on the sample.
 
 What is collected: the terms that pass, whose number the sample bounds, their
 cells, and three numbers for each row of the sample (``TRAIN_ROWS`` on
-average).  The automaton is made once, on the driver, and shipped to tasks.
+average).  The entries are shipped to the tasks, which make the automaton.
 Scoring is one Arrow map over the whole table, without a shuffle.
 
 Edge cases: null and empty texts have no hits and get the score of a text
@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .pieces import HashIndex
 from .sampling import draw, threshold
-from .tables import materialize
+from .tables import drop, materialize
 from .textmap import col, map_text
 
 #: Labelled rows to learn from, on average (all, if there are fewer).
@@ -54,8 +55,8 @@ FUZZY_LENGTH = 5
 WINDOW = 12
 #: Least log-odds and least number of toxic texts of an entry.
 MIN_LOG_ODDS, MIN_TEXTS = 2.5, 3
-#: Words of more letters are neither learned nor cut to stems (junk).
-MAX_WORD = 40
+#: States that an automaton keeps from one run to the next.
+STATES = 100_000
 
 FIELDS = T.StructType([
     T.StructField("score", T.DoubleType()),
@@ -91,99 +92,151 @@ class LexiconAutomaton:
     """Lexicon trie intersected with the Levenshtein automaton of one edit.
 
     ``entries``: words, or stems written with a final ``*`` that match every
-    word they begin.  States are sets of (trie node, edits so far); ``table``
-    holds the next state for each state and letter class, state 0 is the dead
-    end and state 1 the start.
+    word they begin.  A state is a set of (trie node, edits so far) with the
+    best stem that has ended; state 0 is the dead end and state 1 the start.
+    States are made when a text first leads to them and kept, up to ``STATES``
+    between two runs: an automaton of all states would grow with the product of
+    lexicon and alphabet, a text meets few of them.  Nodes above short entries
+    only, which match as they are, are never reached with an edit.
     """
 
     def __init__(self, entries: list[str]):
         self.entries = entries
-        child: list[dict[int, int]] = [{}]
-        word_at: list[int] = [-1]   # entry that ends at the node
-        stem_at: list[int] = [-1]
+        self.child: list[dict[int, int]] = [{}]
+        self.word_at, self.stem_at, self.fuzzy = [-1], [-1], [False]
         for k, entry in enumerate(entries):
-            node = 0
-            for c in map(ord, entry.rstrip("*")):
-                if c not in child[node]:
-                    child[node][c] = len(child)
-                    child.append({})
-                    word_at.append(-1)
-                    stem_at.append(-1)
-                node = child[node][c]
-            (stem_at if entry.endswith("*") else word_at)[node] = k
-        letters = sorted({c for nexts in child for c in nexts})
+            bare = entry.rstrip("*")
+            node, path = 0, [0]
+            for c in map(ord, bare):
+                if c not in self.child[node]:
+                    self.child[node][c] = len(self.child)
+                    self.child.append({})
+                    self.word_at.append(-1)
+                    self.stem_at.append(-1)
+                    self.fuzzy.append(False)
+                node = self.child[node][c]
+                path.append(node)
+            (self.stem_at if entry.endswith("*") else self.word_at)[node] = k
+            if len(bare) >= FUZZY_LENGTH:
+                for n in path:
+                    self.fuzzy[n] = True
+        self.limit = [1 if len(e.rstrip("*")) >= FUZZY_LENGTH else 0 for e in entries]
+        letters = sorted({c for nexts in self.child for c in nexts})
+        self.letters = [None, *letters]
         # class 0: no letter of the lexicon; the last place stands for all code points beyond
         self.cls = np.zeros(max([0x7F, *letters]) + 2, dtype=np.int32)
         self.cls[letters] = np.arange(1, len(letters) + 1)
-        self.width = len(letters) + 1
-        limit = [1 if len(e.rstrip("*")) >= FUZZY_LENGTH else 0 for e in entries]
-
-        def close(states: dict) -> frozenset:
-            # a letter of the lexicon may be left out; fewer edits win
-            todo = list(states.items())
-            while todo:
-                node, e = todo.pop()
-                if e == 0:
-                    for nxt in child[node].values():
-                        if states.get(nxt, 2) > 1:
-                            states[nxt] = 1
-                            todo.append((nxt, 1))
-            return frozenset(states.items())
-
-        def best(states: frozenset, at: list[int]) -> tuple[int, int] | None:
-            got = [(e, at[n]) for n, e in states if at[n] >= 0 and e <= limit[at[n]]]
-            return min(got) if got else None
-
-        # a state also knows the best stem that has ended so far; once that is
-        # exact, or nothing else can match any more, whatever follows is a hit
-        def state(states: frozenset, stem: tuple[int, int] | None) -> tuple:
-            ended = min((x for x in (stem, best(states, stem_at)) if x), default=None)
-            return (frozenset() if ended and ended[0] == 0 else states, ended)
-
-        dead, start = (frozenset(), None), state(close({0: 0}), None)
-        ids, order = {dead: 0, start: 1}, [dead, start]
-        rows = []
-        for here in order:  # grows while new states are met
-            states, stem = here
-            row = []
-            for k in range(self.width):
-                letter = letters[k - 1] if k else None
-                nxt: dict[int, int] = {}
-                for node, e in states:
-                    hit = child[node].get(letter)
-                    if hit is not None and nxt.get(hit, 2) > e:
-                        nxt[hit] = e
-                    if e == 0:
-                        for other in (node, *child[node].values()):
-                            if nxt.get(other, 2) > 1:
-                                nxt[other] = 1
-                after = state(close(nxt), stem)
-                if after not in ids:
-                    ids[after] = len(ids)
-                    order.append(after)
-                row.append(ids[after])
-            rows.append(row)
-        accept = [min((x for x in (stem, best(states, word_at)) if x), default=(0, -1))[::-1] for states, stem in order]
-        absorb = [not states for states, _ in order]
-        self.table = np.array(rows, dtype=np.int32).reshape(-1)
-        self.entry = np.array([a[0] for a in accept], dtype=np.int32)
-        self.edits = np.array([a[1] for a in accept], dtype=np.int8)
-        self.absorb = np.array(absorb)
+        self.width = len(self.letters)
+        self._start()
+
+    def __reduce__(self):
+        return LexiconAutomaton, (self.entries,)
+
+    def _start(self) -> None:
+        self.ids: dict = {}
+        self.states: list = []
+        self.entry = self.edits = np.zeros(0, np.int64)
+        self.absorb = np.zeros(0, bool)
+        self.index, self.target = HashIndex(16), np.zeros(0, np.int64)
+        self._number((frozenset(), None))
+        self._number(self._state(self._closed({0: 0}), None))
+        self._describe()
+
+    def _closed(self, states: dict) -> frozenset:
+        # a letter of the lexicon may be left out; fewer edits win
+        for node in [n for n, e in states.items() if e == 0]:
+            for nxt in self.child[node].values():
+                if self.fuzzy[nxt]:
+                    states.setdefault(nxt, 1)
+        return frozenset(states.items())
+
+    def _best(self, states: frozenset, at: list[int]) -> tuple[int, int] | None:
+        return min(((e, at[n]) for n, e in states if at[n] >= 0 and e <= self.limit[at[n]]), default=None)
+
+    def _state(self, states: frozenset, stem: tuple[int, int] | None) -> tuple:
+        # once the best stem that has ended is exact, or nothing else can match
+        # any more, whatever follows is a hit
+        ended = min((x for x in (stem, self._best(states, self.stem_at)) if x), default=None)
+        return (frozenset() if ended and ended[0] == 0 else states, ended)
+
+    def _number(self, state: tuple) -> int:
+        if state not in self.ids:
+            self.ids[state] = len(self.states)
+            self.states.append(state)
+        return self.ids[state]
+
+    def _describe(self) -> None:
+        """What the states that are new since the last call accept."""
+        new = self.states[len(self.absorb):]
+        accept = [min((x for x in (stem, self._best(states, self.word_at)) if x), default=(0, -1)) for states, stem in new]
+        self.entry = np.r_[self.entry, np.array([k for _, k in accept], np.int64)]
+        self.edits = np.r_[self.edits, np.array([e for e, _ in accept], np.int64)]
+        self.absorb = np.r_[self.absorb, np.array([not states for states, _ in new], bool)]
+
+    def _follow(self, step: int) -> int:
+        """The state after a state and a letter class (as one number)."""
+        states, stem = self.states[step // self.width]
+        letter = self.letters[step % self.width]
+        nxt: dict[int, int] = {}
+        for node, e in states:
+            hit = self.child[node].get(letter)
+            if hit is not None and (e == 0 or self.fuzzy[hit]) and nxt.get(hit, 2) > e:
+                nxt[hit] = e
+            if e == 0:
+                for other in (node, *self.child[node].values()):
+                    if self.fuzzy[other]:
+                        nxt.setdefault(other, 1)
+        return self._number(self._state(self._closed(nxt), stem))
+
+    def _next(self, step: np.ndarray) -> np.ndarray:
+        h = tb.mix(step.astype(np.uint64) + np.uint64(1))
+        known = self.index.find(h)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            one, at = np.unique(step[new], return_index=True)
+            if self.index.n + len(one) > self.index.limit:
+                self._widen(len(one))
+            self.target = np.r_[self.target, np.array([self._follow(x) for x in one.tolist()], np.int64)]
+            self.index.add(h[new[at]])
+            self._describe()
+            known = self.index.find(h)
+        return self.target[known]
+
+    def _widen(self, more: int) -> None:
+        """A larger index with the same numbers."""
+        old = self.index
+        self.index = HashIndex(int(old.n + more).bit_length() + 2)
+        full = np.flatnonzero(old.keys)
+        self.index.add(old.keys[full[np.argsort(old.vals[full])]])
 
     def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, entry, distance) of every word that is a hit."""
+        if len(self.states) > STATES:
+            self._start()
         code, start, end = _code_points(data, start, end)
         cls = self.cls[np.minimum(code, len(self.cls) - 1)]
-        state = np.ones(len(start), dtype=np.int32)
+        state = np.ones(len(start), dtype=np.int64)
         live, at = np.arange(len(start)), start.copy()
         while len(live):
-            s = self.table[state[live].astype(np.int64) * self.width + cls[at]]
+            s = self._next(state[live] * self.width + cls[at])
             state[live] = s
             at = at + 1
             go = (s != 0) & ~self.absorb[s] & (at < end[live])
             live, at = live[go], at[go]
         hit = np.flatnonzero(self.entry[state] >= 0)
-        return hit, self.entry[state[hit]], self.edits[state[hit]].astype(np.int64)
+        return hit, self.entry[state[hit]], self.edits[state[hit]]
+
+
+#: One automaton for each lexicon, kept by a Python worker from task to task.
+_AUTOMATA: dict[tuple, LexiconAutomaton] = {}
+
+
+def automaton(entries: list[str]) -> LexiconAutomaton:
+    key = tuple(entries)
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = LexiconAutomaton(entries)
+    return _AUTOMATA[key]
 
 
 def _plain(data: np.ndarray) -> np.ndarray:
@@ -225,18 +278,18 @@ class Scanner:
     """Hits of all rows of a chunk as flat arrays."""
 
     def __init__(self, entries: list[str]):
-        self.auto = LexiconAutomaton(entries) if entries else None
+        self.entries = entries
 
     def hits(self, data: np.ndarray, off: np.ndarray):
         """(row, word number in its row, entry, distance, quoted)."""
         z = np.zeros(0, np.int64)
         plain = _plain(data)
         s, e, row = tb.spans(plain, off, _LETTERS)
-        if self.auto is None or len(s) == 0:
+        if not self.entries or len(s) == 0:
             return z, z, z, z, np.zeros(0, bool)
-        w, entry, dist = self.auto.run(plain, s, e)
+        w, entry, dist = automaton(self.entries).run(plain, s, e)
         number = w - np.searchsorted(row, row[w])
-        return row[w], number, entry.astype(np.int64), dist, _quoted(data, off, row[w], s[w]) if len(w) else np.zeros(0, bool)
+        return row[w], number, entry, dist, _quoted(data, off, row[w], s[w]) if len(w) else np.zeros(0, bool)
 
 
 def evidence(rows: int, row, number, entry, dist, quoted, weight: np.ndarray) -> np.ndarray:
@@ -325,10 +378,9 @@ def _term_counts(train: DataFrame) -> DataFrame:
                 whole = data.tobytes()
                 own: dict[int, set] = {}
                 for r, x, z in zip(row.tolist(), s.tolist(), e.tolist()):
-                    if z - x <= 4 * MAX_WORD:  # bytes
-                        own.setdefault(r, set()).add(whole[x:z])
+                    own.setdefault(r, set()).add(whole[x:z])
                 for r, words in own.items():
-                    found[ys[lo + r]].update(_terms({t for w in words if len(t := w.decode(errors="replace")) <= MAX_WORD}))
+                    found[ys[lo + r]].update(_terms({w.decode(errors="replace") for w in words}))
         terms = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([
             pa.array(terms, pa.string()), pa.array([found[1][t] for t in terms], pa.int64()),
@@ -341,7 +393,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
 def _lexicon(train: DataFrame, n1: int, n0: int) -> list[str]:
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
     # every term that is tested counts for the bound, whatever its labels
-    counts = _term_counts(train).filter((F.col("c1") + F.col("c0") >= MIN_TEXTS) & (F.length("term") >= 3))
+    counts = _term_counts(train).filter((F.col("c1") + F.col("c0") >= MIN_TEXTS) & F.col("term").rlike("[^0-9*]"))
     counts = materialize(counts, "toxicity-terms")
     # a term that has nothing to do with the label is toxic n1 / (n1 + n0) of the time
     n, p = F.col("c1") + F.col("c0"), n1 / (n1 + n0)
@@ -367,10 +419,12 @@ def _lexicon(train: DataFrame, n1: int, n0: int) -> list[str]:
 
 def fit(train: DataFrame) -> ToxicityModel:
     """Learn from rows (text, y)."""
-    train = train.filter("text is not null").dropDuplicates(["text"])
+    # equal texts count once, as toxic if one of them is; three jobs read the rows
+    train = materialize(train.filter("text is not null").groupBy("text").agg(F.max("y").alias("y")), "toxicity-rows")
     sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
+        drop(train)
         return ToxicityModel([], np.zeros((1, 2, 2)), None, 1.0 if n1 else 0.0)
     entries = _lexicon(train, n1, n0)
     scan = Scanner(entries)
@@ -386,6 +440,7 @@ def fit(train: DataFrame) -> ToxicityModel:
 
     # four numbers a hit for each row of the bounded sample
     rows = train.select("text", "y").mapInArrow(run, "cells array<int>, y int").collect()
+    drop(train)
     y = np.array([r["y"] for r in rows], dtype=float)
     each = [np.array(r["cells"], dtype=np.int64).reshape(-1, 4) for r in rows]
     count = np.zeros((2, max(1, len(entries)), 2, 2))

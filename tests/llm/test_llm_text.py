@@ -3,6 +3,7 @@ and edge cases."""
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,80 @@ def test_automaton_finds_what_edit_distance_finds():
             assert got[k][1] == min(options), w
 
 
+def test_large_lexicons_are_not_made_whole():
+    """5,000 entries over 3,000 letters; states come with the words that are read."""
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    entries = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([2, 2, 3, 4, 5, 6]))) for _ in range(5000)})
+    began = time.monotonic()
+    auto = toxicity.LexiconAutomaton(entries)
+    assert time.monotonic() - began < 10
+    long = [e for e in entries if len(e) >= 5][:40]
+    short = [e for e in entries if len(e) < 5][:40]
+    words = long + short + [e[:2] + e[3:] for e in long] + [e[:-1] + "x" for e in short] + ["plain"]
+    data, off, _ = textbytes.column_bytes(pa.array(words))
+    hit, entry, dist = auto.run(data, off[:-1], off[1:])
+    got = {words[k]: (entries[e], d) for k, e, d in zip(hit.tolist(), entry.tolist(), dist.tolist())}
+    want = {e: (e, 0) for e in long + short} | {e[:2] + e[3:]: (e, 1) for e in long}
+    assert {w: got.get(w) for w in want} == want and not {e[:-1] + "x" for e in short} & set(got)
+    assert len(auto.states) < 1500 and time.monotonic() - began < 20
+
+
+def test_states_start_anew(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    auto = toxicity.LexiconAutomaton(["idiot", "scum"])
+    data, off, _ = textbytes.column_bytes(pa.array(["idiot", "idot", "scum", "scu", "xyz"]))
+    for _ in range(3):
+        hit, _, dist = auto.run(data, off[:-1], off[1:])
+        assert hit.tolist() == [0, 1, 2] and dist.tolist() == [0, 1, 0]
+
+
+def brute_evidence(text, entries, weight):
+    """Best window, all weights and distinct entries of a text, word by word."""
+    hits = []
+    number = 0
+    for line in text.split("\n"):
+        for m in re.finditer(r'[0-9a-z]+|"', line.lower()):
+            if m.group() == '"':
+                continue
+            inside = line[:m.start()].count('"') % 2
+            found = [(d, k) for k, e in enumerate(entries) if (d := edits(e, m.group())) <= (len(e) >= 5)]
+            if found:
+                d, k = min(found)
+                if weight[k, d, inside] > 0:
+                    hits.append((number, k, weight[k, d, inside]))
+            number += 1
+    best = max((sum(w for n2, _, w in hits if n <= n2 < n + toxicity.WINDOW) for n, _, _ in hits), default=0.0)
+    return [best, sum(w for _, _, w in hits), len({k for _, k, _ in hits})]
+
+
+def test_windows_and_scores_brute_force(spark):
+    rng = random.Random(21)
+    entries = ["fool", "idiot", "moron"]
+    weight = np.array([[[1.0, 0.5], [0.0, 0.0]], [[2.0, 0.25], [1.5, 0.125]], [[1.25, 0.0], [0.75, 0.0]]])
+    pool = ["fool", "idiot", "idot", "moron", "mopon", "idiots", '"', "\n"] + ["calm"] * 25
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([1, 10, 60, 200]))) for _ in range(80)]
+    model = toxicity.ToxicityModel(entries, weight, np.array([-2.0, 1.0, 0.5, 0.25]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    for i, text in enumerate(texts):
+        x = np.array(brute_evidence(text, entries, weight))
+        assert got[i]["window_score"] == pytest.approx(x[0]), text
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(np.r_[1.0, np.log1p(x)] @ model.beta))))
+
+
+def test_conflicting_labels_and_short_and_long_terms(spark):
+    junk = "q" * 60
+    rows = [(f"say xq now {i}", 1) for i in range(30)] + [(f"say {junk} now {i}", 1) for i in range(30)]
+    rows += [(f"say kind now {i}", 0) for i in range(90)] + [("say xq now 1", 0), ("say xq now 2", 0)]
+    models = [toxicity.fit(spark.createDataFrame(rows, "text string, y int").repartition(n)) for n in (1, 5)]
+    assert models[0].entries == models[1].entries and "xq" in models[0].entries
+    assert np.allclose(models[0].weight, models[1].weight) and np.allclose(models[0].beta, models[1].beta)
+    test = spark.createDataFrame([("an xq here",), (f"a {junk} here",), ("kind",)], "text string")
+    got = [r["score"] for r in toxicity.score(test, models[0]).collect()]
+    assert min(got[:2]) > 0.5 > got[2]
+
+
 def test_one_edit_is_one_letter():
     entries = ["idiot", "глупец", "дур", "größe*", "😀😀😀😀😀"]
     auto = toxicity.LexiconAutomaton(entries)
