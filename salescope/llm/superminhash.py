@@ -22,8 +22,8 @@ or of all its words if there are fewer.
    two pairs for each member instead of all pairs.  Where a bucket still spans
    several components, every member outside its main component is compared with
    all members, in groups of two blocks of at most ``BLOCK`` members: the sizes
-   of all intersections come from one product of 0/1 matrices, and only links
-   between components leave the task, never a list of pairs.
+   of all intersections come from one product of 0/1 matrices, and a group
+   returns one link for each of its components that reaches a smaller one.
 5. Components of the verified links; the smallest id of each stays.
 
 Texts are read again only for documents that share a bucket.
@@ -218,21 +218,31 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _between(groups: DataFrame, shingle: int, similar: int) -> DataFrame:
-    """Links (a, b) between components, found in groups (k, bi, bj, id, c, t)
+    """Links (a, b) from components to the least one that they reach, in groups (k, bi, bj, id, c, t)
     that are sorted by (k, bi, bj)."""
     id_type = groups.schema["c"].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
     def flush(held):
-        ids = [i for c, _, _ in held for i in c]
-        number = np.array([n for _, n, _ in held for n in n])
-        sets = [x for _, _, x in held for x in x]
-        common = _common(sets)
+        ids, number = np.unique(np.array([i for c, _ in held for i in c]), return_inverse=True)
+        sets = [x for _, x in held for x in x]
+        common = _common(sets).astype(np.int64)  # exact below 2^24
         size = np.array([len(x) for x in sets])
         linked = 100 * common >= similar * (size[:, None] + size[None, :] - common)
         linked &= (number[:, None] != number[None, :]) & (common > 0)
-        pairs = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(*np.nonzero(np.triu(linked)))}
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], b_type) for k in (0, 1)], names=["a", "b"])
+        # the least component that links reach within the group, by rounds
+        least = np.arange(len(ids))
+        while True:
+            near = np.where(linked, least[number][None, :], len(ids)).min(axis=1, initial=len(ids))
+            found = least.copy()
+            np.minimum.at(found, number, np.minimum(near, least[number]))
+            found = found[found]
+            if (found == least).all():
+                break
+            least = found
+        moved = np.flatnonzero(least < np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[least[moved]].tolist(), b_type), pa.array(ids[moved].tolist(), b_type)],
+                                          names=["a", "b"])
 
     b_type = to_arrow_type(id_type)
 
@@ -241,7 +251,6 @@ def _between(groups: DataFrame, shingle: int, similar: int) -> DataFrame:
         for b in batches:
             key = list(zip(*(b.column(i).to_pylist() for i in range(3))))
             c = b.column(4).to_pylist()
-            number = np.array([hash(x) for x in c])
             for lo, hi, data, off, _ in tb.chunks(b.column(5)):
                 row, h = shingle_sets(data, off, shingle)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -252,8 +261,7 @@ def _between(groups: DataFrame, shingle: int, similar: int) -> DataFrame:
                             yield flush(held)
                             held = []
                         last = key[start]
-                        held.append((c[start:r], number[start:r],
-                                     [h[cut[q - lo]:cut[q - lo + 1]] for q in range(start, r)]))
+                        held.append((c[start:r], [h[cut[q - lo]:cut[q - lo + 1]] for q in range(start, r)]))
                         start = r
         if held:
             yield flush(held)
