@@ -10,10 +10,13 @@ before all have.  The last slot takes only the words that are still missing,
 so the words taken equal the rounded target.  Blocks join slots on (source,
 block number).
 
-Output shards: each run of slots draws how many of them fall into each shard
-from a multinomial, so a shard's source counts are multinomial draws given the
-sources' totals.  All draws are keyed by (seed, source, epoch, run): reruns
-agree, and a lost task repeats the same draws.
+Output shards: the mix is written as shards of ``SHARD_SLOTS`` slots on
+average.  Each slot's shard is drawn, so a shard's source counts are
+multinomial with the sources' shares of the mix, given the sources' totals,
+and the draw decides which blocks a shard holds: ``mix`` tells the shards of
+every document, ``shard_blocks`` lists every shard's blocks and
+``shard_counts`` its words by source.  All draws are keyed by (seed, source,
+epoch, run): reruns agree, and a lost task repeats the same draws.
 
 Scale: word counts are one map.  Document offsets are a two-level prefix sum
 (within sqrt(n) hash buckets of a source, then over the buckets), so a source
@@ -48,7 +51,7 @@ MOST = 3
 #: Weights by the source's place in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 RUN = 65_536
-SHARD_SLOTS = 1 << 20
+SHARD_SLOTS = 1 << 17
 BROADCAST_SOURCES = 100_000
 SEED = 20
 
@@ -189,8 +192,11 @@ def slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, run: int = R
                 rng = np.random.Generator(np.random.Philox(key=int(tb.mix(
                     np.array([seed * 1_000_003 + r["sid"]], np.uint64) * tb.U64(31) + tb.U64(r["epoch"]))[0] >> tb.U64(1))
                     + r["from"]))
-                counts = rng.multinomial(len(k), np.full(shards, 1.0 / shards))
-                shard = rng.permutation(np.repeat(np.arange(shards), counts))
+                if shards <= len(k):  # the run's counts by shard, then which of its slots they are
+                    counts = rng.multinomial(len(k), np.full(shards, 1.0 / shards))
+                    shard = rng.permutation(np.repeat(np.arange(shards), counts))
+                else:  # the same draw, slot by slot
+                    shard = rng.integers(shards, size=len(k))
                 keep = words > 0
                 size = int(keep.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -218,10 +224,35 @@ def _pieces(rows: DataFrame, block: int) -> DataFrame:
             .withColumn("n", F.least(F.col("size") - F.col("first"), block - F.col("at"))))
 
 
+def shard_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                 weights=WEIGHTS, most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The shards' contents: (shard, sid, epoch, slot, block, id, first, n) for
+    the ``n`` words from word ``first`` of document ``id`` in each block drawn."""
+    sized = materialize(word_sizes(df, text_col, [id_col, source_col])
+                        .withColumnRenamed("__llm_size", "size"), "mix-sizes")
+    rows, sources = _placed(sized, source_col, id_col, weights, most)
+    pieces = _pieces(rows.select("sid", col(id_col).alias("id"), "size", "off"), block)
+    n = F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")
+    return (pieces.join(slots(sources, block, shard_slots=shard_slots).hint("merge"), ["sid", "block"])
+            .withColumn("n", n).filter("n > 0").select("shard", "sid", "epoch", "slot", "block", "id", "first", "n"))
+
+
+def shard_counts(df: DataFrame, text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = MOST,
+                 block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, source, slots, words): what each shard draws of each source."""
+    sized = word_sizes(df, text_col, [source_col]).withColumnRenamed("__llm_size", "size")
+    sources = materialize(source_targets(sized, source_col, weights, most), "mix-targets")
+    drawn = slots(sources, block, shard_slots=shard_slots).groupBy("shard", "sid").agg(
+        F.count("*").alias("slots"), F.sum("words").alias("words"))
+    return drawn.join(sources.select("sid", "source"), "sid").select("shard", "source", "slots", "words")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """Per row of ``df``: id, ``size``, ``source_size``, ``target`` and
-    ``taken`` (words of the row in the mix, repeats counted)."""
+        weights=WEIGHTS, most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Per row of ``df``: id, ``size``, ``source_size``, ``target``, ``taken``
+    (words of the row in the mix, repeats counted), ``n_shards`` and
+    ``first_shard`` (the output shards that hold words of it; 0 and null where
+    none does)."""
     sized = materialize(word_sizes(df, text_col, [id_col, source_col])
                         .withColumnRenamed("__llm_size", "size"), "mix-sizes")
     rows, sources = _placed(sized, source_col, id_col, weights, most)
@@ -229,10 +260,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # a block without a slot has no words (least() would pass over the null)
     taken = F.when(F.col("words").isNull(), 0).otherwise(
         F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")))
-    return (pieces.join(slots(sources, block).select("sid", "block", "words").hint("merge"), ["sid", "block"], "left")
+    drawn = slots(sources, block, shard_slots=shard_slots).select("sid", "block", "words", "shard")
+    holds = F.when(taken > 0, F.col("shard"))
+    return (pieces.join(drawn.hint("merge"), ["sid", "block"], "left")
             .groupBy("sid", "bucket", "pos")
             .agg(F.first("id").alias(id_col), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
-                 F.first("target").alias("target"), F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"))
+                 F.first("target").alias("target"), F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"),
+                 # a document's own blocks
+                 F.size(F.collect_set(holds)).cast("long").alias("n_shards"), F.min(holds).alias("first_shard"))
             .drop("sid", "bucket", "pos"))
 
 

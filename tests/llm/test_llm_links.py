@@ -118,6 +118,37 @@ def test_a_bucket_of_strangers_loses_no_link(spark, monkeypatch):
     assert got == groups(links, sets)
 
 
+def test_links_between_components_whatever_their_ids(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    for ids in ((-1, -2), (-1, -3), (5, 5 + (1 << 61) - 1), ("x", "y")):
+        kind = "string" if isinstance(ids[0], str) else "long"
+        rows = [(1, 0, 0, i, i, " ".join(base[:-1] + [str(k)])) for k, i in enumerate(ids)]
+        rows.append((1, 0, 0, ids[0], ids[0], "something else"))
+        groups = spark.createDataFrame(rows, f"k long, bi int, bj int, id {kind}, c {kind}, t string").coalesce(1)
+        assert [tuple(r) for r in superminhash._between(groups, 4, 80).collect()] == [tuple(sorted(ids))]
+
+
+def test_group_links_are_stars(spark):
+    """A chain of components within one group: each reaches the least."""
+    w = [f"w{i}" for i in range(400)]
+    rows = [(1, 0, 0, 100 - i, 100 - i, " ".join(w[10 * i:10 * i + 100])) for i in range(20)]
+    groups = spark.createDataFrame(rows, "k long, bi int, bj int, id long, c long, t string").coalesce(1)
+    got = sorted(tuple(r) for r in superminhash._between(groups, 4, 80).collect())
+    assert got == [(81, i) for i in range(82, 101)]
+
+
+def test_near_copies_of_very_long_texts(spark):
+    rng = random.Random(2)
+    words_ = [f"w{rng.randrange(10 ** 6)}" for _ in range(200_000)]
+    other = list(words_)
+    for i in range(0, 200_000, 100):
+        other[i] = "x"
+    far = [f"v{rng.randrange(10 ** 6)}" for _ in range(200_000)]
+    df = spark.createDataFrame([(-1, " ".join(words_)), (-2, " ".join(other)), (7, " ".join(far))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(df, shingle=4).collect()}
+    assert got == {-1: -2, -2: -2, 7: 7}
+
+
 # -- 6 embeddings ------------------------------------------------------------
 
 def test_near_vectors_brute_force(spark):
@@ -239,6 +270,41 @@ def test_slots_of_an_epoch_are_distinct_blocks(spark):
     assert max(per.values()) < 1.5 * min(per.values())
 
 
+def test_shards_hold_what_they_draw(spark):
+    rng = random.Random(16)
+    rows = [(i, "w " * rng.choice([0, 3, 50, 200]), rng.choice(["a", "a", "a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kw = dict(block=16, shard_slots=100)
+    blocks = mixing.shard_blocks(df, **kw).collect()
+    again = mixing.shard_blocks(df.repartition(5), **kw).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, again))
+    # the shards hold the words that the mix takes, each in the shards it names
+    words_of, shards_of = defaultdict(int), defaultdict(set)
+    for r in blocks:
+        words_of[r["id"]] += r["n"]
+        shards_of[r["id"]].add(r["shard"])
+    for r in mixing.mix(df, **kw).collect():
+        own = shards_of[r["doc_id"]]
+        assert r["taken"] == words_of[r["doc_id"]] and r["n_shards"] == len(own)
+        assert r["first_shard"] == min(own, default=None)
+    # a shard's counts by source are those of its blocks, and like a multinomial draw of the sources' totals
+    source = {i: s for i, _, s in rows}
+    want = defaultdict(lambda: [set(), 0])
+    for r in blocks:
+        cell = want[r["shard"], source[r["id"]]]
+        cell[0].add((r["epoch"], r["slot"]))
+        cell[1] += r["n"]
+    got = {(r["shard"], r["source"]): (r["slots"], r["words"]) for r in mixing.shard_counts(df, **kw).collect()}
+    assert got == {k: (len(a), n) for k, (a, n) in want.items()}
+    shards = max(k[0] for k in got) + 1
+    assert shards > 5
+    for s in ("a", "b", None):
+        counts = [got.get((k, s), (0, 0))[0] for k in range(shards)]
+        mean = sum(counts) / shards
+        spread = sum((c - mean) ** 2 for c in counts) / (shards - 1)
+        assert 0.2 * mean < spread < 3 * mean  # Poisson-like: drawn, neither dealt evenly nor all in one
+
+
 # -- 9 lines -----------------------------------------------------------------
 
 def test_within_one_edit():
@@ -344,7 +410,7 @@ def test_search_brute_force_and_recall(spark):
         assert r["score"] == pytest.approx(float((m[r["query_id"]] * m[r["vec_id"]]).sum()), abs=1e-12)
     assert set(got) == set(exact)
     assert all(got[q] == exact[q] for q in exact)
-    # narrow windows on clustered vectors
+    # small blocks (here, too, windows would cover the table)
     near = hilbert_search.search(df, F.col("vec_id") % 20 == 0, block=32, recall=0.97).collect()
     found = defaultdict(set)
     for r in near:
@@ -355,6 +421,38 @@ def test_search_brute_force_and_recall(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
 
 
+def test_narrow_windows_reach_the_recall(spark, monkeypatch):
+    """A table of many blocks whose neighbours lie close on the curves: the
+    windows run, not the whole of one curve."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(100, 8)) * 4
+    x = np.concatenate([c + rng.normal(size=(25, 8)) * 0.2 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # the largest products are the nearest
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    seen = []
+    window_for = hilbert_search.window_for
+
+    def spied(index, *args):
+        seen.append((window_for(index, *args), index.blocks))
+        return seen[-1][0]
+    monkeypatch.setattr(hilbert_search, "window_for", spied)
+    found = defaultdict(dict)
+    for r in hilbert_search.search(df, F.col("vec_id") % 20 == 0, block=16, recall=0.97).collect():
+        found[r["query_id"]][r["vec_id"]] = r["score"]
+    (w, blocks), = seen
+    assert blocks >= 150 and (2 * w + 1) * hilbert_search.CURVES < blocks
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -9
+        best = np.argsort(-s)[:20].tolist()
+        hits += len(set(best) & set(found[q]))
+        total += 20
+        assert all(abs(found[q][c] - s[c]) < 1e-12 for c in found[q])
+    assert hits / total >= 0.9
+
+
 def test_search_with_copies_and_several_lengths(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 6))
