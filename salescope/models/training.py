@@ -79,8 +79,8 @@ def train_all(sales: DataFrame, root: str, model_type: str = "random_forest", tu
 
     def segmenter(path: str) -> float:
         model = segment.fit_segments(segment.product_stats(sales), k=k)
-        model.write().overwrite().save(path)
-        return float(len(model.stages[-1].clusterCenters()))
+        model.save(path)
+        return float(len(model.centres))
 
     def detector(path: str) -> float:
         model = anomaly.fit_isolation_forest(sales, contamination=contamination)

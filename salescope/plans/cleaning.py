@@ -281,15 +281,56 @@ def q_data_summary(spark, d):
     return rnd(out, [], ["mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
-@query("preprocess")
+_PRE_COLS = ["date", "order_id", "product", "category", "customer", "region", "channel", "quantity", "price", "revenue", "status"]
+_PRE_ROUND = ["revenue"], ["product_avg_revenue", "revenue_lag_1", "revenue_lag_7", "revenue_rolling_mean_7", "revenue_rolling_std_7"]
+
+
+def _preprocess_sql() -> str:
+    """The steps one after another: gaps, medians and modes, distinct rows,
+    success words, calendar, tiers, product and order features."""
+    plain = ", ".join(c for c in _PRE_COLS if c not in ("quantity", "product", "price"))
+    mode = "(SELECT {0} FROM raw WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY count(*) DESC, {0} LIMIT 1)"
+    words = "|".join(fixed.SUCCESS_KEYWORDS)
+    shown = ", ".join(f"round({c}, 4) AS {c}" if c in _PRE_ROUND[0] else f"round({c}, 6) AS {c}" if c in _PRE_ROUND[1] else c
+                      for c in [*_PRE_COLS, "is_successful_transaction", "year", "month", "quarter", "day_of_week", "day_of_month",
+                                "week_of_year", "is_weekend", "month_name", "year_month", "revenue_per_unit", "price_tier", "product_freq",
+                                *_PRE_ROUND[1]])
+    return with_sales(f"""
+, dirty AS (SELECT {plain}, CASE WHEN order_id % 50 = 0 THEN NULL ELSE quantity END AS quantity,
+              CASE WHEN order_id % 41 = 0 THEN NULL ELSE product END AS product,
+              CASE WHEN order_id % 67 = 0 THEN NULL ELSE price END AS price FROM sales)
+, raw AS MATERIALIZED (SELECT * FROM dirty UNION ALL SELECT * FROM dirty WHERE order_id % 10 = 0)
+, u AS MATERIALIZED (SELECT DISTINCT {plain}, coalesce(quantity, (SELECT quantile_cont(quantity, 0.5) FROM raw)) AS quantity,
+              coalesce(product, {mode.format("product")}) AS product, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM raw)) AS price FROM raw)
+, q AS (SELECT quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75 FROM u)
+, f AS (SELECT u.*, coalesce(regexp_matches(trim(regexp_replace(regexp_replace(lower(trim(status)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')),
+                 '{words}'), false) AS hit,
+              year(date) AS year, month(date) AS month, quarter(date) AS quarter, isodow(date) - 1 AS day_of_week, day(date) AS day_of_month,
+              weekofyear(date) AS week_of_year, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+              strftime(date, '%B') AS month_name, strftime(date, '%Y-%m') AS year_month,
+              CASE WHEN quantity = 0 THEN NULL ELSE revenue / quantity END AS revenue_per_unit,
+              CASE WHEN NOT (0 < q25 AND q25 < q75) OR price <= 0 THEN NULL WHEN price <= q25 THEN 'Low' WHEN price <= q75 THEN 'Medium'
+                   WHEN price IS NOT NULL THEN 'High' END AS price_tier,
+              count(*) OVER (PARTITION BY product) AS product_freq, avg(revenue) OVER (PARTITION BY product) AS product_avg_revenue,
+              lag(revenue, 1) OVER w AS revenue_lag_1, lag(revenue, 7) OVER w AS revenue_lag_7,
+              CASE WHEN row_number() OVER w >= 7 THEN avg(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS revenue_rolling_mean_7,
+              CASE WHEN row_number() OVER w >= 7 THEN stddev_samp(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS revenue_rolling_std_7
+        FROM u, q WHERE date IS NOT NULL WINDOW w AS (ORDER BY {", ".join(_PRE_COLS)}))
+, done AS (SELECT *, CASE WHEN (SELECT bool_or(hit) FROM f) THEN hit ELSE true END AS is_successful_transaction FROM f)
+SELECT {shown} FROM done
+""")
+
+
+@query("preprocess", _preprocess_sql())
 def q_preprocess(spark, d):
-    """The whole conforming pipeline on a raw upload (renamed headers, text
-    dates) — checked by its parts; here row count and schema."""
-    cols = ["date", "order_id", "product", "category", "customer", "region", "channel",
-            "quantity", "price", "revenue", "status"]
-    raw = raw_upload(spark, d, cols).withColumn("Tanggal", F.date_format("Tanggal", "dd/MM/yyyy"))
-    order = ["date", "order_id", "product", "quantity", "revenue"]
-    return conform.preprocess(raw, order=order)
+    """The whole conforming pipeline on a raw upload: renamed headers, text
+    dates, gaps in three columns and repeated rows."""
+    v = view(spark, d, *_PRE_COLS)
+    gap = lambda c, n: F.when(F.col("order_id") % n != 0, F.col(c))
+    v = v.withColumns({"quantity": gap("quantity", 50), "product": gap("product", 41), "price": gap("price", 67)})
+    v = v.unionByName(v.where(F.col("order_id") % 10 == 0))
+    raw = v.select(*[F.col(c).alias(RAW_HEADERS.get(c, c)) for c in _PRE_COLS]).withColumn("Tanggal", F.date_format("Tanggal", "dd/MM/yyyy"))
+    return rnd(conform.preprocess(raw, order=_PRE_COLS), *_PRE_ROUND)
 
 
 @query("drop_status_like", with_sales("""

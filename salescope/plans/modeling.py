@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed
 from ..models import anomaly, forecast, linear, segment, training
 from ..operators import report
 from ..operators.features import DAILY_FEATURES, daily_features
@@ -114,18 +115,25 @@ def _fit(spark, d, model_type, tuning=False):
     return fc, scored
 
 
-def _linear_sql(alpha: float, missing: tuple = ()) -> str:
+def _linear_sql(alpha: float, missing: tuple = (), series: str | None = None) -> str:
     """Predictions of least squares (alpha 0) or ridge: the scaled features,
     the centred Gram matrix of the training rows, Gauss-Jordan elimination as a
     recursive query, and the linear form on every day; ``missing`` features
-    count as 0 when predicting."""
+    count as 0 when predicting.  ``series`` names a column whose values have a
+    day table each, pooled in one model."""
+    by = f"PARTITION BY {series} " if series else ""
+    daily = _DAILY_SQL
+    if series:
+        daily = (daily.replace("AS date, sum(revenue)", f"AS date, {series}, sum(revenue)").replace("GROUP BY 1)", "GROUP BY 1, 2)")
+                 .replace("SELECT date, revenue,", f"SELECT date, {series}, revenue,").replace("OVER (ORDER BY date)", f"OVER ({by}ORDER BY date)")
+                 .replace("WINDOW w AS (ORDER BY date)", f"WINDOW w AS ({by}ORDER BY date)"))
     p = len(DAILY_FEATURES)
     iqr = {c: f"CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END" for c in DAILY_FEATURES}
     scaled = ", ".join(f"(coalesce({c}, 0) - q_{c}[2]) / {iqr[c]}" for c in DAILY_FEATURES)
     given = ", ".join(f"({0 if c in missing else f'coalesce({c}, 0)'} - q_{c}[2]) / {iqr[c]}" for c in DAILY_FEATURES)
     qs = ", ".join(f"quantile_cont(coalesce({c}, 0), [0.25, 0.5, 0.75]) AS q_{c}" for c in DAILY_FEATURES)
-    sql = with_sales(_DAILY_SQL + f"""
-, s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= floor(count(*) OVER () * 0.8)
+    sql = with_sales(daily + f"""
+, s AS (SELECT *, CASE WHEN row_number() OVER ({by}ORDER BY date) <= floor(count(*) OVER ({by}) * 0.8)
                        THEN 'train' ELSE 'test' END AS split FROM daily)
 , q AS (SELECT {qs} FROM s WHERE split = 'train')
 , z AS MATERIALIZED (SELECT date, split, revenue, [{scaled}] AS x, [{given}] AS u FROM s, q)
@@ -149,6 +157,37 @@ def _linear_sql(alpha: float, missing: tuple = ()) -> str:
     return sql.replace("WITH sales", "WITH RECURSIVE sales", 1)
 
 
+def _panel_sql() -> str:
+    """The recursive forecast of every region: the state is a list of its last
+    30 days, the features of the next day come from it, and the prediction
+    (not below 0) is appended."""
+    last = lambda k: f"h[greatest(len(h) - {k - 1}, 1):len(h)]"
+    lag = lambda k: f"CASE WHEN len(h) >= {k} THEN h[len(h) - {k - 1}] ELSE list_avg(h) END"
+    m, xs = f"len({last(7)})", f"range(0, len({last(7)}))"
+    sxy = f"list_sum(list_transform({xs}, lambda x: x * ({last(7)})[x + 1]))"
+    features = {
+        "year": "year(nd)", "month": "month(nd)", "quarter": "quarter(nd)", "day_of_week": "isodow(nd) - 1", "day_of_month": "day(nd)",
+        "week_of_year": "weekofyear(nd)", "is_weekend": "CASE WHEN isodow(nd) >= 6 THEN 1 ELSE 0 END",
+        **{f"lag_{k}": lag(k) for k in (1, 7, 14, 30)}, **{f"rolling_{k}": f"list_avg({last(k)})" for k in (7, 14, 30)},
+        "rolling_std7": f"CASE WHEN {m} > 1 THEN list_stddev_pop({last(7)}) ELSE 0 END",
+        "trend_7": f"CASE WHEN {m} >= 2 THEN ({m} * {sxy} - list_sum({xs}) * list_sum({last(7)})) / "
+                   f"({m} * list_sum(list_transform({xs}, lambda x: x * x)) - list_sum({xs}) * list_sum({xs})) ELSE 0 END"}
+    scaled = ", ".join(f"(({features[c]}) - q_{c}[2]) / CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END"
+                       for c in DAILY_FEATURES)
+    return _linear_sql(0, series="region").replace("SELECT * FROM fitted", f"""
+, start AS (SELECT region, max(date) AS last, list(revenue ORDER BY date) AS h
+    FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY date DESC) AS r FROM daily) WHERE r <= 30 GROUP BY region)
+, walk AS (SELECT region, last, 0 AS i, h, CAST(NULL AS TIMESTAMP) AS date, CAST(NULL AS DOUBLE) AS forecast FROM start
+    UNION ALL
+    SELECT region, last, i + 1, list_append(h, f)[greatest(len(h) - 28, 1):], nd, f
+    FROM (SELECT region, last, i, h, nd, greatest(0, my + list_sum(list_transform(range(1, {len(DAILY_FEATURES) + 1}),
+                 lambda k: b[k] * (u[k] - mx[k])))) AS f
+          FROM (SELECT region, last, i, h, nd, [{scaled}] AS u
+                FROM (SELECT region, last, i, h, last + to_days(i + 1) AS nd FROM walk WHERE i < 30), q), beta, mean))
+SELECT region, date, round(forecast, 2) AS forecast FROM walk WHERE i > 0
+""")
+
+
 def _whole(sql: str, cols: str) -> str:
     """Predictions to the unit (sums in another order differ in late digits)."""
     return sql.replace("SELECT * FROM fitted", f"SELECT {cols}, round(revenue, 4) AS revenue, round(prediction, 0) AS prediction FROM fitted")
@@ -201,13 +240,14 @@ def q_fc_future(spark, d):
     return forecast.forecast_future(fc, view(spark, d, "date", "revenue"), 30)
 
 
-@query("fc_future_panel")
+@query("fc_future_panel", _panel_sql())
 def q_fc_future_panel(spark, d):
     """30-day recursive forecast for every region at once (one pooled model;
     every series keeps its own 30-day history)."""
     sales = view(spark, d, "date", "region", "revenue")
     fc, _ = forecast.fit_forecaster(sales, "linear", 0.2, series=["region"])
-    return forecast.forecast_future(fc, sales, 30)
+    out = forecast.forecast_future(fc, sales, 30)
+    return out.withColumn("forecast", F.round("forecast", 2))
 
 
 @query("fc_importance")
@@ -354,30 +394,90 @@ def _stats(spark, d):
     return segment.product_stats(view(spark, d, "product", "revenue", "quantity", "price"))
 
 
-@query("seg_fit")
+_STATS_ROUND = ["total_revenue", "total_quantity"], ["avg_revenue", "avg_quantity", "avg_price"]
+_STATS_SQL = """SELECT product, coalesce(sum(revenue), 0) AS total_revenue, avg(revenue) AS avg_revenue, count(revenue) AS transaction_count,
+    coalesce(sum(quantity), 0) AS total_quantity, avg(quantity) AS avg_quantity, avg(price) AS avg_price
+    FROM {rows} WHERE product IS NOT NULL GROUP BY product"""
+
+
+def _kmeans_sql(k: int = 4, starts: int = 10, seed: int = 42) -> str:
+    """k-means in SQL: the picks of k-means++ as races keyed by md5, the
+    iterations of all starts as a recursive query, the best start, and its
+    centres in falling order."""
+    p = len(segment.SEGMENT_FEATURES)
+    names = list(enumerate(segment.SEGMENT_FEATURES, 1))
+    means = ", ".join(f"avg(coalesce({c}, 0))" for _, c in names)
+    stds = ", ".join(f"CASE WHEN stddev_pop(coalesce({c}, 0)) = 0 THEN 1 ELSE stddev_pop(coalesce({c}, 0)) END" for _, c in names)
+    scaled = ", ".join(f"(coalesce({c}, 0) - m[{i}]) / d[{i}]" for i, c in names)
+    u = "((('0x' || md5('{seed}:' || s || ':{pick}:' || product)[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+    near = "list_min(list_transform(c, lambda e: pow(list_distance(e, x), 2)))"
+    own = "list_position(list_transform(c, lambda e: list_distance(e, x)), list_min(list_transform(c, lambda e: list_distance(e, x))))"
+    picks = [f"pick0 AS (SELECT s, [arg_min(x, -ln({u.format(seed=seed, pick=0)}))] AS c FROM pt, starts GROUP BY s)"]
+    for i in range(1, k):
+        picks.append(f"""pick{i} AS (SELECT s, list_append(any_value(c), arg_min(x, -ln({u.format(seed=seed, pick=i)}) / {near})) AS c
+    FROM pt, pick{i - 1} WHERE {near} > 0 GROUP BY s)""")
+    centre = ", ".join("CASE WHEN count(*) FILTER (j = {0}) > 0 THEN [{1}] ELSE any_value(c)[{0}] END".format(
+        j, ", ".join(f"avg(x[{i}]) FILTER (j = {j})" for i in range(1, p + 1))) for j in range(1, k + 1))
+    return with_sales(f"""
+, st AS MATERIALIZED ({_STATS_SQL.format(rows="sales")})
+, sc AS (SELECT [{means}] AS m, [{stds}] AS d FROM st)
+, pt AS MATERIALIZED (SELECT product, [{scaled}] AS x FROM st, sc)
+, starts AS (SELECT unnest(range(0, {starts})) AS s)
+, {", ".join(picks)}
+, walk AS (SELECT 0 AS it, s, c FROM pick{k - 1}
+    UNION ALL SELECT it + 1, s, [{centre}] FROM (SELECT it, s, c, x, {own} AS j FROM walk, pt WHERE it < {segment.MAX_ITERATIONS}) GROUP BY it, s)
+, done AS (SELECT s, c FROM walk WHERE it = {segment.MAX_ITERATIONS})
+, best AS (SELECT list_reverse_sort(c) AS c FROM (SELECT s, any_value(c) AS c, sum({near}) AS cost FROM done, pt GROUP BY s) ORDER BY round(cost, 6), s LIMIT 1)
+, assigned AS MATERIALIZED (SELECT st.*, pt.x, {own} - 1 AS cluster FROM st JOIN pt USING (product), best)
+, profile AS MATERIALIZED (SELECT cluster, {", ".join(f"avg(coalesce({c}, 0)) AS {c}" for _, c in names)} FROM assigned GROUP BY cluster)
+, med AS (SELECT quantile_cont(total_revenue, 0.5) AS r, quantile_cont(transaction_count, 0.5) AS t FROM profile)
+, named AS MATERIALIZED (SELECT profile.*, CASE WHEN total_revenue > r AND transaction_count > t THEN '{fixed.SEGMENT_STAR}'
+    WHEN total_revenue > r THEN '{fixed.SEGMENT_PREMIUM}' WHEN transaction_count > t THEN '{fixed.SEGMENT_VOLUME}' ELSE '{fixed.SEGMENT_LOW}' END AS segment
+    FROM profile, med)
+""" + "SELECT * FROM named").replace("WITH sales", "WITH RECURSIVE sales", 1)
+
+
+_ROUNDED = ", ".join(f"round({c}, {4 if c in _STATS_ROUND[0] else 6}) AS {c}" for c in segment.SEGMENT_FEATURES if c != "transaction_count")
+
+
+def _seg_sql(last: str) -> str:
+    return _kmeans_sql().replace("SELECT * FROM named", last)
+
+
+@query("seg_fit", _seg_sql(f"""SELECT product, {_ROUNDED.replace("(", "(a.")}, a.transaction_count, a.cluster, segment
+FROM assigned a JOIN named USING (cluster)"""))
 def q_seg_fit(spark, d):
-    """k-means (k = 4, best of 10 seeds) on standardised product stats."""
+    """k-means (k = 4, best of 10 starts) on standardised product stats."""
     stats = _stats(spark, d)
-    model = segment.fit_segments(stats)
-    return segment.assign_segments(model, stats)
+    return rnd(segment.assign_segments(segment.fit_segments(stats), stats), *_STATS_ROUND)
 
 
-@query("seg_profiles")
+@query("seg_profiles", _seg_sql(f"SELECT cluster, {_ROUNDED}, round(transaction_count, 6) AS transaction_count, segment FROM named"))
 def q_seg_profiles(spark, d):
     stats = _stats(spark, d)
     model = segment.fit_segments(stats)
     assigned = model.transform(segment._filled(stats))
-    return segment.segment_names(segment.cluster_profiles(assigned))
+    return rnd(segment.segment_names(segment.cluster_profiles(assigned)), _STATS_ROUND[0], [*_STATS_ROUND[1], "transaction_count"])
 
 
-@query("seg_silhouette")
+@query("seg_silhouette", _seg_sql("""
+, far AS (SELECT a.product, a.cluster AS own, b.cluster AS c, sum(pow(list_distance(a.x, b.x), 2)) AS total, count(*) AS n
+    FROM assigned a, assigned b GROUP BY 1, 2, 3)
+, two AS (SELECT product, max(CASE WHEN c = own AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN c <> own THEN total / n END) AS b
+    FROM far GROUP BY product)
+SELECT round(avg(coalesce(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 0)), 6) AS silhouette FROM two
+"""))
 def q_seg_silhouette(spark, d):
     stats = _stats(spark, d)
     model = segment.fit_segments(stats)
-    return spark.createDataFrame([(segment.silhouette(model, stats),)], "silhouette double")
+    return rnd(spark.createDataFrame([(segment.silhouette(model, stats),)], "silhouette double"), [], ["silhouette"])
 
 
-@query("seg_predict")
+@query("seg_predict", _seg_sql(f"""
+, recent AS ({_STATS_SQL.format(rows="sales JOIN (SELECT max(date) - INTERVAL 365 DAY AS cut FROM sales) ON date > cut")})
+, placed AS (SELECT recent.*, list_position(list_transform(c, lambda e: list_distance(e, x)), list_min(list_transform(c, lambda e: list_distance(e, x)))) - 1 AS cluster
+    FROM (SELECT recent.*, [{", ".join(f"(coalesce({c}, 0) - m[{i}]) / d[{i}]" for i, c in enumerate(segment.SEGMENT_FEATURES, 1))}] AS x FROM recent, sc) recent, best)
+SELECT product, {_ROUNDED.replace("(", "(a.")}, a.transaction_count, a.cluster, segment FROM placed a LEFT JOIN named USING (cluster)"""))
 def q_seg_predict(spark, d):
     """Assign the products' statistics of the latest year to the segments
     fitted on all data."""
@@ -387,14 +487,15 @@ def q_seg_predict(spark, d):
     names = segment.segment_names(segment.cluster_profiles(model.transform(segment._filled(stats))))
     latest = v.agg(F.max("date")).scalar()
     recent = segment.product_stats(v.where(F.col("date") > latest - F.make_dt_interval(F.lit(365))))
-    return segment.assign_segments(model, recent, names)
+    return rnd(segment.assign_segments(model, recent, names), *_STATS_ROUND)
 
 
-@query("segment_summary")
+@query("segment_summary", _seg_sql("""SELECT segment, count(*) AS products, round(sum(a.total_revenue), 4) AS total_revenue
+FROM assigned a JOIN named USING (cluster) GROUP BY segment"""))
 def q_segment_summary(spark, d):
     stats = _stats(spark, d)
     model = segment.fit_segments(stats)
-    return segment.segment_summary(segment.assign_segments(model, stats))
+    return rnd(segment.segment_summary(segment.assign_segments(model, stats)), ["total_revenue"])
 
 
 # ---------------------------------------------------------------------------

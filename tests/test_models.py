@@ -232,7 +232,10 @@ def test_stopped_training_goes_on(spark, sales, tmp_path, monkeypatch):
         with pytest.raises(RuntimeError):
             training.train_all(sales, root + "2", grid=grid)
     before = len(fits)
-    training.train_all(sales, root + "2", grid=grid)
+    with monkeypatch.context() as m:
+        m.setattr(segment, "fit_segments", stop)
+        with pytest.raises(RuntimeError):
+            training.train_all(sales, root + "2", grid=grid)
     assert len(fits) == before + 1
     # other rows are another training
     other = training.Manifest(spark, root).key("forecaster", {"data": training.fingerprint(sales.limit(10))})
@@ -291,3 +294,62 @@ def test_copies_below_follow_the_binomial():
     assert anomaly._copies_below(0.3, 9, 1.0, rng) == 9
     many = [anomaly._copies_below(0.5, 100_000, 0.01, rng) for _ in range(200)]
     assert np.mean(many) == pytest.approx(1000, rel=0.02)
+
+
+# -- segments ------------------------------------------------------------------
+
+def _blobs(spark, n=120):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 6)) * 40
+    rows = [(f"p{i}", *(centres[i % 4] + rng.normal(size=6) * 3).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "product string, " + ", ".join(f"{c} double" for c in segment.SEGMENT_FEATURES))
+
+
+def test_kmeans_finds_the_groups_in_any_partitioning(spark):
+    stats = _blobs(spark)
+    models = [segment.fit_segments(stats.repartition(p)) for p in (1, 6)]
+    assert np.allclose(models[0].centres, models[1].centres)
+    got = models[0].transform(segment._filled(stats)).select("product", "cluster").toPandas()
+    group = got["product"].str[1:].astype(int) % 4
+    assert got.groupby(group)["cluster"].nunique().eq(1).all() and got["cluster"].nunique() == 4
+    assert [c[0] for c in models[0].centres] == sorted((c[0] for c in models[0].centres), reverse=True)
+
+
+def test_kmeans_is_as_good_as_spark_ml(spark, sales):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    stats = segment.product_stats(sales)
+    model = segment.fit_segments(stats)
+    points = model.transform(segment._filled(stats)).withColumn("features", array_to_vector(model.scaled()))
+    theirs = min(KMeans(k=4, seed=s).fit(points.drop("prediction")).summary.trainingCost for s in range(5))
+    assert model.cost <= theirs * 1.02
+    # every centre is the mean of its cluster, every point is with its nearest centre
+    pdf = points.select("cluster", model.scaled().alias("x")).toPandas()
+    x, c = np.stack(pdf["x"]), np.array(model.centres)
+    d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    assert (d.argmin(axis=1) == pdf["cluster"]).all() and d.min(axis=1).sum() == pytest.approx(model.cost)
+    assert np.allclose(c, [x[pdf["cluster"] == k].mean(axis=0) for k in range(len(c))], atol=1e-6)
+    want = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(points)
+    assert segment.silhouette(model, stats) == pytest.approx(want)
+
+
+def test_segments_of_few_or_equal_products(spark):
+    schema = "product string, " + ", ".join(f"{c} double" for c in segment.SEGMENT_FEATURES)
+    two = spark.createDataFrame([("a", *[1.0] * 6), ("b", *[2.0] * 5, None), ("c", *[1.0] * 6)], schema)
+    model = segment.fit_segments(two)
+    assert len(model.centres) == 2 and model.cost == pytest.approx(0.0)
+    assert segment.silhouette(model, two) == pytest.approx(2 / 3)  # b is alone: 0
+    same = spark.createDataFrame([("a", *[1.0] * 6), ("b", *[1.0] * 6)], schema)
+    assert len(segment.fit_segments(same).centres) == 1 and segment.silhouette(segment.fit_segments(same), same) is None
+    with pytest.raises(ValueError):
+        segment.fit_segments(two.limit(0))
+
+
+def test_segments_save_load(spark, tmp_path):
+    stats = _blobs(spark, 40)
+    model = segment.fit_segments(stats, k=3, n_init=2)
+    model.save(str(tmp_path / "seg"))
+    again = segment.SegmentModel.load(str(tmp_path / "seg"))
+    a, b = (segment.assign_segments(m, stats).orderBy("product").collect() for m in (model, again))
+    assert a == b
