@@ -266,20 +266,19 @@ def fill_missing(df: DataFrame, strategy: dict[str, str] | None = None,
 
 
 def drop_duplicates(df: DataFrame, subset: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Full-row dedupe, or keep the first row (in ``order``) per ``subset``.
+    """Full-row dedupe, or keep the first row per ``subset``: in ``order``, and
+    by the other columns where that ties (or without an order), so that the row
+    kept never depends on the partitioning.
 
     The subset form is an aggregate (``min_by`` over a struct), so a key
     holding a third of the rows is combined map-side instead of being
     sorted in one task as a window would be."""
-    if not subset:
-        return df.dropDuplicates()
-    if not order:
-        return df.dropDuplicates(subset)
-    rest = [c for c in df.columns if c not in subset]
+    rest = [c for c in df.columns if c not in subset] if subset else []
     if not rest:
         return df.dropDuplicates(subset)
     row = F.struct(*[F.col(c) for c in rest])
-    key = F.struct(*[F.col(c) for c in order])
+    sortable = [c for c in rest if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    key = F.struct(*[F.col(c) for c in dict.fromkeys([*(order or []), *sortable])]) if order or sortable else F.lit(0)
     kept = df.groupBy(*subset).agg(F.min_by(row, key).alias("_row"))
     return kept.select(*subset, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 

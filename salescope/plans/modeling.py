@@ -589,11 +589,11 @@ def q_model_save(spark, d):
                                  "part string, kind string, path string")
 
 
-@query("model_load")
+@query("model_load", _whole(_linear_sql(0), "date"))
 def q_model_load(spark, d):
     """Load a persisted forecaster and predict the day table with it."""
     fc, _ = _fit(spark, d, "linear")
     path = scratch_path(spark, f"forecaster-{uuid.uuid4().hex[:12]}")
     fc.save(path)
     loaded = forecast.Forecaster.load(path)
-    return loaded.transform(_daily(spark, d)).select("date", "revenue", "prediction")
+    return _to_units(loaded.transform(_daily(spark, d)).select("date", "revenue", "prediction"))

@@ -336,3 +336,15 @@ def test_isolation_forest_is_the_same_in_any_partitioning(spark):
     df = spark.createDataFrame(rows, "k int, revenue double, quantity double")
     offsets = {fit_isolation_forest(df.repartition(n), n_trees=20).offset for n in (1, 7, 64)}
     assert len(offsets) == 1
+
+
+def test_subset_dedupe_without_an_order_keeps_the_same_row_everywhere(spark):
+    rows = [("a", i % 7, f"v{i}") for i in range(60)] + [(None, None, "x"), (None, 3, "y"), ("b", 2, "z"), ("b", 2, "w")]
+    df = spark.createDataFrame(rows, "k string, n int, t string")
+    want = {(None, None, "x"), ("a", 0, "v0"), ("b", 2, "w")}
+    for p in (1, 6):
+        assert {tuple(r) for r in conform.drop_duplicates(df.repartition(p), ["k"]).collect()} == want
+    # ties of the order are decided by the other columns
+    tied = {tuple(r) for r in conform.drop_duplicates(df.repartition(5), ["k"], order=["n"]).collect()}
+    assert tied == want
+    assert conform.drop_duplicates(df, ["k", "n", "t"]).count() == 64
