@@ -107,9 +107,10 @@ def _local(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _group(key: np.uint64, across: bool, side: np.ndarray, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarray,
+def _group(key: np.uint64, across: bool, side: np.ndarray, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, k: int,
            cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, links, least member linked) of one group; ids are sorted."""
+    """(member, links, least member linked) of one group; ids are sorted.
+    Bucket keys are made anew only for members with a link."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = unit @ unit.T >= cosine
     np.fill_diagonal(linked, False)
@@ -121,18 +122,19 @@ def _group(key: np.uint64, across: bool, side: np.ndarray, ids: np.ndarray, weig
         return z, z, z
     # pairs that also share a bucket of a smaller key count there
     some = np.unique(i)
-    lower, count = np.unique(keys[some][keys[some] < key], return_counts=True)
+    linked, keys = linked[np.ix_(some, some)], bucket_keys(x[some], k)
+    lower, count = np.unique(keys[keys < key], return_counts=True)
     lower = lower[count > 1]
     for lo in range(0, len(lower), 4_096):
         part = lower[lo:lo + 4_096]
         at = np.minimum(np.searchsorted(part, keys), len(part) - 1)
-        member = np.zeros((len(ids), len(part)), dtype=np.float32)
+        member = np.zeros((len(some), len(part)), dtype=np.float32)
         r, c = np.nonzero(part[at] == keys)
         member[r, at[r, c]] = 1.0
         linked &= member @ member.T == 0
     own = np.flatnonzero(linked.any(axis=1))
     label = _local(linked)
-    return own, (linked[own] * weight[None, :]).sum(axis=1).astype(np.int64), label[own]
+    return some[own], (linked[own] * weight[some][None, :]).sum(axis=1).astype(np.int64), some[label[own]]
 
 
 def _linked(rows: DataFrame, k: int, cosine: float) -> DataFrame:
@@ -142,9 +144,9 @@ def _linked(rows: DataFrame, k: int, cosine: float) -> DataFrame:
                            T.StructField("low", rows.schema["id"].dataType)])
 
     def flush(parts):
-        key, bi, bj, side, ids, weight, x, keys = (np.concatenate(p) for p in zip(*parts))
+        key, bi, bj, side, ids, weight, x = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(ids, kind="stable")
-        own, links, low = _group(key[0], bi[0] != bj[0], side[order], ids[order], weight[order], x[order], keys[order], cosine)
+        own, links, low = _group(key[0], bi[0] != bj[0], side[order], ids[order], weight[order], x[order], k, cosine)
         ids = ids[order]
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links), pa.array(ids[low])], names=schema.names)
 
@@ -154,7 +156,6 @@ def _linked(rows: DataFrame, k: int, cosine: float) -> DataFrame:
             cols = [np.asarray(b.column(i)) for i in range(6)]
             cols[0] = cols[0].view(np.uint64)
             for rows_, x in matrices(b.column(6)):  # members of a group have one length: it is part of the key
-                keys = bucket_keys(x, k)
                 own = [c[rows_] for c in cols]
                 change = np.flatnonzero((np.diff(own[0].view(np.int64)) != 0) | (np.diff(own[1]) != 0) | (np.diff(own[2]) != 0)) + 1
                 for lo, hi in zip(np.r_[0, change], np.r_[change, len(rows_)]):
@@ -163,7 +164,7 @@ def _linked(rows: DataFrame, k: int, cosine: float) -> DataFrame:
                         yield flush(held)
                         held = []
                     last = group
-                    held.append([c[lo:hi] for c in own] + [x[lo:hi], keys[lo:hi]])
+                    held.append([c[lo:hi] for c in own] + [x[lo:hi]])
         if held:
             yield flush(held)
 
