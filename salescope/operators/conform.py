@@ -158,17 +158,31 @@ def proxy_columns(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def choose_date_format(df: DataFrame, col: str = "date") -> str | None:
-    """First format that parses every non-null value, tested for all
-    formats in a single aggregate pass."""
-    c = F.col(col).cast("string")
-    aggs = [F.count_if(c.isNotNull() & F.try_to_timestamp(c, F.lit(fmt)).isNull()).alias(f"f{i}")
-            for i, fmt in enumerate(fixed.DATE_FORMATS)]
-    aggs.append(F.count_if(c.isNotNull() & c.try_cast("timestamp").isNull()).alias("generic"))
-    row = df.agg(*aggs).first()
-    for i, fmt in enumerate(fixed.DATE_FORMATS):
-        if row[f"f{i}"] == 0:
-            return fmt
-    return "generic" if row["generic"] == 0 else None
+    """First format that parses every non-null value.
+
+    A text that does not parse costs far more than one that does, so each
+    distinct text is tested once, and a format that fails on the least or the
+    greatest text is out before the others are tested on every one."""
+    texts = df.select(F.col(col).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct().persist()
+    try:
+        ends = texts.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.array("a", "b")).alias("t"))
+        open_ = _parsing_all(ends.where(F.col("t").isNotNull()), [*fixed.DATE_FORMATS, "generic"])
+        open_ = _parsing_all(texts, open_)
+    finally:
+        texts.unpersist()
+    return open_[0] if open_ else None
+
+
+def _parsed(c: Column, fmt: str) -> Column:
+    return c.try_cast("timestamp") if fmt == "generic" else F.try_to_timestamp(c, F.lit(fmt))
+
+
+def _parsing_all(texts: DataFrame, formats: list[str]) -> list[str]:
+    """Those of ``formats`` that parse every ``t``."""
+    if not formats:
+        return []
+    row = texts.agg(*[F.count_if(_parsed(F.col("t"), fmt).isNull()).alias(f"f{i}") for i, fmt in enumerate(formats)]).first()
+    return [fmt for i, fmt in enumerate(formats) if row[f"f{i}"] == 0]
 
 
 def parse_dates(df: DataFrame, col: str = "date") -> DataFrame:
@@ -184,9 +198,7 @@ def parse_dates(df: DataFrame, col: str = "date") -> DataFrame:
     fmt = choose_date_format(df, col)
     if fmt is None:
         return df
-    c = F.col(col).cast("string")
-    parsed = c.try_cast("timestamp") if fmt == "generic" else F.try_to_timestamp(c, F.lit(fmt))
-    return df.withColumn(col, parsed.cast("timestamp_ntz"))
+    return df.withColumn(col, _parsed(F.col(col).cast("string"), fmt).cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------------------
