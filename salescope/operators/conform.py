@@ -100,11 +100,10 @@ def standardize_columns(df: DataFrame, proxies: bool = True) -> DataFrame:
     aside = {c: _free_name(f"{c}_raw", df.columns) for c in df.columns if c in taken and c not in mapping}
     rename = {**mapping, **aside}
     df = df.toDF(*[rename.get(c, c) for c in df.columns])
-    for col in ("product", "category"):
-        if col in df.columns and is_status_like(df, col):
-            df = df.drop(col)
+    shares = status_shares(df, [c for c in ("product", "category") if c in df.columns])
+    df = df.drop(*[c for c, share in shares.items() if share > fixed.STATUS_LIKE_SHARE])
     if proxies:
-        df = proxy_columns(df)
+        df = proxy_columns(df, shares)
     return df
 
 
@@ -115,10 +114,22 @@ def standardize_columns(df: DataFrame, proxies: bool = True) -> DataFrame:
 def status_share(df: DataFrame, col: str) -> float:
     """Share of status words among all distinct lower-cased, trimmed values
     (one aggregate; 0 without values)."""
-    v = F.lower(F.trim(F.col(col).cast("string")))
-    row = df.select(v.alias("v")).where(F.col("v").isNotNull()).distinct().agg(
-        F.count("v").alias("n"), F.count_if(F.col("v").isin(fixed.STATUS_LIKE_VALUES)).alias("hits")).first()
-    return row["hits"] / row["n"] if row["n"] else 0.0
+    return status_shares(df, [col])[col]
+
+
+def status_shares(df: DataFrame, cols: list[str]) -> dict[str, float]:
+    """``status_share`` of several columns by one pass over ``df``.  Its distinct
+    rows of these columns come first: a plan that needs no more than them drops
+    the lookups of all others."""
+    if not cols:
+        return {}
+    values = df.select(*[F.lower(F.trim(F.col(c).cast("string"))).alias(f"v{i}") for i, c in enumerate(cols)]).distinct()
+    each = values.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))
+                                             for i in range(len(cols))])).alias("x")).select("x.*")
+    rows = each.where(F.col("v").isNotNull()).distinct().groupBy("i").agg(
+        F.count("v").alias("n"), F.count_if(F.col("v").isin(fixed.STATUS_LIKE_VALUES)).alias("hits")).collect()
+    found = {cols[r["i"]]: r["hits"] / r["n"] for r in rows}   # one row a column
+    return {c: found.get(c, 0.0) for c in cols}
 
 
 def is_status_like(df: DataFrame, col: str) -> bool:
@@ -130,11 +141,18 @@ def product_valid(df: DataFrame) -> bool:
     return "product" in df.columns and not is_status_like(df, "product")
 
 
-def proxy_columns(df: DataFrame) -> DataFrame:
+def proxy_columns(df: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """product ← category | channel (string, not status-like; else absent);
     category ← channel | courier (not status-like) else 'General';
-    region ← store."""
+    region ← store.  ``shares`` holds status shares that are known already."""
     types = dict(df.dtypes)
+    known = dict(shares or {})
+
+    def is_status_like(df: DataFrame, col: str) -> bool:
+        if col not in known:
+            known[col] = status_share(df, col)
+        return known[col] > fixed.STATUS_LIKE_SHARE
+
     if "product" not in df.columns:
         for src in ("category", "channel"):
             if src in df.columns and types[src] == "string" and \

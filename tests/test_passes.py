@@ -44,3 +44,14 @@ def test_formats_are_tested_on_all_texts_but_those_an_end_excludes(spark, monkey
 
 def test_no_text_at_all_takes_the_first_format(spark):
     assert conform.choose_date_format(spark.createDataFrame([(None,)], "date string")) == fixed.DATE_FORMATS[0]
+
+
+def test_status_probes_read_the_input_once(spark):
+    rows = [("completed", "A", "web"), ("pending", "B", None), (None, " completed ", "shop")] * 5
+    df, calls = counted(spark, spark.createDataFrame(rows, "product string, category string, channel string"), "category")
+    assert conform.status_shares(df, ["product", "category", "channel"]) == {
+        "product": 1.0, "category": pytest.approx(1 / 3), "channel": 0.0}
+    calls.value = 0
+    out = conform.standardize_columns(df)
+    assert calls.value == len(rows)          # was read by three probes
+    assert sorted(r["product"] for r in out.collect()) == sorted([r[1] for r in rows])
