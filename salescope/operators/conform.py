@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..session import store
 from .common import has, require, to_numeric
 from .ordered import forward_fill, joint_quantiles
 
@@ -245,47 +246,47 @@ def _filled(col: str, value, dtype: str) -> Column:
 
 
 def fill_missing(df: DataFrame, strategy: dict[str, str] | None = None,
-                 order: list | None = None) -> DataFrame:
+                 order: list | None = None, stored: bool = False) -> DataFrame:
     """Fill nulls per column with mean / median / mode / zero / ffill, or drop
     the rows (``drop``).  Defaults: quantity, price, revenue → median;
     product, category, region → mode.  mean/median skip non-numeric columns;
-    the mode of an all-null column is 'Unknown'.  ``ffill`` needs ``order``."""
+    the mode of an all-null column is 'Unknown'.  ``ffill`` needs ``order``.
+
+    ``df`` is written once and read by the counts, the statistics and the result;
+    ``stored`` tells that it comes straight from a written table."""
     plan = dict(fixed.DEFAULT_FILL_STRATEGY)
     plan.update(strategy or {})
     present = {c: s for c, s in plan.items() if c in df.columns}
     if not present:
         return df
+    if not stored:
+        df = store(df)
     null_counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present]).first().asDict()
     types = dict(df.dtypes)
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     fills: dict[str, object] = {}
     ffill_cols: list[str] = []
     stat_cols = [c for c, s in present.items() if null_counts[c] and s in ("mean", "median", "mode")]
-    # the statistics read only these columns: computed once from the source
-    # plan, kept (memory, then disk) for the few statistic jobs, then released
-    base = df.select(*stat_cols).persist() if stat_cols else None
-    try:
-        medians = [c for c in stat_cols if present[c] == "median" and c in numeric]
-        if medians:
-            fills |= {c: q[0] for c, q in joint_quantiles(base, {c: (c, [0.5]) for c in medians}).items()}
-        means = [c for c in stat_cols if present[c] == "mean" and c in numeric]
-        if means:
-            fills |= base.agg(*[F.avg(c).alias(c) for c in means]).first().asDict()
-        for c, s in present.items():
-            if not null_counts[c]:
-                continue
-            if s == "mode":
-                m = column_mode(base, c)
-                fills[c] = "Unknown" if m is None else m
-            elif s == "drop":
-                df = df.where(F.col(c).isNotNull())
-            elif s == "zero":
-                fills[c] = 0
-            elif s == "ffill":
-                ffill_cols.append(c)
-    finally:
-        if base is not None:
-            base.unpersist()
+    # the statistics read only these columns
+    base = df.select(*stat_cols)
+    medians = [c for c in stat_cols if present[c] == "median" and c in numeric]
+    if medians:
+        fills |= {c: q[0] for c, q in joint_quantiles(base, {c: (c, [0.5]) for c in medians}).items()}
+    means = [c for c in stat_cols if present[c] == "mean" and c in numeric]
+    if means:
+        fills |= base.agg(*[F.avg(c).alias(c) for c in means]).first().asDict()
+    for c, s in present.items():
+        if not null_counts[c]:
+            continue
+        if s == "mode":
+            m = column_mode(base, c)
+            fills[c] = "Unknown" if m is None else m
+        elif s == "drop":
+            df = df.where(F.col(c).isNotNull())
+        elif s == "zero":
+            fills[c] = 0
+        elif s == "ffill":
+            ffill_cols.append(c)
     if fills:
         df = df.withColumns({c: _filled(c, v, types[c]) for c, v in fills.items()})
     if ffill_cols:
@@ -329,15 +330,16 @@ def success_match(col: Column) -> Column:
     return F.coalesce(normalized_status(col).rlike(pattern), F.lit(False))
 
 
-def status_flag(df: DataFrame) -> DataFrame:
+def status_flag(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """``is_successful_transaction``: status text contains a success word;
     all true when nothing matches anywhere or status/revenue is missing.
-    Revenue is left unchanged."""
+    Revenue is left unchanged.  ``base`` is a plainer table with the same
+    statuses as ``df``, if there is one."""
     if not has(df, "status", "revenue"):
         return df.withColumn("is_successful_transaction", F.lit(True))
     hit = success_match(F.col("status"))
     # scalar subquery; the regex runs on the distinct statuses only
-    any_hit = df.select("status").distinct().agg(F.max(hit.cast("int"))).scalar()
+    any_hit = (df if base is None else base).select("status").distinct().agg(F.max(hit.cast("int"))).scalar()
     return df.withColumn("is_successful_transaction",
                          F.when(F.coalesce(any_hit, F.lit(0)) == 1, hit).otherwise(F.lit(True)))
 

@@ -55,3 +55,21 @@ def test_status_probes_read_the_input_once(spark):
     out = conform.standardize_columns(df)
     assert calls.value == len(rows)          # was read by three probes
     assert sorted(r["product"] for r in out.collect()) == sorted([r[1] for r in rows])
+
+
+def test_fill_missing_reads_the_input_once(spark):
+    rows = [(i, None if i % 7 == 0 else float(i), None if i % 5 == 0 else "ab"[i % 2]) for i in range(50)]
+    df, calls = counted(spark, spark.createDataFrame(rows, "k int, price double, product string"), "price")
+    out = conform.fill_missing(df)
+    got = {r["k"]: (r["price"], r["product"]) for r in out.collect()}
+    assert calls.value == len(rows)
+    assert got[0] == (24.5, "a") and got[10][1] == "a" and got[1] == (1.0, "b")
+    assert out.columns == df.columns
+
+
+def test_stored_rows_keep_any_header_and_type(spark):
+    from salescope.session import store
+    df = spark.sql("select 1 as `a b;=`, timestamp_ntz'2020-01-01 01:02:03' as t, null as nothing, array(1, null) as x")
+    assert store(df).collect() == df.collect()
+    assert store(df.drop("nothing")).collect() == df.drop("nothing").collect()
+    assert store(df).columns == df.columns
