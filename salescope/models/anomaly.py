@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import exact_quantiles
+from ..session import store
 
 DEFAULT_FEATURES = ["revenue", "quantity"]
 EULER_GAMMA = 0.5772156649015329
@@ -262,9 +263,14 @@ def _sample(df: DataFrame, cols: list[str], n: int, n_trees: int, psi: int, seed
 
 def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int = 100,
                          max_samples: int = 256, contamination: float = 0.05, seed: int = 42,
-                         return_scored: bool = False):
+                         return_scored: bool = False, stored: bool = False):
+    """``stored`` tells that ``df`` comes straight from a written table."""
     cols = cols or DEFAULT_FEATURES
     k = len(cols)
+    # counting, sampling and scoring read rows that are written once; a plain
+    # fit reads only the model's columns
+    if not stored:
+        df = store(df if return_scored else df.select(*cols))
     n = df.count()
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -277,15 +283,13 @@ def fit_isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees:
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # ≤ n_trees × 2 psi rows
     forest = _forest_arrays(nodes)
     model = IsolationForestModel(cols, forest, psi, 0.0, contamination)
-    # flagging the fitted rows too: the scored table is written once to the
+    # flagging the fitted rows too: the scored table is written once below the
     # checkpoint folder and read twice (threshold, flags) — no second scoring
     # pass, nothing held in memory.  A plain fit keeps only the score column
     # for the length of the quantile rounds.
     scored = model.score_samples(df)
     if return_scored:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        scored = scored.checkpoint(eager=True)
+        scored = store(scored)
     (offset,) = exact_quantiles(scored, "_score", [contamination])
     model.offset = float(offset)
     return (model, scored) if return_scored else model

@@ -17,7 +17,7 @@ from ..functions import fixed
 from ..models import anomaly, forecast, linear, segment, training
 from ..operators import report
 from ..operators.features import DAILY_FEATURES, daily_features
-from ..session import scratch_path
+from ..session import scratch_path, store
 from .registry import query, rnd, view, with_sales
 
 KEYS = ["order_id", "line_no", "part_id", "supplier_id"]
@@ -561,8 +561,8 @@ def q_anom_iforest(spark, d):
 def q_anom_iforest_new(spark, d):
     """Fit on all rows, score the latest 90 days with the stored forest and
     threshold."""
-    v = view(spark, d, *KEYS, "date", "revenue", "quantity")
-    model = anomaly.fit_isolation_forest(v)
+    v = store(view(spark, d, *KEYS, "date", "revenue", "quantity"))
+    model = anomaly.fit_isolation_forest(v, stored=True)
     latest = v.agg(F.max("date")).scalar()
     return model.transform(v.where(F.col("date") > latest - F.make_dt_interval(F.lit(90))))
 

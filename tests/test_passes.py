@@ -73,3 +73,14 @@ def test_stored_rows_keep_any_header_and_type(spark):
     assert store(df).collect() == df.collect()
     assert store(df.drop("nothing")).collect() == df.drop("nothing").collect()
     assert store(df).columns == df.columns
+
+
+def test_forest_reads_the_input_once(spark):
+    df, calls = counted(spark, spark.createDataFrame([(float(i % 17), float(i)) for i in range(300)],
+                                                     "revenue double, quantity double"), "revenue")
+    model = anomaly.fit_isolation_forest(df, n_trees=5)
+    assert calls.value == 300
+    calls.value = 0
+    assert anomaly.isolation_forest(df).count() == 300
+    assert calls.value == 300
+    assert model.offset == anomaly.fit_isolation_forest(df, n_trees=5).offset
