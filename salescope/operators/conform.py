@@ -408,16 +408,18 @@ def last_n_days(df: DataFrame, n: int) -> DataFrame:
 def preprocess(df: DataFrame, order: list | None = None, fill_strategy: dict | None = None,
                features: bool = True) -> DataFrame:
     """conform → dates → missing → dedupe → revenue → status → drop null
-    dates → features, all lazy except the bounded probes."""
+    dates → features.  The upload is written once for the probes and the
+    statistics, the distinct rows once for the features' ones."""
     from .features import feature_engineering
 
-    df = standardize_columns(df)
+    df = standardize_columns(store(df))
     df = parse_dates(df)
-    df = fill_missing(df, fill_strategy, order)
+    df = fill_missing(df, fill_strategy, order, stored=True)
+    filled = df   # has the statuses of its distinct rows
     df = drop_duplicates(df)
     df = derive_revenue(df)
-    df = status_flag(df)
+    df = status_flag(df, filled)
     df = drop_null_dates(df)
     if features:
-        df = feature_engineering(df, order=order)
+        df = feature_engineering(store(df), order=order)
     return df

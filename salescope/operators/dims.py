@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fixed import (DIMENSION_CANDIDATES, SALESPERSON_PROXIES, WEEKDAY_NAMES)
+from ..session import store
 from .common import has, pct, require, resolve_column
 
 
@@ -204,19 +205,21 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
 
 
-def product_features(df: DataFrame) -> DataFrame:
+def product_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Put the product's transaction count and mean revenue on each row.
 
-    Aggregate once per product and join back: the aggregate has one row per
-    product, and the join is a shuffle on product (or a broadcast when the
-    aggregate's statistics are under the broadcast threshold).  A window
-    partitioned by product would put a hot product in one task.
+    Aggregate once per product and join back: the aggregate (of ``base``, or of
+    ``df`` itself) has one row per product and is written, so the join is a
+    shuffle on product, or a broadcast when the written table is under the
+    broadcast threshold.  A window partitioned by product would put a hot
+    product in one task.
     """
     require(df, "product")
+    base = df if base is None else base
     aggs = [F.count(F.lit(1)).alias("product_freq")]
     if has(df, "revenue"):
         aggs.append(F.avg("revenue").alias("product_avg_revenue"))
-    stats = df.where(F.col("product").isNotNull()).groupBy("product").agg(*aggs)
+    stats = store(base.where(F.col("product").isNotNull()).groupBy("product").agg(*aggs))
     return df.join(stats, "product", "left")
 
 

@@ -55,8 +55,9 @@ def price_tier_expr(price: Column, q25: float | None, q75: float | None) -> Colu
              .when(price.isNotNull(), F.lit("High")))
 
 
-def price_tier(df: DataFrame) -> DataFrame:
-    q25, q75 = exact_quantiles(df, "price", [0.25, 0.75])
+def price_tier(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Tiers by the price quartiles of ``base`` (``df`` itself if not given)."""
+    q25, q75 = exact_quantiles(df if base is None else base, "price", [0.25, 0.75])
     return df.withColumn("price_tier", price_tier_expr(F.col("price"), q25, q75))
 
 
@@ -65,16 +66,27 @@ def revenue_per_unit(df: DataFrame) -> DataFrame:
 
 
 def feature_engineering(df: DataFrame, order: list | None = None) -> DataFrame:
-    """All row features in the conforming order."""
+    """All row features in the conforming order.  The lags come first where
+    their order allows it, so that only the columns of ``df`` are sorted; the
+    quartiles and the products' statistics are those of ``df``."""
+    base, lagged = df, []
+    order = order or ["date"]
+    wanted = has(df, "date", "revenue")
+    made = {*calendar_columns(F.col("date")), "month_name", "year_month", "revenue_per_unit", "price_tier", "product_freq",
+            "product_avg_revenue"}
+    early = wanted and all(isinstance(c, str) and c in df.columns and c not in made for c in order)
+    if early:
+        df = row_lags(df, order, "revenue", lags=(1, 7), window=7)
+        lagged = [c for c in df.columns if c not in base.columns]
     df = time_features(df)
     if has(df, "price", "quantity"):
         df = revenue_per_unit(df)
-        df = price_tier(df)
+        df = price_tier(df, base)
     if has(df, "product"):
-        df = product_features(df)
-    if has(df, "date", "revenue"):
-        df = row_lags(df, order or ["date"], "revenue", lags=(1, 7), window=7)
-    return df
+        df = product_features(df, base)
+    if wanted and not early:
+        df = row_lags(df, order, "revenue", lags=(1, 7), window=7)
+    return df.select(*[c for c in df.columns if c not in lagged], *lagged) if lagged else df
 
 
 def daily_series(df: DataFrame, series: list[str] | None = None) -> DataFrame:

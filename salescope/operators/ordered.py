@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,7 +94,7 @@ def row_lags(df: DataFrame, order: list, value: str, lags=(1, 7), window: int =
         if b is not None:
             yield pd.DataFrame({"b": [b], "n": [n], "tail": [tail]})
 
-    summ = _summaries(staged, tail_of_bucket, "b int, n long, tail array<double>")
+    summ = _summaries(staged.select(BUCKET, value), tail_of_bucket, "b int, n long, tail array<double>")
     carry: dict[int, list] = {}
     prev: list = []
     for r in summ.itertuples():
@@ -104,24 +105,25 @@ def row_lags(df: DataFrame, order: list, value: str, lags=(1, 7), window: int =
                                                        f"{prefix}_rolling_std_{window}"]
     schema = T.StructType(staged.schema.fields + [T.StructField(c, T.DoubleType()) for c in out_cols])
 
+    at, tag = staged.columns.index(value), staged.columns.index(BUCKET)
+
     def finish(it):
+        # the other columns pass as they are; only the value becomes a pandas series
         state = None
-        for pdf in it:
-            if pdf.empty:
+        for b in it:
+            if not b.num_rows:
                 continue
             if state is None:
-                state = carry.get(int(pdf[BUCKET].iloc[0]), [])
-            vals = pd.Series(state + pdf[value].astype("float64").tolist())
+                state = carry.get(b.column(tag)[0].as_py(), [])
+            vals = pd.Series(np.concatenate([np.asarray(state, "float64"), b.column(at).to_pandas().astype("float64").to_numpy()]))
             m = len(state)
-            for l in lags:
-                pdf[f"{prefix}_lag_{l}"] = vals.shift(l).iloc[m:].to_numpy()
             roll = vals.rolling(window)
-            pdf[f"{prefix}_rolling_mean_{window}"] = roll.mean().iloc[m:].to_numpy()
-            pdf[f"{prefix}_rolling_std_{window}"] = roll.std().iloc[m:].to_numpy()
+            new = [*[vals.shift(l) for l in lags], roll.mean(), roll.std()]
             state = vals.iloc[-k:].tolist()
-            yield pdf
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x.iloc[m:].to_numpy(), from_pandas=True) for x in new]],
+                                             names=schema.names)
 
-    return staged.mapInPandas(finish, schema).drop(BUCKET)
+    return staged.mapInArrow(finish, schema).drop(BUCKET)
 
 
 # ---------------------------------------------------------------------------
@@ -171,7 +173,7 @@ def running_sum(df: DataFrame, order: list, value: str, out: str,
         if b is not None:
             yield pd.DataFrame({"b": [b], "n": [n], "s": [s]})
 
-    summ = _summaries(staged, total_of_bucket, "b int, n long, s double")
+    summ = _summaries(staged.select(BUCKET, value), total_of_bucket, "b int, n long, s double")
     carry: dict[int, tuple] = {}
     acc_n, acc_s = 0, 0.0
     for r in summ.itertuples():

@@ -84,3 +84,18 @@ def test_forest_reads_the_input_once(spark):
     assert anomaly.isolation_forest(df).count() == 300
     assert calls.value == 300
     assert model.offset == anomaly.fit_isolation_forest(df, n_trees=5).offset
+
+
+def test_preprocess_reads_the_input_once(spark):
+    rows = [(f"{1 + i % 28:02d}/03/2021", i, f"P{i % 4}", "C", float(i % 9) if i % 6 else None, 2.5 + i % 5, "Completed")
+            for i in range(60)]
+    df, calls = counted(spark, spark.createDataFrame(rows, "Tanggal string, `No Order` int, `Nama Produk` string, "
+                                                     "Kategori string, Qty double, Harga double, Status string"), "Harga")
+    out = conform.preprocess(df, order=["date", "order_id"])
+    got = out.collect()
+    assert calls.value == len(rows)
+    assert len(got) == len(rows) and out.columns[0] == "product"
+    assert out.columns[-4:] == ["revenue_lag_1", "revenue_lag_7", "revenue_rolling_mean_7", "revenue_rolling_std_7"]
+    by = sorted(got, key=lambda r: (r["date"], r["order_id"]))
+    assert [r["revenue_lag_1"] for r in by[1:]] == [r["revenue"] for r in by[:-1]]
+    assert by[0]["date"] == dt.datetime(2021, 3, 1) and by[0]["product_freq"] == 15
