@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from salescope.llm import line_dedup, mixing, sentencepiece, superminhash, toxicity
 from salescope.llm.sampling import remainder
-from salescope.llm.tables import materialize
+from salescope.llm.tables import drop, materialize
 from salescope.session import ensure_checkpoint_dir, ship_package
 
 
@@ -79,5 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ready(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
+        before = docs
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)   # the written result of the stage before
     return docs

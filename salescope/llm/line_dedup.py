@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .tables import drop, materialize
+from .tables import drop, materialize, passing
 from .textmap import col
 
 #: ``min_words`` with which every line that has a word takes part.
@@ -249,15 +249,16 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(lines, dropped): every line that takes part (id, line, ...), and of the
     lines that go ``id``, ``line``, the place ``of_id``, ``of_line`` of the
     earliest line within the bound, and ``edits`` (0 or 1)."""
-    lines = materialize(line_table(df, id_col, text_col, min_words), "lines")
-    distinct = materialize(
-        lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("k1").alias("k1"),
-                               F.min("k2").alias("k2"), F.min("k3").alias("k3")), "lines-distinct")
-    words = _candidate_words(df, text_col, _candidates(distinct))
-    verified = _verified(_partners(words), words)
-    # classes in which some line goes: repeated, or with an earlier partner
-    classes = materialize(distinct.join(verified, "h", "left").filter("n > 1 or partner_first is not null")
-                          .select("h", "first", "partner_first"), "lines-classes")
+    with passing() as keep:
+        lines = keep(materialize(line_table(df, id_col, text_col, min_words), "lines"))
+        distinct = materialize(
+            lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("k1").alias("k1"),
+                                   F.min("k2").alias("k2"), F.min("k3").alias("k3")), "lines-distinct")
+        words = _candidate_words(df, text_col, _candidates(distinct))
+        verified = _verified(_partners(words), words)
+        # classes in which some line goes: repeated, or with an earlier partner
+        classes = keep(materialize(distinct.join(verified, "h", "left").filter("n > 1 or partner_first is not null")
+                                   .select("h", "first", "partner_first"), "lines-classes"))
     place = _place()
     hit = lines.join(classes, "h").withColumn("place", place)
     gone = hit.filter((F.col("place") != F.col("first")) | F.col("partner_first").isNotNull())
@@ -291,8 +292,9 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                min_words: int = EVERY_LINE) -> DataFrame:
     """``df`` with the duplicate lines cut out of its texts; documents of which
     no line with a word is left go.  ``length_col`` (if given) is set anew."""
-    _, gone = duplicate_lines(df, id_col, text_col, min_words)
-    per = materialize(_per_document(gone).select("__llm_id", F.col("__llm_gone.line").alias("__llm_lines")), "lines-gone")
+    with passing() as keep:
+        _, gone = duplicate_lines(df, id_col, text_col, min_words)
+        per = keep(materialize(_per_document(gone).select("__llm_id", F.col("__llm_gone.line").alias("__llm_lines")), "lines-gone"))
     joined = df.join(per, col(id_col).eqNullSafe(F.col("__llm_id")), "left")
     left = F.filter(F.split(col(text_col), "\n", -1),
                     lambda x, i: ~F.array_contains(F.col("__llm_lines"), i))

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .tables import materialize
+from .tables import materialize, passing
 from .textmap import col, map_text
 
 BLOCK = 128
@@ -277,28 +277,41 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words of it are taken, with the columns of ``df``.  The text holds the
     words taken in that epoch; parts that do not follow each other are on lines
     of their own.  ``length_col`` (if given) becomes the new text's length."""
-    keys = ["__llm_id", "__llm_source", "__llm_hash"]
-    slim = df.select(col(id_col).alias("__llm_id"), col(source_col).alias("__llm_source"), col(text_col).alias("__llm_t"))
-    sized = materialize(word_sizes(slim, "__llm_t", ["__llm_id", "__llm_source"]).withColumnRenamed("__llm_size", "size")
-                        .filter("size > 0").dropDuplicates(keys), "mix-sizes")
-    rows, sources = _placed(sized, "__llm_source", "__llm_id", weights, most)
-    pieces = _pieces(rows.select(*keys, "sid", "off", "size"), block)
-    n = F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")
-    parts = (pieces.join(slots(sources, block).select("sid", "block", "epoch", "words").hint("merge"), ["sid", "block"])
-             .withColumn("n", n).filter("n > 0")
-             .groupBy(*keys, "size", "epoch")
-             .agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__llm_parts"))  # a document's own blocks
-             .withColumnRenamed("size", "__llm_size"))
-    hashed = word_sizes(df, text_col, df.columns).drop("__llm_size").withColumnRenamed("__llm_hash", "__llm_own_hash")
+    keys = ["__llm_id", "__llm_source", "__llm_key"]
+    with passing() as keep:
+        parts = keep(materialize(_document_parts(df, keys, id_col, text_col, source_col, weights, most, block), "mix-parts"))
+    # Spark's own hash of the text: a task then has one Python step, the excerpts
     same = (col(id_col).eqNullSafe(F.col("__llm_id")) & col(source_col).eqNullSafe(F.col("__llm_source"))
-            & (F.col("__llm_own_hash") == F.col("__llm_hash")))
-    joined = hashed.join(parts, same).select(*[col(c) for c in df.columns], "__llm_parts", "__llm_size")
+            & (F.col("__llm_own_key") == F.col("__llm_key")))
+    joined = df.withColumn("__llm_own_key", _text_key(text_col)).join(parts, same).select(*[col(c) for c in df.columns], "__llm_parts", "__llm_size")
     out = _excerpts(joined, text_col)
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
     return out.select(*[col(c) for c in df.columns])
 
 
+def _text_key(text_col: str) -> F.Column:
+    return F.xxhash64(col(text_col).cast("string"))
+
+
+def _document_parts(df: DataFrame, keys: list[str], id_col: str, text_col: str, source_col: str, weights, most: float,
+                    block: int) -> DataFrame:
+    """(keys, epoch, __llm_size, __llm_parts): the words taken of each document
+    in each epoch that takes some."""
+    slim = df.select(col(id_col).alias("__llm_id"), col(source_col).alias("__llm_source"),
+                     col(text_col).alias("__llm_t"), _text_key(text_col).alias("__llm_key"))
+    sized = materialize(word_sizes(slim, "__llm_t", keys).withColumnRenamed("__llm_size", "size")
+                        .filter("size > 0").dropDuplicates(["__llm_id", "__llm_source", "__llm_hash"]), "mix-sizes")
+    rows, sources = _placed(sized, "__llm_source", "__llm_id", weights, most)
+    pieces = _pieces(rows.select(*keys, "sid", "off", "size"), block)
+    n = F.least(F.col("at") + F.col("n"), F.col("words")) - F.col("at")
+    return (pieces.join(slots(sources, block).select("sid", "block", "epoch", "words").hint("merge"), ["sid", "block"])
+            .withColumn("n", n).filter("n > 0")
+            .groupBy(*keys, "size", "epoch")
+            .agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__llm_parts"))  # a document's own blocks
+            .withColumnRenamed("size", "__llm_size"))
+
+
 def _excerpts(joined: DataFrame, text_col: str) -> DataFrame:
     keep = [c for c in joined.columns if c not in (text_col, "__llm_parts", "__llm_size")]
     schema = T.StructType([joined.schema[c] for c in keep] + [T.StructField(text_col, T.StringType())])

@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textbytes as tb
 from .components import components
-from .tables import drop, materialize, small_batches
+from .tables import drop, materialize, passing, small_batches
 from .textmap import col
 
 BANDS, ROWS = 24, 5
@@ -329,7 +329,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
              similar: int = SIMILAR) -> DataFrame:
     """``df`` with one document of each group of near copies; rows without an
     id stay."""
-    gone = (near_duplicates(df, id_col, text_col, shingle, similar).filter(~F.col("kept"))
-            .groupBy(col(id_col).alias("__llm_gone")).agg(F.lit(1).alias("one")).select("__llm_gone"))
-    gone = materialize(gone, "minhash-gone")
+    with passing() as keep:
+        gone = (near_duplicates(df, id_col, text_col, shingle, similar).filter(~F.col("kept"))
+                .groupBy(col(id_col).alias("__llm_gone")).agg(F.lit(1).alias("one")).select("__llm_gone"))
+        gone = keep(materialize(gone, "minhash-gone"))
     return df.join(gone, col(id_col) == F.col("__llm_gone"), "left_anti")

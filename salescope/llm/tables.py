@@ -23,9 +23,37 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+#: Tables written inside the ``passing`` blocks that are open.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing():
+    """Tables written inside are deleted at the end of the block, but for those
+    given to the function it yields; these belong to the block around it."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        paths = {df._llm_path for df in kept}
+        for df in _SCOPES.pop():
+            if df._llm_path not in paths:
+                drop(df)
+            elif _SCOPES:
+                _SCOPES[-1].append(df)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_llm_path", None)

@@ -99,3 +99,29 @@ def test_preprocess_reads_the_input_once(spark):
     by = sorted(got, key=lambda r: (r["date"], r["order_id"]))
     assert [r["revenue_lag_1"] for r in by[1:]] == [r["revenue"] for r in by[:-1]]
     assert by[0]["date"] == dt.datetime(2021, 3, 1) and by[0]["product_freq"] == 15
+
+
+def _tables(spark, name):
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    folder = os.path.join(base, "salescope-llm")
+    return {t for t in (os.listdir(folder) if os.path.isdir(folder) else []) if t.startswith(name)}
+
+
+def test_steps_of_the_pipeline_leave_no_passing_tables(spark):
+    from salescope.llm import line_dedup, mixing, superminhash
+    rows = [(i, f"one line {i % 4}\nand these are the words of text number {i} " + "so it goes " * (i % 6), f"s{i % 3}", 1)
+            for i in range(40)] + [(99, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    for step, name, left in ((line_dedup.drop_lines, "lines", 1), (superminhash.keep_one, "minhash", 1),
+                             (mixing.mix_documents, "mix", 1)):
+        before = _tables(spark, name)
+        out = step(docs)
+        assert len(_tables(spark, name) - before) == left, name
+        assert out.count() > 0
+
+
+def test_mixed_documents_have_one_python_step_after_the_text_join(spark):
+    from salescope.llm import mixing
+    docs = spark.createDataFrame([(i, f"words of {i} " * 9, f"s{i % 2}") for i in range(20)], "doc_id long, text string, source string")
+    out = mixing.mix_documents(docs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
