@@ -325,8 +325,8 @@ def _excerpts(joined: DataFrame, text_col: str) -> DataFrame:
             p_off = np.asarray(lists.offsets, dtype=np.int64)
             first = np.asarray(lists.values.field(0), dtype=np.int64)
             count = np.asarray(lists.values.field(1), dtype=np.int64)
-            texts = []
             for lo, hi, data, off, _ in tb.chunks(b.column(len(keep))):
+                texts = []
                 s, e, row = tb.spans(data, off, tb.NOT_SPACE)
                 base = np.searchsorted(row, np.arange(hi - lo))
                 whole = data.tobytes()
@@ -340,6 +340,7 @@ def _excerpts(joined: DataFrame, text_col: str) -> DataFrame:
                     stop = np.r_[(f + c)[cut[1:] - 1], f[-1] + c[-1]]
                     texts.append("\n".join(whole[s[base[r] + x]:e[base[r] + y - 1]].decode()
                                            for x, y in zip(f[cut], stop)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(texts, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:len(keep)]],
+                                                  pa.array(texts, pa.string())], names=schema.names)
 
     return joined.select(*[col(c) for c in keep], col(text_col), "__llm_parts", "__llm_size").mapInArrow(run, schema)
