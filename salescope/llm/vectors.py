@@ -33,23 +33,27 @@ def power_of_two(n: int) -> int:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows (length a power of two)."""
-    n, d = x.shape
-    h = 1
+    """Fast Walsh-Hadamard transform of the columns (length a power of two);
+    a step adds and subtracts whole rows.  ``x`` is overwritten."""
+    d, n = x.shape
+    other, h = np.empty_like(x), 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(n, d)
-        h *= 2
-    return x / np.sqrt(d)
+        was, now = x.reshape(d // (2 * h), 2, h, n), other.reshape(d // (2 * h), 2, h, n)
+        np.add(was[:, 0], was[:, 1], out=now[:, 0])
+        np.subtract(was[:, 0], was[:, 1], out=now[:, 1])
+        x, other, h = other, x, 2 * h
+    x /= np.sqrt(d)
+    return x
 
 
 def rotation(x: np.ndarray, seed: int) -> np.ndarray:
     """Pseudorandom rotation: three rounds of random signs and a Hadamard
     transform, on rows padded to a power of two."""
     d = power_of_two(x.shape[1])
-    if x.shape[1] < d:
-        x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
+    y = np.zeros((d, len(x)))
+    y[:x.shape[1]] = x.T
     signs = np.random.Generator(np.random.Philox(key=seed)).integers(0, 2, size=(3, d)) * 2.0 - 1.0
     for s in signs:
-        x = hadamard(x * s)
-    return x
+        y *= s[:, None]
+        y = hadamard(y)
+    return np.ascontiguousarray(y.T)

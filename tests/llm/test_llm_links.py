@@ -183,6 +183,86 @@ def test_near_vectors_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_unrelated_vectors_seldom_meet():
+    """The rows that share a bucket follow the table's size."""
+    rng = np.random.default_rng(8)
+    for n in (500, 16_000, 50_000):
+        x = rng.normal(size=(n, 64))
+        shape = embedding_dedup.key_shape(n, 64)
+        keys = np.concatenate([embedding_dedup.bucket_keys(x[lo:lo + 2_000], shape) for lo in range(0, n, 2_000)])
+        _, size = np.unique(keys, return_counts=True)
+        assert size[size > 1].sum() < 0.25 * keys.size
+    for n in (500, 10_000, 10 ** 6, 10 ** 8):
+        for dim in (64, 384):
+            shape = embedding_dedup.key_shape(n, dim)
+            axes = 2 * embedding_dedup.power_of_two(dim)
+            assert axes ** (shape.hashes - 1) * 2 * shape.last_axes >= 16 * n * shape.probes
+
+
+def test_vectors_at_the_least_cosine_meet():
+    rng = np.random.default_rng(9)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 3_000, 64)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95 ** 2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n in (500, 10_000, 50_000, 10 ** 6, 10 ** 7):
+        shape = embedding_dedup.key_shape(n, 64)
+        a, b = (embedding_dedup.bucket_keys(v, shape) for v in (x, y))
+        assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() >= 0.999
+
+
+def _brute_links(x):
+    m = np.array(x, dtype=np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    linked = m @ m.T >= 0.95
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def test_small_groups_count_as_large_ones_do(monkeypatch):
+    rng = np.random.default_rng(10)
+    shape = embedding_dedup.key_shape(200, 24)
+    size = np.array([2, 5, 2, 9, 2, 30])
+    start, n = np.cumsum(size) - size, size.sum()
+    x = rng.normal(size=(6, 24))[rng.integers(0, 6, n)] + rng.normal(size=(n, 24)) * 0.15
+    side, weight = rng.integers(0, 2, n), rng.integers(1, 4, n)
+    across = np.repeat([False, True, False, False, False, True], size)
+    for key in (0, 1 << 62, 3 << 62):
+        key = np.full(n, key, np.uint64)
+        got = [r.tolist() for r in embedding_dedup._small_groups(start, size, key, across, side, weight, x, shape, 0.95)]
+        want = [[], [], []]
+        for lo, s in zip(start, size):
+            at = slice(lo, lo + s)
+            own, links, low = embedding_dedup._group(key[lo], across[lo], side[at], weight[at], x[at], shape, 0.95)
+            for w, g in zip(want, (own + lo, links, low + lo)):
+                w += g.tolist()
+        assert got == want
+    # unrelated vectors: no bucket keys are made again
+    monkeypatch.setattr(embedding_dedup, "bucket_keys", None)
+    far = np.concatenate([np.eye(24)[:s] for s in size[:-1]])
+    args = [v[:len(far)] for v in (key, across, side, weight)]
+    assert [len(r) for r in embedding_dedup._small_groups(start[:-1], size[:-1], *args, far, shape, 0.95)] == [0, 0, 0]
+
+
+def test_near_vectors_of_two_lengths_in_small_batches(spark):
+    """A group that goes on in the next batch stays whole beside vectors of another length."""
+    rng = np.random.default_rng(11)
+    x = {d: [c + rng.normal(size=d) * 0.02 for c in rng.normal(size=(3, d)) for _ in range(20)] for d in (16, 24)}
+    rows = [(2 * i + (d == 24), [float(v) for v in r]) for d in x for i, r in enumerate(x[d])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        found = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}
+    finally:
+        spark.conf.set(key, before)
+    for d in x:
+        for i, linked in enumerate(_brute_links(x[d])):
+            own = found[2 * i + (d == 24)]
+            assert own["n_links"] == linked.sum()
+            assert own["component_id"] == 2 * (i - i % 20) + (d == 24)
+
+
 # -- 7 mixing ----------------------------------------------------------------
 
 def test_permutation_is_one():
