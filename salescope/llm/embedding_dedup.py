@@ -14,9 +14,9 @@ one member are left out before any vector is shuffled.  A bucket of more than
 ``BLOCK`` members is cut into blocks and its pairs of blocks go to different
 groups, so no task gathers a whole hot bucket.  Within a group all cosines come
 from matrix products in double precision.  A pair that shares several buckets
-counts only in the one with the least key, which a task decides by itself from
-the keys of the members of linked pairs, made anew there; so pairs are never
-written down: a group emits one row for each member (its links here, and the
+counts only in the one with the least key, which a task decides by itself: it
+makes the keys of the members of linked pairs anew, table by table, until a
+smaller one is shared.  So pairs are never written down: a group emits one row for each member (its links here, and the
 least member of its local component).  Components follow from these stars.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components,
@@ -28,7 +28,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +44,7 @@ from .textmap import col
 from .vectors import matrices, power_of_two, rotation, valid
 
 TABLES = 4
+TABLE_BIT = 64 - (TABLES - 1).bit_length()  # the first bits of a key are its table
 BLOCK = 2_000
 SMALL = 64  # members of a group that is compared together with others
 COSINE = 0.95
@@ -81,15 +82,15 @@ def _largest(size: np.ndarray, best: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def bucket_keys(x: np.ndarray, shape: KeyShape, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
+def bucket_keys(x: np.ndarray, shape: KeyShape, tables: Sequence[int] = range(TABLES), seed: int = SEED) -> np.ndarray:
     """(rows, tables * probes) bucket keys of each vector: in every table its
-    own bucket and the next ones."""
+    own bucket and the next ones.  Keys ascend with the table."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     n, dim = x.shape
     axes = [power_of_two(dim)] * (shape.hashes - 1) + [min(shape.last_axes, power_of_two(dim))]
     combos = np.array(list(itertools.product(*(range(min(3, a)) for a in axes))))
     out = []
-    for t in range(tables):
+    for t in tables:
         loss = np.zeros((n, len(combos)))
         sides = []
         for j, a in enumerate(axes):
@@ -103,7 +104,7 @@ def bucket_keys(x: np.ndarray, shape: KeyShape, tables: int = TABLES, seed: int
         code = np.full(order.shape, tb.mix(np.array([t + 1 + (dim << 20)], np.uint64))[0])
         for j, side in enumerate(sides):
             code = tb.mix(code * tb.U64(0x9E3779B97F4A7C15) + np.take_along_axis(side, combos[order, j], 1))
-        out.append(code)
+        out.append(code >> tb.U64(64 - TABLE_BIT) | tb.U64(t << TABLE_BIT))
     return np.concatenate(out, axis=1)
 
 
@@ -142,23 +143,27 @@ def _group(key: np.uint64, across: bool, side: np.ndarray, weight: np.ndarray, x
     np.fill_diagonal(linked, False)
     if across:  # two blocks of one bucket: only pairs across
         linked &= side[:, None] != side[None, :]
-    some = np.flatnonzero(linked.any(axis=1))
-    if len(some) == 0:
+    # pairs that also share a bucket of a smaller key count there: most are gone after the first table
+    some = np.arange(len(x))
+    for t in range(int(key >> tb.U64(TABLE_BIT)) + 1):
+        own = np.flatnonzero(linked.any(axis=1))
+        some, linked = some[own], linked[np.ix_(own, own)]
+        if len(some) == 0:
+            break
+        keys = bucket_keys(x[some], shape, [t])
+        lower, count = np.unique(keys[keys < key], return_counts=True)
+        lower = lower[count > 1]
+        for lo in range(0, len(lower), 4_096):
+            part = lower[lo:lo + 4_096]
+            at = np.minimum(np.searchsorted(part, keys), len(part) - 1)
+            member = np.zeros((len(some), len(part)), dtype=np.float32)
+            r, c = np.nonzero(part[at] == keys)
+            member[r, at[r, c]] = 1.0
+            linked &= member @ member.T == 0
+    own = np.flatnonzero(linked.any(axis=1))
+    if len(own) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    linked = linked[np.ix_(some, some)]
-    # pairs that also share a bucket of a smaller key count there
-    keys = bucket_keys(x[some], shape)
-    lower, count = np.unique(keys[keys < key], return_counts=True)
-    lower = lower[count > 1]
-    for lo in range(0, len(lower), 4_096):
-        part = lower[lo:lo + 4_096]
-        at = np.minimum(np.searchsorted(part, keys), len(part) - 1)
-        member = np.zeros((len(some), len(part)), dtype=np.float32)
-        r, c = np.nonzero(part[at] == keys)
-        member[r, at[r, c]] = 1.0
-        linked &= member @ member.T == 0
-    own = np.flatnonzero(linked.any(axis=1))
     label = _local(linked)
     return some[own], (linked[own] * weight[some][None, :]).sum(axis=1).astype(np.int64), some[label[own]]
 
@@ -176,15 +181,20 @@ def _small_groups(start: np.ndarray, size: np.ndarray, key: np.ndarray, across:
     a, b = np.concatenate(pairs, axis=1)
     meant = ~across[a] | (side[a] != side[b])
     a, b = a[meant], b[meant]
-    some = np.union1d(a, b)
-    if len(some):  # pairs that also share a bucket of a smaller key count there
-        keys = bucket_keys(x[some], shape).reshape(len(some), TABLES, -1)
+    # pairs that also share a bucket of a smaller key count there: most are gone after the first table
+    table = (key >> tb.U64(TABLE_BIT)).astype(int)
+    for t in range(TABLES):
+        look = np.flatnonzero(table[a] >= t)
+        if len(look) == 0:
+            break
+        some = np.union1d(a[look], b[look])
+        keys = bucket_keys(x[some], shape, [t])
         first = np.ones(len(a), dtype=bool)
-        step = 1 + (1 << 23) // (keys[0].size * keys.shape[2])
-        for lo in range(0, len(a), step):
-            p, q = (keys[np.searchsorted(some, e[lo:lo + step])] for e in (a, b))
-            lower = p < key[a[lo:lo + step]][:, None, None]
-            first[lo:lo + step] = ~((p[..., None] == q[:, :, None, :]).any(axis=3) & lower).any(axis=(1, 2))
+        step = 1 + (1 << 23) // keys.shape[1] ** 2
+        for lo in range(0, len(look), step):
+            at = look[lo:lo + step]
+            p, q = (keys[np.searchsorted(some, e[at])] for e in (a, b))
+            first[at] = ~((p[:, :, None] == q[:, None, :]).any(axis=2) & (p < key[a[at]][:, None])).any(axis=1)
         a, b = a[first], b[first]
     links = np.zeros(len(x), dtype=np.int64)
     np.add.at(links, a, weight[b])

@@ -226,7 +226,7 @@ def test_small_groups_count_as_large_ones_do(monkeypatch):
     x = rng.normal(size=(6, 24))[rng.integers(0, 6, n)] + rng.normal(size=(n, 24)) * 0.15
     side, weight = rng.integers(0, 2, n), rng.integers(1, 4, n)
     across = np.repeat([False, True, False, False, False, True], size)
-    for key in (0, 1 << 62, 3 << 62):
+    for key in (0, 1 << 62, 3 << 62, (1 << 64) - 1):
         key = np.full(n, key, np.uint64)
         got = [r.tolist() for r in embedding_dedup._small_groups(start, size, key, across, side, weight, x, shape, 0.95)]
         want = [[], [], []]
