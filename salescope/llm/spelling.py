@@ -20,6 +20,11 @@ is listed under its grams' lengths and greater ones (up to ``MAX_GRAM`` + 1 for
 words longer by a symbol).  What meets under a key is verified by the edit
 distance on whole words.
 
+Tables as long as the words are joined by sort and merge, whatever their size:
+Spark takes rows made in Python, many for a word, for as many as the words, and
+a compressed file's size for the size in memory, so it would broadcast tables
+that no driver holds.
+
 No list is cut.  Words that meet differ in two to four neighbouring symbols;
 their pairs stay where they met, and only verified ones leave the task.  A form
 has at least twice the occurrences of its word, so the chains of forms end and
@@ -172,6 +177,11 @@ def _rows(words: DataFrame, frequent: dict[int, np.ndarray], wanted: bool) -> Da
     return words.select("id", "word").mapInArrow(run, _ROW)
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is never broadcast."""
+    return rows.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b) ids of words one edit apart, each pair once, a < b; ``words``
     has id and word and is a table (it is read several times)."""
@@ -179,12 +189,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
     listed = _rows(words, frequent, wanted=False).toDF("key", "b", "y")
     seeking = _rows(words, frequent, wanted=True).toDF("key", "a", "x")
     met = materialize(
-        seeking.join(listed, "key").filter("a <> b")
+        seeking.join(_merged(listed), "key").filter("a <> b")
         .filter(F.col("x").isNull() | F.col("y").isNull() | (F.levenshtein("x", "y", 1) == 1))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("x").isNull() | F.col("y").isNull()).alias("open"))
         .distinct(), "near-words")
     text = words.select("id", "word")
-    checked = (met.filter("open").join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+    checked = (met.filter("open").join(_merged(text.toDF("a", "x")), "a").join(_merged(text.toDF("b", "y")), "b")
                .filter(F.levenshtein("x", "y", 1) == 1).select("a", "b"))
     return met.filter("not open").select("a", "b").union(checked)
 
@@ -195,7 +205,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     at = materialize(forms.select("id", F.col("form_id").alias("root")), "roots")
     while True:
         nxt = at.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        moved = materialize(at.join(nxt, "root", "left").select(
+        moved = materialize(at.join(_merged(nxt), "root", "left").select(
             "id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         drop(at)
         at = moved.select("id", "root")
@@ -216,15 +226,15 @@ def variants(counts: DataFrame) -> DataFrame:
     words = materialize(counts.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     pairs = materialize(near_pairs(words), "near-pairs")
     other = words.select(F.col("id").alias("b"), F.col("word").alias("w"), F.col("n").alias("m"))
-    near = (pairs.union(pairs.select("b", "a")).join(other, "b").groupBy("a").agg(
+    near = (pairs.union(pairs.select("b", "a")).join(_merged(other), "b").groupBy("a").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "w", "b")).alias("best"))
         .select(F.col("a").alias("id"), "n_near", (-F.col("best.m")).alias("m"), "best.w", F.col("best.b").alias("form_id")))
-    known = materialize(words.join(near, "id", "left").select(
+    known = materialize(words.join(_merged(near), "id", "left").select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         *[F.when(F.col("m") >= RATIO * F.col("n"), F.col(c)).alias(to) for c, to in (("w", "form"), ("m", "form_n"), ("form_id", "form_id"))]),
         "word-forms")
     drop(pairs)
     roots = _roots(known.filter("form_id IS NOT NULL"))
-    ends = roots.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return known.join(ends, "id", "left").select(
+    ends = roots.join(_merged(words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))), "root").select("id", "root_word")
+    return known.join(_merged(ends), "id", "left").select(
         "word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")

@@ -243,6 +243,27 @@ def test_near_words_share_all_grams_but_one():
         assert sought(0, by) & listed(1) or sought(1, -by) & listed(0)
 
 
+def test_tables_as_long_as_the_words_are_never_broadcast(spark, monkeypatch):
+    # their files are far below the threshold here, as compressed words are where their gram rows fill a driver
+    plans = {}
+    def spied(df, name, files=None):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return materialize(df, name, files)
+
+    materialize = spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", spied)
+    counts = [("sample", 50), ("samples", 20), ("sampel", 3), ("simples", 4), ("a" * 70, 9), ("a" * 69 + "b", 3), ("other", 5)]
+    out = spelling.variants(spark.createDataFrame(counts, "word string, n long"))
+    plans["out"] = [out._jdf.queryExecution().sparkPlan().toString()]
+    assert {r["word"]: r["root"] for r in out.collect()} == {
+        "sample": "sample", "samples": "sample", "sampel": "sampel", "simples": "sample", "a" * 70: "a" * 70,
+        "a" * 69 + "b": "a" * 70, "other": "other"}
+    for name in ("near-words", "near-pairs", "word-forms", "roots", "out"):
+        for plan in plans[name]:
+            assert "Broadcast" not in plan, name
+        assert "SortMergeJoin" in plans[name][-1], name
+
+
 def test_word_counts_and_edge_cases(spark):
     rng = random.Random(5)
     vocabulary = ["Straße", "haUSse", "naïve", "naive", "colour", "color", "coloür", "x" * 70_000, "MÜLLER", "müller", "abc"]
