@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import datetime as _dt
 from decimal import Decimal
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..session import store
+from ..session import discard, store
 from .common import has, require, to_numeric
 from .ordered import forward_fill, joint_quantiles
 
@@ -338,8 +339,10 @@ def status_flag(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     if not has(df, "status", "revenue"):
         return df.withColumn("is_successful_transaction", F.lit(True))
     hit = success_match(F.col("status"))
-    # scalar subquery; the regex runs on the distinct statuses only
-    any_hit = (df if base is None else base).select("status").distinct().agg(F.max(hit.cast("int"))).scalar()
+    # scalar subquery; the regex runs on the distinct statuses only (their
+    # count is read because Spark drops a plain distinct below a maximum)
+    each = (df if base is None else base).groupBy("status").agg(F.count(F.lit(1)).alias("_n"))
+    any_hit = each.agg(F.max(F.when(F.col("_n") > 0, hit.cast("int")))).scalar()
     return df.withColumn("is_successful_transaction",
                          F.when(F.coalesce(any_hit, F.lit(0)) == 1, hit).otherwise(F.lit(True)))
 
@@ -409,17 +412,35 @@ def preprocess(df: DataFrame, order: list | None = None, fill_strategy: dict | N
                features: bool = True) -> DataFrame:
     """conform → dates → missing → dedupe → revenue → status → drop null
     dates → features.  The upload is written once for the probes and the
-    statistics, the distinct rows once for the features' ones."""
-    from .features import feature_engineering
+    statistics, the distinct rows once for the features' ones; the rows are
+    dealt by their order before they are made distinct, so that the lags need
+    no second shuffle of them."""
+    from .features import feature_engineering, lags_first
 
-    df = standardize_columns(store(df))
+    upload = store(df)
+    df = standardize_columns(upload)
     df = parse_dates(df)
     df = fill_missing(df, fill_strategy, order, stored=True)
     filled = df   # has the statuses of its distinct rows
+    by = _unchanged(df, order or ["date"]) if features else []
+    if by:
+        df = df.repartitionByRange(*by)   # equal rows share a partition
     df = drop_duplicates(df)
     df = derive_revenue(df)
     df = status_flag(df, filled)
     df = drop_null_dates(df)
     if features:
-        df = feature_engineering(store(df), order=order)
+        early = lags_first(df, order)
+        df = feature_engineering(df if early else store(df), order=order, spread=bool(by))
+        if early:
+            discard(upload)
     return df
+
+
+def _unchanged(df: DataFrame, order: list) -> list[str]:
+    """The first columns of ``order``, as far as ``preprocess`` leaves them as
+    they are after the duplicates are dropped; none if a single one is all that
+    would deal the rows of a longer order."""
+    made = ("revenue", "is_successful_transaction")
+    by = list(takewhile(lambda c: isinstance(c, str) and c in df.columns and c not in made, order))
+    return by if len(by) > 1 or len(by) == len(order) else []

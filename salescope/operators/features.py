@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from .common import has
 from .dims import product_features
-from .ordered import exact_quantiles, row_lags
+from .ordered import exact_quantiles, row_blocks, row_lags
 
 DAILY_FEATURES = [
     "year", "month", "quarter", "day_of_week", "day_of_month",
@@ -65,28 +65,39 @@ def revenue_per_unit(df: DataFrame) -> DataFrame:
     return df.withColumn("revenue_per_unit", F.try_divide(F.col("revenue"), F.col("quantity")))
 
 
-def feature_engineering(df: DataFrame, order: list | None = None) -> DataFrame:
+MADE = ("year", "month", "quarter", "day_of_week", "day_of_month", "week_of_year", "is_weekend", "month_name", "year_month",
+        "revenue_per_unit", "price_tier", "product_freq", "product_avg_revenue")
+
+
+def lags_first(df: DataFrame, order: list | None = None) -> bool:
+    """Whether ``feature_engineering`` writes the rows of ``df`` for the lags,
+    before it makes other columns, and reads nothing else afterwards."""
+    return has(df, "date", "revenue") and all(isinstance(c, str) and c in df.columns and c not in MADE for c in order or ["date"])
+
+
+def feature_engineering(df: DataFrame, order: list | None = None, spread: bool = False) -> DataFrame:
     """All row features in the conforming order.  The lags come first where
     their order allows it, so that only the columns of ``df`` are sorted; the
-    quartiles and the products' statistics are those of ``df``."""
-    base, lagged = df, []
+    quartiles and the products' statistics are those of ``df``, read from the
+    table written for the lags.  ``spread``: see ``ordered.Blocks``."""
     order = order or ["date"]
-    wanted = has(df, "date", "revenue")
-    made = {*calendar_columns(F.col("date")), "month_name", "year_month", "revenue_per_unit", "price_tier", "product_freq",
-            "product_avg_revenue"}
-    early = wanted and all(isinstance(c, str) and c in df.columns and c not in made for c in order)
+    own, rows, early, lagged, stats = df.columns, df.select, lags_first(df, order), [], []
     if early:
-        df = row_lags(df, order, "revenue", lags=(1, 7), window=7)
-        lagged = [c for c in df.columns if c not in base.columns]
+        blocks = row_blocks(df, order, "revenue", lags=(1, 7), window=7, spread=spread)
+        df, rows = row_lags(blocks, order, "revenue", lags=(1, 7), window=7), blocks.rows
+        lagged = [c for c in df.columns if c not in own]
+    if "product" in own:   # before the columns that are made of a row: these are not shuffled
+        known = df.columns
+        df = product_features(df, rows(*[c for c in ("product", "revenue") if c in own]))
+        stats = [c for c in df.columns if c not in known]
     df = time_features(df)
     if has(df, "price", "quantity"):
         df = revenue_per_unit(df)
-        df = price_tier(df, base)
-    if has(df, "product"):
-        df = product_features(df, base)
-    if wanted and not early:
+        df = price_tier(df, rows("price"))
+    df = df.select(*[c for c in df.columns if c not in (*stats, *lagged)], *stats, *lagged)
+    if has(df, "date", "revenue") and not early:
         df = row_lags(df, order, "revenue", lags=(1, 7), window=7)
-    return df.select(*[c for c in df.columns if c not in lagged], *lagged) if lagged else df
+    return df
 
 
 def daily_series(df: DataFrame, series: list[str] | None = None) -> DataFrame:

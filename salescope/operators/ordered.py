@@ -6,7 +6,8 @@ over range buckets:
 
 1. ``repartitionByRange`` on the full ordering key, sort inside each bucket,
    tag rows with their bucket and cut the lineage with a reliable
-   ``checkpoint()`` (so a lost executor recomputes the same buckets);
+   ``checkpoint()`` (so a lost executor recomputes the same buckets); the lags
+   write blocks of rows instead (``Blocks``), compressed and by columns;
 2. one narrow pass (``mapInPandas``) summarises every bucket in a few rows:
    its count, its last *k* values, its last non-null value or its sum;
 3. the driver folds those bucket summaries in order (bounded: buckets × k
@@ -37,9 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 
 BUCKET = "_bucket"
+#: A block has at most so many rows, and so many bytes unless it is a single
+#: row: a batch of Spark's Parquet reader is 4,096 blocks.
+BLOCK, BLOCK_BYTES = 32, 16 << 10
+PIECE = 1024                # blocks that a task unpacks at once
 
 
 def _sort_cols(order: list) -> list[Column]:
@@ -71,59 +76,114 @@ def _summaries(staged: DataFrame, fn, schema: str) -> pd.DataFrame:
 # lags and rolling statistics
 # ---------------------------------------------------------------------------
 
-def row_lags(df: DataFrame, order: list, value: str, lags=(1, 7), window: int = 7,
+class Blocks:
+    """A table in ``order``, written as blocks of up to ``BLOCK`` rows: a column
+    is an array, a row of the table is a block.  A block holds its bucket, its
+    number there and the last ``k`` values before it in the bucket, so wherever
+    a reader splits the files, a block's lags follow from it and from the ends
+    of the buckets before.
+
+    ``spread`` tells that equal order keys of ``df`` share a partition and that
+    its partitions ascend with ``order``."""
+
+    def __init__(self, df: DataFrame, order: list, value: str, k: int, spread: bool = False):
+        cols = _sort_cols(order)
+        rows = (df if spread else df.repartitionByRange(*cols)).sortWithinPartitions(*cols)
+        self.fields, self.k, self.at = df.schema.fields, k, df.columns.index(value)
+        schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()),
+                               T.StructField("before", T.ArrayType(T.DoubleType())),
+                               *[T.StructField(f"c{i}", T.ArrayType(f.dataType)) for i, f in enumerate(self.fields)]])
+        at, most, room = self.at, BLOCK, BLOCK_BYTES
+
+        def pack(it):
+            block, past = 0, np.zeros(0)
+            for b in it:
+                if not b.num_rows:
+                    continue
+                values = np.concatenate([past, _floats(b.column(at))])
+                size = max(1, min(most, room * b.num_rows // max(b.nbytes, 1)))
+                first = np.arange(0, b.num_rows, size)
+                end = first + len(past)
+                n = np.minimum(end, k)
+                ends = np.cumsum(n)
+                before = values[np.arange(ends[-1]) + np.repeat(end - ends, n)]
+                places = pa.array(np.append(first, b.num_rows).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), b.column(b.num_columns - 1)[0].as_py(), np.int32)),
+                     pa.array(np.arange(block, block + len(first))),
+                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(before)),
+                     *[pa.ListArray.from_arrays(places, c) for c in b.columns[:-1]]], names=schema.names)
+                block, past = block + len(first), values[-k:]
+
+        self.stored = store(rows.withColumn(BUCKET, F.spark_partition_id()).mapInArrow(pack, schema))
+
+    def rows(self, *names: str) -> DataFrame:
+        """These columns of all rows."""
+        at = [[f.name for f in self.fields].index(c) for c in names]
+        return self.stored.select(F.inline(F.arrays_zip(*[F.col(f"c{i}") for i in at]))).toDF(*names)
+
+    def carried(self) -> dict[int, list]:
+        """The last ``k`` values before each bucket (from the last block of each:
+        one row a bucket is broadcast and collected)."""
+        values = F.concat("before", F.col(f"c{self.at}").cast("array<double>"))
+        last = F.broadcast(self.stored.groupBy("bucket").agg(F.max("block").alias("block")))
+        out, past = {}, []
+        for r in sorted(self.stored.join(last, ["bucket", "block"]).select("bucket", values.alias("v")).collect()):
+            out[r["bucket"]] = past
+            past = (past + [math.nan if x is None else x for x in r["v"]][-self.k:])[-self.k:]
+        return out
+
+    def lags(self, lags, window: int, names: list[str]) -> DataFrame:
+        """All rows with their lags, rolling mean and deviation as ``names``."""
+        carry, k, at, piece = self.carried(), self.k, self.at, PIECE
+        schema = T.StructType([*self.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
+
+        def finish(it):
+            for whole in it:
+                for i in range(0, whole.num_rows, piece):
+                    b = whole.slice(i, piece)
+                    bucket, block, before = b.columns[:3]
+                    bucket, block = bucket.to_numpy(), block.to_numpy()
+                    columns = [c.flatten() for c in b.columns[3:]]
+                    values = _floats(columns[at])
+                    starts = np.append(0, np.cumsum(b.column(3 + at).value_lengths().to_numpy()))
+                    # blocks that follow each other go together
+                    runs = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(block) != 1)))
+                    new = [[] for _ in names]
+                    for r, end in zip(runs, [*runs[1:], len(bucket)]):
+                        past = (carry[int(bucket[r])] + before[r].as_py())[-k:]
+                        x = pd.Series(np.concatenate([np.asarray(past, "float64"), values[starts[r]:starts[end]]]))
+                        roll = x.rolling(window)
+                        for to, y in zip(new, [*[x.shift(n) for n in lags], roll.mean(), roll.std()]):
+                            to.append(y.iloc[len(past):].to_numpy())
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.concatenate(y), from_pandas=True) for y in new]],
+                                                     names=schema.names)
+
+        return self.stored.mapInArrow(finish, schema)
+
+
+def _floats(values: pa.Array) -> np.ndarray:
+    return values.to_pandas().astype("float64").to_numpy()
+
+
+def row_blocks(df: DataFrame, order: list, value: str, lags=(1, 7), window: int = 7, spread: bool = False) -> Blocks:
+    """``df`` written for its ``row_lags``; see ``Blocks``."""
+    return Blocks(df, order, value, max(max(lags), window), spread)
+
+
+def row_lags(df: DataFrame | Blocks, order: list, value: str, lags=(1, 7), window: int = 7,
              prefix: str | None = None) -> DataFrame:
     """Add ``{prefix}_lag_{k}``, ``{prefix}_rolling_mean_{w}`` and
-    ``{prefix}_rolling_std_{w}`` computed over the whole table in ``order``.
+    ``{prefix}_rolling_std_{w}`` computed over the whole table in ``order``
+    (or over its ``row_blocks``).
 
     Rolling statistics need ``window`` rows (null before), std is the sample
     standard deviation — the pandas ``shift``/``rolling`` semantics.
     """
     prefix = prefix or value
-    k = max(max(lags), window)
-    staged = stage_ordered(df, order)
-
-    def tail_of_bucket(it):
-        b, n, tail = None, 0, []
-        for pdf in it:
-            if pdf.empty:
-                continue
-            b = int(pdf[BUCKET].iloc[0])
-            n += len(pdf)
-            tail = (tail + pdf[value].astype("float64").tolist())[-k:]
-        if b is not None:
-            yield pd.DataFrame({"b": [b], "n": [n], "tail": [tail]})
-
-    summ = _summaries(staged.select(BUCKET, value), tail_of_bucket, "b int, n long, tail array<double>")
-    carry: dict[int, list] = {}
-    prev: list = []
-    for r in summ.itertuples():
-        carry[int(r.b)] = list(prev)
-        prev = (prev + list(r.tail))[-k:]
-
-    out_cols = [f"{prefix}_lag_{l}" for l in lags] + [f"{prefix}_rolling_mean_{window}",
-                                                       f"{prefix}_rolling_std_{window}"]
-    schema = T.StructType(staged.schema.fields + [T.StructField(c, T.DoubleType()) for c in out_cols])
-
-    at, tag = staged.columns.index(value), staged.columns.index(BUCKET)
-
-    def finish(it):
-        # the other columns pass as they are; only the value becomes a pandas series
-        state = None
-        for b in it:
-            if not b.num_rows:
-                continue
-            if state is None:
-                state = carry.get(b.column(tag)[0].as_py(), [])
-            vals = pd.Series(np.concatenate([np.asarray(state, "float64"), b.column(at).to_pandas().astype("float64").to_numpy()]))
-            m = len(state)
-            roll = vals.rolling(window)
-            new = [*[vals.shift(l) for l in lags], roll.mean(), roll.std()]
-            state = vals.iloc[-k:].tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x.iloc[m:].to_numpy(), from_pandas=True) for x in new]],
-                                             names=schema.names)
-
-    return staged.mapInArrow(finish, schema).drop(BUCKET)
+    blocks = df if isinstance(df, Blocks) else row_blocks(df, order, value, lags, window)
+    return blocks.lags(lags, window, [*[f"{prefix}_lag_{n}" for n in lags], f"{prefix}_rolling_mean_{window}",
+                                      f"{prefix}_rolling_std_{window}"])
 
 
 # ---------------------------------------------------------------------------

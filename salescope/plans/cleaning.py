@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import conform, kpi
-from ..sources.tables import ROW_ORDER
+from ..sources.tables import ROW_ORDER, sales_view
 from .registry import query, rnd, view, with_sales
 
 KEYS = ["order_id", "line_no", "part_id", "supplier_id"]
@@ -325,10 +325,11 @@ SELECT {shown} FROM done
 def q_preprocess(spark, d):
     """The whole conforming pipeline on a raw upload: renamed headers, text
     dates, gaps in three columns and repeated rows."""
-    v = view(spark, d, *_PRE_COLS)
+    v = sales_view(spark, d, _PRE_COLS, parts_first=True)
     gap = lambda c, n: F.when(F.col("order_id") % n != 0, F.col(c))
     v = v.withColumns({"quantity": gap("quantity", 50), "product": gap("product", 41), "price": gap("price", 67)})
-    v = v.unionByName(v.where(F.col("order_id") % 10 == 0))
+    twice = F.when(F.col("order_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    v = v.select("*", F.explode(twice).alias("_copy"))
     raw = v.select(*[F.col(c).alias(RAW_HEADERS.get(c, c)) for c in _PRE_COLS]).withColumn("Tanggal", F.date_format("Tanggal", "dd/MM/yyyy"))
     return rnd(conform.preprocess(raw, order=_PRE_COLS), *_PRE_ROUND)
 

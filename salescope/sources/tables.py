@@ -88,8 +88,10 @@ def _expr(name: str) -> Column:
     return exprs[name].alias(name)
 
 
-def sales_view(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Canonical sales rows (see module doc) restricted to ``columns``."""
+def sales_view(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, parts_first: bool = False) -> DataFrame:
+    """Canonical sales rows (see module doc) restricted to ``columns``.  With
+    ``parts_first`` lineitem meets part before orders: its lines are moved by
+    part without the orders' columns, and come out by order."""
     cols = list(columns) if columns else list(SALES_COLUMNS)
     unknown = [x for x in cols if x not in _NEEDS]
     if unknown:
@@ -99,6 +101,13 @@ def sales_view(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
         need |= _NEEDS[x]
 
     df = read_table(spark, sf_dir, "lineitem")
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+        return df.join(part, df["l_partkey"] == part["p_partkey"], "left")
+
+    if "part" in need and parts_first:
+        df = with_parts(df)
     if "orders" in need:
         orders = read_table(spark, sf_dir, "orders")
         # an order's lookups come before its lines: fewer rows are moved
@@ -110,9 +119,8 @@ def sales_view(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
             nat = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
             orders = orders.join(nat, orders["c_nationkey"] == nat["n_nationkey"], "left")
         df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "inner")
-    if "part" in need:
-        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-        df = df.join(part, df["l_partkey"] == part["p_partkey"], "left")
+    if "part" in need and not parts_first:
+        df = with_parts(df)
     if "supplier" in need:
         sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         df = df.join(sup, df["l_suppkey"] == sup["s_suppkey"], "left")

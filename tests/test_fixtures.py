@@ -1,6 +1,8 @@
 """Hand-written edge fixtures with hand-computed answers."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -348,3 +350,42 @@ def test_subset_dedupe_without_an_order_keeps_the_same_row_everywhere(spark):
     tied = {tuple(r) for r in conform.drop_duplicates(df.repartition(5), ["k"], order=["n"]).collect()}
     assert tied == want
     assert conform.drop_duplicates(df, ["k", "n", "t"]).count() == 64
+
+
+@pytest.mark.parametrize("block", [1, 4, 32])
+def test_lags_do_not_depend_on_where_files_are_split(spark, monkeypatch, block):
+    rng = random.Random(3)
+    table = [(i // 2, i, None if i % 11 == 5 else float("nan") if i % 41 == 7 else round(rng.uniform(-9, 9), 2), None if i % 3 else f"ü{i}", [i, None])
+            for i in range(3000)]
+    rng.shuffle(table)
+    df = spark.createDataFrame(table, "d int, k long, revenue double, `a b` string, x array<int>").repartition(3)
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    conf, key = spark.sparkContext._jsc.hadoopConfiguration(), "spark.sql.files.maxPartitionBytes"
+    conf.set("parquet.block.size", "2048")
+    try:
+        blocks = ordered.row_blocks(df, ["d", "k"], "revenue", (1, 3), 4)
+    finally:
+        conf.unset("parquet.block.size")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        out = ordered.row_lags(blocks, ["d", "k"], "revenue", (1, 3), 4)
+        assert block == 32 or out.rdd.getNumPartitions() > 8   # more than there are files
+        got = sorted(out.collect(), key=lambda r: r["k"])
+        assert sorted(blocks.rows("a b", "k").collect(), key=lambda r: r["k"]) == [(r["a b"], r["k"]) for r in got]
+    finally:
+        spark.conf.set(key, before)
+    value = pd.Series([math.nan if r["revenue"] is None else r["revenue"] for r in got])
+    assert [r["k"] for r in got] == list(range(3000)) and got[3]["a b"] == "ü3" and got[4]["x"] == [4, None]
+    want = {"revenue_lag_1": value.shift(1), "revenue_lag_3": value.shift(3),
+            "revenue_rolling_mean_4": value.rolling(4).mean(), "revenue_rolling_std_4": value.rolling(4).std()}
+    for name, w in want.items():
+        for r, x in zip(got, w):
+            assert (r[name] is None) == math.isnan(x) and (r[name] is None or abs(r[name] - x) < 1e-9), (name, r["k"])
+
+
+def test_lags_of_nothing(spark):
+    from salescope.operators.ordered import row_lags
+    df = spark.createDataFrame([(1, 2.0)], "k long, revenue double")
+    assert row_lags(df.where("k > 1"), ["k"], "revenue").count() == 0
+    assert [tuple(r) for r in row_lags(df, ["k"], "revenue").collect()] == [(1, 2.0, None, None, None, None)]

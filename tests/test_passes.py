@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,68 @@ def test_preprocess_reads_the_input_once(spark):
     assert by[0]["date"] == dt.datetime(2021, 3, 1) and by[0]["product_freq"] == 15
 
 
+def _files(spark, *folders):
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return {os.path.join(at, f) for folder in folders for at, _, files in os.walk(os.path.join(base, folder)) for f in files}
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+
+def _upload(spark, n=60):
+    rows = [(f"{1 + i % 28:02d}/03/2021", i, f"P{i % 4}", float(i % 9) if i % 6 else None, 2.5 + i % 5, "Completed", float(i * i % 31))
+            for i in range(n)]
+    return spark.createDataFrame(rows + rows[::3], "Tanggal string, `No Order` int, `Nama Produk` string, Qty double, "
+                                 "Harga double, Status string, `Grand Total` double").repartition(3)
+
+
+def test_preprocess_leaves_one_copy_of_the_rows(spark):
+    df, before = _upload(spark), _files(spark, "")
+    out = conform.preprocess(df, order=["date", "order_id", "product", "quantity", "price", "revenue", "status"])
+    left = {f.split("salescope-tables/")[-1].split("/")[0] for f in _files(spark, "") - before}
+    assert len(left) == 2 and all(t.startswith("rows-") for t in left)   # the distinct rows and the products' statistics; no checkpoint
+    assert not spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert out.count() == 60
+
+
+def test_distinct_rows_and_lags_share_a_shuffle(spark, monkeypatch):
+    from salescope.operators import ordered
+    plans = []
+    monkeypatch.setattr(ordered, "store", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df))[1])
+    from salescope.session import store
+    order = ["date", "order_id", "product", "quantity", "price", "revenue", "status"]
+    shared = conform.preprocess(_upload(spark), order=order)
+    assert plans[0].count("rangepartitioning") == 1 and "hashpartitioning" not in plans[0].split("Subquery")[0]
+    lags = [c for c in shared.columns if c.startswith("revenue_")]
+    alone = conform.preprocess(_upload(spark), order=["revenue", *order])   # revenue may be made anew: two shuffles
+    assert shared.drop(*lags).exceptAll(alone.drop(*lags)).isEmpty() and shared.count() == alone.count() == 60
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from salescope.session import discard, store
+    before, files = _shuffle_files(spark), _files(spark, "salescope-tables")
+    out = store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:   # they go in the background
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert out.count() == 7
+    discard(out)
+    assert _files(spark, "salescope-tables") == files
+
+
+def test_the_status_words_are_sought_in_distinct_values(spark):
+    df = spark.createDataFrame([("Completed", 1.0), ("Open", 2.0), (None, 3.0)] * 5, "status string, revenue double")
+    out = conform.status_flag(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [status") == 1   # a plain distinct below a maximum is dropped
+    assert {(r["status"], r["is_successful_transaction"]) for r in out.collect()} == {("Completed", True), ("Open", False), (None, False)}
+
+
 def _tables(spark, name):
     base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
     folder = os.path.join(base, "salescope-llm")
